@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, urls
+from helixloom.llm import chat, cube, toxicity, urls
 from helixloom.llm.common import table
 
 
@@ -21,8 +22,16 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_model(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filters, op7_chat_formatting, op9_mix_sources)}
+    return {f.__name__: f for f in (op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
