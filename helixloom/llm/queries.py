@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, toxicity, urls
+from helixloom.llm import chat, cube, media, toxicity, urls
 from helixloom.llm.common import table
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "width", "height",
+    )
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark))
 
@@ -31,7 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op2_media_columns, op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
