@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, media, toxicity, urls
+from helixloom.llm import chat, cube, linededup, media, toxicity, urls
 from helixloom.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return done.select("doc_id", "n_lines", "n_dropped", sha.alias("kept_sha256"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select(
@@ -39,8 +45,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_media_columns, op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
-    return {"op3_url_filters": urls.ORACLE, "op7_chat_formatting": chat.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op3_url_filters": urls.ORACLE, "op7_chat_formatting": chat.ORACLE}
