@@ -73,3 +73,59 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def empty_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def partition_keys(spark: SparkSession, width: int) -> list[int]:
+    """For each of width partitions one integer that repartition(width, key) deals to it, so that packed rows spread evenly."""
+    keys = spark.range(width * 24).select(F.col("id").cast("int").alias("k"))
+    found = keys.groupBy(F.expr(f"pmod(hash(k), {width})").alias("p")).agg(F.min("k").alias("k")).collect()
+    at = {r["p"]: r["k"] for r in found}
+    spare = next(iter(at.values()))
+    return [at.get(p, spare) for p in range(width)]
+
+
+class RollingHash:
+    """64-bit polynomial hashes of any stretch of a byte buffer, by differences of one running sum."""
+
+    def __init__(self, most: int, seed: int = 20240607):
+        rng = np.random.default_rng(seed)
+        self.letter = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self._grow(most)
+
+    def _grow(self, most: int) -> None:
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(most, self.base, dtype=np.uint64))))
+            self.back = np.cumprod(np.concatenate(([np.uint64(1)], np.full(most, self.inverse, dtype=np.uint64))))
+        self.most = most
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(data) > self.most:
+            self._grow(len(data))
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self.letter[data] * self.power[: len(data)], out=out[1:])
+        return out
+
+    def stretch(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64((sums[end] - sums[start]) * self.back[start])
+
+    def fixed(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """The hash of each stretch of width bytes, by start."""
+        n = len(sums) - width
+        with np.errstate(over="ignore"):
+            return mix64((sums[width:] - sums[:n]) * self.back[:n])
+
+
+def text_chunks(texts: list, most: int = 1 << 21):
+    """Cut a list of byte strings into (first, last) ranges of about most bytes; one longer text is a range by itself."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and size + len(t) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(t)
+    if len(texts) > first:
+        yield first, len(texts)

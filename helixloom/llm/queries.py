@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, linededup, media, toxicity, urls
+from helixloom.llm import chat, cube, jaccard, linededup, media, toxicity, urls
 from helixloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), urls.rules_table(spark))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
