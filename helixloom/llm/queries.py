@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, jaccard, linededup, media, toxicity, urls
+from helixloom.llm import chat, cube, jaccard, linededup, media, suffix, toxicity, urls
 from helixloom.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = cube.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -49,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op7_chat_formatting, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
