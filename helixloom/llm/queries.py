@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import chat, cube, jaccard, linededup, media, suffix, toxicity, urls
+from helixloom.llm import bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
 from helixloom.llm.common import table
 
 
@@ -31,6 +33,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def tokenizer_spec() -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
+
+
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_spec())
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -54,7 +72,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op5_bpe_codec, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
