@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixloom.llm import bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
+from helixloom.llm import ann, bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
 from helixloom.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -72,7 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op5_bpe_codec, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op5_bpe_codec, op6_adaptive_scan, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
