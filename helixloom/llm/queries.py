@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from helixloom.llm import ann, bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
 from helixloom.llm.common import table
+from helixloom.llm.tokenizer_files import tokenizer_spec
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,12 +33,6 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def tokenizer_spec() -> str:
-    import public_tokenizers
-
-    return Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
-
-
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_spec())
     return done.select(
@@ -75,8 +69,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUERIES = (
+    op1_line_dedup,
+    op2_media_columns,
+    op3_url_filters,
+    op4_ngram_jaccard_join,
+    op5_bpe_codec,
+    op6_adaptive_scan,
+    op7_chat_formatting,
+    op8_suffix_dedup,
+    op9_mix_sources,
+    op10_toxicity,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_media_columns, op3_url_filters, op4_ngram_jaccard_join, op5_bpe_codec, op6_adaptive_scan, op7_chat_formatting, op8_suffix_dedup, op9_mix_sources, op10_toxicity)}
+    return {f.__name__: f for f in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
