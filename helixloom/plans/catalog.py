@@ -1,11 +1,388 @@
-"""Registered queries of the interval, copy-number and walk operators, with their SQL."""
+"""Registered queries of the interval, copy-number and walk operators, with their SQL.
+
+Every query runs over whole tables by way of the views in views.py; the SQL states the same result plainly,
+without the operators' binning or running sums.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from helixloom.functions import tokens as T
+from helixloom.operators import assemble, cycles, depth, distributions, intervals, links, ranking, segments, tracks
+from helixloom.plans import views as V
+from helixloom.plans.views import duck
+from helixloom.sources import readers, writers
+from helixloom.sources.storage import new_folder
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: str = ""):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = duck(views, sql)
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{new_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+P = V.PARAMS
+T_PART, N_PART = P["purity"] * P["ploidy_t"], (1 - P["purity"]) * P["ploidy_n"]
+
+
+def copy_ratio():
+    return depth.sample_cn_ratio(*(F.lit(P[k]) for k in ("mean_case", "purity", "ploidy_t", "ploidy_n")))
+
+
+# --- depth -----------------------------------------------------------------------------------------------
+
+
+@query("select tissue, refseg, pos, depth from v_depth", "v_depth")
+def c1_coverage(spark, d):
+    return V.v_depth(spark, d)
+
+
+@query(
+    """select tissue, refseg, sum(depth)::bigint as bases, count(*)::bigint as covered, max(depth)::bigint as deepest from v_depth group by all""", "v_depth"
+)
+def c1_coverage_totals(spark, d):
+    reads = V.v_reads(spark, d).selectExpr("*", "if(baseq % 2 = 0, 'case', 'ctrl') as tissue")
+    runs = depth.coverage(reads, ["tissue", "refseg"], V.MIN_BASEQ, V.MIN_MAPQ).withColumn("n", F.expr("ed - st + 1"))
+    return runs.groupBy("tissue", "refseg").agg(F.sum(F.col("depth") * F.col("n")).alias("bases"), F.sum("n").alias("covered"), F.max("depth").alias("deepest"))
+
+
+LAYOUT = """lay as (select *, ((ed - st + 1 + res - 1) // res) as n, coalesce(sum((ed - st + 1 + res - 1) // res) over (partition by refseg order by st rows between unbounded preceding and 1 preceding), 0)::bigint as before from v_resol),
+win as (select v.*, before + (pos - st) // res + 1 as win, st + ((pos - st) // res) * res as win_st, least(st + ((pos - st) // res + 1) * res - 1, ed) as win_ed, res from v_depth v join lay using (refseg) where pos between st and ed)"""
+MEANS = LAYOUT + ",\nmeans as (select tissue, refseg, win, win_st as st, win_ed as ed, avg(depth) as mean, count(*)::bigint as n from win group by all)"
+ADJUST = MEANS + f""",
+adjusted as (select *, case when tissue = 'case' then mean - {P["mean_case"]} * ({N_PART} / ({T_PART} + {N_PART})) else mean * {P["mean_case"]} * ({T_PART} / ({T_PART} + {N_PART})) / {P["mean_ctrl"]} end as adj from means)"""
+
+
+def windowed(spark, d):
+    return depth.assign_windows(V.v_depth(spark, d), V.v_resol(spark, d))
+
+
+def window_means(spark, d):
+    rows = windowed(spark, d).withColumnsRenamed({"win_st": "st", "win_ed": "ed"})
+    return depth.window_mean(rows, ["tissue", "refseg", "win", "st", "ed"])
+
+
+def adjusted(spark, d):
+    return depth.adjust_depth(window_means(spark, d), P)
+
+
+@query(f"with {LAYOUT} select tissue, refseg, pos, win::bigint as win, win_st::bigint as win_st, win_ed::bigint as win_ed, res::bigint as res from win", "v_depth v_resol")
+def c2_assign_windows(spark, d):
+    return windowed(spark, d).select("tissue", "refseg", "pos", "win", "win_st", "win_ed", "res")
+
+
+@query("select refseg, ceil((ed - st + 1) / 64)::bigint as res from v_region", "v_region")
+def c3_auto_resolution(spark, d):
+    return depth.auto_resolution(V.v_region(spark, d), 64)
+
+
+PRIOR = "prior(refseg, st, ed, ratio) as (values ('S0', 1::bigint, 300::bigint, 1.5::double), ('S1', 50, 250, 0.5))"
+
+
+def prior(spark):
+    return spark.createDataFrame([("S0", 1, 300, 1.5), ("S1", 50, 250, 0.5)], "refseg string, st long, ed long, ratio double")
+
+
+@query(f"with {PRIOR} select tissue, v.refseg, pos, coalesce(ratio, 1.0)::double as ratio from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed", "v_depth")
+def c4_prior_ratio(spark, d):
+    return depth.prior_ratio(V.v_depth(spark, d), prior(spark)).select("tissue", "refseg", "pos", "ratio")
+
+
+@query(
+    f"""with {LAYOUT}, {PRIOR},
+stable as (select v.refseg, pos from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed where tissue = 'ctrl' and depth between 12 * (1 - 0.4) * coalesce(ratio, 1) and 12 * (1 + 0.4) * coalesce(ratio, 1))
+select tissue, refseg, win::bigint as win, count(*)::bigint as n from win where res < 25 or exists (select 1 from stable s where s.refseg = win.refseg and s.pos = win.pos) group by all""",
+    "v_depth v_resol",
+)
+def c5_stable_positions(spark, d):
+    points = V.v_depth(spark, d)
+    stable = depth.stable_positions(points, prior(spark), 12.0, 0.4)
+    return depth.keep_stable(windowed(spark, d), stable, 25).groupBy("tissue", "refseg", "win").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {MEANS} select tissue, refseg, win::bigint as win, mean, n from means", "v_depth v_resol")
+def c6_window_mean(spark, d):
+    return window_means(spark, d).select("tissue", "refseg", "win", "mean", "n")
+
+
+@query(
+    f"""with {LAYOUT}, r as (select *, row_number() over w as i, count(*) over (partition by tissue, refseg, win) as n from win window w as (partition by tissue, refseg, win order by depth, pos))
+select tissue, refseg, win::bigint as win, avg(depth) as mean, count(*)::bigint as n from r where i > floor(n * 0.2) and i <= n - floor(n * 0.2) group by all""",
+    "v_depth v_resol",
+)
+def c6_window_mean_trim(spark, d):
+    return depth.window_mean(windowed(spark, d), ["tissue", "refseg", "win"], "trim", 0.2)
+
+
+@query(
+    f"""with {LAYOUT}, r as (select *, avg(depth) over w as m, round(stddev_pop(depth) over w, 9) as s from win window w as (partition by tissue, refseg, win))
+select tissue, refseg, win::bigint as win, avg(depth) as mean, count(*)::bigint as n from r where abs(depth - m) <= 3 * s + 1e-9 group by all""",
+    "v_depth v_resol",
+)
+def c6_window_mean_sd3(spark, d):
+    return depth.window_mean(windowed(spark, d), ["tissue", "refseg", "win"], "sd3")
+
+
+@query(f"with {ADJUST} select tissue, refseg, win::bigint as win, round(adj, 6) as adj from adjusted", "v_depth v_resol")
+def c7_adjust_depth(spark, d):
+    return adjusted(spark, d).select("tissue", "refseg", "win", F.round("adj", 6).alias("adj"))
+
+
+ENDS = """ends as (
+  select sample, junc_no, '5p' as side, refseg_5p as refseg, bkpos_5p as pos, strd_5p as strd from v_junc
+  union all select sample, junc_no, '3p', refseg_3p, bkpos_3p, strd_3p from v_junc),
+inside as (select e.* from ends e join v_region r on r.refseg = e.refseg and pos between st and ed)"""
+BREAKS = "breaks as (select distinct i.refseg, before + (pos - st) // res + 1 as win from inside i join lay l on l.refseg = i.refseg and pos between st and ed)"
+
+
+def inside(spark, d):
+    return segments.breakends(V.v_junc(spark, d), V.v_region(spark, d))
+
+
+@query(
+    f"""with {ADJUST}, {ENDS}, {BREAKS},
+marked as (select a.*, sum(case when b.win is null then 0 else 1 end) over (partition by tissue, a.refseg order by a.win) as barrier from adjusted a left join breaks b on b.refseg = a.refseg and b.win = a.win)
+select tissue, refseg, win::bigint as win, round(avg(adj) over (partition by tissue, refseg, barrier order by win rows between 2 preceding and 2 following), 6) as show from marked""",
+    "v_depth v_resol v_junc v_region",
+)
+def c8_smooth(spark, d):
+    breaks = depth.assign_windows(inside(spark, d), V.v_resol(spark, d)).select("refseg", "win")
+    return depth.smooth(adjusted(spark, d), breaks, 2).select("tissue", "refseg", "win", F.round("show", 6).alias("show"))
+
+
+@query(f"with {ADJUST} select tissue, refseg, round(max(adj), 6) as max_depth, max(win)::bigint as max_win from adjusted group by all", "v_depth v_resol")
+def c9_depth_extent(spark, d):
+    return depth.depth_extent(adjusted(spark, d), "adj").select("tissue", "refseg", F.round("max_depth", 6).alias("max_depth"), "max_win")
+
+
+PURITY = """s as (select o_orderkey as sample, (o_orderkey % 11) / 10.0 as purity, (o_orderkey % 5)::double as pt, (o_orderkey % 3)::double as pn, o_totalprice as mean from orders),
+a as (select *, coalesce(nullif(purity, 0), 1) as p, coalesce(nullif(purity, 0), 1) * coalesce(nullif(pt, 0), 2) as t, (1 - coalesce(nullif(purity, 0), 1)) * coalesce(nullif(pn, 0), 2) as n from s)"""
+
+
+def purities(spark, d):
+    return V.table(spark, d, "orders").selectExpr("o_orderkey as sample", "cast((o_orderkey % 11) / 10.0 as double) as purity", "cast(o_orderkey % 5 as double) as pt", "cast(o_orderkey % 3 as double) as pn", "o_totalprice as mean")
+
+
+@query(f"with {PURITY} select sample, round(t, 6) as t_part, round(n, 6) as n_part, round(t / (t + n), 6) as t_ratio, round(n / (t + n), 6) as n_ratio from a")
+def c10_admixture(spark, d):
+    a = depth.admixture(F.col("purity"), F.col("pt"), F.col("pn"))
+    return purities(spark, d).select("sample", *[F.round(v, 6).alias(k) for k, v in a.items()])
+
+
+@query(f"with {PURITY} select sample, round(mean - 100 * (n / (t + n)) * 0.5, 9) as pure, round(mean / (t + n), 9) as single, round(1 / p / (mean / (t + n)), 11) as ratio from a")
+def c11_c13_sample_ratios(spark, d):
+    a = depth.admixture(F.col("purity"), F.col("pt"), F.col("pn"))
+    pure = depth.subtract_admixture(F.col("mean"), F.lit(100.0), a["n_ratio"], F.lit(0.5))
+    cols = [F.col(c) for c in ("mean", "purity", "pt", "pn")]
+    return purities(spark, d).select("sample", F.round(pure, 9).alias("pure"), F.round(depth.single_copy_depth(*cols), 9).alias("single"), F.round(depth.sample_cn_ratio(*cols), 11).alias("ratio"))
+
+
+@query(
+    f"""with {ADJUST}, {ENDS}, base(refseg, st, ed, cn) as (values ('S0', 20::bigint, 60::bigint, 2.0::double), ('S1', 100, 140, 0.3), ('S2', 1, 250, 3.0), ('S3', 700, 720, 2.0)),
+good as (select * from base b where not exists (select 1 from inside i where i.refseg = b.refseg and pos > st and pos < ed)),
+m as (select g.refseg, g.cn, avg(adj) as dep from good g join adjusted a on a.refseg = g.refseg and a.tissue = 'ctrl' and a.st <= g.ed and g.st <= a.ed group by all)
+select refseg, round(dep, 6) as depth, round(case when dep > 5 then (case when cn > 0.5 then cn else 2 end) / dep end, 8) as ratio from m""",
+    "v_depth v_resol v_junc v_region",
+)
+def c14_baseline_ratio(spark, d):
+    base = spark.createDataFrame([("S0", 20, 60, 2.0, None), ("S1", 100, 140, 0.3, None), ("S2", 1, 250, 3.0, "ctrl"), ("S3", 700, 720, 2.0, None)], "refseg string, st long, ed long, cn double, tissue string")
+    out = depth.baseline_cn_ratio(adjusted(spark, d), base, inside(spark, d))
+    return out.select("refseg", F.round("depth", 6).alias("depth"), F.round("ratio", 8).alias("ratio"))
+
+
+# --- segments --------------------------------------------------------------------------------------------
+
+@query(f"with {ENDS} select * from inside", "v_junc v_region")
+def d1_breakends(spark, d):
+    return inside(spark, d).select("sample", "junc_no", "side", "refseg", "pos", "strd")
+
+
+@query(f"with {ENDS} select sample, junc_no, case when count(*) = 2 then 'intra-SV' else 'inter-SV/vitg' end as kind from inside where refseg <> 'S4' group by all", "v_junc v_region")
+def d2_classify_junctions(spark, d):
+    return segments.classify_junctions(V.v_junc(spark, d), V.v_region(spark, d).where("refseg <> 'S4'")).select("sample", "junc_no", "kind")
+
+
+@query(
+    f"""with {LAYOUT}, {ENDS}, w as (select i.*, before + (pos - st) // res + 1 as win from inside i join lay l on l.refseg = i.refseg and pos between st and ed)
+select sample, refseg, win::bigint as win, arg_max(pos, (junc_no, (side = '3p')::int, pos)) as pos from w group by all""",
+    "v_depth v_resol v_junc v_region",
+)
+def d3_breakpoint_windows(spark, d):
+    return segments.breakpoint_windows(depth.assign_windows(inside(spark, d), V.v_resol(spark, d)))
+
+
+SEGS = f"""{ENDS},
+cuts as (select distinct i.sample, i.refseg, case when (side = '5p') = (strd = '+') then pos else pos - 1 end as ed from inside i),
+every as (select c.sample, c.refseg, c.ed from cuts c join v_region r on r.refseg = c.refseg and c.ed between r.st and r.ed union select distinct c.sample, c.refseg, r.ed from cuts c join v_region r on r.refseg = c.refseg),
+segs as (select sample, refseg, row_number() over w as seg_no, coalesce(lag(ed) over w, 0) + 1 as st, ed from every window w as (partition by sample, refseg order by ed))"""
+
+
+def cut(spark, d):
+    return segments.segment_by_breakends(V.v_region(spark, d), inside(spark, d))
+
+
+@query(f"with {SEGS} select sample, refseg, seg_no::bigint as seg_no, st::bigint as st, ed from segs", "v_junc v_region")
+def d4_segment_by_breakends(spark, d):
+    return cut(spark, d).select("sample", "refseg", F.col("seg_no").cast("long").alias("seg_no"), "st", "ed")
+
+
+@query(f"with {SEGS} select sample, refseg, seg_no::bigint as seg_no, case when seg_no <= 26 then chr(64 + seg_no::int) end as upper, case when seg_no <= 24 then chr(98 + seg_no::int) end as lower, 'H' || (seg_no + 4) as named from segs", "v_junc v_region")
+def d5_name_segments(spark, d):
+    s = segments.name_segments(cut(spark, d), "u").withColumnRenamed("seg", "upper")
+    s = segments.name_segments(s, "l:c").withColumnRenamed("seg", "lower")
+    return segments.name_segments(s, "H:5").select("sample", "refseg", F.col("seg_no").cast("long").alias("seg_no"), "upper", "lower", F.col("seg").alias("named"))
+
+
+@query(
+    f"""with {SEGS} select i.sample, junc_no, side, i.refseg, pos, strd, min(s.seg_no)::bigint as seg_no from inside i left join segs s on s.sample = i.sample and s.refseg = i.refseg
+and (case when (side = '5p') = (strd = '+') then s.ed else s.st end) = pos group by all""",
+    "v_junc v_region",
+)
+def d6_map_breakends(spark, d):
+    named = cut(spark, d).withColumn("seg", F.col("seg_no").cast("long"))
+    return segments.map_breakends_to_segments(inside(spark, d), named).select("sample", "junc_no", "side", "refseg", "pos", "strd", F.col("seg").alias("seg_no"))
+
+
+SCD = f"{P['mean_case']} / ({T_PART} + {N_PART})"
+CN = f"""cn as (select s.sample, s.refseg, s.seg_no, s.st, s.ed, round(avg(a.adj), 2) as depth from segs s left join adjusted a on a.tissue = 'case' and a.refseg = s.refseg and a.st <= s.ed and s.st <= a.ed group by all),
+jc as (select sample, junc_no, jr_count, trunc(jr_count - {P["mean_case"]} * ({N_PART} / ({T_PART} + {N_PART})) * ncpr)::bigint as pure from v_junc)"""
+
+
+@query(
+    f"""with {ADJUST}, {SEGS}, {CN}
+select sample, 'segment' as kind, refseg as refseg, seg_no::bigint as id, st::bigint as st, ed as ed, depth as value, round(depth * (1.0 / {P["purity"]} / ({SCD})), 2) as cn from cn
+union all select sample, 'junction', null, junc_no, null, null, pure::double, round(pure * (1.0 / {P["purity"]} / ({SCD})), 2) from jc""",
+    "v_depth v_resol v_junc v_region",
+)
+def segment_copy_number(spark, d):
+    """D7, D9 with C1, C2, C6, C7, C10-C13, D1, D4: copy number of each segment and junction."""
+    case = adjusted(spark, d).where("tissue = 'case'")
+    seg = segments.segment_cn(cut(spark, d), case, copy_ratio())
+    a = depth.admixture(*(F.lit(P[k]) for k in ("purity", "ploidy_t", "ploidy_n")))
+    junc = segments.junction_cn(V.v_junc(spark, d), copy_ratio(), F.lit(P["mean_case"]), a["n_ratio"])
+    left = seg.selectExpr("sample", "'segment' as kind", "refseg", "cast(seg_no as bigint) as id", "st", "ed", "depth as value", "cn")
+    return left.unionByName(junc.selectExpr("sample", "'junction' as kind", "cast(null as string) as refseg", "junc_no as id", "cast(null as bigint) as st", "cast(null as bigint) as ed", "cast(pure as double) as value", "cn"))
+
+
+@query("select p_partkey as seg, round(p_retailprice * 0.25, 2) as cn from part")
+def d8_feature_cn(spark, d):
+    return segments.feature_cn(V.table(spark, d, "part").select(F.col("p_partkey").alias("seg"), "p_retailprice"), F.lit(0.25), "p_retailprice").select("seg", "cn")
+
+
+@query(f"with {SEGS} select sample, refseg, 'H' || min(seg_no) as source, 'H' || max(seg_no) as sink from segs group by all", "v_junc v_region")
+def d10_source_sink(spark, d):
+    return segments.source_sink(segments.name_segments(cut(spark, d)))
+
+
+@query(f"with {SEGS} select refseg, string_agg('V' || seg_no || '+', ',' order by seg_no) as chain from segs group by all", "v_junc v_region")
+def d11_feature_chain(spark, d):
+    return segments.feature_chain(segments.name_segments(cut(spark, d), "V"))
+
+
+@query(f"with {SEGS} select s.refseg, s.seg_no::bigint as seg_no, count(*)::bigint as n, sum(least(s.ed, r.ed) - greatest(s.st, r.st) + 1)::bigint as bases from segs s join v_reads r on r.refseg = s.refseg and r.st <= s.ed and s.st <= r.ed group by all", "v_junc v_region v_reads")
+def d12_overlaps(spark, d):
+    hit = intervals.interval_join(V.v_reads(spark, d).select("refseg", "st", "ed"), cut(spark, d).select("refseg", "seg_no", "st", "ed"), ["refseg"], 100)
+    return hit.groupBy("refseg", F.col("seg_no").cast("long").alias("seg_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("least(ed, r_ed) - greatest(st, r_st) + 1")).alias("bases"))
+
+
+@query("select refseg, greatest(st, 100)::bigint as st, least(ed, 180)::bigint as ed, molecule from v_reads where greatest(st, 100) <= least(ed, 180)", "v_reads")
+def d13_clip(spark, d):
+    return intervals.clip(V.v_reads(spark, d), F.lit(100).cast("long"), F.lit(180).cast("long")).select("refseg", "st", "ed", "molecule")
+
+
+VIOL = """gs as (select case when l_partkey % 97 = 0 then 'X' else 'H' end || l_orderkey || l_linenumber || l_suppkey as seg, 'S' || (l_suppkey % 5) || '_' || (l_orderkey // 100) as refseg, l_partkey as st, l_partkey + 3 as ed,
+  case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id, l_orderkey, l_linenumber, l_suppkey from lineitem where l_linenumber >= 5),
+gj as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_linenumber || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_linenumber || l_suppkey as seg3 from lineitem where l_linenumber >= 5),
+gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events where event_id % 50 = 0)"""
+
+
+@query(
+    f"""with {VIOL}, sides as (select junc_id, unnest([seg5, seg3]) as seg from gj)
+select 'overlap' as rule, a.seg as key, b.seg as detail from gs a join gs b on a.refseg = b.refseg and a.st <= b.ed and b.st <= a.ed and a.seg < b.seg
+union all select 'segment id', seg, refseg from gs where not regexp_matches(seg, '^[HV][0-9]+$')
+union all select 'segment twice', seg, count(*)::varchar from gs group by seg having count(*) > 1
+union all select 'cycle twice', cycle_id::varchar, count(*)::varchar from gc group by cycle_id having count(*) > 1
+union all select distinct 'unknown segment', cycle_id::varchar, seg from gc where seg not in (select seg from gs)
+union all select 'junction without segment', junc_id, seg from sides where seg not in (select seg from gs)
+union all select 'no group', seg, refseg from gs where seg like 'H%' and group_id is null
+union all select 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (seg) where group_id is not null group by junc_id having min(group_id) <> max(group_id)"""
+)
+def d14_violations(spark, d):
+    line = V.table(spark, d, "lineitem").where("l_linenumber >= 5")
+    s = line.selectExpr("concat(if(l_partkey % 97 = 0, 'X', 'H'), l_orderkey, l_linenumber, l_suppkey) as seg", "concat('S', l_suppkey % 5, '_', l_orderkey div 100) as refseg", "l_partkey as st", "l_partkey + 3 as ed", "if(l_linenumber = 7, null, l_orderkey div 100) as group_id")
+    j = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey) as junc_id", "concat('H', l_orderkey, l_linenumber, l_suppkey) as seg5", "concat('H', l_orderkey + 32, l_linenumber, l_suppkey) as seg3")
+    c = V.table(spark, d, "events").where("event_id % 50 = 0").selectExpr("user_id % 40 as cycle_id", "concat('H', event_id) as seg")
+    return segments.violations(s, j, c.select("cycle_id"), c)
+
+
+@query(f"with {SEGS} select sample, refseg, seg_no::bigint as seg_no, lead(seg_no) over w::bigint as next_no, (lead(st) over w = ed + 1) as touches from segs window w as (partition by sample, refseg order by st)".replace("lead(seg_no) over w::bigint", "(lead(seg_no) over w)::bigint"), "v_junc v_region")
+def d15_adjacency(spark, d):
+    s = cut(spark, d).withColumn("seg", F.col("seg_no").cast("long"))
+    return segments.adjacency(s).select("sample", "refseg", F.col("seg").alias("seg_no"), F.col("next_seg").alias("next_no"), "touches")
+
+
+@query(
+    """with s as (select c_custkey as sample, (c_custkey % 5) || 'm' || (c_custkey % 3) as code from customer),
+p as (select *, regexp_extract(code, '^(\\d+)m', 1)::int - regexp_extract(code, 'm(\\d+)$', 1)::int as major, regexp_extract(code, 'm(\\d+)$', 1)::int as minor from s),
+e as (select *, unnest(['Major', 'minor']) as dropped from p)
+select *, case when minor = 0 then 'LOH' when minor = major then 'vItg' when dropped = 'Major' then 'vItg_on_minor' else 'vItg_on_Major' end as tag from e where not (dropped = 'Major' and (minor = 0 or minor = major))"""
+)
+def d16_allele_scenarios(spark, d):
+    return segments.allele_scenarios(V.table(spark, d, "customer").selectExpr("c_custkey as sample", "concat(c_custkey % 5, 'm', c_custkey % 3) as code"))
+
+
+# --- tracks ----------------------------------------------------------------------------------------------
+
+@query("select t.refseg, gene, tid, greatest(t.st, 50)::bigint as st, least(t.ed, 150)::bigint as ed from v_track t where t.st <= 150 and t.ed >= 50", "v_track")
+def e1_track_in_region(spark, d):
+    region = V.v_region(spark, d).selectExpr("refseg", "50L as st", "150L as ed")
+    return tracks.track_in_region(V.v_track(spark, d), region).select("refseg", "gene", "tid", "st", "ed")
+
+
+@query("select refseg, gene, tid, st, ed from v_track where gene in (3, 7, 11)", "v_track")
+def e2_track_allowlist(spark, d):
+    return tracks.track_allowlist(V.v_track(spark, d), [3, 7, 11])
+
 
-def queries() -> dict:
-    return {}
+@query(
+    """with best as (select refseg, gene, arg_min(tid, (case tid when '001' then 0 when '201' then 1 else 2 end, tid)) as tid from v_track group by all)
+select t.* from v_track t join best using (refseg, gene, tid)""",
+    "v_track",
+)
+def e3_representative_transcript(spark, d):
+    return tracks.representative_transcript(V.v_track(spark, d)).select("refseg", "gene", "tid", "st", "ed")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query(
+    """with p as (select 'S' || (p_partkey % 5) as refseg, 'part' || p_partkey as gene, unnest([1, 2]) as i, p_partkey as k from part)
+select refseg, gene, i::varchar as tid, greatest(case i when 1 then k else k + 20 end, 10)::bigint as st, least(case i when 1 then k + 9 else k + 20 + k % 7 end, 900)::bigint as ed from p
+where greatest(case i when 1 then k else k + 20 end, 10) <= least(case i when 1 then k + 9 else k + 20 + k % 7 end, 900)"""
+)
+def e4_user_regions(spark, d):
+    specs = V.table(spark, d, "part").selectExpr("concat('S', p_partkey % 5) as refseg", "concat('part', p_partkey, ':', p_partkey, '-', p_partkey + 9, ',', p_partkey + 20, '-', p_partkey + 20 + p_partkey % 7) as spec")
+    region = V.v_region(spark, d).selectExpr("refseg", "10L as st", "900L as ed")
+    return tracks.track_in_region(tracks.user_regions(specs), region).select("refseg", "gene", "tid", "st", "ed")
