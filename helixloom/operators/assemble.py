@@ -129,7 +129,7 @@ def assemble_walks(cycles: DataFrame, segments: DataFrame, keys: list[str], sour
     spine = backbone.select(*keys, "cycle_id", F.lit(1).cast("long").alias("cnt"), "length", F.lit(True).alias("tied"), "tokens", F.lit(True).alias("spine"))
     fields = cycles.select(*keys).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         spine = rows[rows["spine"]]
         walk = None
         if len(spine) and rows["tied"].all():

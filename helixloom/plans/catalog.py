@@ -386,3 +386,672 @@ def e4_user_regions(spark, d):
     specs = V.table(spark, d, "part").selectExpr("concat('S', p_partkey % 5) as refseg", "concat('part', p_partkey, ':', p_partkey, '-', p_partkey + 9, ',', p_partkey + 20, '-', p_partkey + 20 + p_partkey % 7) as spec")
     region = V.v_region(spark, d).selectExpr("refseg", "10L as st", "900L as ed")
     return tracks.track_in_region(tracks.user_regions(specs), region).select("refseg", "gene", "tid", "st", "ed")
+
+
+# --- cycles and walks ------------------------------------------------------------------------------------
+
+TOKS = """ct as (select allele, cycle_id, cnt, unnest(tokens) as token, unnest(range(len(tokens))) as ord from v_cycles),
+cs as (select *, left(token, len(token) - 1) as seg, right(token, 1) as orit from ct)"""
+FLIP = "left(x, len(x) - 1) || translate(right(x, 1), '+-', '-+')"
+TURNS = "list_transform(range(len({t})), lambda k: list_concat(list_slice({t}, k + 1, len({t})), list_slice({t}, 1, k)))"
+
+
+@query("select allele, cycle_id, tokens, list_transform(list_reverse(tokens), lambda x: " + FLIP + ") as rc from v_cycles", "v_cycles")
+def f1_f4_parse_and_reverse(spark, d):
+    text = F.concat_ws(";", "tokens", F.element_at("tokens", 1))  # closed by its first token
+    c = V.v_cycles(spark, d).select("allele", "cycle_id", "tokens", T.parse_cycle(text).alias("parsed"))
+    tokens = F.when(F.element_at("tokens", 1) == F.element_at("tokens", -1), F.col("tokens")).otherwise(F.col("parsed"))
+    return c.select("allele", "cycle_id", tokens.alias("tokens"), T.reverse_complement(F.col("tokens")).alias("rc"))
+
+
+@query(
+    """with h as (select allele, cycle_id, tokens, len(tokens) as n, list_transform(tokens, lambda x: x[1] = 'H') as host, list_transform(tokens, lambda x: x[2]::int) as no from v_cycles),
+k as (select *, list_filter(list_transform(range(n), lambda i: (n - i) % n), lambda k: host[k + 1] and not (host[(k + n - 1) % n + 1] and no[(k + n - 1) % n + 1] < no[k + 1]))[1] as k from h)
+select allele, cycle_id, case when k is null then tokens else list_concat(list_slice(tokens, k + 1, n), list_slice(tokens, 1, k)) end as tokens from k""",
+    "v_cycles",
+)
+def f2_canonical_start(spark, d):
+    return V.v_cycles(spark, d).select("allele", "cycle_id", T.canonical_start(F.col("tokens")).alias("tokens"))
+
+
+@query(
+    """with p as (select *, list_position(list_transform(tokens, lambda x: left(x, len(x) - 1)), 'H3') as p, len(tokens) as n from v_cycles)
+select allele, cycle_id, case when p > 1 then list_concat(list_slice(tokens, p, n), list_slice(tokens, 1, p - 1)) else tokens end as tokens from p""",
+    "v_cycles",
+)
+def f3_reanchor(spark, d):
+    return V.v_cycles(spark, d).select("allele", "cycle_id", T.reanchor(F.col("tokens"), F.lit("H3")).alias("tokens"))
+
+
+@query(f"with {TOKS} select allele, string_agg(repeat(token || ';', cnt::int), '' order by cycle_id, ord) as walk from (select allele, cycle_id, cnt, ord, token from cs) where cnt = 1 group by allele", "v_cycles")
+def f5_expand_walk(spark, d):
+    nodes = V.v_cycles(spark, d).where("cnt = 1").select("allele", F.col("cycle_id").alias("ord"), "tokens", F.col("cnt").alias("count"))
+    return cycles.expand_walk(nodes, ["allele"]).select("allele", F.concat(F.array_join("walk", ";"), F.lit(";")).alias("walk"))
+
+
+@query(
+    f"""with {TOKS} select allele, cycle_id, count(*)::bigint as n_tokens, sum(v.ed - v.st + 1)::bigint as length, count(distinct cs.seg)::bigint as n_segments, arg_min(cs.seg, ord) as first_seg, arg_max(cs.seg, ord) as last_seg
+from cs join v_seg v on v.seg = cs.seg group by all""",
+    "v_cycles v_seg",
+)
+def f6_cycle_stats(spark, d):
+    return cycles.cycle_stats(V.v_cycles(spark, d), V.v_seg(spark), ["allele", "cycle_id"])
+
+
+@query("with a as (select allele, cycle_id, tokens, list_transform(list_reverse(tokens), lambda x: " + FLIP + ") as rc from v_cycles) select x.allele, x.cycle_id, y.cycle_id as other, case when x.tokens = y.tokens then 1 when x.tokens = y.rc then -1 else 0 end as same from a x join a y on x.allele = y.allele and x.cycle_id < y.cycle_id", "v_cycles")
+def f7_same_or_rc(spark, d):
+    c = V.v_cycles(spark, d).select("allele", "cycle_id", "tokens")
+    o = c.withColumnsRenamed({"cycle_id": "other", "tokens": "others"})
+    return c.join(o, "allele").where("cycle_id < other").select("allele", "cycle_id", "other", T.same_or_rc(F.col("tokens"), F.col("others")).alias("same"))
+
+
+@query(
+    "with a as (select allele, cycle_id, tokens as t, list_transform(list_reverse(tokens), lambda x: " + FLIP + ") as r from v_cycles) select allele, cycle_id, list_sort(list_concat(" + TURNS.format(t="t") + ", " + TURNS.format(t="r") + "))[1] as key from a",
+    "v_cycles",
+)
+def f7b_equivalence_key(spark, d):
+    return V.v_cycles(spark, d).select("allele", "cycle_id", T.equivalence_key(F.col("tokens")).alias("key"))
+
+
+@query(f"with {TOKS} select allele, cycle_id, seg, min(ord)::bigint as ord from cs where seg in ('V1', 'H2') and cycle_id <> allele * 5 group by all", "v_cycles")
+def f8_locate_segment(spark, d):
+    c = V.v_cycles(spark, d)
+    want = c.select("allele").distinct().selectExpr("allele", "explode(array('V1', 'H2')) as seg", "allele * 5 as avoid")
+    return cycles.locate_segment(c, want, ["allele"]).select("allele", "cycle_id", "seg", F.col("ord").cast("long").alias("ord"))
+
+
+BACKBONE = f"""{TOKS}, len_ as (select allele, cycle_id, sum(v.ed - v.st + 1) as length from cs join v_seg v on v.seg = cs.seg group by all),
+fit as (select c.allele, c.cycle_id, c.tokens, l.length, row_number() over (partition by c.allele order by l.length desc, c.cycle_id) as r from v_cycles c join len_ l on l.allele = c.allele and l.cycle_id = c.cycle_id
+  where cnt = 1 and left(tokens[1], 2) = 'H1' and left(tokens[-1], 2) = 'H4'),
+back as (select allele, cycle_id, tokens, length::bigint as length from fit where r = 1)"""
+
+
+@query(f"with {BACKBONE} select * from back", "v_cycles v_seg")
+def f9_select_backbone(spark, d):
+    return cycles.select_backbone(V.v_cycles(spark, d), V.v_seg(spark), ["allele"], "H1", "H4")
+
+
+ANCHOR = f"""{BACKBONE}, rest as (select cs.* from cs join back b on b.allele = cs.allele where b.cycle_id <> cs.cycle_id),
+line as (select allele, left(t, 2) as seg, min(i) as at from (select allele, unnest(tokens) as t, unnest(range(len(tokens))) as i from back) where t like 'H%' group by all),
+direct as (select r.allele, r.cycle_id, arg_min(r.seg, l.at) as anchor from rest r join line l on l.allele = r.allele and l.seg = r.seg group by all),
+indirect as (select r.allele, r.cycle_id, arg_min(r.seg, ((r.seg not like 'H%')::int, r.ord)) as anchor from rest r where exists (select 1 from cs o where o.allele = r.allele and o.seg = r.seg and o.cycle_id <> r.cycle_id) group by all)"""
+
+
+@query(f"with {ANCHOR} select distinct r.allele, r.cycle_id, coalesce(d.anchor, i.anchor) as anchor from rest r left join direct d on d.allele = r.allele and d.cycle_id = r.cycle_id left join indirect i on i.allele = r.allele and i.cycle_id = r.cycle_id", "v_cycles v_seg")
+def f10_choose_anchors(spark, d):
+    c = V.v_cycles(spark, d)
+    return cycles.choose_anchors(c, cycles.select_backbone(c, V.v_seg(spark), ["allele"], "H1", "H4"), ["allele"])
+
+
+@query(
+    f"""with recursive {BACKBONE}, reach as (
+  select allele, cycle_id, 0 as hops from back
+  union select s.allele, s.cycle_id, r.hops + 1 from reach r join cs a on a.allele = r.allele and a.cycle_id = r.cycle_id join cs s on s.allele = a.allele and s.seg = a.seg where r.hops < 4)
+select allele, cycle_id, min(hops)::bigint as hops from reach group by all""".replace("with recursive ", "with ", 1),
+    "v_cycles v_seg",
+)
+def f10_reachable_cycles(spark, d):
+    c = V.v_cycles(spark, d)
+    new_folder(spark)
+    out = cycles.reachable_cycles(c, cycles.select_backbone(c, V.v_seg(spark), ["allele"], "H1", "H4"), ["allele"])
+    return out.select("allele", "cycle_id", F.col("hops").cast("long").alias("hops"))
+
+
+_SQL["f10_reachable_cycles"] = _SQL["f10_reachable_cycles"].replace("with ", "with recursive ", 1)
+
+
+def walks(spark, d):
+    w = assemble.assemble_walks(V.v_cycles(spark, d), V.v_seg(spark), ["allele"], "H1", "H4")
+    return w.where("valid").select("allele", F.lit(1).alias("map_no"), "walk")
+
+
+@query(
+    f"""with {BACKBONE} select allele, seg, sum(n)::bigint as n from (
+  select cs.allele, cs.seg, sum(cnt) as n from cs join back b on b.allele = cs.allele where b.cycle_id <> cs.cycle_id group by all
+  union all select allele, left(t, 2), count(*) from (select allele, unnest(tokens) as t from back) group by all) group by all""",
+    "v_cycles v_seg",
+)
+def f11_assemble_walks(spark, d):
+    """The walk of every allele, by its conserved segment counts."""
+    return cycles.segment_counts(walks(spark, d), ["allele"], "walk").groupBy("allele", "seg").agg(F.sum("n").alias("n"))
+
+
+@query()
+def f11_walk_text(spark, d):
+    return walks(spark, d).select("allele", F.array_join("walk", " ").alias("walk"))
+
+
+WALK2 = """w as (select allele, list_concat(list_concat(tokens, tokens), tokens) as walk, cycle_id from v_cycles where cycle_id >= 0)"""
+
+
+def tripled(spark, d):
+    return V.v_cycles(spark, d).where("cycle_id >= 0").select("allele", "cycle_id", F.concat("tokens", "tokens", "tokens").alias("walk"))
+
+
+@query(
+    f"""with {WALK2}, u as (select w.*, c.tokens as unit, c.cycle_id as unit_id from w join v_cycles c on c.allele = w.allele and c.cycle_id = w.cycle_id),
+m as (select allele, cycle_id, unit_id, len(unit) as k, unnest(list_filter(range(len(walk) - len(unit) + 1), lambda i: list_slice(walk, i + 1, i + len(unit)) = unit)) as i from u),
+g as (select *, i - k * row_number() over (partition by allele, cycle_id, unit_id, i % k order by i) as isle from m)
+select allele, cycle_id, unit_id, min(i)::bigint as start, count(*)::bigint as times from g group by allele, cycle_id, unit_id, i % k, isle having count(*) >= 2""",
+    "v_cycles",
+)
+def f12_fold_repeats(spark, d):
+    units = V.v_cycles(spark, d).where("cycle_id >= 0").select("allele", "cycle_id", F.col("cycle_id").alias("unit_id"), F.col("tokens").alias("unit"))
+    out = cycles.fold_repeats(tripled(spark, d), ["allele", "cycle_id"], units)
+    return out.select("allele", "cycle_id", "unit_id", F.col("start").cast("long").alias("start"), "times")
+
+
+SIG = "select allele, cycle_id, md5(array_to_string(tokens, ';') || ';') as md5_walk, md5(regexp_replace(array_to_string(list_sort(tokens), ';'), '[+-]', '', 'g')) as md5_composition from v_cycles"
+
+
+@query(SIG, "v_cycles")
+def f13_walk_signatures(spark, d):
+    return cycles.walk_signatures(V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk"))).select("allele", "cycle_id", "md5_walk", "md5_composition")
+
+
+@query(
+    """with w as (select allele % 3 as grp, allele as map_no, cycle_id, list_slice(tokens, 1, 2) as walk, cnt as height from v_cycles)
+select grp, map_no, cycle_id, height, walk from (select *, row_number() over (partition by grp, walk order by height, map_no * 1000000 + cycle_id) as r from w) where r = 1""",
+    "v_cycles",
+)
+def f14_dedup_walks(spark, d):
+    w = V.v_cycles(spark, d).selectExpr("allele % 3 as grp", "allele as first", "cycle_id", "allele * 1000000 + cycle_id as map_no", "slice(tokens, 1, 2) as walk", "cnt as height")
+    return cycles.dedup_walks(w, ["grp"]).selectExpr("grp", "first as map_no", "cycle_id", "height", "walk")
+
+
+@query(
+    """with t as (select *, array_to_string(tokens, ';') || ';' as t from v_cycles)
+select allele, cycle_id from t where (regexp_matches(t, '(^|;)H2[+-];H1[+];') or regexp_matches(t, '(^|;)H1[-];H2[+-];')) and (regexp_matches(t, '(^|;)V1[+-];'))""",
+    "v_cycles",
+)
+def f15_require_motifs(spark, d):
+    motifs = spark.createDataFrame([("H2,H1+",), ("V1",)], "motif string")
+    w = V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk"))
+    return cycles.require_motifs(w, motifs, ["allele", "cycle_id"]).select("allele", "cycle_id")
+
+
+@query(
+    f"""with {TOKS}, s as (select a.allele, a.cycle_id, a.ord + 1 as i, b.ord - 1 as j from cs a join cs b on a.allele = b.allele and a.cycle_id = b.cycle_id and a.seg = b.seg and a.orit <> b.orit and b.ord >= a.ord + 3)
+select s.allele, s.cycle_id, i::bigint as i, j::bigint as j, list_concat(list_concat(list_slice(tokens, 1, i), list_transform(list_reverse(list_slice(tokens, i + 1, j + 1)), lambda x: {FLIP})), list_slice(tokens, j + 2, len(tokens))) as variant
+from s join v_cycles c on c.allele = s.allele and c.cycle_id = s.cycle_id""",
+    "v_cycles",
+)
+def f16_inversion_variants(spark, d):
+    w = V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk"))
+    out = cycles.inversion_variants(w, ["allele", "cycle_id"])
+    return out.select("allele", "cycle_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "variant")
+
+
+@query("select allele, cycle_id from v_cycles where allele in (select o_orderkey from orders where o_orderkey % 2 = 0) and allele not in (select o_orderkey from orders where o_orderkey % 3 = 0)", "v_cycles")
+def f17_select_solutions(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("allele"))
+    return cycles.select_solutions(V.v_cycles(spark, d).select("allele", "cycle_id"), o.where("allele % 2 = 0"), o.where("allele % 3 = 0"), "allele")
+
+
+@query(
+    """with a as (select 's' as sample, c_nationkey as group_id, o_custkey as solution, o_orderkey as allele, (o_totalprice > 5000)::int as n from orders join customer on o_custkey = c_custkey),
+s as (select sample, group_id, solution, bool_and(n > 0) as valid from a group by all)
+select *, bool_or(valid) over (partition by sample, group_id) as group_valid from s"""
+)
+def f18_propagate_validity(spark, d):
+    o, c = V.table(spark, d, "orders"), V.table(spark, d, "customer")
+    a = o.join(c, o["o_custkey"] == c["c_custkey"]).selectExpr("'s' as sample", "c_nationkey as group_id", "o_custkey as solution", "o_orderkey as allele", "cast(o_totalprice > 5000 as int) as n_walks")
+    return cycles.propagate_validity(a)
+
+
+@query(f"with {TOKS}, e as (select allele, seg, sum(cnt) as expected from cs group by all) select allele, e.seg, expected::bigint as expected, (v.ed - v.st)::double / 20 as cn, (expected - (v.ed - v.st)::double / 20) / ((v.ed - v.st)::double / 20) as residual from e join v_seg v on v.seg = e.seg", "v_cycles v_seg")
+def f19_solution_accounting(spark, d):
+    return cycles.solution_accounting(V.v_cycles(spark, d), V.v_seg(spark).selectExpr("seg", "cast(ed - st as double) / 20 as cn"), ["allele"])
+
+
+@query("select allele, string_agg(cycle_id || ':' || cnt, ',' order by cycle_id || ':' || cnt) as usage from v_cycles group by allele", "v_cycles")
+def f20_usage_strings(spark, d):
+    return cycles.usage_strings(V.v_cycles(spark, d), ["allele"])
+
+
+@query(
+    """with s as (select 's' || (s_suppkey % 4) as sample, case when s_suppkey % 10 = 0 then null else s_nationkey end as group_id, s_suppkey as seg from supplier)
+select sample, group_id, seg from s where group_id is not null union all select f.sample, g.group_id, f.seg from s f join (select distinct sample, group_id from s where group_id is not null) g on g.sample = f.sample where f.group_id is null"""
+)
+def f21_visible_segments(spark, d):
+    s = V.table(spark, d, "supplier").selectExpr("concat('s', s_suppkey % 4) as sample", "if(s_suppkey % 10 = 0, null, s_nationkey) as group_id", "s_suppkey as seg")
+    return cycles.visible_segments(s)
+
+
+# --- anchors and links -----------------------------------------------------------------------------------
+
+GSEG = f"""{SEGS}, gseg as (select sample, 1 as group_id, refseg, 'H' || seg_no as seg, seg_no, st, ed, case when seg_no = 1 then 'source' when ed = max(ed) over (partition by sample, refseg) then 'sink' end as role from segs)"""
+
+
+def grouped(spark, d):
+    s = segments.name_segments(cut(spark, d))
+    role = F.expr("case when seg_no = 1 then 'source' when ed = max(ed) over (partition by sample, refseg) then 'sink' end")
+    s = s.select("sample", F.lit(1).alias("group_id"), "refseg", "seg", "seg_no", "st", "ed", role.alias("role"))
+    return s.withColumn("is_end", F.col("role").isNotNull())
+
+
+INNER = "inn as (select *, (ed - st + 1) // 3 as unit, st + n * ((ed - st + 1) // 3) - 1 as pos from gseg, (values (1), (2)) k(n) where role is null and (ed - st + 1) // 3 > 0)"
+
+
+@query(f"with {GSEG}, {INNER} select sample, refseg, seg, n::bigint as nth, pos::bigint as pos from inn where pos - st >= 10 and ed - pos >= 10", "v_junc v_region")
+def g1_g3_inner_anchors(spark, d):
+    a = links.edge_filter(links.inner_anchors(grouped(spark, d), 2), 10)
+    return a.select("sample", "refseg", "seg", F.col("nth").cast("long").alias("nth"), "pos")
+
+
+@query(
+    f"""with {GSEG}, {INNER}, m as (select sample, greatest(floor(avg(unit))::bigint, 20) as u from inn group by sample)
+select g.sample, refseg, seg, role, (case when role = 'source' then ed - least(u, (ed - st + 1) // 2) else st + least(u, (ed - st + 1) // 2) end)::bigint as pos from gseg g join m using (sample) where role is not null""",
+    "v_junc v_region",
+)
+def g2_terminal_anchors(spark, d):
+    s = grouped(spark, d)
+    return links.terminal_anchors(s, links.inner_anchors(s, 2), 20).select("sample", "refseg", "seg", "role", "pos")
+
+
+ANCHORS = "anc as (select 'a' || p_partkey as anchor, 'S' || (p_partkey % 5) as refseg, p_partkey as pos from part where p_partkey % 10 = 0)"
+
+
+@query(f"with {ANCHORS} select distinct anchor, molecule as marker from anc join v_reads r on r.refseg = anc.refseg and pos between st and ed", "v_reads")
+def g4_anchor_markers(spark, d):
+    a = V.table(spark, d, "part").where("p_partkey % 10 = 0").selectExpr("concat('a', p_partkey) as anchor", "concat('S', p_partkey % 5) as refseg", "p_partkey as pos")
+    return links.anchor_markers(a, V.v_reads(spark, d))
+
+
+SHARED = """names as (select distinct anchor from v_markers),
+got as (select a.anchor as anchor_a, b.anchor as anchor_b, count(*) as n from v_markers a join v_markers b on a.marker = b.marker and a.anchor < b.anchor group by all),
+shared as (select a.anchor as anchor_a, b.anchor as anchor_b, coalesce(n, 0)::bigint as links from names a join names b on a.anchor < b.anchor left join got g on g.anchor_a = a.anchor and g.anchor_b = b.anchor)"""
+
+
+@query(f"with {SHARED} select * from shared where right(anchor_a, 1) <> right(anchor_b, 1) or anchor_a is null", "v_markers")
+def g5_shared_marker_links(spark, d):
+    m = V.v_markers(spark, d)
+    return links.shared_marker_links(m, m.select("anchor").distinct().withColumn("seg", F.right("anchor", F.lit(1))))
+
+
+@query(
+    f"""with {SHARED}, b as (select * from shared union all select anchor_b, anchor_a, links from shared)
+select anchor_a as anchor, max(links) filter (where anchor_b = 'Brand#11') as b11, max(links) filter (where anchor_b = 'Brand#23') as b23, max(links) filter (where anchor_b = 'Brand#55') as b55 from b group by anchor_a""",
+    "v_markers",
+)
+def g6_pair_matrix(spark, d):
+    m = links.pair_matrix(links.shared_marker_links(V.v_markers(spark, d)), ["Brand#11", "Brand#23", "Brand#55"])
+    return m.select("anchor", F.col("`Brand#11`").alias("b11"), F.col("`Brand#23`").alias("b23"), F.col("`Brand#55`").alias("b55"))
+
+
+PAIRG = """pr as (select o_orderkey as id, 'n' || (o_orderkey % 37) as anchor_a, 'n' || (o_custkey % 41) as anchor_b from orders),
+gr as (select 'n' || n_nationkey as anchor, n_regionkey as group_id from nation where n_nationkey % 4 <> 0)"""
+
+
+@query(
+    f"""with {PAIRG} select id, case when anchor_a < anchor_b then anchor_a || ';' || anchor_b else anchor_b || ';' || anchor_a end as pair_id,
+  case when a.group_id = b.group_id or a.group_id is null or b.group_id is null then coalesce(a.group_id, b.group_id) end as group_id,
+  case when coalesce(a.group_id, b.group_id) is null then 'no group' when a.group_id <> b.group_id then 'conflict' end as problem
+from pr left join gr a on a.anchor = anchor_a left join gr b on b.anchor = anchor_b"""
+)
+def g7_g8_pair_groups(spark, d):
+    pairs = V.table(spark, d, "orders").selectExpr("o_orderkey as id", "concat('n', o_orderkey % 37) as anchor_a", "concat('n', o_custkey % 41) as anchor_b")
+    groups = V.table(spark, d, "nation").where("n_nationkey % 4 <> 0").selectExpr("concat('n', n_nationkey) as anchor", "n_regionkey as group_id")
+    out = links.pair_groups(pairs, groups)
+    return out.select("id", links.pair_key(F.col("anchor_a"), F.col("anchor_b")).alias("pair_id"), "group_id", "problem")
+
+
+PLACES = f"""{TOKS}, off as (select cs.allele, cs.cycle_id, ord, token, cs.seg, orit, v.ed - v.st + 1 as len, coalesce(sum(v.ed - v.st + 1) over (partition by allele, cycle_id order by ord rows between unbounded preceding and 1 preceding), 0) as before,
+  lead(token) over (partition by allele, cycle_id order by ord) as nxt from cs join v_seg v on v.seg = cs.seg),
+pa(anchor, seg, to5, to3) as (values ('P1', 'H2', 50::bigint, 99::bigint), ('P2', 'V1', 30, 49)),
+ja(anchor, pair) as (values ('JUNC1', 'H2+,H1+'), ('JUNC1', 'H1-,H2-'), ('JUNC2', 'H1+,H3-'), ('JUNC2', 'H3+,H1-')),
+places as (select allele, cycle_id, anchor, (before + case when orit = '+' then to5 else to3 end)::bigint as "at" from off join pa using (seg)
+  union all select allele, cycle_id, anchor, (before + len)::bigint from off join ja on ja.pair = token || ',' || nxt),
+pairs(anchor_a, anchor_b) as (values ('JUNC1', 'P1'), ('JUNC1', 'P2'), ('P1', 'P2'), ('JUNC2', 'P1'))"""
+
+
+def offsets(spark, d):
+    return links.walk_offsets(V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk")), V.v_seg(spark), ["allele", "cycle_id"])
+
+
+def places(spark, d):
+    pos = spark.createDataFrame([("P1", "H2", 50, 99), ("P2", "V1", 30, 49)], "anchor string, seg string, to5 long, to3 long")
+    junc = spark.createDataFrame([("JUNC1", "H2+,H1+"), ("JUNC2", "H1+,H3-")], "anchor string, link string")
+    return links.anchor_positions(offsets(spark, d), pos, junc, ["allele", "cycle_id"])
+
+
+def anchor_pairs(spark):
+    return spark.createDataFrame([("JUNC1", "P1"), ("JUNC1", "P2"), ("P1", "P2"), ("JUNC2", "P1")], "anchor_a string, anchor_b string")
+
+
+@query(f'with {PLACES} select allele, cycle_id, anchor, "at" from places', "v_cycles v_seg")
+def g9_anchor_positions(spark, d):
+    return places(spark, d)
+
+
+@query(f'with {PLACES} select a.allele, a.cycle_id, anchor_a, anchor_b, min(abs(a."at" - b."at"))::bigint as distance from pairs p join places a on a.anchor = anchor_a join places b on b.anchor = anchor_b and b.allele = a.allele and b.cycle_id = a.cycle_id group by all', "v_cycles v_seg")
+def g10_anchor_distance(spark, d):
+    return links.anchor_distances(places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"])
+
+
+MOLS = "mols as (select user_id // 5 as allele, user_id as cycle_id, event_id as mol, (event_id % 700)::bigint as st, (event_id % 700 + 200 + event_id % 300)::bigint as ed, 0.25 * (event_id % 4 + 1) as covr from events)"
+
+
+def molecules(spark, d):
+    return V.table(spark, d, "events").selectExpr("user_id div 5 as allele", "user_id as cycle_id", "event_id as mol", "event_id % 700 as st", "event_id % 700 + 200 + event_id % 300 as ed", "cast(0.25 * (event_id % 4 + 1) as double) as covr")
+
+
+def _co(biend: str) -> str:
+    return f"""with {PLACES}, {MOLS}, hit as (select p.allele, p.cycle_id, anchor, "at", mol, m.st, m.ed, covr from places p join mols m on m.allele = p.allele and m.cycle_id = p.cycle_id and "at" between m.st and m.ed),
+got as (select a.allele, a.cycle_id, anchor_a, anchor_b, sum(a.covr) as n from pairs p join hit a on a.anchor = anchor_a join hit b on b.anchor = anchor_b and b.allele = a.allele and b.cycle_id = a.cycle_id and b.mol = a.mol {biend} group by all)
+select k.allele, k.cycle_id, p.anchor_a, p.anchor_b, coalesce(n, 0)::double as links from (select distinct allele, cycle_id from places) k cross join pairs p left join got g on g.allele = k.allele and g.cycle_id = k.cycle_id and g.anchor_a = p.anchor_a and g.anchor_b = p.anchor_b"""
+
+
+@query(_co(""), "v_cycles v_seg")
+def g11_co_coverage(spark, d):
+    return links.co_coverage(molecules(spark, d), places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"])
+
+
+@query(_co("where least(a.at, b.at) - a.st <= 150 and a.ed - greatest(a.at, b.at) <= 150"), "v_cycles v_seg")
+def g11_co_coverage_biend(spark, d):
+    return links.co_coverage(molecules(spark, d), places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"], True, 150)
+
+
+# --- distributions ---------------------------------------------------------------------------------------
+
+LEN = "lens as (select l_suppkey % 7 as key, l_quantity::bigint * 100 as len, count(*)::bigint as cnt from lineitem group by all)"
+ECDF = f"{LEN}, cdf as (select key, len, cnt, round(sum(cnt) over (partition by key order by len) / sum(cnt) over (partition by key), 6) as prob from lens)"
+
+
+def lengths(spark, d):
+    return V.table(spark, d, "lineitem").selectExpr("l_suppkey % 7 as key", "cast(l_quantity as bigint) * 100 as len").groupBy("key", "len").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"with {ECDF} select key, len, cnt, prob::double as prob from cdf")
+def g12_ecdf(spark, d):
+    return distributions.ecdf(lengths(spark, d), ["key"])
+
+
+@query(
+    """with r as (select l_suppkey % 7 as key, l_quantity::bigint as len, round(l_discount, 2) as ratio, count(*) as cnt from lineitem group by all)
+select key, len, ratio, floor(cnt * least(sum(cnt) over (partition by key, len), 100) / sum(cnt) over (partition by key, len))::bigint as weight from r"""
+)
+def g13_ratio_profile(spark, d):
+    r = V.table(spark, d, "lineitem").selectExpr("l_suppkey % 7 as key", "cast(l_quantity as bigint) as len", "round(l_discount, 2) as ratio").groupBy("key", "len", "ratio").agg(F.count(F.lit(1)).alias("cnt"))
+    return distributions.ratio_profile(r, ["key"])
+
+
+@query(
+    f"""with {ECDF}, have as (select key, floor(prob * 200 + 1e-9)::bigint as bin, min(len) as len from cdf group by all),
+grid as (select key, i::bigint as bin from (select distinct key from cdf), range(201) t(i))
+select g.key, g.bin, coalesce((select arg_max(len, h.bin) from have h where h.key = g.key and h.bin <= g.bin), (select arg_min(len, h.bin) from have h where h.key = g.key)) as len from grid g"""
+)
+def g14_quantile_grid(spark, d):
+    return distributions.quantile_grid(distributions.ecdf(lengths(spark, d), ["key"]), ["key"], 200)
+
+
+SPANS = "spans as (select distinct o_orderkey % 8 as key, (o_custkey * 7) % 6000 + 1 as lo, (o_custkey * 7) % 6000 + 1 + o_orderkey % 900 as hi from orders)"
+
+
+def spans(spark, d):
+    return V.table(spark, d, "orders").selectExpr("o_orderkey % 8 as key", "(o_custkey * 7) % 6000 + 1 as lo", "(o_custkey * 7) % 6000 + 1 + o_orderkey % 900 as hi").distinct()
+
+
+@query(
+    f"""with {ECDF}, {SPANS}, q as (select distinct key, lo as q from spans where key < 7)
+select q.key, q.q, arg_min(c.len, (abs(c.len - q.q), c.len)) as len, arg_min(c.cnt, (abs(c.len - q.q), c.len)) as cnt from q join cdf c on c.key = q.key group by all"""
+)
+def g15_nearest_key(spark, d):
+    return distributions.nearest_length(spans(spark, d).where("key < 7").select("key", F.col("lo").alias("q")).distinct(), lengths(spark, d), ["key"], "cnt")
+
+
+@query(
+    f"""with {ECDF}, {SPANS}
+select s.key, lo, hi, round(case when s.key in (select key from cdf) then coalesce((select arg_min(prob, len) from cdf c where c.key = s.key and c.len >= s.hi), 1) - coalesce((select arg_max(prob, len) from cdf c where c.key = s.key and c.len <= s.lo), 0)
+  else 1000.0 / lo end, 6)::double as mass from spans s"""
+)
+def g16_mass_between(spark, d):
+    out = distributions.mass_between(spans(spark, d), distributions.ecdf(lengths(spark, d), ["key"]), ["key"])
+    return out.select("key", "lo", "hi", F.round("mass", 6).alias("mass"))
+
+
+# --- ranking ---------------------------------------------------------------------------------------------
+
+WALKS = """wk as (select distinct 's' as sample, 1 as group_id, o_custkey as solution, o_orderkey % 3 as allele, o_orderkey % 4 as map_no from orders),
+dig as (select *, row_number() over (partition by sample, group_id, solution, allele order by map_no) - 1 as digit from wk),
+per as (select sample, group_id, solution, allele, count(*) as n from wk group by all),
+st as (select *, coalesce((select product(b.n) from per b where b.solution = a.solution and b.allele < a.allele), 1)::bigint as stride from per a),
+tot as (select sample, group_id, solution, max(stride * n)::bigint as total from st group by all),
+co as (select sample, group_id, solution, unnest(range(total)) as combo from tot),
+pick as (select c.sample, c.group_id, c.solution, c.combo::bigint as combo, d.allele, d.map_no from co c join st s on s.solution = c.solution join dig d on d.solution = s.solution and d.allele = s.allele and d.digit = (c.combo // s.stride) % s.n)"""
+
+
+def solution_walks(spark, d):
+    return V.table(spark, d, "orders").selectExpr("'s' as sample", "1 as group_id", "o_custkey as solution", "o_orderkey % 3 as allele", "o_orderkey % 4 as map_no").distinct()
+
+
+@query(f"with {WALKS} select * from pick")
+def g17_walk_combinations(spark, d):
+    return ranking.walk_combinations(solution_walks(spark, d)).select("sample", "group_id", "solution", "combo", "allele", "map_no")
+
+
+WEIGHTS = f"""{WALKS}, al as (select *, (1000 + map_no * 250 + solution % 100) as length, allele + 1 as cn from wk),
+fst as (select sample, group_id, solution, allele, arg_min(length * cn, map_no) as v from al group by all),
+tt as (select solution, sum(v) as total from fst group by all),
+wt as (select p.*, (length * cn)::double / total as weight from pick p join al using (sample, group_id, solution, allele, map_no) join tt using (solution)),
+lk as (select w.sample, w.group_id, w.solution, w.allele, w.map_no, 'p' || i as pair_id, ((w.solution * 13 + w.allele * 7 + w.map_no * 5 + i * 11) % 50)::double + 0.7310585 as links from wk w, range(4) t(i)),
+ex as (select sample, group_id, solution, combo, pair_id, round(sum(round(links * weight, 2)), 2) as expected from wt join lk using (sample, group_id, solution, allele, map_no) group by all)"""
+
+
+def weighted(spark, d):
+    w = solution_walks(spark, d)
+    alleles = w.selectExpr("*", "1000 + map_no * 250 + solution % 100 as length", "allele + 1 as cn")
+    return ranking.combination_weights(ranking.walk_combinations(w), alleles)
+
+
+def expected(spark, d):
+    pair = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
+    lk = solution_walks(spark, d).select("*", pair).selectExpr("sample", "group_id", "solution", "allele", "map_no", "concat('p', i) as pair_id", "cast((solution * 13 + allele * 7 + map_no * 5 + i * 11) % 50 as double) + 0.7310585D as links")
+    return ranking.expected_links(weighted(spark, d), lk)
+
+
+@query(f"with {WEIGHTS} select sample, group_id, solution, combo, allele, map_no, round(weight, 9) as weight from wt")
+def g18_combination_weights(spark, d):
+    return weighted(spark, d).select("sample", "group_id", "solution", "combo", "allele", "map_no", F.round("weight", 9).alias("weight"))
+
+
+@query(f"with {WEIGHTS} select sample, group_id, solution, combo, pair_id, expected from ex")
+def g19_expected_links(spark, d):
+    return expected(spark, d)
+
+
+@query("select key, count(*)::bigint as n, round(corr(a, b), 9) as corr from v_pairs group by key", "v_pairs")
+def g20_pearson(spark, d):
+    return ranking.correlation(V.v_pairs(spark, d), ["key"])
+
+
+@query(
+    """with r as (select key, rank() over (partition by key order by a) + (count(*) over (partition by key, a) - 1) / 2.0 as a, rank() over (partition by key order by b) + (count(*) over (partition by key, b) - 1) / 2.0 as b from v_pairs)
+select key, count(*)::bigint as n, round(corr(a, b), 9) as corr from r group by key""",
+    "v_pairs",
+)
+def g20_spearman(spark, d):
+    return ranking.correlation(V.v_pairs(spark, d), ["key"], method="spearman")
+
+
+@query(
+    """with c as (select o_custkey as solution, o_orderkey as combo, case when o_orderkey % 6 = 0 then null else o_orderkey % 5 end as corr from orders)
+select *, row_number() over (partition by solution order by corr desc nulls last, combo)::bigint as place from c"""
+)
+def g21_rank_combinations(spark, d):
+    c = V.table(spark, d, "orders").selectExpr("o_custkey as solution", "o_orderkey as combo", "if(o_orderkey % 6 = 0, null, o_orderkey % 5) as corr")
+    return ranking.rank_combinations(c, ["solution"]).withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def solution_ranking(spark, d):
+    """G17-G21 in a row: combinations ranked by the correlation of expected with observed links."""
+    e = expected(spark, d).withColumn("observed", F.expr("cast((solution * 17 + cast(substring(pair_id, 2) as int) * 29) % 60 as double)"))
+    keys = ["sample", "group_id", "solution"]
+    scored = ranking.correlation(e, [*keys, "combo"], "expected", "observed")
+    return ranking.rank_combinations(scored, keys).select(*keys, "combo", "corr", F.col("place").cast("long").alias("place"))
+
+
+# --- sources and sinks: what a writer leaves is what the reader gives back ---------------------------------
+
+def _text(df: DataFrame, column: str, name: str) -> str:
+    path = scratch(df.sparkSession, name)
+    df.select(F.col(column).alias("value")).write.text(path)
+    return path
+
+
+@query("select refseg, pos, sum(depth)::double as depth from v_depth where refseg <> 'S3' group by all", "v_depth")
+def a1_read_depth(spark, d):
+    wide = V.v_depth(spark, d).groupBy("refseg", "pos").pivot("tissue", ["case", "ctrl"]).agg(F.sum("depth"))
+    row = F.concat_ws(" ", "refseg", F.col("pos").cast("string"), *[F.coalesce(F.col(c), F.lit(0.0)).cast("string") for c in ("case", "ctrl")])
+    return readers.read_depth(spark, _text(wide.select(row.alias("t")), "t", "depth")).where("refseg <> 'S3'")
+
+
+@query("select junc_no, refseg_5p, bkpos_5p, strd_5p, refseg_3p, bkpos_3p, strd_3p, jr_count, ncpr::double as ncpr from v_junc", "v_junc")
+def a2_read_junctions(spark, d):
+    path = scratch(spark, "junctions")
+    V.v_junc(spark, d).select("junc_no", "refseg_5p", "bkpos_5p", "strd_5p", "refseg_3p", "bkpos_3p", "strd_3p", "jr_count", F.expr("nullif(ncpr, 0)").alias("ncpr")).write.csv(path, sep="\t", compression="gzip")
+    return readers.read_junctions(spark, path)
+
+
+@query("select 'V' || p_partkey as seg, p_brand as refseg, p_partkey as st, p_partkey + p_size as ed, p_retailprice as depth from part")
+def a3_read_feature_segments(spark, d):
+    path = scratch(spark, "features")
+    V.table(spark, d, "part").selectExpr("concat('V', p_partkey) as seg", "p_brand as refseg", "p_partkey as st", "p_partkey + p_size as ed", "p_retailprice as depth").write.csv(path, sep="\t")
+    return readers.read_feature_segments(spark, path)
+
+
+@query("select refseg, st, ed, res from v_resol", "v_resol")
+def a4_read_resolution(spark, d):
+    path = scratch(spark, "resolution")
+    V.v_resol(spark, d).write.csv(path, sep="\t")
+    return readers.read_resolution(spark, path)
+
+
+def config(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged text from the tables, read again."""
+    part = V.table(spark, d, "part")
+    seg = part.selectExpr("concat('@', if(p_partkey % 10 = 0, 'V', 'H'), 'SEG\tID=', if(p_partkey % 10 = 0, 'V', 'H'), p_partkey, if(p_partkey % 10 = 0, '', concat(';GROUP=', p_size)), ';INTERVAL=', p_brand, ':', p_partkey, '-', p_partkey + p_size, ';CN_ALT=', if(p_partkey % 7 = 0, 'N/A', cast(p_size as string)), ';LP_OFFSET%=', p_size, ';') as t")
+    junc = part.selectExpr("concat('@JUNC\tID=JUNC', p_partkey, ';SEGLINK=', if(p_partkey % 10 = 0, 'V', 'H'), p_partkey, '+,', if((p_partkey + 3) % 10 = 0, 'V', 'H'), p_partkey + 3, '-;CN_ALT=', p_size) as t")
+    cyc = V.v_cycles(spark, d).selectExpr("concat('@UCYC\tID=U', allele, '_', cycle_id, ';SEGSTR=', array_join(tokens, ','), ',', tokens[0]) as t")
+    sol = V.v_cycles(spark, d).groupBy("allele").agg(cycles.usage(F.collect_list(F.struct(F.col("cycle_id").alias("id"), F.col("cnt").alias("n")))).alias("u"))
+    sol = sol.selectExpr("concat('SOLUTION\tNO=', allele, ';GROUP=1;SOLUTION_UCYC=', u, ';ALLELE_NO=1;ALLELE_CN=2;ALLELE_UCYC=', u, ';ALLELE_FVGM_UCYC=N/A') as t")
+    doc = spark.range(1).selectExpr("'@DOC\tSAMPLE_ID=s1' as t").unionByName(spark.range(1).selectExpr("'# a comment\twith a tab' as t"))
+    lines = doc.unionByName(seg).unionByName(junc).unionByName(cyc).unionByName(sol)
+    return readers.read_tagged_config(spark, _text(lines, "t", "config")).drop("file").withColumn("file", F.lit("f"))
+
+
+CSEG = """cseg as (select case when p_partkey % 10 = 0 then 'V' else 'H' end || p_partkey as seg, case when p_partkey % 10 = 0 then null else p_size end as group_id, p_brand as refseg, p_partkey as st, p_partkey + p_size as ed,
+ case when p_partkey % 7 = 0 then null else p_size::double end as cn_alt, p_size::double as lp_offset_pct from part)"""
+
+
+@query("select 's1' as sample_id from range(1)")
+def a5a_config_documents(spark, d):
+    return readers.config_documents(config(spark, d)).select("sample_id")
+
+
+@query(f"with {CSEG} select *, (ed - st + 1)::bigint as length from cseg")
+def a5b_config_segments(spark, d):
+    return readers.config_segments(config(spark, d)).select("seg", "group_id", "refseg", "st", "ed", "cn_alt", "lp_offset_pct", "length")
+
+
+@query(
+    f"""with {CSEG}, j as (select p_partkey as k, case when p_partkey % 10 = 0 then 'V' else 'H' end || p_partkey as seg5, case when (p_partkey + 3) % 10 = 0 then 'V' else 'H' end || (p_partkey + 3) as seg3 from part)
+select 'JUNC' || k as junc_id, seg5, seg3, seg5 || '+,' || seg3 || '-' as link, seg3 || '+,' || seg5 || '-' as link_rc, coalesce(a.group_id, b.group_id) as group_id from j left join cseg a on a.seg = seg5 left join cseg b on b.seg = seg3"""
+)
+def a5c_config_junctions(spark, d):
+    c = config(spark, d)
+    return readers.config_junctions(c, readers.config_segments(c)).select("junc_id", "seg5", "seg3", "link", "link_rc", "group_id")
+
+
+@query("select 'U' || allele || '_' || cycle_id as cycle_id, tokens from v_cycles", "v_cycles")
+def a5d_config_cycles(spark, d):
+    return readers.config_cycles(config(spark, d)).select("cycle_id", "tokens")
+
+
+@query("select allele::int as solution, cycle_id::varchar as id, cnt from v_cycles", "v_cycles")
+def a5e_a6_config_solutions(spark, d):
+    return readers.explode_counts(readers.config_solutions(config(spark, d)), "allele_cycles", ["solution"])
+
+
+@query("select l_quantity::bigint as len, least(1, round(l_discount * 20, 2))::double as ratio, count(*)::bigint as cnt from lineitem group by all")
+def a7_read_length_distribution(spark, d):
+    r = V.table(spark, d, "lineitem").selectExpr("cast(l_quantity as bigint) as len", "round(l_discount * 20, 2) as ratio").groupBy("len", "ratio").agg(F.count(F.lit(1)).alias("n"))
+    line = r.groupBy("len").agg(F.sum("n").alias("n"), F.array_join(F.collect_list(F.concat("ratio", F.lit("("), "n", F.lit(")"))), ",").alias("l"))
+    path = _text(line.select(F.concat_ws("\t", F.col("len").cast("string"), F.col("n").cast("string"), "l").alias("t")), "t", "lengths")
+    return readers.read_length_distribution(spark, path).select("len", "ratio", "cnt")
+
+
+PLINK = """pl as (select 'JUNC' || o_orderkey as anchor_a, case when o_custkey % 9 = 0 then '?' || o_custkey else 'H' || (o_custkey % 50) || ',chr2:' || o_custkey end as anchor_b, o_orderkey % 17 as links from orders)"""
+
+
+@query(f"with {PLINK} select anchor_a, 'JUNC' as type_a, anchor_b, case when anchor_b like 'H%' then 'POS' end as type_b, links from pl")
+def a8_b4_pair_links(spark, d):
+    path = scratch(spark, "pairs")
+    p = V.table(spark, d, "orders").selectExpr("concat('JUNC', o_orderkey) as anchor_a", "if(o_custkey % 9 = 0, concat('?', o_custkey), concat('H', o_custkey % 50, ',chr2:', o_custkey)) as anchor_b", "o_orderkey % 17 as links")
+    writers.write_pair_links(p, path)
+    return readers.read_pair_links(spark, path)
+
+
+@query("select p_brand as anchor, l_orderkey::varchar as marker, count(*)::bigint as n from lineitem join part on l_partkey = p_partkey group by all")
+def a9_read_marker_lists(spark, d):
+    line, part = V.table(spark, d, "lineitem"), V.table(spark, d, "part")
+    m = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy("p_brand", F.expr("l_orderkey div 100").alias("g")).agg(F.array_join(F.collect_list(F.col("l_orderkey").cast("string")), ",").alias("l"))
+    path = _text(m.select(F.concat("p_brand", F.lit("\t"), F.regexp_replace("l", "1,", "1;")).alias("t")), "t", "markers")
+    return readers.read_marker_lists(spark, path)
+
+
+@query("select refseg, gene, tid, st, ed from v_track where refseg in ('S1', 'S2') and st <= 120 and ed >= 40", "v_track")
+def a10_read_track(spark, d):
+    path = scratch(spark, "track")
+    writers.write_track(V.v_track(spark, d), path)
+    region = V.v_region(spark, d).where("refseg in ('S1', 'S2')").selectExpr("refseg", "40L as st", "120L as ed")
+    return readers.read_track(spark, path, region).select("refseg", "gene", "tid", "st", "ed")
+
+
+_SQL["a10_read_track"] = duck("v_track", "select distinct refseg, gene, tid, st, ed from v_track where refseg in ('S1', 'S2') and st <= 120 and ed >= 40")
+
+
+@query(
+    """with s as (select 's' || s_nationkey as sample, s_suppkey as seg_no, 'H' || s_suppkey as seg, s_acctbal as depth from supplier)
+select sample, 1 as section, seg_no as ord, 'SEG' || chr(9) || 'ID=' || seg || ';INTERVAL=S0:' || seg_no || '-' || (seg_no + 9) || ';DEPTH=' || coalesce((seg_no % 5)::varchar, 'N/A') || ';CN=' || case when seg_no % 3 = 0 then 'N/A' else (seg_no % 4)::varchar end as line from s
+union all select distinct sample, 0, u.i, u.t from s, lateral (select unnest(['SAMPLE' || chr(9) || sample, 'PLOIDY' || chr(9) || '2m0', 'SOURCE' || chr(9) || 'H1', 'SINK' || chr(9) || '_please_fix_me_', 'FVGM' || chr(9) || '_please_fix_me_']) as t, unnest(range(5)) as i) u
+union all select sample, 2, seg_no, 'JUNC' || chr(9) || 'ID=JUNC' || seg_no || ';SEGLINK=H1+,' || seg || '-;READS=' || (seg_no * 2) || ';PURE=' || seg_no || ';CN=N/A' from s"""
+)
+def b1_cn_table_lines(spark, d):
+    s = V.table(spark, d, "supplier").selectExpr("concat('s', s_nationkey) as sample", "s_suppkey as seg_no", "concat('H', s_suppkey) as seg", "'S0' as refseg", "s_suppkey as st", "s_suppkey + 9 as ed", "s_suppkey % 5 as depth", "if(s_suppkey % 3 = 0, null, s_suppkey % 4) as cn")
+    j = s.selectExpr("sample", "seg_no as junc_no", "concat('H1+,', seg, '-') as link", "seg_no * 2 as jr_count", "seg_no as pure", "cast(null as double) as cn")
+    facts = s.select("sample").distinct().selectExpr("sample", "'2m0' as ploidy", "'H1' as source", "cast(null as string) as sink", "cast(null as string) as chain")
+    return writers.cn_lines(s, j, facts)
+
+
+@query(f"select allele, 'LOCALMAP' || chr(9) || 'NO=1;TOKENS=' || len(tokens) || ';STRUCTURE=' || array_to_string(tokens, ' ') as line from v_cycles where cycle_id = -1", "v_cycles")
+def b2_walk_lines(spark, d):
+    w = V.v_cycles(spark, d).where("cycle_id = -1").select("allele", F.lit(1).alias("map_no"), F.col("tokens").alias("walk"))
+    none = w.select("allele", "map_no", F.lit(None).cast("string").alias("text")).where("map_no = 0")
+    return writers.walk_lines(w, none, ["allele"]).select("allele", "line")
+
+
+@query(
+    """with c as (select o_custkey as solution, o_orderkey as combo, row_number() over (partition by o_custkey order by o_orderkey) as place from orders)
+select solution, combo, place::bigint as place, 0::bigint as ord, '#COMBO' || chr(9) || combo || chr(9) || case when combo % 2 = 0 then 'N/A' else (combo % 9)::varchar end as line from c
+union all select solution, combo, place, 1, 'a' || chr(9) || 'b' || chr(9) || (combo % 5) || chr(9) || (combo % 7) from c"""
+)
+def b3_rank_lines(spark, d):
+    c = V.table(spark, d, "orders").selectExpr("o_custkey as solution", "o_orderkey as combo", "cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint) as place", "if(o_orderkey % 2 = 0, null, o_orderkey % 9) as corr")
+    rows = c.selectExpr("solution", "combo", "'a' as anchor_a", "'b' as anchor_b", "combo % 5 as observed", "combo % 7 as expected")
+    return writers.rank_lines(c, rows, ["solution"])
+
+
+@query(_SQL["g6_pair_matrix"])
+def b5_pair_matrix(spark, d):
+    path = scratch(spark, "matrix")
+    writers.write_pair_matrix(g6_pair_matrix(spark, d), path)
+    return spark.read.csv(path, sep="\t", header=True, nullValue="-", schema="anchor string, b11 long, b23 long, b55 long")
+
+
+@query("select anchor, marker from v_markers", "v_markers")
+def b6_anchor_markers(spark, d):
+    path = scratch(spark, "anchor-markers")
+    writers.write_anchor_markers(V.v_markers(spark, d), path)
+    return spark.read.csv(path, sep="\t", schema="anchor string, marker long")
