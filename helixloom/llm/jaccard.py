@@ -124,6 +124,24 @@ def set_id(members: np.ndarray) -> int:
         return int(mix64(np.array([one]))[0].astype(np.int64))
 
 
+def parity_sketch(members: np.ndarray) -> bytes:
+    """Bits that say whether an odd number of members falls there, two bits or more a member. Each member that only one of
+    two sets has turns one bit, so sketches differ in no more places than the sets do."""
+    bits = 1 << max(6, int(2 * len(members) - 1).bit_length())
+    at = (members >> U(13) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Places in which two sketches differ, the longer one folded to the shorter."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        half = len(a) // 2
+        a = (int.from_bytes(a[:half], "big") ^ int.from_bytes(a[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+
+
 def signatures(sets: list[np.ndarray], level: Threshold) -> tuple[np.ndarray, np.ndarray]:
     """(signature, index of the set) of non-empty sets: subsets of light ones, blocks of those that can meet a heavy one."""
     limit = level.boundary()
@@ -168,8 +186,8 @@ def signatures(sets: list[np.ndarray], level: Threshold) -> tuple[np.ndarray, np
     return np.concatenate(sig), np.concatenate(own)
 
 
-PACKED = "bucket int, sigs binary, sids binary, doc_ids binary, sizes binary, none binary"
-FOUND = "doc_id long, n long, sid long, lid long, members array<long>"
+PACKED = "bucket int, sigs binary, sids binary, doc_ids binary, sizes binary, none binary, sketches array<binary>"
+FOUND = "doc_id long, n long, sid long, sketch binary, lid long, members array<long>"
 
 
 def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: int) -> DataFrame:
@@ -197,20 +215,24 @@ def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: in
                 parts = {}
                 owners = sids[np.array(fresh, dtype=np.int64)][own] if len(own) else np.zeros(0, dtype=np.int64)
                 for b, (x, y) in split_by((sig % width).astype(np.int64), sig, owners):
-                    parts[b] = [planes(x), planes(y), b"", b"", b""]
+                    parts[b] = [planes(x), planes(y), b"", b"", b"", []]
                 ids = np.array([d if d is not None else 0 for d in doc_ids[first:last]], dtype=np.int64)
                 none = np.array([d is None for d in doc_ids[first:last]], dtype=np.uint8)
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
                 at = (mix64(sids.view(np.uint64)) % width).astype(np.int64)
                 at = np.where(sizes == 0, np.arange(len(at)) % len(keys), at)
-                for b, (d, n, s, z) in split_by(at, ids, sizes, sids, none):
-                    p = parts.setdefault(b, [b"", b"", b"", b"", b""])
+                sent = set(fresh)
+                order = np.arange(len(sets))
+                for b, (d, n, s, z, o) in split_by(at, ids, sizes, sids, none, order):
+                    p = parts.setdefault(b, [b"", b"", b"", b"", b"", []])
                     p[2], p[3], p[4] = planes(d), planes(n) + planes(s), z.tobytes()
+                    p[5] = [parity_sketch(sets[i]) if i in sent else None for i in o.tolist()]
                 rows = sorted(parts.items())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([int(bucket_of[b]) for b, _ in rows], pa.int32())]
-                    + [pa.array([p[k] for _, p in rows], pa.binary()) for k in range(5)],
-                    names=["bucket", "sigs", "sids", "doc_ids", "sizes", "none"],
+                    + [pa.array([p[k] for _, p in rows], pa.binary()) for k in range(5)]
+                    + [pa.array([p[5] for _, p in rows], pa.list_(pa.binary()))],
+                    names=["bucket", "sigs", "sids", "doc_ids", "sizes", "none", "sketches"],
                 )
 
     return documents.mapInArrow(run, PACKED)
@@ -222,21 +244,22 @@ def _gather(packed: DataFrame, width: int) -> DataFrame:
     def run(batches):
         sigs, sids = [], []
         for batch in batches:
-            col = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sigs", "sids", "doc_ids", "sizes", "none")}
-            docs = []
+            col = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sigs", "sids", "doc_ids", "sizes", "none", "sketches")}
+            docs, sketches = [], []
             for i in range(batch.num_rows):
                 if col["sigs"][i]:
                     sigs.append(from_planes(col["sigs"][i], np.uint64))
                     sids.append(from_planes(col["sids"][i], np.int64))
                 if col["doc_ids"][i]:
                     both, half = col["sizes"][i], len(col["sizes"][i]) // 2
+                    sketches += col["sketches"][i]
                     docs.append((from_planes(col["doc_ids"][i], np.int64), from_planes(both[:half], np.int64), from_planes(both[half:], np.int64), np.frombuffer(col["none"][i], dtype=np.uint8)))
             if docs:
                 d, n, s, z = (np.concatenate([x[k] for x in docs]) for k in range(4))
                 nothing = pa.nulls(len(d), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, mask=z == 1), pa.array(n), pa.array(s, mask=n == 0), nothing, pa.nulls(len(d), pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sid", "lid", "members"],
+                    [pa.array(d, mask=z == 1), pa.array(n), pa.array(s, mask=n == 0), pa.array(sketches, pa.binary()), nothing, pa.nulls(len(d), pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "sid", "sketch", "lid", "members"],
                 )
         if not sigs:
             return
@@ -260,7 +283,8 @@ def _gather(packed: DataFrame, width: int) -> DataFrame:
             members = pa.array([sid[a[i] : b[i]] for i in part], pa.list_(pa.int64()))
             nothing = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing, nothing, nothing, pa.array(lid[part].view(np.int64)), members], names=["doc_id", "n", "sid", "lid", "members"]
+                [nothing, nothing, nothing, pa.nulls(len(part), pa.binary()), pa.array(lid[part].view(np.int64)), members],
+                names=["doc_id", "n", "sid", "sketch", "lid", "members"],
             )
 
     return packed.repartition(width, "bucket").mapInArrow(run, FOUND)
@@ -302,16 +326,16 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int =
     a component; rows that share a doc_id but not the text are linked by their texts alone. Extra columns are
     ignored; an empty table gives no rows.
 
-    Equal sets are one node (a 64-bit name), so copies cost nothing beyond their row. Lists are tested from
-    their pivot, the smallest member; only sets that are then still in different components, of sizes that can link, and
-    not kept apart by their distances to the pivot (Jaccard distance is a metric) are tested pair by pair.
+    Equal sets are one node (a 64-bit name), so copies cost nothing beyond their row. Lists are tested from their
+    pivot, the member with the most equal blocks. Sets of a list that are then still in different components are open: their
+    shingles are counted, and pairs that share one of their rarest shingles early enough are tested too.
     """
     spark = documents.sparkSession
     width = shuffle_width(spark)
     level = Threshold(num, den)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(_gather(_spread(docs, partition_keys(spark, width), level, shingle), width), "jaccard-lists")
-    rows = found.where("lid is null").select("doc_id", "n", "sid")
+    rows = found.where("lid is null").select("doc_id", "n", "sid", "sketch")
     lists = found.where("lid is not null").select("lid", "members")
     nodes = _link(spark, docs, rows, lists, shingle, num, den)
     named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("root"))
@@ -321,31 +345,153 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int =
     )
 
 
+def _near(pairs: DataFrame, owners: DataFrame, level: Threshold) -> DataFrame:
+    """The pairs (a, b) whose sketches differ in no more places than a linked pair can."""
+    left = owners.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    right = owners.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb, ka, kb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "na", "nb", "ka", "kb"))
+            keep = [sketch_distance(x, y) <= m + n - 2 * level.overlap(m, n) for x, y, m, n in zip(ka, kb, na, nb)]
+            yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    # the near side of a hot pivot stays out of the shuffle by b: sketches are joined to the pivots last
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
+
+
+def _texts(docs: DataFrame, owners: DataFrame, sids: DataFrame, name: str) -> DataFrame:
+    """(sid, text, n) of the named sets, from the document that owns each."""
+    wanted = stored(owners.select("sid", "doc_id", "n").join(sids.distinct(), "sid", "left_semi"), name + "-owners")
+    few = wanted.count() <= BROADCAST_OWNERS
+    return stored(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("sid", "text", "n"), name)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+
+
 def _link(spark: SparkSession, docs: DataFrame, rows: DataFrame, lists: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """(node, component) of all sets that have a link."""
-    members = lists.select("lid", F.array_min("members").alias("pivot"), F.explode("members").alias("sid"))
+    level = Threshold(num, den)
+    spread = lists.select("lid", F.explode("members").alias("sid"))
+    # the set with the most equal blocks is nearest to what its group has in common; it is the pivot of all its lists
+    weight = spread.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
+    members = spread.join(weight, "sid").select("lid", "sid", F.struct("w", "sid").alias("rank"))
+    pivots = members.groupBy("lid").agg(F.max("rank").alias("top")).select("lid", F.col("top.sid").alias("pivot"))
+    members = stored(members.select("lid", "sid").join(pivots, "lid"), "jaccard-members")
     stars = stored(members.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-stars")
-    ends = stars.select(F.col("a").alias("sid")).unionByName(stars.select(F.col("b").alias("sid"))).distinct()
-    owners = stored(rows.where("doc_id is not null").join(ends, "sid", "left_semi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")), "jaccard-owners")
-    few = owners.count() <= BROADCAST_OWNERS
-    texts = docs.join(F.broadcast(owners) if few else owners, "doc_id").select("sid", "text", "n")
-    texts = stored(texts, "jaccard-texts")
-    tested = stored(_test(stars, texts, shingle), "jaccard-tested")
+    owners = rows.where("doc_id is not null").join(_ends(stars).distinct(), "sid", "left_semi").groupBy("sid")
+    owners = stored(owners.agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-owners")
+    near = stored(_near(stars, owners, level), "jaccard-near")
     link = F.expr(f"{den} * shared >= {num} * (na + nb - shared)")
-    links = tested.where(link).select("a", "b")
+    texts = _texts(docs, owners, _ends(near), "jaccard-texts")
+    links = stored(_test(near, texts, shingle).where(link).select("a", "b"), "jaccard-links")
     parts = connected_components(links, "a", "b")
-    apart = F.expr("1 - shared / (na + nb - shared)")
-    gap = stars.join(tested.select("a", "b", apart.alias("far")), ["a", "b"]).select(F.col("a").alias("pivot"), F.col("b").alias("sid"), "far")
-    placed = members.join(parts, members["sid"] == parts["node"], "left").select("lid", "pivot", "sid", F.coalesce("component", "sid").alias("part"))
+    placed = members.join(parts, members["sid"] == parts["node"], "left").select("lid", "sid", F.coalesce("component", "sid").alias("part"))
     mixed = placed.groupBy("lid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("lid")
-    open_ = placed.join(mixed, "lid", "left_semi").join(gap, ["pivot", "sid"], "left").select("lid", "sid", "part", F.coalesce("far", F.lit(0.0)).alias("far"))
-    open_ = stored(open_.join(owners.select("sid", "n"), "sid"), "jaccard-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    limit = (den - num) / den + 1e-9
-    rest = x.join(y, F.expr("x.lid = y.lid")).where(
-        f"x.sid < y.sid and x.part <> y.part and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and abs(x.far - y.far) <= {limit} "
-        "and x.far > 0 and y.far > 0"
-    )
-    rest = stored(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "jaccard-rest")
-    more = stored(_test(rest, texts, shingle), "jaccard-more").where(link).select("a", "b")
+    open_ = stored(placed.join(mixed, "lid", "left_semi").select("sid", "part").distinct().join(owners.select("sid", "n"), "sid"), "jaccard-open")
+    texts = _texts(docs, owners, open_.select("sid"), "jaccard-open-texts")
+    rest = _prefix_pairs(spark, open_, texts, shingle, num, den)
+    seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = stored(_near(rest.join(seen, ["a", "b"], "left_anti"), owners, level), "jaccard-rest")
+    more = stored(_test(rest, texts, shingle).where(link).select("a", "b"), "jaccard-more")
     return connected_components(links.unionByName(more), "a", "b")
+
+
+def _prefix_pairs(spark: SparkSession, open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b): pairs of open sets in different components that may still link, by their rarest common shingle.
+
+    Shingles are put in order of their count over the open sets. The first common shingle of a linked pair stands so
+    early in both sets that the least overlap still fits behind it; shingles of one set only are counted, not posted.
+    Shingles are named by fewer bits here: that can add pairs to test, never lose one.
+    """
+    width = shuffle_width(spark)
+    keys = partition_keys(spark, width)
+
+    def post(batches):
+        roll = RollingHash(1 << 22)
+        for batch in batches:
+            sids, bodies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sid", "text"))
+            bodies = [t.encode() for t in bodies]
+            for first, last in text_chunks(bodies, 1 << 23):
+                sets = shingle_sets(bodies[first:last], roll, shingle)
+                token = np.concatenate(sets)
+                owner = np.repeat(np.array(sids[first:last], dtype=np.int64), [len(x) for x in sets])
+                rows = list(split_by((token % U(width)).astype(np.int64), (token >> U(32)).astype(np.uint32), owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _ in rows], pa.int32()), pa.array([keys[b] for b, _ in rows], pa.int32())]
+                    + [pa.array([planes(c[k]) for _, c in rows], pa.binary()) for k in range(2)],
+                    names=["no", "bucket", "tokens", "sids"],
+                )
+
+    def count(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for no, t, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                held.setdefault(no, []).append((from_planes(t, np.uint32), from_planes(s, np.int64)))
+        for no, parts in held.items():
+            token, sid = (np.concatenate([x[k] for x in parts]) for k in range(2))
+            _, inverse, many = np.unique(token, return_inverse=True, return_counts=True)
+            df = many[inverse]
+            keep = df >= 2
+            token, sid, df = token[keep], sid[keep], np.minimum(df[keep], 1 << 30).astype(np.uint32)
+            order = np.argsort(sid, kind="stable")
+            token, sid, df = token[order], sid[order], df[order]
+            rows = list(split_by((mix64(sid.view(np.uint64)) % U(width)).astype(np.int64), sid, token, df))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([no] * len(rows), pa.int32()), pa.array([keys[b] for b, _ in rows], pa.int32())]
+                + [pa.array([planes(c[k]) for _, c in rows], pa.binary()) for k in range(3)],
+                names=["no", "bucket", "sids", "tokens", "dfs"],
+            )
+
+    def prefix(batches):
+        parts = []
+        sizes: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            no, sids, tokens, dfs, sid, n, part = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("no", "sids", "tokens", "dfs", "sid", "n", "part"))
+            for k in range(batch.num_rows):
+                if sid[k] is not None:
+                    sizes[sid[k]] = (n[k], part[k])
+                else:
+                    t = from_planes(tokens[k], np.uint32).astype(np.int64) * width + no[k]
+                    parts.append((from_planes(sids[k], np.int64), t, from_planes(dfs[k], np.uint32)))
+        if not parts:
+            return
+        sid, token, df = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        order = np.lexsort((token, df, sid))
+        sid, token = sid[order], token[order]
+        at = np.flatnonzero(np.concatenate(([True], sid[1:] != sid[:-1], [True])))
+        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        n, part = (np.array([sizes[x][k] for x in sid[at[:-1]].tolist()], dtype=np.int64) for k in range(2))
+        rank = n[owner] - (at[1:][owner] - np.arange(len(sid)))
+        early = rank <= n[owner] - -(-num * n[owner] // den)
+        cols = sid[early], token[early], rank[early], n[owner][early], part[owner][early]
+        for lo in range(0, len(cols[0]), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 65536]) for c in cols], names=["sid", "token", "rank", "n", "part"])
+
+    posted = texts.select("sid", "text").mapInArrow(post, "no int, bucket int, tokens binary, sids binary")
+    counted = posted.repartition(width, "bucket").mapInArrow(count, "no int, bucket int, sids binary, tokens binary, dfs binary")
+
+    def deal(batches):
+        """Each open set goes to the task that gets its counts."""
+        for batch in batches:
+            sid = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.array(keys, dtype=np.int64)[(mix64(sid.view(np.uint64)) % U(width)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *batch.columns], names=["bucket", "sid", "n", "part"])
+
+    known = open_.select("sid", "n", "part").mapInArrow(deal, "bucket int, sid long, n long, part long")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("sids", "tokens", "dfs")]
+    known = known.select(F.lit(None).cast("int").alias("no"), "bucket", *nothing, "sid", "n", "part")
+    none = [F.lit(None).cast("long").alias(c) for c in ("sid", "n", "part")]
+    both = counted.select("*", *none).unionByName(known)
+    rare = stored(both.repartition(width, "bucket").mapInArrow(prefix, "sid long, token long, rank long, n long, part long"), "jaccard-prefixes")
+    shared = rare.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
+    rare = rare.join(shared, "token", "left_semi")
+    x, y = rare.alias("x"), rare.alias("y")
+    need = f"ceil({num} * (x.n + y.n) / {num + den})"
+    pairs = x.join(y, F.expr("x.token = y.token")).where(
+        f"x.sid < y.sid and x.part <> y.part and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
+        f"and x.rank <= x.n - {need} and y.rank <= y.n - {need}"
+    )
+    return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
