@@ -31,7 +31,7 @@ def tokens_long(cycles: DataFrame, keys: list[str], column: str = "tokens") -> D
 
 def cycle_stats(cycles: DataFrame, segments: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
     """keys, n_tokens, length, n_segments, first_seg, last_seg. Segments without a known length count 0."""
-    long = tokens_long(cycles, keys, column).join(F.broadcast(segments.selectExpr("seg", "ed - st + 1 as len")), "seg", "left")
+    long = tokens_long(cycles, keys, column).join(segments.selectExpr("seg", "ed - st + 1 as len"), "seg", "left")
     return long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum(F.coalesce("len", F.lit(0))).alias("length"), F.countDistinct("seg").alias("n_segments"),
         F.min_by("seg", "ord").alias("first_seg"), F.max_by("seg", "ord").alias("last_seg"),

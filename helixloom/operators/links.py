@@ -76,7 +76,7 @@ def pair_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 def walk_offsets(walks: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ord, token, seg, orit, len, before: each token with the length that stands before it on the walk."""
     long = walks.select(*keys, F.posexplode("walk").alias("ord", "token"))
-    long = long.select("*", segment_of(F.col("token")).alias("seg"), strand_of(F.col("token")).alias("orit")).join(F.broadcast(segments.selectExpr("seg", "ed - st + 1 as len")), "seg")
+    long = long.select("*", segment_of(F.col("token")).alias("seg"), strand_of(F.col("token")).alias("orit")).join(segments.selectExpr("seg", "ed - st + 1 as len"), "seg")
     w = Window.partitionBy(*keys).orderBy("ord")
     return long.select(*keys, "ord", "token", "seg", "orit", "len", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("token").over(w).alias("next_token"))
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from helixloom.operators.depth import subtract_admixture
 from helixloom.operators.intervals import interval_join, point_join
 
-LETTERS = 26
+
+
+def two_digits(x):
+    """Rounded to two digits; what lies within 1e-9 of a tie goes up, so the order in which a mean was summed does not show."""
+    return F.floor(x * 100 + 0.5 + 1e-7) / 100
 
 
 def breakends(junctions: DataFrame, region: DataFrame | None = None) -> DataFrame:
@@ -74,18 +78,18 @@ def map_breakends_to_segments(ends: DataFrame, segments: DataFrame) -> DataFrame
 def segment_cn(segments: DataFrame, windows: DataFrame, ratio, value: str = "adj") -> DataFrame:
     """segments with depth (mean of ``value`` over the windows that overlap, 2 digits) and cn = depth * ratio (2 digits); null without windows."""
     means = interval_join(windows.select("refseg", "st", "ed", value), segments.select("sample", "refseg", "seg_no", "st", "ed"), ["refseg"])
-    means = means.groupBy("sample", "refseg", "seg_no").agg(F.round(F.avg(value), 2).alias("depth"))
-    return segments.join(means, ["sample", "refseg", "seg_no"], "left").withColumn("cn", F.round(F.col("depth") * ratio, 2))
+    means = means.groupBy("sample", "refseg", "seg_no").agg(two_digits(F.avg(value)).alias("depth"))
+    return segments.join(means, ["sample", "refseg", "seg_no"], "left").withColumn("cn", two_digits(F.col("depth") * ratio))
 
 
 def feature_cn(features: DataFrame, ratio, depth: str = "depth") -> DataFrame:
-    return features.withColumn("cn", F.round(F.col(depth) * ratio, 2))
+    return features.withColumn("cn", two_digits(F.col(depth) * ratio))
 
 
 def junction_cn(junctions: DataFrame, ratio, mean, n_ratio) -> DataFrame:
     """junctions with pure (reads without the admixed part, truncated toward zero) and cn = pure * ratio (2 digits)."""
     pure = subtract_admixture(F.col("jr_count").cast("double"), mean, n_ratio, F.coalesce(F.col("ncpr").cast("double"), F.lit(0.0))).cast("long")
-    return junctions.withColumn("pure", pure).withColumn("cn", F.round(F.col("pure") * ratio, 2))
+    return junctions.withColumn("pure", pure).withColumn("cn", two_digits(F.col("pure") * ratio))
 
 
 def source_sink(segments: DataFrame) -> DataFrame:

@@ -268,14 +268,14 @@ def d6_map_breakends(spark, d):
 
 
 SCD = f"{P['mean_case']} / ({T_PART} + {N_PART})"
-CN = f"""cn as (select s.sample, s.refseg, s.seg_no, s.st, s.ed, round(avg(a.adj), 2) as depth from segs s left join adjusted a on a.tissue = 'case' and a.refseg = s.refseg and a.st <= s.ed and s.st <= a.ed group by all),
+CN = f"""cn as (select s.sample, s.refseg, s.seg_no, s.st, s.ed, floor(avg(a.adj) * 100 + 0.5 + 1e-7) / 100 as depth from segs s left join adjusted a on a.tissue = 'case' and a.refseg = s.refseg and a.st <= s.ed and s.st <= a.ed group by all),
 jc as (select sample, junc_no, jr_count, trunc(jr_count - {P["mean_case"]} * ({N_PART} / ({T_PART} + {N_PART})) * ncpr)::bigint as pure from v_junc)"""
 
 
 @query(
     f"""with {ADJUST}, {SEGS}, {CN}
-select sample, 'segment' as kind, refseg as refseg, seg_no::bigint as id, st::bigint as st, ed as ed, depth as value, round(depth * (1.0 / {P["purity"]} / ({SCD})), 2) as cn from cn
-union all select sample, 'junction', null, junc_no, null, null, pure::double, round(pure * (1.0 / {P["purity"]} / ({SCD})), 2) from jc""",
+select sample, 'segment' as kind, refseg as refseg, seg_no::bigint as id, st::bigint as st, ed as ed, depth as value, floor(depth * (1.0 / {P["purity"]} / ({SCD})) * 100 + 0.5 + 1e-7) / 100 as cn from cn
+union all select sample, 'junction', null, junc_no, null, null, pure::double, floor(pure * (1.0 / {P["purity"]} / ({SCD})) * 100 + 0.5 + 1e-7) / 100 from jc""",
     "v_depth v_resol v_junc v_region",
 )
 def segment_copy_number(spark, d):
@@ -288,7 +288,7 @@ def segment_copy_number(spark, d):
     return left.unionByName(junc.selectExpr("sample", "'junction' as kind", "cast(null as string) as refseg", "junc_no as id", "cast(null as bigint) as st", "cast(null as bigint) as ed", "cast(pure as double) as value", "cn"))
 
 
-@query("select p_partkey as seg, round(p_retailprice * 0.25, 2) as cn from part")
+@query("select p_partkey as seg, floor(p_retailprice * 0.25 * 100 + 0.5 + 1e-7) / 100 as cn from part")
 def d8_feature_cn(spark, d):
     return segments.feature_cn(V.table(spark, d, "part").select(F.col("p_partkey").alias("seg"), "p_retailprice"), F.lit(0.25), "p_retailprice").select("seg", "cn")
 
@@ -936,7 +936,7 @@ def config(spark: SparkSession, d: str) -> DataFrame:
     cyc = V.v_cycles(spark, d).selectExpr("concat('@UCYC\tID=U', allele, '_', cycle_id, ';SEGSTR=', array_join(tokens, ','), ',', tokens[0]) as t")
     sol = V.v_cycles(spark, d).groupBy("allele").agg(cycles.usage(F.collect_list(F.struct(F.col("cycle_id").alias("id"), F.col("cnt").alias("n")))).alias("u"))
     sol = sol.selectExpr("concat('SOLUTION\tNO=', allele, ';GROUP=1;SOLUTION_UCYC=', u, ';ALLELE_NO=1;ALLELE_CN=2;ALLELE_UCYC=', u, ';ALLELE_FVGM_UCYC=N/A') as t")
-    doc = spark.range(1).selectExpr("'@DOC\tSAMPLE_ID=s1' as t").unionByName(spark.range(1).selectExpr("'# a comment\twith a tab' as t"))
+    doc = V.table(spark, d, "nation").selectExpr("explode(array(concat('@DOC\t', if(n_nationkey % 5 = 0, 'OTHER', 'SAMPLE_ID'), '=', n_name), '# a comment\twith a tab')) as t")
     lines = doc.unionByName(seg).unionByName(junc).unionByName(cyc).unionByName(sol)
     return readers.read_tagged_config(spark, _text(lines, "t", "config")).drop("file").withColumn("file", F.lit("f"))
 
@@ -945,7 +945,7 @@ CSEG = """cseg as (select case when p_partkey % 10 = 0 then 'V' else 'H' end ||
  case when p_partkey % 7 = 0 then null else p_size::double end as cn_alt, p_size::double as lp_offset_pct from part)"""
 
 
-@query("select 's1' as sample_id from range(1)")
+@query("select case when n_nationkey % 5 = 0 then 'NULL' else n_name end as sample_id from nation")
 def a5a_config_documents(spark, d):
     return readers.config_documents(config(spark, d)).select("sample_id")
 
