@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from helixloom.llm.common import shuffle_width
+from helixloom.llm.common import release, shuffle_width, slices
 
 #: Texts of more characters go through the tree; its leaves have no more.
 LEAF = 1 << 16
@@ -234,7 +234,7 @@ def encode_documents(documents: DataFrame, spec: str, leaf: int = LEAF, window:
 
     def short(batches):
         tool = codec(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids, texts = _column(batch, "doc_id"), _column(batch, "text")
             rows, chars = [], 0
             for k, (d, t) in enumerate(zip(doc_ids, texts)):
@@ -249,6 +249,8 @@ def encode_documents(documents: DataFrame, spec: str, leaf: int = LEAF, window:
                         names=["doc_id", "ids", "decoded"],
                     )
                     rows, chars = [], 0
+        tool.forget()
+        release()
 
     def cut(batches):
         tool = codec(shared.value)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -129,3 +132,20 @@ def text_chunks(texts: list, most: int = 1 << 21):
         size += len(t)
     if len(texts) > first:
         yield first, len(texts)
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers live on from task to task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of some rows, so that what Python makes of them stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+    release()

@@ -25,6 +25,7 @@ from helixloom.llm.common import (
     partition_keys,
     planes,
     shuffle_width,
+    slices,
     split_by,
     stored,
     text_chunks,
@@ -194,14 +195,14 @@ def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: in
     """Packed rows by bucket: signatures with their sets, and the documents' own (doc_id, size, set)."""
 
     def run(batches):
-        roll = RollingHash(1 << 22)
+        roll = RollingHash(1 << 21)
         bucket_of = np.array(keys, dtype=np.int64)
         width = U(len(keys))
         known: set[int] = set()  # sets whose signatures this task has sent
-        for batch in batches:
+        for batch in slices(batches):
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            for first, last in text_chunks(texts, 1 << 23):
+            for first, last in text_chunks(texts, 1 << 22):
                 sets = shingle_sets(texts[first:last], roll, shingle)
                 sids = np.array([set_id(s) if len(s) else 0 for s in sets], dtype=np.int64)
                 fresh = []
@@ -299,9 +300,9 @@ def _test(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     right = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
 
     def run(batches):
-        roll = RollingHash(1 << 22)
+        roll = RollingHash(1 << 21)
         last, held = None, None
-        for batch in batches:
+        for batch in slices(batches, 512):
             a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "text_a", "text_b"))
             later = shingle_sets([t.encode() for t in tb], roll, shingle)
             rows = []
@@ -396,7 +397,7 @@ def _link(spark: SparkSession, docs: DataFrame, rows: DataFrame, lists: DataFram
     seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(_near(rest.join(seen, ["a", "b"], "left_anti"), owners, level), "jaccard-rest")
     more = stored(_test(rest, texts, shingle).where(link).select("a", "b"), "jaccard-more")
-    return connected_components(links.unionByName(more), "a", "b")
+    return parts if more.isEmpty() else connected_components(links.unionByName(more), "a", "b")
 
 
 def _prefix_pairs(spark: SparkSession, open_: DataFrame, texts: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
@@ -410,11 +411,11 @@ def _prefix_pairs(spark: SparkSession, open_: DataFrame, texts: DataFrame, shing
     keys = partition_keys(spark, width)
 
     def post(batches):
-        roll = RollingHash(1 << 22)
-        for batch in batches:
+        roll = RollingHash(1 << 21)
+        for batch in slices(batches):
             sids, bodies = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sid", "text"))
             bodies = [t.encode() for t in bodies]
-            for first, last in text_chunks(bodies, 1 << 23):
+            for first, last in text_chunks(bodies, 1 << 22):
                 sets = shingle_sets(bodies[first:last], roll, shingle)
                 token = np.concatenate(sets)
                 owner = np.repeat(np.array(sids[first:last], dtype=np.int64), [len(x) for x in sets])

@@ -26,6 +26,7 @@ from helixloom.llm.common import (
     partition_keys,
     planes,
     shuffle_width,
+    slices,
     split_by,
     text_chunks,
 )
@@ -84,7 +85,7 @@ def _cuts(texts: DataFrame, keys: list[int], length: int, trigger: int) -> DataF
         roll = RollingHash(CHUNK * 2)
         width = np.uint64(len(keys))
         known: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             ths, bodies = [], []
             for th, t in zip(_column(batch, "th"), _column(batch, "text")):
                 if th not in known and len(t) >= length // 4:
@@ -152,7 +153,7 @@ def _contexts(flagged: DataFrame, keys: list[int], length: int, trigger: int) ->
         roll = RollingHash(CHUNK * 2)
         width = np.uint64(len(keys))
         held, buffers, base = [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ths, ids = _column(batch, "th"), _column(batch, "owner")
             bodies = [t.encode() for t in _column(batch, "text")]
             flags = [np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in xs])) for xs in _column(batch, "ords")]
@@ -321,7 +322,7 @@ RESULT = "th long, owner long, n_bytes long, n_removed long, n_spans long, span_
 
 def _apply(owned: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for th, owner, text, starts, ends in zip(*(_column(batch, c) for c in ("th", "owner", "text", "starts", "ends"))):
                 data = text.encode()
