@@ -152,6 +152,8 @@ def nearest_neighbours(
     ids = np.array([r["vec_id"] for r in sample], dtype=np.int64)
     index = fit_index(ids, np.array([r["v"] for r in sample], dtype=np.float64), size["n"], size["m"] * (1 + 1e-9), k, aim)
     shared = spark.sparkContext.broadcast(index)
+    # components that come as float are sent as float; scores are computed in double either way
+    kind_of = np.float32 if vectors.schema[embedding].dataType.simpleString() == "array<float>" else np.float64
     width = shuffle_width(spark)
     keys = partition_keys(spark, width)
 
@@ -189,7 +191,7 @@ def nearest_neighbours(
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             near = squared((lengthen(x, index.longest2) @ index.turn).astype(np.float32), index.centres).argmin(axis=1)
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % cells[near]
-            yield pack(base[near] + salt, 0, ids, x)
+            yield pack(base[near] + salt, 0, ids, x.astype(kind_of))
 
     def asking(batches, probes, rank):
         index = shared.value
@@ -206,7 +208,7 @@ def nearest_neighbours(
             row = np.repeat(np.repeat(np.arange(len(x)), probed.shape[1]), rep)
             ends = np.cumsum(rep)
             cell = np.repeat(base[probed.reshape(-1)], rep) + np.arange(ends[-1]) - np.repeat(ends - rep, rep)
-            yield pack(cell, 1, ids[row], x[row], within[row])
+            yield pack(cell, 1, ids[row], x.astype(kind_of)[row], within[row])
 
     def scan(batches):
         index = shared.value
@@ -217,7 +219,7 @@ def nearest_neighbours(
             for cell, kind, ids, data, within in zip(*col):
                 if cell != now:
                     now, held, loaded = cell, [], None
-                ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.float64).reshape(-1, dims)
+                ids, x = np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=kind_of).reshape(-1, dims).astype(np.float64)
                 if kind == 0:
                     held.append((ids, x))
                     continue
