@@ -188,11 +188,11 @@ def signatures(sets: list[np.ndarray], level: Threshold) -> tuple[np.ndarray, np
 
 
 PACKED = "bucket int, sigs binary, sids binary, doc_ids binary, sizes binary, none binary, sketches array<binary>"
-FOUND = "doc_id long, n long, sid long, sketch binary, lid long, members array<long>"
+FOUND = "doc_id long, n long, sid long, th long, sketch binary, lid long, members array<long>"
 
 
 def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: int) -> DataFrame:
-    """Packed rows by bucket: signatures with their sets, and the documents' own (doc_id, size, set)."""
+    """Packed rows by bucket: signatures with their sets, and the documents' own (doc_id, size, set, hash of the text)."""
 
     def run(batches):
         roll = RollingHash(1 << 21)
@@ -202,6 +202,7 @@ def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: in
         for batch in slices(batches):
             doc_ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             texts = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            ths = batch.column(batch.schema.get_field_index("th")).to_numpy(zero_copy_only=False)
             for first, last in text_chunks(texts, 1 << 22):
                 sets = shingle_sets(texts[first:last], roll, shingle)
                 sids = np.array([set_id(s) if len(s) else 0 for s in sets], dtype=np.int64)
@@ -224,9 +225,9 @@ def _spread(documents: DataFrame, keys: list[int], level: Threshold, shingle: in
                 at = np.where(sizes == 0, np.arange(len(at)) % len(keys), at)
                 sent = set(fresh)
                 order = np.arange(len(sets))
-                for b, (d, n, s, z, o) in split_by(at, ids, sizes, sids, none, order):
+                for b, (d, n, s, h, z, o) in split_by(at, ids, sizes, sids, ths[first:last], none, order):
                     p = parts.setdefault(b, [b"", b"", b"", b"", b"", []])
-                    p[2], p[3], p[4] = planes(d), planes(n) + planes(s), z.tobytes()
+                    p[2], p[3], p[4] = planes(d), planes(n) + planes(s) + planes(h), z.tobytes()
                     p[5] = [parity_sketch(sets[i]) if i in sent else None for i in o.tolist()]
                 rows = sorted(parts.items())
                 yield pa.RecordBatch.from_arrays(
@@ -252,15 +253,16 @@ def _gather(packed: DataFrame, width: int) -> DataFrame:
                     sigs.append(from_planes(col["sigs"][i], np.uint64))
                     sids.append(from_planes(col["sids"][i], np.int64))
                 if col["doc_ids"][i]:
-                    both, half = col["sizes"][i], len(col["sizes"][i]) // 2
+                    three, third = col["sizes"][i], len(col["sizes"][i]) // 3
                     sketches += col["sketches"][i]
-                    docs.append((from_planes(col["doc_ids"][i], np.int64), from_planes(both[:half], np.int64), from_planes(both[half:], np.int64), np.frombuffer(col["none"][i], dtype=np.uint8)))
+                    numbers = [from_planes(three[k * third : (k + 1) * third], np.int64) for k in range(3)]
+                    docs.append((from_planes(col["doc_ids"][i], np.int64), *numbers, np.frombuffer(col["none"][i], dtype=np.uint8)))
             if docs:
-                d, n, s, z = (np.concatenate([x[k] for x in docs]) for k in range(4))
+                d, n, s, h, z = (np.concatenate([x[k] for x in docs]) for k in range(5))
                 nothing = pa.nulls(len(d), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(d, mask=z == 1), pa.array(n), pa.array(s, mask=n == 0), pa.array(sketches, pa.binary()), nothing, pa.nulls(len(d), pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sid", "sketch", "lid", "members"],
+                    [pa.array(d, mask=z == 1), pa.array(n), pa.array(s, mask=n == 0), pa.array(h), pa.array(sketches, pa.binary()), nothing, pa.nulls(len(d), pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "sid", "th", "sketch", "lid", "members"],
                 )
         if not sigs:
             return
@@ -284,8 +286,8 @@ def _gather(packed: DataFrame, width: int) -> DataFrame:
             members = pa.array([sid[a[i] : b[i]] for i in part], pa.list_(pa.int64()))
             nothing = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing, nothing, nothing, pa.nulls(len(part), pa.binary()), pa.array(lid[part].view(np.int64)), members],
-                names=["doc_id", "n", "sid", "sketch", "lid", "members"],
+                [nothing, nothing, nothing, nothing, pa.nulls(len(part), pa.binary()), pa.array(lid[part].view(np.int64)), members],
+                names=["doc_id", "n", "sid", "th", "sketch", "lid", "members"],
             )
 
     return packed.repartition(width, "bucket").mapInArrow(run, FOUND)
@@ -334,9 +336,9 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int =
     spark = documents.sparkSession
     width = shuffle_width(spark)
     level = Threshold(num, den)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     found = stored(_gather(_spread(docs, partition_keys(spark, width), level, shingle), width), "jaccard-lists")
-    rows = found.where("lid is null").select("doc_id", "n", "sid", "sketch")
+    rows = found.where("lid is null").select("doc_id", "n", "sid", "th", "sketch")
     lists = found.where("lid is not null").select("lid", "members")
     nodes = _link(spark, docs, rows, lists, shingle, num, den)
     named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("root"))
@@ -362,10 +364,15 @@ def _near(pairs: DataFrame, owners: DataFrame, level: Threshold) -> DataFrame:
 
 
 def _texts(docs: DataFrame, owners: DataFrame, sids: DataFrame, name: str) -> DataFrame:
-    """(sid, text, n) of the named sets, from the document that owns each."""
-    wanted = stored(owners.select("sid", "doc_id", "n").join(sids.distinct(), "sid", "left_semi"), name + "-owners")
+    """(sid, text, n) of the named sets, from the document that owns each: the numbered one of that text or, for a set
+    that only rows with a null doc_id hold, one of theirs."""
+    wanted = stored(owners.select("sid", "doc_id", "th", "n").join(sids.distinct(), "sid", "left_semi"), name + "-owners")
     few = wanted.count() <= BROADCAST_OWNERS
-    return stored(docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("sid", "text", "n"), name)
+    numbered, other = wanted.where("doc_id is not null"), wanted.where("doc_id is null").drop("doc_id")
+    found = docs.join(F.broadcast(numbered) if few else numbered, ["doc_id", "th"]).select("sid", "text", "n")
+    nameless = docs.where("doc_id is null").join(F.broadcast(other) if few else other, "th")
+    nameless = nameless.groupBy("sid").agg(F.min("text").alias("text"), F.min("n").alias("n"))  # copies have no id to tell them apart
+    return stored(found.unionByName(nameless), name)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -382,8 +389,10 @@ def _link(spark: SparkSession, docs: DataFrame, rows: DataFrame, lists: DataFram
     pivots = members.groupBy("lid").agg(F.max("rank").alias("top")).select("lid", F.col("top.sid").alias("pivot"))
     members = stored(members.select("lid", "sid").join(pivots, "lid"), "jaccard-members")
     stars = stored(members.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-stars")
-    owners = rows.where("doc_id is not null").join(_ends(stars).distinct(), "sid", "left_semi").groupBy("sid")
-    owners = stored(owners.agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "jaccard-owners")
+    owners = rows.join(_ends(stars).distinct(), "sid", "left_semi").groupBy("sid")
+    head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("head")
+    owners = owners.agg(head, F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    owners = stored(owners.select("sid", "head.doc_id", "head.th", "n", "sketch"), "jaccard-owners")
     near = stored(_near(stars, owners, level), "jaccard-near")
     link = F.expr(f"{den} * shared >= {num} * (na + nb - shared)")
     texts = _texts(docs, owners, _ends(near), "jaccard-texts")

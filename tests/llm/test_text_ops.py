@@ -128,6 +128,42 @@ def test_jaccard_family_without_a_centre(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def brute_components_with_nulls(rows, k, num, den):
+    """As brute_components, by number of row; a component is named by its smallest id that is not null."""
+    byrow = brute_components([(i, t) for i, (_, t) in enumerate(rows)], k, num, den)
+    least = {}
+    for i, _, c in byrow:
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, rows[i][0]), rows[i][0])
+    return sorted(((rows[i][0], n, least.get(c) if n else rows[i][0]) for i, n, c in byrow), key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_jaccard_null_ids(spark, parts):
+    """Sets that only rows with a null doc_id hold link, bridge and name their pairs like others."""
+    rng = random.Random(3)
+    rows = []
+
+    def changed(w, places):
+        return " ".join("z" + str(rng.random()) if i in places else x for i, x in enumerate(w))
+
+    for f in range(12):  # each end is near the middle, and the ends are not near each other
+        w = [f"f{f}w{i}" for i in range(120)]
+        rows += [(None, " ".join(w)), (10 * f + 7, changed(w, (20, 60))), (10 * f + 3, changed(w, (40, 90)))]
+        rows += [(None, " ".join(w))] * (f % 3) + [(None, changed(w, (70,)))] * (f % 2)
+        rows += [(10 * f + 5, rows[-1][1])] if f % 4 == 0 else []  # the null row is the first of its set
+    alone = [f"n{i}" for i in range(80)]
+    rows += [(None, " ".join(alone)), (None, changed(alone, (3,))), (None, ""), (None, None), (None, "a b")]
+    far = [f"q{i}" for i in range(90)]  # one doc_id, two texts
+    rows += [(500, " ".join(far)), (500, changed([f"r{i}" for i in range(90)], ())), (501, changed(far, (5,))), (502, changed([f"r{i}" for i in range(90)], (5,)))]
+    texts = corpus(2)
+    rows += [(None if i % 3 == 0 else 1000 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    df = df.repartition(parts) if parts > 1 else df
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()), key=str)
+    assert got == brute_components_with_nulls(rows, 4, 85, 100)
+
+
 def test_light_sets_enumerate_what_pairs_must_share():
     level = jaccard.Threshold(85, 100)
     assert level.boundary() >= 7
