@@ -9,6 +9,9 @@ backwards) and the bytes from it on (the parse that follows). Each side is sorte
 lengths of common prefixes; a string with ``a`` bytes before the cut is then known by two classes, that of its left side at depth
 ``a`` and that of its right side at depth ``LENGTH - a``. Together they put the strings of the corpus in order, and of each
 run of equal ones the earliest keeps its bytes.
+
+A trigger text with very many cuts is not brought together: its strings are dealt out one by one, by their own hash, so that only
+equal strings meet, at most one a task.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from helixloom.llm.common import (
 LENGTH, TRIGGER = 100, 40
 #: Bytes of text that are parsed at a time; a longer text is parsed alone.
 CHUNK = 1 << 20
+#: A trigger text with so many cuts is hot. Sorting its sides would take about 2 KB a cut in one task.
+HOT = 1 << 15
+#: Set in a cut's number where its trigger text is hot.
+HOT_BIT = np.uint32(1 << 31)
 
 
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -108,8 +115,9 @@ def _cuts(texts: DataFrame, keys: list[int], length: int, trigger: int) -> DataF
     return texts.mapInArrow(run, "bucket int, grams binary, ths binary, ords binary")
 
 
-def _shared_cuts(cuts: DataFrame, width: int) -> DataFrame:
-    """(th, ords): for each text the numbers of its cuts whose trigger text stands at least twice in the corpus."""
+def _shared_cuts(cuts: DataFrame, width: int, hot: int) -> DataFrame:
+    """(th, ords): for each text the numbers of its cuts whose trigger text stands at least twice in the corpus, with HOT_BIT
+    if it stands there hot times."""
 
     def run(batches):
         g, t, o = [], [], []
@@ -127,8 +135,9 @@ def _shared_cuts(cuts: DataFrame, width: int) -> DataFrame:
         fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (th[1:] != th[:-1]) | (ordinal[1:] != ordinal[:-1])))
         gram, th, ordinal = gram[fresh], th[fresh], ordinal[fresh]
         cut = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
-        many = np.repeat(np.diff(cut) >= 2, np.diff(cut))
-        th, ordinal = th[many], ordinal[many]
+        times = np.repeat(np.diff(cut), np.diff(cut))
+        ordinal = np.where(times >= max(2, hot), ordinal | HOT_BIT, ordinal)
+        th, ordinal = th[times >= 2], ordinal[times >= 2]
         order = np.argsort(th, kind="stable")
         th, ordinal = th[order], ordinal[order]
         at = np.flatnonzero(np.concatenate(([True], th[1:] != th[:-1], [True]))) if len(th) else np.zeros(1, dtype=np.int64)
@@ -141,18 +150,40 @@ def _shared_cuts(cuts: DataFrame, width: int) -> DataFrame:
     return cuts.repartition(width, "bucket").mapInArrow(run, "th long, ords binary")
 
 
-CONTEXT = "bucket int, meta binary, bytes binary, ths binary, starts binary, ends binary"
+CONTEXT = "bucket int, meta binary, bytes binary, ths binary, starts binary, ends binary, strings binary"
+#: A string of a hot trigger: its hash, the trigger's, text hash, doc_id, start, bytes before the cut.
+STRING = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8)
 SPANS = "th long, starts binary, ends binary"
 
 
+def _earliest(strings: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The columns of STRING for the earliest of each run of equal strings, and for the others."""
+    h, gram, _, doc, x, a = strings
+    order = np.lexsort((x, doc, a, gram, h))
+    h, gram, a = h[order], gram[order], a[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])
+    return [v[order[new]] for v in strings], [v[order[~new]] for v in strings]
+
+
+def _runs(th: np.ndarray, x: np.ndarray, length: int):
+    """(th, start, end) of strings that start at x; those that start side by side are one span."""
+    order = np.lexsort((x, th))
+    th, x = th[order], x[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (th[1:] != th[:-1]) | (x[1:] != x[:-1] + 1)
+    at = np.flatnonzero(new)
+    return th[at], x[at], x[np.append(at[1:], len(x))[: len(at)] - 1] + length
+
+
 def _contexts(flagged: DataFrame, keys: list[int], length: int, trigger: int) -> DataFrame:
     """The bytes around every shared cut, packed by bucket; of those equal within a task the earliest only, the others
-    are decided here: their spans are repeated."""
+    are decided here: their spans are repeated. Of hot triggers each string goes by itself, likewise."""
 
     def run(batches):
         roll = RollingHash(CHUNK * 2)
         width = np.uint64(len(keys))
-        held, buffers, base = [], [], 0
+        held, single, buffers, base = [], [], [], 0
         for batch in slices(batches):
             ths, ids = _column(batch, "th"), _column(batch, "owner")
             bodies = [t.encode() for t in _column(batch, "text")]
@@ -162,7 +193,19 @@ def _contexts(flagged: DataFrame, keys: list[int], length: int, trigger: int) ->
                 if not len(text):
                     continue
                 begin = np.searchsorted(text, np.arange(last - first))
-                pick = np.concatenate([begin[i] + flags[first + i].astype(np.int64) for i in range(last - first)])
+                pick = np.concatenate([begin[i] + (flags[first + i] & ~HOT_BIT).astype(np.int64) for i in range(last - first)])
+                hot = np.concatenate(flags[first:last]) >= HOT_BIT
+                if hot.any():
+                    t, c, l, g = (v[pick[hot]] for v in (text, cut, lo, gram))
+                    n = hi[pick[hot]] - l + 1
+                    of = np.repeat(np.arange(len(n)), n)
+                    start = l[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+                    t, before = t[of], (c[of] - start).astype(np.uint8)
+                    own = (np.array(v[first:last], dtype=np.int64)[t] for v in (ths, ids))
+                    # of equal ones in a chunk the earliest only is held, so that they take no memory
+                    kept, others = _earliest([roll.stretch(sums, start, start + length), g[of], *own, start - begins[t], before])
+                    single.append((kept, _runs(others[2], others[4], length)))
+                pick = pick[~hot]
                 text, cut, lo, hi, gram = text[pick], cut[pick], lo[pick], hi[pick], gram[pick]
                 whole = roll.stretch(sums, lo, hi + length)
                 with np.errstate(over="ignore"):
@@ -185,21 +228,28 @@ def _contexts(flagged: DataFrame, keys: list[int], length: int, trigger: int) ->
         gone = ~keep
         out: dict[int, list] = {}
         start = x - left
-        spread = (th[gone].view(np.uint64) % width).astype(np.int64)
-        for b, (t, s, e) in split_by(spread, th[gone], start[gone].astype(np.int32), (start + length - 1 + count)[gone].astype(np.int32)):
-            out.setdefault(b, [None] * 5)[2:] = [planes(t), planes(s), planes(e)]
+        spans = [(th[gone], start[gone], (start + length - 1 + count)[gone])]
+        if single:
+            kept, others = _earliest([np.concatenate([k[i] for k, _ in single]) for i in range(len(STRING))])
+            spans += [s for _, s in single] + [_runs(others[2], others[4], length)]
+            for b, strings in split_by((kept[0] % width).astype(np.int64), *kept):
+                out.setdefault(b, [None] * 6)[5] = b"".join(planes(v) for v in strings)
+        gone_th, gone_start, gone_end = (np.concatenate([s[k] for s in spans]) for k in range(3))
+        spread = (gone_th.view(np.uint64) % width).astype(np.int64)
+        for b, (t, s, e) in split_by(spread, gone_th, gone_start.astype(np.int32), gone_end.astype(np.int32)):
+            out.setdefault(b, [None] * 6)[2:5] = [planes(t), planes(s), planes(e)]
         g, t, d, xx, l, c, a = (v[keep] for v in (gram, th, doc, x, left, count, at))
         for b, (g, t, d, xx, l, c, a) in split_by((g % width).astype(np.int64), g, t, d, xx, l, c, a):
             size = length - 1 + c
             spot = np.repeat(a - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
             meta = planes(g) + planes(t) + planes(d) + planes(xx) + planes(l.astype(np.uint8)) + planes(c.astype(np.uint8))
-            out.setdefault(b, [None] * 5)[:2] = [meta, data[spot].tobytes()]
+            out.setdefault(b, [None] * 6)[:2] = [meta, data[spot].tobytes()]
         rows = sorted(out.items())
         for i in range(0, len(rows), 64):
             part = rows[i : i + 64]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[b] for b, _ in part], pa.int32()), *(pa.array([r[k] for _, r in part], pa.binary()) for k in range(5))],
-                names=["bucket", "meta", "bytes", "ths", "starts", "ends"],
+                [pa.array([keys[b] for b, _ in part], pa.int32()), *(pa.array([r[k] for _, r in part], pa.binary()) for k in range(6))],
+                names=["bucket", "meta", "bytes", "ths", "starts", "ends", "strings"],
             )
 
     return flagged.mapInArrow(run, CONTEXT)
@@ -245,22 +295,28 @@ def repeated_spans(gram, th, doc, x, left, count, data, begin, length: int, trig
     return th[i], x[i] - a1, x[i] - a0 + length
 
 
+def _unpacked(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    """The columns of these kinds whose planes stand in data one after the other."""
+    sizes = [np.dtype(kind).itemsize for kind in kinds]
+    n, at, out = len(data) // sum(sizes), 0, []
+    for kind, size in zip(kinds, sizes):
+        out.append(from_planes(data[at : at + size * n], kind))
+        at += size * n
+    return out
+
+
 def _repeats(contexts: DataFrame, width: int, length: int, trigger: int) -> DataFrame:
     def run(batches):
-        metas, bodies, done = [], [], []
+        metas, bodies, single, done = [], [], [], []
         for batch in batches:
-            col = {c: _column(batch, c) for c in ("meta", "bytes", "ths", "starts", "ends")}
+            col = {c: _column(batch, c) for c in ("meta", "bytes", "ths", "starts", "ends", "strings")}
             for i in range(batch.num_rows):
                 if col["ths"][i]:
                     done.append((from_planes(col["ths"][i], np.int64), from_planes(col["starts"][i], np.int32), from_planes(col["ends"][i], np.int32)))
+                if col["strings"][i]:
+                    single.append(_unpacked(col["strings"][i], STRING))
                 if col["meta"][i]:
-                    m = col["meta"][i]
-                    n, at, parts = len(m) // 34, 0, []
-                    for kind in (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8):
-                        k = np.dtype(kind).itemsize * n
-                        parts.append(from_planes(m[at : at + k], kind))
-                        at += k
-                    metas.append(parts)
+                    metas.append(_unpacked(col["meta"][i], (np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8)))
                     bodies.append(np.frombuffer(col["bytes"][i], dtype=np.uint8))
         if metas:
             gram, th, doc, x, left, count = (np.concatenate([m[k] for m in metas]) for k in range(6))
@@ -290,6 +346,9 @@ def _repeats(contexts: DataFrame, width: int, length: int, trigger: int) -> Data
             if several.any():
                 gram, th, doc, x, left, count, begin = (v[several] for v in parts)
                 done.append(repeated_spans(gram, th, doc, x, left, count, data, begin, length, trigger))
+        if single:
+            _, others = _earliest([np.concatenate([s[k] for s in single]) for k in range(len(STRING))])
+            done.append(_runs(others[2], others[4], length))
         if not done:
             return
         th, start, end = (np.concatenate([d[k] for d in done]) for k in range(3))
@@ -368,7 +427,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, trigger: int =
     # the partial aggregate leaves one copy of a text for each task, so a hot text is a few rows in the shuffle
     owned = docs.groupBy("th").agg(F.min("doc_id").alias("owner"), F.min("text").alias("text"))
     cuts = _cuts(docs.select("th", "text"), keys, length, trigger)
-    flags = _shared_cuts(cuts, width).groupBy("th").agg(F.collect_list("ords").alias("ords"))
+    flags = _shared_cuts(cuts, width, HOT).groupBy("th").agg(F.collect_list("ords").alias("ords"))
     contexts = _contexts(owned.join(flags.hint("shuffle_merge"), "th"), keys, length, trigger)
     spans = _repeats(contexts, width, length, trigger).groupBy("th").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     done = _apply(owned.join(spans.hint("shuffle_merge"), "th", "left").select("th", "owner", "text", "starts", "ends"))

@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixloom.llm import bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
+from helixloom.llm.common import from_planes
 from helixloom.llm.components import connected_components
 from helixloom.llm.tokenizer_files import tokenizer_spec
 
@@ -193,6 +195,37 @@ def test_suffix_dedup(docs, rows, spark):
     assert suffix.dedup_substrings(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_of_a_hot_phrase(spark, monkeypatch):
+    """The cuts of a phrase that many documents hold amid different text do not all go to one task."""
+    rng = random.Random(9)
+    phrase = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    edge = ["".join(rng.choice("ijklmnop ") for _ in range(70)) for _ in range(12)]
+    texts = [rng.choice(edge)[rng.randrange(50) :] + phrase + rng.choice(edge)[: rng.randrange(5, 70)] for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[4] + texts[9] + texts[4]), (None, texts[7] + "é" + phrase * 3)]
+    seen, want = set(), {}
+    for d, t in rows:
+        b, gone = t.encode(), bytearray(len(t.encode()))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        want[d] = (len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest())
+    met = Counter()
+    repeats = suffix._repeats
+
+    def watched(contexts, *args):
+        for r in contexts.where("meta is not null").select("meta").collect():
+            met.update(from_planes(bytes(r.meta[: len(r.meta) // 34 * 8]), np.uint64).tolist())
+        return repeats(contexts, *args)
+
+    monkeypatch.setattr(suffix, "_repeats", watched)
+    monkeypatch.setattr(suffix, "HOT", 20, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix.dedup_substrings(df).collect()}
+    assert got == want and sum(v[1] for v in want.values()) > 5000
+    assert met and max(met.values()) < 20
+
+
 def test_suffix_dedup_with_zero_bytes(spark):
     rows = [(1, "\0" * 230), (2, "a" + "\0" * 150 + "b"), (None, "\0" * 120)]
     got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
