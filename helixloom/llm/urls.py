@@ -7,6 +7,12 @@ aliases, an explicit allow before any block.
 
 from __future__ import annotations
 
+import html
+import re
+from html.entities import html5
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +25,9 @@ CANONICAL_TAG = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
 REFRESH_TAG = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BASE_TAG = r"(?is)(<base\b[^>]*\bhref\b[^>]*>)"
+ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+ABSOLUTE, SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://"), re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = (
@@ -47,17 +56,45 @@ def url_node(url):
     return F.when(host == "", F.coalesce(url, F.lit(""))).otherwise(F.concat(host, path, query))
 
 
+def unescaped(t: str) -> str:
+    """The text with its HTML entities decoded once; names count with their semicolon only, as in attributes."""
+    return ENTITY.sub(lambda m: html.unescape(m[0]) if m[0][1] == "#" else html5.get(m[0][1:], m[0]), t)
+
+
+def resolved(base: str, t: str) -> str | None:
+    """The absolute url that t names on a page of url base; None where there is none: t is empty, a fragment, of a scheme
+    without host, or relative to a base that has no host."""
+    if ABSOLUTE.match(t):
+        return t
+    if not t or t[0] == "#" or SCHEME.match(t) or not ABSOLUTE.match(base):
+        return None
+    try:
+        return urljoin(base, t)
+    except ValueError:  # a host that is none
+        return None
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the page's url and the absolute url that its canonical link or redirect names."""
+    """(a, b): the page's url and each url that its canonical links or redirects name, relative ones resolved."""
     pages = pages.select("url", "html").where("url is not null and html is not null")
 
+    def run(batches):
+        for batch in batches:
+            url, tags, base, pattern = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "tags", "base", "pattern"))
+            out = []
+            for u, ts, b, p in zip(url, tags, base, pattern):
+                named = lambda tag, p: unescaped(m[1]) if (m := re.search(p, tag)) else ""
+                at = resolved(u, named(b, HREF)) or u
+                out += [(u, to) for t in ts if (to := resolved(at, named(t, p)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(2)], names=["url", "to"])
+
     def edges(tag: str, word: str, target: str) -> DataFrame:
-        found = pages.where(F.lower("html").contains(word)).select(
-            "url", F.regexp_extract(F.regexp_extract("html", tag, 1), target, 1).alias("to")
-        )
-        return found.where(F.col("to").contains("://")).select(url_node(F.col("url")).alias("a"), url_node(F.col("to")).alias("b"))
+        found = pages.where(F.lower("html").contains(word))
+        return found.select("url", F.regexp_extract_all("html", F.lit(tag), 1).alias("tags"), F.regexp_extract("html", BASE_TAG, 1).alias("base"), F.lit(target).alias("pattern"))
 
-    return edges(CANONICAL_TAG, "canonical", HREF).unionByName(edges(REFRESH_TAG, "http-equiv", REFRESH_URL)).where("a <> b")
+    found = edges(CANONICAL_TAG, "canonical", HREF).unionByName(edges(REFRESH_TAG, "http-equiv", REFRESH_URL))
+    found = found.where("size(tags) > 0").mapInArrow(run, "url string, to string")
+    return found.select(url_node(F.col("url")).alias("a"), url_node(F.col("to")).alias("b")).where("a <> b")
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:

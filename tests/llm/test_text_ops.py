@@ -307,6 +307,24 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), urls.rules_table(spark)).count() == 0
 
 
+def test_url_targets(spark):
+    """Relative targets, entities, and all tags of a page."""
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (link.format("/en/7"), {"h.com/en/7"}), (link.format("//o.net/p?x=1#f"), {"o.net/p?x=1"}), (link.format("?id=3"), {"h.com/a/b?id=3"}), (link.format("c"), {"h.com/a/c"}),
+        (link.format("../d/./e"), {"h.com/d/e"}), (link.format("../../../x/.."), {"h.com/"}), (link.format("?p=1&amp;q=&#50;&#x33;&amp;amp;&z"), {"h.com/a/b?p=1&q=23&amp;&z"}),
+        (link.format("#top"), set()), (link.format("mailto:x@y.com"), set()), (link.format("/go?u=http://t.com/"), {"h.com/go?u=http://t.com/"}), (link.format("https://T.com/k"), {"t.com/k"}),
+        (link.format("/1") + link.format("/2") + "<meta http-equiv=refresh content='0;url=/3'><META HTTP-EQUIV='refresh' CONTENT='1; URL=q'>", {"h.com/1", "h.com/2", "h.com/3", "h.com/a/q"}),
+        ('<base href="/deep/x">' + link.format("y"), {"h.com/deep/y"}), (link.format("b"), set()),
+    ]
+    pages = spark.createDataFrame([(f"http://H{i}.com/a/b", html) for i, (html, _) in enumerate(rows)], "url string, html string").coalesce(1)
+    got = {(r.a, r.b) for r in urls.alias_edges(pages).collect()}
+    assert got == {(f"h{i}.com/a/b", b.replace("h.com", f"h{i}.com")) for i, (_, want) in enumerate(rows) for b in want}
+    rows = [(1, "http://x.net/q/w", link.format("../en/7")), (2, "http://m.com/en/1", ""), (3, "http://y.net/w", link.format("//m.com/en/1")), (4, "http://e.com", link.format("en/2"))]
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), urls.rules_table(spark)).collect()
+    assert {r.page_id: (r.verdict, r.via) for r in out} == {1: ("allow", "none"), 2: ("block", "rule"), 3: ("block", "alias"), 4: ("block", "alias")}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)] + [(None, 1), (7, 7)]
