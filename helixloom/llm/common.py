@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
+    its own; on a cluster that is an error, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found or found.startswith("file:") else f"file://{found}"
@@ -38,6 +41,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores behind them where a table already has such a column (in any case of letters)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+#: A key that more than one in so many rows have is hot.
+HOT_SHARE = 1000
+
+
+def join_to_one(rows: DataFrame, ones: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with ``ones``, which has one row for each key and in column ``count`` the number of rows of that key; total is
+    the sum of these numbers or more.
+
+    Keys that hold more than total / HOT_SHARE of all rows are fewer than HOT_SHARE whatever the data, so theirs is a broadcast of
+    proven size and their rows are not shuffled; all others meet by shuffle.
+    """
+    least = total / HOT_SHARE
+    hot = F.broadcast(ones.where(F.col(count) > least))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(ones.where(F.col(count) <= least), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

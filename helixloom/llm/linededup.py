@@ -1,46 +1,69 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
-Each text is a row of lines. Of every ``window`` consecutive lines the one with the smallest hash (the last of
-equals) is a fingerprint; a line of ``least_chars`` characters is a window of its own. Any two equal windows
-choose the same line, so equal runs are guaranteed to meet in a join on fingerprints. From shared
-fingerprints the match is extended both ways by comparing the windows that chose them; windows that stand
-earlier elsewhere add up to maximal repeated runs, and these are deleted.
+Each text is a row of lines. A window is a run of one to ``window`` lines with ``least_chars`` characters in all; the line with the
+smallest hash in it (the last of equals) is its fingerprint. Equal windows choose the same line, so a repeated window is guaranteed to
+meet its earlier copy at a fingerprint. Only the distinct fingerprint lines are kept, each with its neighbours. Positions of equal
+fingerprints are joined with the first of them, the match is extended both ways by comparing neighbours, and the windows that it covers
+are deleted from the later place. Windows that fit no first place, as the lines around it differ, are joined once more among themselves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.llm.common import stored
+from helixloom.llm.common import join_to_one, stored, unused
 
-#: A repeated run is deleted if it has this many lines with least_chars characters in all, or one line of as many.
+#: A repeated window of at most so many lines is deleted if it has least_chars characters in all.
 WINDOW, LEAST_CHARS = 3, 40
 
 
-def line_windows(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, text_hash, start, width, at, finger, run: every window with its fingerprint line ``at`` (hash ``finger``)
-    and the hash of the whole run."""
+def _windows(window: int) -> list[tuple[int, int]]:
+    """(lines before, lines behind) a fingerprint in the windows that can hold it."""
+    return [(a, b) for a in range(window) for b in range(window - a)]
+
+
+def _bits(conditions: list[Column]) -> Column:
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(conditions)])
+
+
+def fingerprints(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, text_hash, pos, h, g, before, behind, long, chosen: every line that is the minimum of a window, once.
+
+    h and g are two hashes of the line; before and behind hold the hashes of the neighbours, nearest first, null beyond the text. The
+    bits of long say which windows (in the order of _windows) have the characters, those of chosen which of them have their minimum here.
+    """
     lines = F.split("text", "\n")
     base = documents.select(
         "doc_id", F.xxhash64("text").alias("text_hash"),
         F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.length(x).alias("n"))).alias("lines"),
     )
+    near = range(1 - window, window)
+    spot = F.transform(
+        F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("pos"), *[F.get("lines", i + k).alias(f"x{k + window}") for k in near])
+    )
+    base = base.select("doc_id", "text_hash", F.explode(spot).alias("s")).select("doc_id", "text_hash", "s.*")
+    at = {k: F.col(f"x{k + window}") for k in near}
+    long, chosen = [], []
+    for a, b in _windows(window):
+        chars = reduce(lambda x, y: x + y, [at[k]["n"] for k in range(-a, b + 1)])  # null where the window leaves the text
+        long.append(F.coalesce(chars >= least_chars, F.lit(False)))
+        least = [at[0]["h"] <= at[k]["h"] for k in range(-a, 0)] + [at[0]["h"] < at[k]["h"] for k in range(1, b + 1)]
+        chosen.append(reduce(lambda x, y: x & y, least, long[-1]))
+    side = lambda ks: F.array(*[at[k]["h"] for k in ks]) if ks else F.array().cast("array<bigint>")
+    out = base.select(
+        "doc_id", "text_hash", "pos", at[0]["h"].alias("h"), at[0]["g"].alias("g"), side(range(-1, -window, -1)).alias("before"),
+        side(range(1, window)).alias("behind"), _bits(long).alias("long"), _bits(chosen).alias("chosen"),
+    )
+    return out.where("chosen > 0")
 
-    def piece(i: Column, width: int) -> Column:
-        part = F.slice("lines", i + 1, width)
-        least = F.array_min(part["h"])
-        at = i + width - F.array_position(F.reverse(part["h"]), least).cast("int")
-        chars = F.aggregate(part["n"], F.lit(0), lambda a, b: a + b)
-        return F.struct(
-            i.alias("start"), F.lit(width).alias("width"), at.alias("at"), least.alias("finger"),
-            F.xxhash64(F.lit(width), part["h"], part["g"]).alias("run"), chars.alias("chars"),
-        )
 
-    single = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: piece(i, 1))
-    wide = F.when(F.size("lines") >= window, F.transform(F.sequence(F.lit(0), F.size("lines") - window), lambda i: piece(i, window)))
-    spots = F.filter(F.concat(single, F.coalesce(wide, F.array().cast("array<struct<start:int,width:int,at:int,finger:bigint,run:bigint,chars:int>>"))), lambda s: s["chars"] >= least_chars) if window > 1 else F.filter(single, lambda s: s["chars"] >= least_chars)
-    return base.select("doc_id", "text_hash", F.explode(spots).alias("s")).select("doc_id", "text_hash", "s.start", "s.width", "s.at", "s.finger", "s.run")
+def _equal(mine: str, other: str, most: int) -> Column:
+    """How many neighbours, nearest first, agree."""
+    same = [F.get(mine, F.lit(i)) == F.get(other, F.lit(i)) for i in range(most)]
+    return reduce(lambda rest, c: F.when(c, rest + 1).otherwise(F.lit(0)), reversed(same), F.lit(0))
 
 
 def repeated_lines(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -49,16 +72,48 @@ def repeated_lines(documents: DataFrame, window: int = WINDOW, least_chars: int
     A window is repeated if an equal one stands earlier: in a smaller doc_id, or in the same one at a smaller place.
     """
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    spots = stored(line_windows(docs, window, least_chars), "line-windows")
-    where = F.struct("doc_id", "at")
-    shared = spots.groupBy("finger").agg(F.min(where).alias("a"), F.max(where).alias("z")).where("a < z").select("finger")
-    matched = stored(spots.join(shared, "finger", "left_semi").select("doc_id", "text_hash", "start", "width", "run"), "line-matches")
-    place = F.struct("doc_id", "start")
-    first = matched.groupBy("run").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a < z").select("run", F.col("a").alias("first"))
-    later = matched.join(first, "run").where(place > F.col("first"))
-    spans = F.collect_set(F.struct("start", "width"))
-    covered = F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["start"] + s["width"] - 1)))
-    return later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(covered)).alias("drop"))
+    spots = stored(fingerprints(docs, window, least_chars), "line-fingerprints")
+    place = F.struct("doc_id", "pos")
+    kinds = _windows(window)
+
+    shared = spots.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("z"), F.count(F.lit(1)).alias("n")).where("first < z")
+    shared = stored(shared.select("h", "g", "first", "n"), "line-shared")
+    total = spots.count()
+    met = stored(join_to_one(spots, shared, ["h", "g"], "n", total), "line-positions")
+    heads = met.where(place == F.col("first")).groupBy("h", "g").agg(F.min(F.struct("before", "behind")).alias("s"), F.max("n").alias("n"))
+    heads = heads.select("h", "g", F.col("s.before").alias("f_before"), F.col("s.behind").alias("f_behind"), "n")
+    later = join_to_one(met.drop("n"), heads, ["h", "g"], "n", total)
+    later = later.select("*", _equal("before", "f_before", window - 1).alias("left"), _equal("behind", "f_behind", window - 1).alias("right"))
+    fits = _bits([(F.col("left") >= a) & (F.col("right") >= b) for a, b in kinds])
+    later = later.select(
+        "doc_id", "text_hash", "pos", "h", "g", "before", "behind", F.when(place > F.col("first"), F.col("long").bitwiseAND(fits)).otherwise(0).alias("found"),
+        F.col("chosen").bitwiseAND(F.bitwise_not(fits)).alias("rest"),
+    )
+    later = stored(later.where("found > 0 or rest > 0"), "line-matches")
+
+    def span(bits: Column) -> Column:
+        """The stretch that the windows in bits cover: all of them hold the fingerprint."""
+        has = [bits.bitwiseAND(1 << i) > 0 for i in range(len(kinds))]
+        reach = lambda side: F.greatest(*[F.when(c, k[side]).otherwise(0) for c, k in zip(has, kinds)], F.lit(0))
+        return F.struct((F.col("pos") - reach(0)).alias("a"), (F.col("pos") + reach(1)).alias("b"))
+
+    spans = later.where("found > 0").select("doc_id", "text_hash", span(F.col("found")).alias("s"))
+
+    # windows that differ from the first place of their fingerprint may still equal one another
+    pieces = [
+        F.when(F.col("rest").bitwiseAND(1 << i) > 0, F.struct(
+            F.lit(1 << i).alias("kind"), *[F.xxhash64(F.lit(seed), F.slice("before", 1, a), F.slice("behind", 1, b)).alias(f"k{seed}") for seed in (1, 2)]
+        )) for i, (a, b) in enumerate(kinds)
+    ]
+    open_ = later.where("rest > 0").select("doc_id", "text_hash", "pos", "h", "g", F.explode(F.array_compact(F.array(*pieces))).alias("w"))
+    open_ = stored(open_.select("doc_id", "text_hash", "pos", "h", "g", "w.*"), "line-open")
+    key = ["h", "g", "kind", "k1", "k2"]
+    again = open_.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("z"), F.count(F.lit(1)).alias("n")).where("first < z").drop("z")
+    again = join_to_one(open_, stored(again, "line-again"), key, "n", open_.count()).where(place > F.col("first"))
+    spans = spans.unionByName(again.select("doc_id", "text_hash", span(F.col("kind")).alias("s")))
+
+    covered = F.flatten(F.transform(F.collect_set("s"), lambda s: F.sequence(s["a"], s["b"])))
+    return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(covered)).alias("drop"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -72,25 +127,26 @@ def _without(lines: Column, drop: Column) -> Column:
 
 
 def dedup_lines(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows of documents with repeated runs of lines deleted from text, and n_lines, n_dropped beside them.
+    """The rows of documents with repeated windows of lines deleted from text, and n_lines, n_dropped beside them.
 
-    The first place (smallest doc_id, then place) of every run stays. Rows with a null doc_id or text stay as they
-    are and are no source of repeats (n_lines 0 for null text); rows repeated exactly are one document and get
-    equal texts; rows that share a doc_id but not the text are ordered by place alone. An n_chars column, where
-    there is one, is set to the new length. Other columns stay, but for own n_lines, n_dropped, which are replaced; a text of which
-    all lines go becomes empty; an empty table stays empty.
+    The first place (smallest doc_id, then place) of every window of up to ``window`` lines with ``least_chars`` characters stays. Rows
+    with a null doc_id or text stay as they are and are no source of repeats (n_lines 0 for null text); rows repeated exactly are one
+    document and get equal texts; rows that share a doc_id but not the text are ordered by place alone. An n_chars column, where
+    there is one, is set to the new length. Other columns stay whatever their names, but for own n_lines, n_dropped, which are
+    replaced; a text of which all lines go becomes empty; an empty table stays empty.
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
-    d = documents.select(*names)
-    drops = repeated_lines(d, window, least_chars).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    joined = d.join(drops, (d["doc_id"] == drops["_id"]) & (F.xxhash64(d["text"]) == drops["_hash"]), "left")
+    own, hash_, gone, body = unused([*names, "n_lines", "n_dropped"], "own_id", "own_hash", "gone", "body")
+    d = documents.select(*[F.col(f"`{c}`") for c in names])
+    drops = repeated_lines(d, window, least_chars).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hash_), F.col("drop").alias(gone))
+    joined = d.join(drops, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(hash_)), "left")
     lines = F.split("text", "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(_without(lines, F.col("_drop")))
-    out = joined.select(*names, n_lines.alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"), text.alias("_text"))
-    kept = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names]
-    out = out.select(*kept, "n_lines", "n_dropped")
-    return out.withColumn("n_dropped", F.when(F.col("n_dropped") < 0, 0).otherwise(F.col("n_dropped")))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(_without(lines, F.col(gone)))
+    dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    out = joined.select(*[F.col(f"`{c}`") for c in names], n_lines.alias("n_lines"), dropped.alias("n_dropped"), text.alias(body))
+    kept = [F.col(body).alias("text") if c == "text" else F.length(body).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names]
+    return out.select(*kept, "n_lines", "n_dropped")
 
 
 ORACLE = """
@@ -103,7 +159,9 @@ next as (
 windows as (
   select doc_id, pos, 1 as width, 'a' || line as run from next where length(line) >= 40
   union all
-  select doc_id, pos, 3, 'b' || line || chr(10) || l1 || chr(10) || l2 from next
+  select doc_id, pos, 2, 'b' || line || chr(10) || l1 from next where l1 is not null and length(line) + length(l1) >= 40
+  union all
+  select doc_id, pos, 3, 'c' || line || chr(10) || l1 || chr(10) || l2 from next
   where l2 is not null and length(line) + length(l1) + length(l2) >= 40),
 ranked as (select *, row_number() over (partition by run order by doc_id, pos) as rn from windows),
 gone as (select distinct doc_id, pos + i as pos from ranked, unnest(range(width)) as u(i) where rn > 1),

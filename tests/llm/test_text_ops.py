@@ -67,7 +67,7 @@ def test_line_dedup(docs, rows, spark):
             continue
         ls = once[d].split("\n")
         gone = set()
-        for w in (1, 3):
+        for w in (1, 2, 3):
             for p in range(len(ls) - w + 1):
                 run = tuple(ls[p : p + w])
                 if sum(map(len, run)) >= 40:
@@ -409,3 +409,40 @@ def test_toxicity(spark):
     assert len({r.score for r in toxicity.score_documents(none, model).where("doc_id is not null").collect()}) == 1
     assert toxicity.fit_model(d, labels.where("toxic = 0")) is None
     assert toxicity.score_documents(empty(spark), None).count() == 0 and toxicity.score_documents(empty(spark), model).count() == 0
+
+
+def brute_lines(rows, window=3, least=40):
+    """(doc_id, text) -> the text without repeated windows; rows in order of place."""
+    seen, gone = {}, {}
+    spots = sorted({(d, p, w, t) for d, t in rows if d is not None and t is not None for w in range(1, window + 1) for p in range(len(t.split("\n")) - w + 1)})
+    for d, p, w, t in spots:
+        run = tuple(t.split("\n")[p : p + w])
+        if sum(map(len, run)) >= least:
+            first = seen.setdefault(run, (d, p))
+            if first < (d, p):
+                gone.setdefault((d, t), set()).update(range(p, p + w))
+    return {(d, t): t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())) for d, t in rows}
+
+
+@pytest.mark.parametrize("window", [1, 3, 4])
+def test_line_dedup_of_few_kinds_of_lines(spark, window):
+    """Short lines of few kinds, so that fingerprints stand in many surroundings; ties, shared ids and clashing columns."""
+    rng = random.Random(window)
+    kinds = ["", "a" * 5, "b" * 12, "c" * 13, "d" * 20, "e" * 25, "f" * 41, "g" * 16, "h" * 18]
+    texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    rows = [(i // 2 if i % 10 == 0 else i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (7, None), (3, texts[3]), (900, "f" * 41)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for c in ("gone", "own_id", "own_hash", "body", "pos", "h", "_drop", "_id", "first"):
+        df = df.withColumn(c, F.lit(c))
+    out = linededup.dedup_lines(df, window).collect()
+    want = brute_lines(rows, window)
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(((d, want[d, t]) for d, t in rows), key=str)
+    assert all(r.gone == "gone" and r.own_id == "own_id" and r._drop == "_drop" for r in out)
+
+
+def test_fingerprints_are_minima_only(spark):
+    """Of a long text of short lines only the window minima are kept."""
+    text = "\n".join(f"line {i} of text" for i in range(3000))
+    spots = linededup.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    rows = spots.select("pos").collect()
+    assert len({r.pos for r in rows}) == len(rows) and 1200 < len(rows) < 1800
