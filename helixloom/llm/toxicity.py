@@ -1,17 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary labelled text, one on those windows of
-toxic text that ordinary text does not have. A window that packs shorter with the toxic dictionary beside the ordinary one
-than with the ordinary one alone speaks like toxic text; the gains of a document's windows, set against
-calibrated thresholds, give its score.
+Two zstandard dictionaries of equal making are trained, one on toxic and one on ordinary text: by the same trainer, of the same size, from
+those windows of such texts that a common base of ordinary prose does not pack. Behind each stands that base, so that the two differ only
+in what is peculiar to one side. A window that packs shorter with the toxic dictionary than with the ordinary one speaks like toxic
+text; the gains of a document's windows, set against calibrated thresholds, give its score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +20,32 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.llm.common import stored
+
 #: The model is fitted on at most so many labelled rows, those whose hashed doc_id is smallest.
 FIT_ROWS = 12_000
-#: Of a fitting text, so many bytes at most train the dictionaries; scores read every text whole.
-FIT_BYTES = 20_000
-WINDOW, STEP = 96, 88
-#: Sizes of the two dictionaries: a broad one of ordinary text, and a narrow one of what only toxic text has.
-DICT_BYTES, TOXIC_BYTES = 112_640, 1024
+#: Windows of a text that are packed and compared; they overlap by the difference.
+WINDOW, STEP = 64, 48
+#: Of each fitting text so many windows, evenly spread over the whole text, are samples of the base.
+BASE_SAMPLES = 32
+#: Windows from which the two dictionaries are trained: bytes from the start of a word, and how many of a text at most (evenly spread).
+PIECE, PIECES = 32, 1000
+#: So many times more ordinary than toxic texts, at most, give such windows.
+MORE_ORDINARY = 3
+#: Bytes of the base, of the dictionaries that select windows, and of the two that score.
+BASE_BYTES, SELECT_BYTES, DICT_BYTES = 112_640, 4096, 2048
+#: Rounds in which each half of the texts keeps those windows that the other half's dictionaries tell apart, and by how many bytes.
+ROUNDS, APART = 2, 3
 #: Gains, in bytes, from which a window counts.
-GAINS = (1, 2, 3, 4, 6)
+GAINS = (1, 2, 3, 4, 6, 8)
 
 
 @dataclass(frozen=True)
 class Model:
-    ordinary: bytes
-    toxic: bytes
-    weights: tuple[float, ...]
+    base: bytes
+    ordinary: bytes = b""
+    toxic: bytes = b""
+    weights: tuple[float, ...] = ()
     window: int = WINDOW
     step: int = STEP
 
@@ -44,53 +55,55 @@ def windows(data: bytes, window: int = WINDOW, step: int = STEP) -> list[bytes]:
     return [data[i : i + window] for i in range(0, max(1, len(data) - (window - step)), step)]
 
 
-def trained(samples: list[bytes], size: int, **cover) -> bytes:
-    """A dictionary's content; very few samples cannot be trained on and are taken as they are."""
+def spread(items: list, most: int) -> list:
+    """At most so many items, evenly from first to last."""
+    return items if len(items) <= most else [items[i * len(items) // most] for i in range(most)]
+
+
+def content(samples: list[bytes], size: int) -> bytes:
+    """What the zstandard trainer makes of the samples, without the head that describes it; nothing if they cannot be trained on."""
     try:
-        return zstandard.train_dictionary(size, samples, **cover).as_bytes()
+        data = zstandard.train_dictionary(size, samples, k=16, d=8).as_bytes() if samples else b""
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b""
+    end_of_head = np.array([1, 4, 8], dtype="<u4").tobytes()  # the trainer's repeat offsets stand last
+    return data[data.find(end_of_head) + len(end_of_head) :] if end_of_head in data else data
 
 
-def contrast(toxic: list[bytes], ordinary: list[bytes], least: int = 3, ratio: float = 4.0) -> list[bytes]:
-    """Of the toxic texts, the words (with the blank before) that toxic documents hold clearly more often than ordinary
-    ones do, each as often as it occurs: what the toxic dictionary has to know and the ordinary one has not."""
-    words = re.compile(rb"[^\s.,;:!?|]+")
-    seen_t, seen_o = Counter(), Counter()
-    for seen, texts in ((seen_t, toxic), (seen_o, ordinary)):
-        for t in texts:
-            seen.update(set(words.findall(t.lower())))
-    nt, no = max(1, len(toxic)), max(1, len(ordinary))
-    chosen = {w for w, k in seen_t.items() if k >= least and k / nt >= ratio * (seen_o[w] + 0.5) / no}
-    return [b" " + w + b" " for t in toxic for w in words.findall(t.lower()) if w in chosen]
+def compressor(data: bytes) -> zstandard.ZstdCompressor:
+    """The tables are wide enough to hold every position of a dictionary; matches start at four bytes, as toxic stems are short."""
+    how = zstandard.ZstdCompressionParameters(
+        strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=18, chain_log=17, search_log=4,
+        write_content_size=False, write_dict_id=False, write_checksum=False,
+    )
+    return zstandard.ZstdCompressor(
+        compression_params=how, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None
+    )
 
 
-def phrases(words: list[bytes], length: int = 12, seed: int = 0) -> list[bytes]:
-    """The words, shuffled, in samples of some length, as the trainer wants no sample of a few bytes."""
-    order = np.random.default_rng(seed).permutation(len(words))
-    words = [words[i][:-1] for i in order]
-    return [b"".join(words[i : i + length]) for i in range(0, len(words), length)]
+def compressors(model: Model) -> tuple:
+    """With the ordinary dictionary, and with the toxic one."""
+    return compressor(model.ordinary + model.base), compressor(model.toxic + model.base)
 
 
-def compressors(model: Model):
-    """With the ordinary dictionary, and with the toxic one before it. The tables are wide enough to hold every
-    position of both; matches start at four bytes, as toxic stems are short."""
+def hard_pieces(data: bytes, plain, base) -> list[bytes]:
+    """The short windows, spread over the whole text, on which the base saves nothing. They begin with words, so that passages
+    that several texts share give equal ones; a word is cut after PIECE bytes."""
+    starts = [m.start() for m in re.finditer(rb"[^\s]{1,%d}" % PIECE, data)]
+    found = (data[i : i + PIECE] for i in spread(starts, PIECES))
+    return [w for w in found if len(base.compress(w)) >= len(plain.compress(w))]
 
-    def make(content: bytes):
-        how = zstandard.ZstdCompressionParameters(
-            strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=18, chain_log=17, search_log=4,
-            write_content_size=False, write_dict_id=False, write_checksum=False,
-        )
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if content else None
-        return zstandard.ZstdCompressor(compression_params=how, dict_data=d)
 
-    return make(model.ordinary), make(model.toxic + model.ordinary)
+def first_only(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """Each window only where it comes first: what is copied from text to text counts once."""
+    seen: set[bytes] = set()
+    return [[w for w in x if not (w in seen or seen.add(w))] for x in texts]
 
 
 def features(text: str, model: Model, pair) -> list[float]:
-    plain, both = pair
+    ordinary, toxic = pair
     parts = windows(text.lower().encode(), model.window, model.step)
-    gain = np.array([len(plain.compress(w)) - len(both.compress(w)) for w in parts], dtype=float)
+    gain = np.array([len(ordinary.compress(w)) - len(toxic.compress(w)) for w in parts], dtype=float)
     top = np.sort(gain)[-3:]
     n = len(parts)
     out = [float(top[-1]), float(top.mean()), float(gain.mean())]
@@ -120,44 +133,83 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60)
     return (*raw.tolist(), float(w[-1] - (raw * mean).sum()))
 
 
-def fit(texts: list[str], labels: list[int], window: int = WINDOW, step: int = STEP, dict_bytes: int = DICT_BYTES) -> Model | None:
-    """Half of the texts train the dictionaries, the other half calibrates; None without both labels."""
-    y = np.array(labels)
-    if not len(y) or y.min() == y.max():
-        return None
-    data = [t.lower().encode()[:FIT_BYTES] for t in texts]
-    half = np.arange(len(y)) % 2 == 0
-    if len(set(y[half])) < 2 or len(set(y[~half])) < 2:
-        half = np.ones(len(y), dtype=bool)
-    toxic = [d for d, k, h in zip(data, y, half) if h and k]
-    ordinary = [d for d, k, h in zip(data, y, half) if h and not k]
-    base = trained([w for d in ordinary for w in windows(d, window, step)], dict_bytes)
-    extra = trained(phrases(contrast(toxic, ordinary)), TOXIC_BYTES, k=32, d=8)
-    model = Model(base, extra, (), window, step)
-    pair = compressors(model)
-    rest = ~half if (~half).any() else half
-    x = np.array([features(t, model, pair) for t, r in zip(texts, rest) if r])
-    return Model(base, extra, logistic(x, y[rest].astype(float)), window, step)
+def _joined(texts: list[list[bytes]]) -> list[bytes]:
+    return [w for t in texts for w in t]
+
+
+def dictionaries(base: bytes, ordinary: list[list[bytes]], toxic: list[list[bytes]], size: int = DICT_BYTES) -> tuple[bytes, bytes]:
+    """The contents of the two dictionaries from the hard windows of each text.
+
+    In each round either half of the texts keeps the windows that the dictionaries of the other half pack APART bytes shorter on
+    their own side, so that a window counts only for what other texts of its side have too.
+    """
+    ordinary, toxic = first_only(ordinary[: MORE_ORDINARY * len(toxic)]), first_only(toxic)
+    for _ in range(ROUNDS):
+        kept = [[], []]
+        for half in (0, 1):
+            packed = [compressor(content(_joined(x[1 - half :: 2]), SELECT_BYTES) + base) for x in (ordinary, toxic)]
+            for k, texts in enumerate((ordinary, toxic)):
+                mine, other = packed[k], packed[1 - k]
+                kept[k].append([[w for w in x if len(other.compress(w)) - len(mine.compress(w)) >= APART] for x in texts[half::2]])
+        ordinary, toxic = ([x for pair in zip_longest(*halves, fillvalue=[]) for x in pair] for halves in kept)
+    return content(_joined(ordinary), size), content(_joined(toxic), size)
 
 
 def held_out(doc_id):
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
 
 
+def _per_text(rows: DataFrame, kind: pa.DataType, spark_type: str, make) -> Iterator[tuple]:
+    """(no, value) for every fitting text; values are made in tasks from whole texts, and bounded in size."""
+
+    def run(batches):
+        one = make()
+        for batch in batches:
+            no, text = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("no", "text"))
+            yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), pa.array([one(t) for t in text], kind)], names=["no", "value"])
+
+    return sorted((r["no"], r["value"]) for r in rows.select("no", "text").mapInArrow(run, f"no long, value {spark_type}").collect())
+
+
 def fit_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    """Fit on a bounded sample of labelled rows that are not held out: at most fit_rows (a documented bound; the
-    sample goes to the driver), those with the smallest hashed ids, so that reruns agree."""
+    """Fit on a bounded sample of labelled rows that are not held out: at most fit_rows, those with the smallest hashed ids, so that
+    reruns agree. A document that is labelled both ways counts as toxic; of several texts of one id the smallest is taken.
+
+    Two thirds of the rows train the dictionaries, from windows spread over whole texts; the rest calibrates on the features of whole
+    texts. Texts are read in tasks; to the driver go windows and features, bounded by fit_rows. None without rows of both labels in both parts.
+    """
     marks = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = marks.orderBy(F.xxhash64(F.lit(11), F.col("doc_id")), "doc_id").limit(fit_rows)
     text = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    rows = text.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.substring("text", 1, FIT_BYTES)).alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: (hash_of(r["doc_id"]), r["doc_id"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = text.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    place = F.xxhash64(F.lit(11), F.col("doc_id"))
+    rows = stored(rows.select(F.col("doc_id").alias("no"), "toxic", "text", (F.pmod(place, F.lit(3)) == 0).alias("calibrates")), "toxicity-fit")
+    marked = {r["no"]: (r["toxic"], r["calibrates"]) for r in rows.select("no", "toxic", "calibrates").collect()}
+    if len(set(marked.values())) < 4:
+        return None
+    train = rows.where("not calibrates")
 
+    def samples():
+        return lambda t: spread(windows(t.lower().encode()), BASE_SAMPLES)
+
+    base = content(_joined([w for _, w in _per_text(train.where("toxic = 0"), pa.list_(pa.binary()), "array<binary>", samples)]), BASE_BYTES)
+
+    def pieces():
+        plain, packed = compressor(b""), compressor(base)
+        return lambda t: hard_pieces(t.lower().encode(), plain, packed)
+
+    hard = _per_text(train, pa.list_(pa.binary()), "array<binary>", pieces)
+    ordinary, toxic = dictionaries(base, *([w for no, w in hard if marked[no][0] == k] for k in (0, 1)))
+    model = Model(base, ordinary, toxic)
+
+    def measures():
+        pair = compressors(model)
+        return lambda t: features(t, model, pair)
 
-def hash_of(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 >> 7) & 0xFFFFFFFF
+    found = _per_text(rows.where("calibrates"), pa.list_(pa.float64()), "array<double>", measures)
+    x, y = np.array([v for _, v in found]), np.array([marked[no][0] for no, _ in found], dtype=float)
+    return replace(model, weights=logistic(x, y))
 
 
 def score_documents(documents: DataFrame, model: Model | None) -> DataFrame:

@@ -446,3 +446,59 @@ def test_fingerprints_are_minima_only(spark):
     spots = linededup.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     rows = spots.select("pos").collect()
     assert len({r.pos for r in rows}) == len(rows) and 1200 < len(rows) < 1800
+
+
+def test_toxicity_scores_recomputed_plainly(spark):
+    """Scores of whole texts from the model's own bytes, without the module's helpers; a long text is read to its end."""
+    import zstandard
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["tra", "lo", "min", "est", "ka", "un", "Ö"]) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(900):
+        w = [word() for _ in range(rng.randint(5, 90))]
+        if i % 3 == 0:
+            for _ in range(5):
+                w[rng.randrange(len(w))] = rng.choice(["vilest", "grubbyfool"])
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    calm = " ".join(word() for _ in range(40_000))
+    odd = [(1000, calm, None), (1001, calm + " grubbyfool vilest grubbyfool" * 3, None), (1002, "", None), (1003, None, None), (1004, rows[3][1], None)]
+    docs = spark.createDataFrame([r[:2] for r in rows + odd], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 1), (5, None), (7, 9)], "doc_id long, toxic int")
+    m = toxicity.fit_model(docs, labels)
+    assert m == toxicity.fit_model(docs.repartition(5), labels.repartition(3))  # reruns agree
+    flags = dict(strategy=3, min_match=4, window_log=18, hash_log=18, chain_log=17, search_log=4, write_content_size=False, write_dict_id=False, write_checksum=False)
+    side = [
+        zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**flags), dict_data=zstandard.ZstdCompressionDict(x + m.base, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        for x in (m.ordinary, m.toxic)
+    ]
+    want = {}
+    for d, t, _ in rows + odd:
+        data, gains, i = (t or "").lower().encode(), [], 0
+        while True:
+            gains.append(len(side[0].compress(data[i : i + 64])) - len(side[1].compress(data[i : i + 64])))
+            i += 48
+            if i >= len(data) - 16:
+                break
+        top = sorted(gains)[-3:]
+        x = [top[-1], sum(top) / len(top), sum(gains) / len(gains)]
+        for g in (1, 2, 3, 4, 6, 8):
+            k = sum(v >= g for v in gains)
+            x += [np.log1p(k), k / len(gains)]
+        want[d] = 1 / (1 + np.exp(-(np.dot(x + [np.log(len(gains))], m.weights[:-1]) + m.weights[-1])))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, m).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in want)
+    assert got[1001] > got[1000] and got[1002] == got[1003] and got[1004] == got[3]
+
+
+def test_toxicity_labels(spark):
+    """A document labelled both ways is toxic; equal rows of labels count once; without one of the labels there is no model."""
+    rng = random.Random(13)
+    text = lambda bad: " ".join(rng.choice(["vilest grub", "dumbox"]) if bad and j % 5 == 0 else rng.choice(["la", "mi", "ro", "tes"]) * 2 for j in range(40))
+    docs = spark.createDataFrame([(i, text(i % 3 == 0)) for i in range(300)], "doc_id long, text string")
+    once = [(i, int(i % 3 == 0)) for i in range(300)]
+    both = once + [(i, 0) for i in range(0, 300, 3)] + once[:50]
+    schema = "doc_id long, toxic int"
+    assert toxicity.fit_model(docs, spark.createDataFrame(both, schema)) == toxicity.fit_model(docs, spark.createDataFrame(once, schema))
+    assert toxicity.fit_model(docs, spark.createDataFrame([], schema)) is None
+    assert toxicity.content([], 100) == b"" and toxicity.content([b"ab"], 100) == b""
