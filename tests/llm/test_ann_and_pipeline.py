@@ -34,6 +34,39 @@ def test_recall_and_scores(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def recall(spark, x, k=10, kind="float"):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(4)
+    got = {}
+    for r in ann.nearest_neighbours(d, F.col("vec_id") % 20 == 0, k, fit_rows=1500).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert set(got) == set(range(0, len(x), 20)) and all(len(v) == k for v in got.values())
+    hit, y = 0, x.astype(np.float64)
+    for q, mine in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        hit += len(set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()) & set(mine))
+    return hit / k / len(got)
+
+
+def test_recall_with_lengths_far_apart(spark, monkeypatch):
+    """One vector many times longer than the rest, lengths with a heavy tail, and finite vectors whose squares are not."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24))
+    tail = x * np.exp(rng.normal(size=3000))[:, None]
+    longer, huge = x.copy(), x.copy()
+    longer[17] *= 1e6
+    huge[17] *= 1e160
+    assert recall(spark, longer) >= 0.95
+    assert recall(spark, tail) >= 0.95
+    assert recall(spark, huge, kind="double") >= 0.95
+    assert recall(spark, x * 2.0**300, kind="double") >= 0.95
+    monkeypatch.setattr(ann, "COARSE", 12)  # lists of two levels, and parts of few rows
+    monkeypatch.setattr(ann, "PART_ROWS", 200)
+    monkeypatch.setattr(ann, "CELL_ROWS", 40)
+    assert recall(spark, tail) >= 0.95
+
+
 def test_few_vectors(spark):
     d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.vec_id, r.score) for r in ann.nearest_neighbours(d, F.col("vec_id") == 0, 20).orderBy("rank").collect()] == [(1, 0.5), (2, -1.0)]
