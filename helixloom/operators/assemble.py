@@ -1,141 +1,171 @@
-"""Splice all cycle copies of an allele into one source-to-sink walk.
+"""Splice all cycle copies of an allele into one source-to-sink walk, by rounds of table operations over all alleles at once.
 
-Anchors, backbones and validity are tables (see cycles.py); what is left for an allele is a short sequential search over its own
-cycles, run once for each allele by a grouped map. Alleles of a whole cohort are dealt over the cluster by their key.
+A walk under construction is a table of nodes: a token, or a block that holds nodes and is repeated. A node is known by its ``path``, an
+array of numbers that sorts in reading order and begins with its block's path, so inserting, splitting and reading out need neither
+renumbering nor recursion. A round joins the copies that are left with the tokens that have their anchor, keeps the best site of each
+allele by one grouped minimum, and writes the new nodes. Rounds grow with the cycles of one allele, not with the number of alleles.
 """
 
 from __future__ import annotations
 
-import copy
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixloom.functions.tokens import canonical_start, reanchor
-from helixloom.operators.cycles import choose_anchors, cycle_stats, select_backbone
-
-FLIP = {"+": "-", "-": "+"}
-
-
-def _rc(tokens: list[str]) -> list[str]:
-    return [t[:-1] + FLIP[t[-1]] for t in reversed(tokens)]
-
-
-def _turn(tokens: list[str], seg: str) -> list[str]:
-    at = [t[:-1] for t in tokens].index(seg)
-    return tokens[at:] + tokens[:at]
-
-
-class _Block:
-    """A repeated stretch: parts are tokens (str) and inner blocks."""
-
-    def __init__(self, cycle_id, base: list[str], count: int):
-        self.cycle_id, self.base, self.parts, self.count = cycle_id, base, list(base), count
-
-    def flat(self) -> list[str]:
-        once = [t for p in self.parts for t in ([p] if isinstance(p, str) else p.flat())]
-        return once * self.count
-
-    def blocks(self) -> list[_Block]:
-        return [p for p in self.parts if not isinstance(p, str)]
-
-
-def _insert(host: _Block, at: int, cycle_id, tokens: list[str], count: int) -> None:
-    """Before the token where the anchors have one strand, else the reverse complement after it."""
-    if host.parts[at] == tokens[0]:
-        host.parts.insert(at, _Block(cycle_id, tokens, count))
-    else:
-        host.parts.insert(at + 1, _Block(cycle_id, _rc(tokens), count))
-
-
-def _spot(block: _Block, seg: str) -> int | None:
-    return next((i for i, p in enumerate(block.parts) if isinstance(p, str) and p[:-1] == seg), None)
-
-
-def absorb(host: _Block, cycle_id, tokens: list[str], left: int, times: int = 1) -> int:
-    """Place as many of the ``left`` copies as the first fitting site under host takes; host stands ``times`` times. Returns the copies used."""
-    share = left // times
-    if not share:
-        return 0
-    seg = tokens[0][:-1]
-    at = _spot(host, seg)
-    if at is not None:
-        _insert(host, at, cycle_id, tokens, share)
-        return share * times
-    fit = [b for b in host.blocks() if b.cycle_id != cycle_id and _spot(b, seg) is not None]
-    if fit:
-        inner = next((b for b in fit if b.count == share), fit[0])
-        if inner.count > share:  # only the first repetitions get a copy each
-            rest = copy.deepcopy(inner)
-            rest.count, inner.count = inner.count - share, share
-            host.parts.insert(host.parts.index(inner) + 1, rest)
-        each = share // inner.count
-        _insert(inner, _spot(inner, seg), cycle_id, tokens, each)
-        return each * inner.count * times
-    return next((used for b in host.blocks() if (used := absorb(b, cycle_id, tokens, left, times * b.count))), 0)
-
-
-def _extend(host: _Block, tokens: list[str], left: int, times: int = 1) -> int:
-    """Add copies to a block that holds these tokens, or their reverse complement."""
-    for b in host.blocks():
-        if left // times and b.base in (tokens, _rc(tokens)) and b.flat() == b.base * b.count:
-            b.count += left // times
-            return left // times * times
-        if used := _extend(b, tokens, left, times * b.count):
-            return used
-    return 0
-
-
-def splice(backbone: list[str], cycles: list[tuple]) -> list[str] | None:
-    """The walk of one allele from (id, tokens turned to the anchor, copies, length); None if copies are left over."""
-    root = _Block(None, backbone, 1)
-    pending = {c: [tokens, n, length] for c, tokens, n, length in cycles}
-    for _ in range(len(cycles) ** 2 + sum(len(t) for _, t, _, _ in cycles) + 1):
-        open_ = sorted((k for k in pending if pending[k][1] > 0), key=lambda k: (pending[k][2] * pending[k][1], k))
-        if not open_:
-            return root.flat()
-        for k in open_:
-            tokens, left, _ = pending[k]
-            if used := absorb(root, k, tokens, left):
-                pending[k][1] -= used
-                break
-        else:  # no site: lengthen an equal block, or turn a cycle to another of its segments
-            for k in open_:
-                tokens, left, _ = pending[k]
-                used = _extend(root, tokens, left)
-                turns = dict.fromkeys(t[:-1] for t in tokens)
-                used = used or next((u for s in turns if (u := absorb(root, k, _turn(tokens, s), left))), 0)
-                if used:
-                    pending[k][1] -= used
-                    break
-            else:
-                return None
-    return None
-
-
-def assemble_walks(cycles: DataFrame, segments: DataFrame, keys: list[str], source: str, sink: str) -> DataFrame:
-    """keys, valid, walk: for each key with a backbone the walk that uses all copies of its cycles (keys.., cycle_id, cnt, tokens).
-
-    A key without a backbone, with a cycle that shares no segment, or with copies that find no place is invalid and has a null walk. Of equal
-    choices the smaller id goes first. A group holds one allele's cycles.
+from helixloom.functions.tokens import canonical_start, reanchor, reverse_complement, segment_of
+from helixloom.operators.cycles import cycle_stats, choose_anchors, expand_nested, select_backbone
+from helixloom.sources.storage import stored
+
+#: Later copies of a split block come nearer to it: their path ends with this number less the round.
+FAR = 1 << 40
+ROOT = "cast(array() as array<bigint>)"
+
+
+def _root(spine: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes of a fresh walk: the root block, which stands once, and the backbone's tokens."""
+    block = spine.select(
+        *keys, F.expr("cast(null as array<bigint>)").alias("parent"), F.expr(ROOT).alias("path"), F.lit(None).cast("string").alias("token"),
+        F.col("cycle_id").cast("string").alias("cycle_id"), F.col("tokens").alias("base"), F.lit(1).cast("long").alias("cnt"), F.lit(1).cast("long").alias("times"), F.lit(0).alias("depth"),
+    )
+    return block.unionByName(_tokens(block, keys))
+
+
+def _tokens(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """A node for each token of new blocks; times: how often the whole walk reads it."""
+    long = blocks.select(*keys, "path", "times", "depth", F.posexplode("base").alias("i", "token"))
+    zero = F.lit(0).cast("long")
+    return long.select(
+        *keys, F.col("path").alias("parent"), F.concat("path", F.array(F.col("i").cast("long"), zero, zero)).alias("path"), "token", F.lit(None).cast("string").alias("cycle_id"),
+        F.lit(None).cast("array<string>").alias("base"), F.lit(None).cast("long").alias("cnt"), "times", (F.col("depth") + 1).alias("depth"),
+    )
+
+
+def _sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, best: the place that the next copies of each walk go to.
+
+    Cycles are tried by falling need (``rank``, then id). A block holds an anchor at its first token of that segment. Blocks are asked in
+    reading order, the root first: for a token of their own, then for one in an inner block of another cycle, best one that stands as often as
+    copies are due. Only where no anchor fits anywhere, an equal block that holds no other is repeated more often, or a cycle is turned to another of its segments.
     """
-    backbone = select_backbone(cycles, segments, keys, source, sink)
+    blocks = nodes.where("token is null")
+    first = nodes.where("token is not null").groupBy(*keys, F.col("parent").alias("block"), segment_of(F.col("token")).alias("seg"))
+    first = first.agg(F.min(F.struct("path", "token")).alias("spot"))
+    held = blocks.select(*keys, F.col("path").alias("block"), F.col("parent").alias("outer"), F.col("cycle_id").alias("owner"), F.col("cnt").alias("k"), "times", "base")
+    first = first.join(held.drop("base"), [*keys, "block"])
+    seg = F.transform("tokens", segment_of)
+    turns = F.array_distinct(F.concat(F.slice(seg, 1, 1), seg))
+    asked = open_.select("*", F.posexplode(turns).alias("turn", "seg"))
+    asked = asked.withColumn("tokens", F.when(F.col("turn") > 0, reanchor(F.col("tokens"), F.col("seg"))).otherwise(F.col("tokens")))
+    site = asked.join(first, [*keys, "seg"])
+    own = site.select("*", F.lit(0).alias("kind"), F.col("block").alias("unit"), F.expr("left div times").alias("share"), F.col("times").alias("m"))
+    outer = site.where("outer is not null and owner <> cycle_id")
+    outer = outer.select("*", F.lit(1).alias("kind"), F.col("outer").alias("unit"), F.expr("left div (times div k)").alias("share"), F.expr("times div k").alias("m"))
+    both = own.unionByName(outer).where("share > 0")
+    unlike = F.when((F.col("kind") == 1) & (F.col("k") != F.col("share")), 1).otherwise(0)
+    used = F.when(F.col("kind") == 0, F.col("share") * F.col("m")).when(F.col("k") > F.col("share"), F.col("share") * F.col("m")).otherwise(F.expr("share div k * k * m"))
+    placed = both.select(
+        *keys,
+        F.struct(
+            (F.col("turn") > 0).alias("late"), "rank", "cycle_id", F.lit(1).alias("way"), "turn", "unit", "kind", unlike.alias("unlike"), "block", F.col("spot.path").alias("at"),
+            "tokens", F.col("spot.token").alias("token"), "k", "share", "times", used.alias("used"),
+        ).alias("best"),
+    )
+    inner = blocks.select(*keys, F.col("parent").alias("block")).where("block is not null").distinct()
+    plain = held.where("outer is not null").join(inner, [*keys, "block"], "left_anti")
+    twin = open_.join(plain, keys).where((F.col("base") == F.col("tokens")) | (F.col("base") == reverse_complement(F.col("tokens"))))
+    twin = twin.withColumn("share", F.expr("left div (times div k)")).where("share > 0")
+    longer = twin.select(
+        *keys,
+        F.struct(
+            F.lit(True).alias("late"), "rank", "cycle_id", F.lit(0).alias("way"), F.lit(0).alias("turn"), F.col("outer").alias("unit"), F.lit(2).alias("kind"), F.lit(0).alias("unlike"),
+            "block", F.col("block").alias("at"), "tokens", F.lit(None).cast("string").alias("token"), "k", "share", "times", F.expr("share * (times div k)").alias("used"),
+        ).alias("best"),
+    )
+    return placed.unionByName(longer).groupBy(*keys).agg(F.min("best").alias("best"))
+
+
+def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str], no: int) -> DataFrame:
+    """The nodes after each walk's best site is taken."""
+    both = nodes.join(sites, keys, "left")
+    split = F.expr("best.kind = 1 and best.k > best.share")
+    inside = F.slice("path", F.lit(1), F.size("best.block")) == F.col("best.block")
+    mine = F.col("path") == F.col("best.block")
+    longer = F.expr("best.kind = 2")
+    now = F.when(split & inside, F.expr("times div best.k * best.share")).when(longer & inside, F.expr("times div best.k * (best.k + best.share)")).otherwise(F.col("times"))
+    cnt = F.when(split & mine, F.col("best.share")).when(longer & mine, F.col("cnt") + F.col("best.share")).otherwise(F.col("cnt"))
+    kept = both.select(*keys, "parent", "path", "token", "cycle_id", "base", cnt.alias("cnt"), now.alias("times"), "depth")
+    # the repetitions of a split block that get no copy follow as a block of their own
+    spot = F.array(F.lit(FAR - no))
+    behind = lambda p: F.concat(F.col("best.block"), spot, F.slice(p, F.size("best.block") + 1, F.size(p)))
+    rest = both.where(split & inside).select(
+        *keys, F.when(F.col("path") == F.col("best.block"), F.col("parent")).otherwise(behind(F.col("parent"))).alias("parent"), behind(F.col("path")).alias("path"), "token", "cycle_id", "base",
+        F.when(mine, F.col("cnt") - F.col("best.share")).otherwise(F.col("cnt")).alias("cnt"), F.expr("times div best.k * (best.k - best.share)").alias("times"), "depth",
+    )
+    each = F.expr("case when best.kind = 0 then best.share when best.k > best.share then 1 else best.share div best.k end")
+    times = F.when(F.expr("best.kind = 1 and best.k > best.share"), F.expr("best.times div best.k * best.share")).otherwise(F.col("best.times"))
+    same = F.col("best.token") == F.element_at("best.tokens", 1)
+    at = F.concat(F.slice("best.at", F.lit(1), F.size("best.at") - 2), F.when(same, F.array(F.lit(-1), F.lit(no))).otherwise(F.array(F.lit(1), F.lit(-no))).cast("array<bigint>"))
+    base = F.when(same, F.col("best.tokens")).otherwise(reverse_complement(F.col("best.tokens")))
+    new = sites.where("best.kind < 2").select(
+        *keys, F.col("best.block").alias("parent"), at.alias("path"), F.lit(None).cast("string").alias("token"), F.col("best.cycle_id").alias("cycle_id"), base.alias("base"), each.cast("long").alias("cnt"),
+        (times * each).cast("long").alias("times"),
+    )
+    level = nodes.where("token is null").select(*keys, F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"))
+    new = new.join(level, [*keys, "parent"])
+    return kept.unionByName(rest).unionByName(new).unionByName(_tokens(new, keys))
+
+
+def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, left) from spine(keys.., cycle_id, tokens) and pending(keys.., cycle_id, tokens turned to the anchor, left, weight): the finished node
+    tables, and for every key the copies that found no place.
+
+    In each round a walk takes one site; walks that are done or stuck leave the loop.
+    """
+    nodes = stored(_root(spine, keys), "walk-nodes")
+    pending = stored(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")), "walk-pending")
+    done, over, no = [], [], 0
+    while True:
+        no += 1
+        rank = F.when(F.col("draw").isNull(), F.col("weight") * F.col("left")).otherwise(F.col("draw")).alias("rank")
+        sites = stored(_sites(nodes, pending.where("left > 0").select("*", rank), keys), "walk-sites")
+        done.append(nodes.join(sites, keys, "left_anti"))
+        over.append(pending.join(sites, keys, "left_anti"))
+        if sites.isEmpty():
+            break
+        moving = sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used"), F.col("best.tokens").alias("turned"))
+        nodes = stored(_placed(nodes.join(sites, keys, "left_semi"), sites, keys, no), "walk-nodes")
+        pending = pending.join(sites, keys, "left_semi").join(moving, [*keys, "cycle_id"], "left")
+        pending = stored(pending.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("used", "turned"), "walk-pending")
+    every = lambda parts: parts[0] if len(parts) == 1 else every(parts[:-1]).unionByName(parts[-1])
+    return every(done), every(over).groupBy(*keys).agg(F.sum("left").alias("left"))
+
+
+def walk_nodes(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0):
+    """(nodes, state): the node tables of all walks by keys and map_no, and for each of these whether it is valid."""
+    backbone = select_backbone(cycles, segments, keys, source, sink, ends)
     anchors = choose_anchors(cycles, backbone, keys)
     sizes = cycle_stats(cycles, segments, [*keys, "cycle_id"]).select(*keys, "cycle_id", "length")
     turned = reanchor(canonical_start(F.col("tokens")), F.col("anchor"))
     rest = cycles.join(anchors, [*keys, "cycle_id"]).join(sizes, [*keys, "cycle_id"])
-    rest = rest.select(*keys, "cycle_id", "cnt", "length", F.col("anchor").isNotNull().alias("tied"), F.when(F.col("anchor").isNotNull(), turned).otherwise(F.col("tokens")).alias("tokens"), F.lit(False).alias("spine"))
-    spine = backbone.select(*keys, "cycle_id", F.lit(1).cast("long").alias("cnt"), "length", F.lit(True).alias("tied"), "tokens", F.lit(True).alias("spine"))
-    fields = cycles.select(*keys).schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-
-    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        spine = rows[rows["spine"]]
-        walk = None
-        if len(spine) and rows["tied"].all():
-            own = rows[~rows["spine"]].sort_values("cycle_id")
-            walk = splice(list(spine["tokens"].iloc[0]), [(c, list(t), int(n), int(x)) for c, t, n, x in zip(own["cycle_id"], own["tokens"], own["cnt"], own["length"])])
-        return pd.DataFrame([[*key, walk is not None, walk]], columns=[*keys, "valid", "walk"])
-
-    both = rest.select(*keys, "cycle_id", F.col("cnt").cast("long").alias("cnt"), "length", "tied", "tokens", "spine").unionByName(spine)
-    return both.groupBy(*keys).applyInPandas(one, f"{fields}, valid boolean, walk array<string>")
+    rest = stored(rest.select(*keys, "cycle_id", F.col("cnt").cast("long").alias("left"), F.col("length").alias("weight"), "anchor", turned.alias("tokens")), "walk-cycles")
+    maps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("map_no")
+    loose = rest.where("anchor is null").select(*keys).distinct()
+    spine = stored(backbone.join(loose, keys, "left_anti").select(*keys, maps, "cycle_id", "tokens"), "walk-spines")
+    draw = F.when(F.col("map_no") > 1, F.xxhash64(F.lit(seed), F.col("map_no"), F.col("cycle_id").cast("string")))
+    pending = rest.where("anchor is not null").select(*keys, maps, "cycle_id", "tokens", "left", "weight").withColumn("draw", draw)
+    by = [*keys, "map_no"]
+    nodes, left = splice(spine, pending.join(spine.select(*by), by, "left_semi"), by)
+    state = cycles.select(*keys).distinct().select(*keys, maps).join(spine.select(*by, F.lit(True).alias("begun")), by, "left").join(left, by, "left")
+    return nodes, state.select(*by, (F.coalesce("begun", F.lit(False)) & (F.coalesce("left", F.lit(0)) == 0)).alias("valid"))
+
+
+def assemble_walks(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0) -> DataFrame:
+    """keys, map_no, valid, walk: for each key with a backbone the walk that uses all copies of its cycles (keys.., cycle_id, cnt, tokens).
+
+    source and sink name the end segments of all keys, or ends (some of the keys, source, sink) those of each. map_no runs to ``replicates``: the first
+    takes cycles by length times copies left, the others in an order drawn from the seed. A key without a backbone, with a cycle that shares no segment, or with
+    copies that find no place is invalid and has a null walk. Of equal choices the smaller id (as text) goes first. segments may have some of the keys.
+    """
+    nodes, state = walk_nodes(cycles, segments, keys, source, sink, ends, replicates, seed)
+    by = [*keys, "map_no"]
+    good = nodes.join(state.where("valid"), by, "left_semi")
+    return state.join(expand_nested(good, by), by, "left").select(*by, "valid", "walk")

@@ -14,6 +14,7 @@ from helixloom.functions.tokens import (
     usage,
     walk_signature,
 )
+from helixloom.sources.storage import stored
 
 
 def expand_walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,21 +24,55 @@ def expand_walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda x: x["t"])).alias("walk"))
 
 
+def expand_nested(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, walk: read out nested nodes(keys.., parent, path, token, cnt, depth), each block's nodes as often as its count.
+
+    A token node has a token; a block has none and holds the nodes whose parent is its path, in order of theirs; the root is the block without a parent, at
+    depth 0. Blocks are read from the deepest up, one grouped list a level.
+    """
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    units = nodes.select(*keys, "parent", "path", "depth", "cnt", "token", F.when(F.col("token").isNotNull(), F.array("token")).alias("walk"))
+    for level in range(deepest, 0, -1):
+        held = units.where(F.col("depth") == level).groupBy(*keys, F.col("parent").alias("path"))
+        held = held.agg(F.array_sort(F.collect_list(F.struct("path", "walk"))).alias("in")).select(*keys, "path", F.flatten(F.transform("in", lambda x: x["walk"])).alias("once"))
+        units = units.where(F.col("depth") < level).join(held, [*keys, "path"], "left")
+        often = F.flatten(F.array_repeat("once", F.col("cnt").cast("int")))
+        units = units.select(*keys, "parent", "path", "depth", "cnt", "token", F.coalesce(F.when(F.col("token").isNull(), often), "walk").alias("walk"))
+    return units.where("parent is null").select(*keys, "walk")
+
+
 def tokens_long(cycles: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
     """keys, ord (from 0), token, seg, orit."""
     long = cycles.select(*keys, F.posexplode(column).alias("ord", "token"))
     return long.select("*", segment_of(F.col("token")).alias("seg"), strand_of(F.col("token")).alias("orit"))
 
 
+def shared_keys(keys: list[str], segments: DataFrame) -> list[str]:
+    """The keys that a table of segments has too (such as sample), by which it is joined beside seg."""
+    return [k for k in keys if k in segments.columns]
+
+
 def cycle_stats(cycles: DataFrame, segments: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
-    """keys, n_tokens, length, n_segments, first_seg, last_seg. Segments without a known length count 0."""
-    long = tokens_long(cycles, keys, column).join(segments.selectExpr("seg", "ed - st + 1 as len"), "seg", "left")
+    """keys, n_tokens, length, n_segments, first_seg, last_seg. Segments (seg, st, ed and any of the keys) without a known length count 0."""
+    on = [*shared_keys(keys, segments), "seg"]
+    long = tokens_long(cycles, keys, column).join(segments.select(*on, F.expr("ed - st + 1 as len")), on, "left")
     return long.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum(F.coalesce("len", F.lit(0))).alias("length"), F.countDistinct("seg").alias("n_segments"),
         F.min_by("seg", "ord").alias("first_seg"), F.max_by("seg", "ord").alias("last_seg"),
     )
 
 
+def nested_stats(nodes: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_tokens, length, n_blocks, structure_depth of nested nodes: lengths and tokens by how often they are read (times), levels of blocks with the root's."""
+    on = [*shared_keys(keys, segments), "seg"]
+    rows = nodes.withColumn("seg", segment_of(F.col("token"))).join(segments.select(*on, F.expr("ed - st + 1 as len")), on, "left")
+    token, block = F.col("token").isNotNull(), F.col("token").isNull()
+    return rows.groupBy(*keys).agg(
+        F.sum(F.when(token, F.col("times")).otherwise(0)).alias("n_tokens"), F.sum(F.when(token, F.col("times") * F.coalesce("len", F.lit(0))).otherwise(0)).alias("length"),
+        F.sum(F.when(block & F.col("parent").isNotNull(), 1).otherwise(0)).alias("n_blocks"), (F.max(F.when(block, F.col("depth"))) + 1).alias("structure_depth"),
+    )
+
+
 def segment_counts(cycles: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
     return tokens_long(cycles, keys, column).groupBy(*keys, "seg", "orit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -49,14 +84,31 @@ def locate_segment(cycles: DataFrame, wanted: DataFrame, keys: list[str]) -> Dat
     return hit.groupBy(*keys, "cycle_id", "seg").agg(F.min("ord").alias("ord"))
 
 
-def select_backbone(cycles: DataFrame, segments: DataFrame, keys: list[str], source: str, sink: str) -> DataFrame:
-    """keys, cycle_id, tokens: of the cycles with count 1 from source to sink the longest (smallest id of equals)."""
-    ends = F.col("cnt") == 1
-    ends = ends & (segment_of(F.element_at("tokens", 1)) == source) & (segment_of(F.element_at("tokens", -1)) == sink)
-    fit = cycles.where(ends)
+def locate_in_blocks(nodes: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seg, block, ord: the first place of a wanted segment (keys.., seg, count, avoid) in nested nodes: at top level (block null) or, where that has none, in the
+    first block below it that stands ``count`` times (any, if null) and is not of the cycle to avoid. Places count tokens and blocks from 0."""
+    place = Window.partitionBy(*keys, "parent").orderBy("path")
+    rows = nodes.where("parent is not null").withColumn("ord", F.row_number().over(place) - 1)
+    tokens = rows.where("token is not null").select(*keys, "parent", "ord", segment_of(F.col("token")).alias("seg")).join(wanted, [*keys, "seg"])
+    top = tokens.where("size(parent) = 0").select(*keys, "seg", F.lit(None).cast("int").alias("block"), "ord")
+    blocks = rows.where("token is null and size(parent) = 0").select(*keys, F.col("path").alias("parent"), F.col("ord").alias("block"), "cnt", "cycle_id")
+    inner = tokens.join(blocks, [*keys, "parent"]).where("(count is null or count = cnt) and (avoid is null or avoid <> cycle_id)").select(*keys, "seg", "block", "ord")
+    best = top.unionByName(inner).groupBy(*keys, "seg").agg(F.min(F.struct("block", "ord")).alias("p"))  # null, the top level, sorts first
+    return best.select(*keys, "seg", "p.block", "p.ord")
+
+
+def select_backbone(cycles: DataFrame, segments: DataFrame, keys: list[str], source: str = "source", sink: str = "sink", ends: DataFrame | None = None) -> DataFrame:
+    """keys, cycle_id, tokens: of the cycles with count 1 from source to sink the longest (smallest id of equals). source and sink are segments, or with
+    ends (any of the keys, source, sink) each group's own."""
+    if ends is not None:
+        known = cycles.join(ends, shared_keys(keys, ends))
+        a, b = F.col("source"), F.col("sink")
+    else:
+        known, a, b = cycles, F.lit(source), F.lit(sink)
+    fit = known.where((F.col("cnt") == 1) & (segment_of(F.element_at("tokens", 1)) == a) & (segment_of(F.element_at("tokens", -1)) == b)).select(*cycles.columns)
     sized = fit.join(cycle_stats(fit, segments, [*keys, "cycle_id"]).select(*keys, "cycle_id", "length"), [*keys, "cycle_id"])
-    best = Window.partitionBy(*keys).orderBy(F.desc("length"), "cycle_id")
-    return sized.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*keys, "cycle_id", "tokens", "length")
+    best = F.min_by(F.struct("cycle_id", "tokens", "length"), F.struct(-F.col("length"), "cycle_id"))
+    return sized.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
 def choose_anchors(cycles: DataFrame, backbone: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,20 +127,19 @@ def choose_anchors(cycles: DataFrame, backbone: DataFrame, keys: list[str]) -> D
     return out.select(*keys, "cycle_id", F.coalesce("direct", "indirect").alias("anchor"))
 
 
-def reachable_cycles(cycles: DataFrame, backbone: DataFrame, keys: list[str], most_rounds: int = 64) -> DataFrame:
-    """keys, cycle_id, hops: cycles that shared segments connect with the backbone (hops 0). Rounds grow with cycles in a row, not with rows."""
-    long = tokens_long(cycles, [*keys, "cycle_id"]).select(*keys, "cycle_id", "seg").distinct()
-    seen = backbone.select(*keys, "cycle_id").withColumn("hops", F.lit(0))
-    front, hop = seen, 0
-    while hop < most_rounds:
+def reachable_cycles(cycles: DataFrame, backbone: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, cycle_id, hops: cycles that shared segments connect with the backbone (hops 0). Rounds go on until none is new; they grow with cycles in a row, not with rows."""
+    long = stored(tokens_long(cycles, [*keys, "cycle_id"]).select(*keys, "cycle_id", "seg").distinct(), "cycle-segments")
+    front = stored(backbone.select(*keys, "cycle_id").withColumn("hops", F.lit(0)), "cycle-front")
+    seen, hop = front, 0
+    while True:
         hop += 1
         segs = front.select(*keys, "cycle_id").join(long, [*keys, "cycle_id"]).select(*keys, "seg").distinct()
         front = long.join(segs, [*keys, "seg"], "left_semi").select(*keys, "cycle_id").distinct().join(seen, [*keys, "cycle_id"], "left_anti").withColumn("hops", F.lit(hop))
-        front = front.checkpoint()
+        front = stored(front, "cycle-front")
         if front.isEmpty():
-            break
-        seen = seen.unionByName(front).checkpoint()
-    return seen
+            return seen
+        seen = stored(seen.unionByName(front), "cycle-seen")
 
 
 def fold_repeats(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
@@ -103,6 +154,28 @@ def fold_repeats(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFra
     return runs.where("times >= 2").select(*keys, "unit_id", "start", "times")
 
 
+def fold_walks(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
+    """keys, text, height: walks with repeated units folded into counts, ``H1+ (H3+ V1-)x5 H4+``, and the number of folded stretches.
+
+    From left to right: of the runs that begin first the one that covers most tokens (then the smallest unit id) is folded, runs that overlap it are passed over."""
+    sized = fold_repeats(walks, keys, units).join(units.select(*keys, "unit_id", F.size("unit").alias("u")), [*keys, "unit_id"])
+    order = F.struct("start", (-F.col("times") * F.col("u")).alias("less"), F.col("unit_id").cast("string").alias("unit_id"), "u", F.col("times").cast("int").alias("times"))
+    runs = walks.select(*keys, "walk").join(sized.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("runs")), keys, "left")
+    join = lambda a, n: F.array_join(F.slice("walk", a + 1, n), " ")
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc, r):
+        plain = F.when(r["start"] > acc["at"], F.array(join(acc["at"], r["start"] - acc["at"]))).otherwise(F.array().cast("array<string>"))
+        folded = F.concat(F.lit("("), join(r["start"], r["u"]), F.lit(")x"), r["times"].cast("string"))
+        taken = F.struct((r["start"] + r["u"] * r["times"]).cast("int").alias("at"), F.concat(acc["parts"], plain, F.array(folded)).alias("parts"))
+        return F.when(r["start"] >= acc["at"], taken).otherwise(acc)
+
+    out = runs.select(*keys, "walk", F.aggregate(F.coalesce("runs", F.expr("array()").cast("array<struct<start:int,less:bigint,unit_id:string,u:int,times:int>>")), begin, step).alias("f"))
+    rest = F.when(F.col("f.at") < F.size("walk"), F.array(join(F.col("f.at"), F.size("walk") - F.col("f.at")))).otherwise(F.array().cast("array<string>"))
+    parts = F.concat("f.parts", rest)
+    return out.select(*keys, F.array_join(parts, " ").alias("text"), F.size(F.filter(parts, lambda p: F.startswith(p, F.lit("(")))).alias("height"))
+
+
 def walk_signatures(walks: DataFrame) -> DataFrame:
     return walks.select("*", walk_signature(F.col("walk")).alias("md5_walk"), composition_signature(F.col("walk")).alias("md5_composition"))
 
@@ -119,13 +192,18 @@ def motif_pattern(motif):
     return F.concat(F.lit("(^|;)"), F.array_join(parts, ";"), F.lit(";"))
 
 
-def require_motifs(walks: DataFrame, motifs: DataFrame, keys: list[str]) -> DataFrame:
-    """Walks that hold every motif (column motif) forward or as its reverse complement; with no motif all walks."""
-    back = F.array_join(F.transform(F.reverse(F.split("motif", ",")), lambda t: F.when(t.rlike("[+-]$"), flip(t)).otherwise(t)), ",")
-    both = motifs.select("motif", motif_pattern(F.col("motif")).alias("f"), motif_pattern(back).alias("r"))
+def require_motifs(walks: DataFrame, motifs: list[str], keys: list[str], single: DataFrame | None = None) -> DataFrame:
+    """Walks that hold every motif forward or as its reverse complement; with no motif all walks. Motifs are a user's short list, so each is a filter of the scan and
+    nothing is joined. Alleles of one cycle (single: some of the keys) are exempt."""
     text = F.concat(F.array_join("walk", ";"), F.lit(";"))
-    fail = walks.withColumn("_t", text).join(F.broadcast(both), F.expr("not (_t rlike f or _t rlike r)"), "left_semi").select(*keys)
-    return walks.join(fail.distinct(), keys, "left_anti")
+    ok = F.lit(True)
+    for m in motifs:
+        back = F.array_join(F.transform(F.reverse(F.split(F.lit(m), ",")), lambda t: F.when(t.rlike("[+-]$"), flip(t)).otherwise(t)), ",")
+        ok = ok & (F.regexp(text, motif_pattern(F.lit(m))) | F.regexp(text, motif_pattern(back)))
+    if single is None:
+        return walks.where(ok)
+    on = shared_keys(keys, single)
+    return walks.where(ok).unionByName(walks.where(~ok).join(single.select(*on).distinct(), on, "left_semi"))
 
 
 def inversion_variants(walks: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,9 +232,10 @@ def propagate_validity(alleles: DataFrame) -> DataFrame:
 
 
 def solution_accounting(cycles: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seg, expected, cn, residual: copies of each segment that cycles (.., cnt, tokens) add up to, against segments (seg, cn)."""
+    """keys, seg, expected, cn, residual: copies of each segment that cycles (.., cnt, tokens) add up to, against segments (seg, cn and any of the keys)."""
     use = tokens_long(cycles, [*keys, "cnt", "cycle_id"]).groupBy(*keys, "seg").agg(F.sum("cnt").alias("expected"))
-    return use.join(segments.select("seg", "cn"), "seg", "left").select(*keys, "seg", "expected", "cn", F.expr("try_divide(expected - cn, cn)").alias("residual"))
+    on = [*shared_keys(keys, segments), "seg"]
+    return use.join(segments.select(*on, "cn"), on, "left").select(*keys, "seg", "expected", "cn", F.expr("try_divide(expected - cn, cn)").alias("residual"))
 
 
 def usage_strings(cycles: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.operators.intervals import BIN, point_join
+from helixloom.operators.intervals import BIN, interval_join, point_join
 
 #: Control depth of a baseline region up to which no ratio is defined.
 LEAST_BASELINE_DEPTH = 5.0
@@ -38,7 +38,7 @@ def coverage(intervals: DataFrame, keys: list[str], min_baseq: int = 5, min_mapq
 
 
 def positions(runs: DataFrame) -> DataFrame:
-    """Runs spread to one row a position (pos, depth as double)."""
+    """Runs spread to one row a position (pos, depth as double); for small regions only, the operators below work on runs."""
     rest = [c for c in runs.columns if c not in ("st", "ed", "depth")]
     return runs.select(*rest, F.explode(F.sequence("st", "ed")).alias("pos"), F.col("depth").cast("double").alias("depth"))
 
@@ -52,8 +52,7 @@ def window_layout(resol: DataFrame) -> DataFrame:
 
 def assign_windows(points: DataFrame, resol: DataFrame) -> DataFrame:
     """points with win (from 1), win_st, win_ed and res of the window that holds them; points outside go."""
-    lay = F.broadcast(window_layout(resol))  # configuration: a few rows for each reference
-    hit = points.join(lay, "refseg").where("pos between st and ed")
+    hit = points.join(window_layout(resol), "refseg").where("pos between st and ed")
     k = F.expr("(pos - st) div res")
     return hit.select(
         *points.columns, (F.col("before") + k + 1).alias("win"), (F.col("st") + k * F.col("res")).alias("win_st"),
@@ -61,6 +60,17 @@ def assign_windows(points: DataFrame, resol: DataFrame) -> DataFrame:
     )
 
 
+def cut_windows(runs: DataFrame, resol: DataFrame) -> DataFrame:
+    """runs cut at the borders of windows: each piece with win, win_st, win_ed and res of its window. What lies outside the layout goes. Bases are never
+    spread: a run gives as many rows as windows that it touches."""
+    rest = [c for c in runs.columns if c not in ("st", "ed")]
+    lay = window_layout(resol).select("refseg", F.col("st").alias("l_st"), F.col("ed").alias("l_ed"), "res", "before")
+    hit = runs.join(lay, "refseg").where("st <= l_ed and l_st <= ed")
+    k = F.explode(F.sequence(F.expr("(greatest(st, l_st) - l_st) div res"), F.expr("(least(ed, l_ed) - l_st) div res"))).alias("k")
+    hit = hit.select("*", k).select("*", F.expr("l_st + k * res").alias("win_st"), F.expr("least(l_st + (k + 1) * res - 1, l_ed)").alias("win_ed"))
+    return hit.select(*rest, F.greatest("st", "win_st").alias("st"), F.least("ed", "win_ed").alias("ed"), F.expr("before + k + 1").alias("win"), "win_st", "win_ed", "res")
+
+
 def windows_of(resol: DataFrame) -> DataFrame:
     """Every window of the layout: refseg, win, st, ed, res."""
     lay = window_layout(resol).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
@@ -72,37 +82,58 @@ def auto_resolution(region: DataFrame, pixels: int) -> DataFrame:
     return region.groupBy("refseg").agg(F.ceil(F.sum(F.col("ed") - F.col("st") + 1) / pixels).alias("res"))
 
 
-def prior_ratio(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """points with ratio: the known copy ratio of their range (refseg, st, ed, ratio), 1 elsewhere."""
-    hit = point_join(points, ranges.select("refseg", "st", "ed", "ratio"), ["refseg"], how="left")
-    return hit.withColumn("ratio", F.coalesce("ratio", F.lit(1.0))).drop("st", "ed")
+def prior_ratio(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """runs cut at the borders of ranges (refseg, st, ed, ratio; those of a reference must not overlap), with ratio: the known copy ratio inside, 1 elsewhere.
+
+    The ranges that a run meets come to it as one sorted array, of which the gaps follow; ranges are a user's short list.
+    """
+    rest = [c for c in runs.columns if c not in ("st", "ed")]
+    lists = ranges.groupBy("refseg").agg(F.array_sort(F.collect_list(F.struct("st", "ed", "ratio"))).alias("ranges"))
+    met = runs.join(lists, "refseg", "left")
+    met = met.select(*rest, "st", "ed", F.filter(F.coalesce("ranges", F.expr("array()").cast("array<struct<st:bigint,ed:bigint,ratio:double>>")), lambda r: (r["st"] <= F.col("ed")) & (r["ed"] >= F.col("st"))).alias("r"))
+    known = F.transform("r", lambda r: F.struct(F.greatest(r["st"], F.col("st")).alias("st"), F.least(r["ed"], F.col("ed")).alias("ed"), r["ratio"].alias("ratio")))
+    gap = F.transform(
+        F.sequence(F.lit(0), F.size("r")),
+        lambda i: F.struct(
+            F.when(i == 0, F.col("st")).otherwise(F.get("r", i - 1)["ed"] + 1).alias("st"), F.when(i == F.size("r"), F.col("ed")).otherwise(F.get("r", i)["st"] - 1).alias("ed"), F.lit(1.0).alias("ratio")
+        ),
+    )
+    pieces = F.explode(F.filter(F.concat(known, gap), lambda p: p["st"] <= p["ed"])).alias("p")
+    return met.select(*rest, pieces).select(*rest, "p.st", "p.ed", "p.ratio")
 
 
-def stable_positions(points: DataFrame, ranges: DataFrame, mean: float, tolerance: float) -> DataFrame:
-    """refseg, pos of control positions whose depth lies in mean * (1 -+ tolerance) * ratio, both ends included."""
-    ctrl = prior_ratio(points.where("tissue = 'ctrl'"), ranges)
-    return ctrl.where(f"depth between {mean} * (1 - {tolerance}) * ratio and {mean} * (1 + {tolerance}) * ratio").select("refseg", "pos")
+def stable_positions(runs: DataFrame, ranges: DataFrame, mean: float, tolerance: float, keys: list[str] | None = None) -> DataFrame:
+    """keys, st, ed: stretches of the control whose depth lies in mean * (1 -+ tolerance) * ratio, both ends included. keys (sample and refseg) say whose control it is."""
+    ctrl = prior_ratio(runs.where("tissue = 'ctrl'"), ranges)
+    return ctrl.where(f"depth between {mean} * (1 - {tolerance}) * ratio and {mean} * (1 + {tolerance}) * ratio").select(*(keys or ["sample", "refseg"]), "st", "ed")
 
 
-def keep_stable(windowed: DataFrame, stable: DataFrame, from_res: int = 10) -> DataFrame:
-    """Positions of both tissues that are stable, and all positions of windows finer than from_res."""
-    return windowed.where(f"res >= {from_res}").join(stable, ["refseg", "pos"], "left_semi").unionByName(windowed.where(f"res < {from_res}"))
+def keep_stable(pieces: DataFrame, stable: DataFrame, from_res: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """The parts of both tissues' pieces that are stable in their sample, and all of windows finer than from_res."""
+    coarse = interval_join(pieces.where(f"res >= {from_res}"), stable, keys or ["sample", "refseg"])
+    coarse = coarse.withColumns({"st": F.greatest("st", "r_st"), "ed": F.least("ed", "r_ed")}).select(*pieces.columns)
+    return coarse.unionByName(pieces.where(f"res < {from_res}"))
 
 
-def window_mean(windowed: DataFrame, keys: list[str], mode: str = "plain", trim: float = 0.0) -> DataFrame:
-    """keys, mean, n. plain: all values; trim: floor(|t| * n) values go at both ends, or for t < 0 at the high end only;
-    sd3: values within mean -+ 3 population standard deviations, no trimming. Sums stay exact for whole depths."""
-    rows = windowed
+def window_mean(pieces: DataFrame, keys: list[str], mode: str = "plain", trim: float = 0.0) -> DataFrame:
+    """keys, mean, n (bases) of pieces of even depth, each weighted by its length. plain: all bases; trim: floor(|t| * n) bases go at both ends, or for t < 0 at
+    the high end only; sd3: bases within mean -+ 3 population standard deviations, no trimming. Sums stay exact for whole depths."""
+    rows = pieces.select(*keys, F.col("depth").cast("double").alias("depth"), (F.col("ed") - F.col("st") + 1).alias("_w"))
+    # equal depths of a window are one row from here on
+    rows = rows.groupBy(*keys, "depth").agg(F.sum("_w").alias("_w"))
     part = Window.partitionBy(*keys)
     if mode == "trim" and trim:
+        upto = F.sum("_w").over(part.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.select("*", upto.alias("_u"), F.sum("_w").over(part).alias("_n"))
         cut = F.floor(F.col("_n") * abs(trim))
-        rows = rows.select("*", F.row_number().over(part.orderBy("depth", "pos")).alias("_i"), F.count(F.lit(1)).over(part).alias("_n"))
-        low = F.col("_i") > cut if trim > 0 else F.lit(True)
-        rows = rows.where(low & (F.col("_i") <= F.col("_n") - cut))
+        low = cut if trim > 0 else F.lit(0)
+        rows = rows.withColumn("_w", F.least("_u", F.col("_n") - cut) - F.greatest(F.col("_u") - F.col("_w"), low)).where("_w > 0")
     elif mode == "sd3":
-        rows = rows.select("*", F.avg("depth").over(part).alias("_m"), F.round(F.stddev_pop("depth").over(part), 9).alias("_s"))
-        rows = rows.where("abs(depth - _m) <= 3 * _s + 1e-9")
-    return rows.groupBy(*keys).agg(F.avg("depth").alias("mean"), F.count(F.lit(1)).alias("n"))
+        n, total, squares = (F.sum(x).over(part) for x in (F.col("_w"), F.col("_w") * F.col("depth"), F.col("_w") * F.col("depth") * F.col("depth")))
+        rows = rows.select("*", n.alias("_n"), total.alias("_t"), squares.alias("_q"))
+        sd = F.sqrt(F.greatest(F.lit(0.0), F.col("_n") * F.col("_q") - F.col("_t") * F.col("_t"))) / F.col("_n")
+        rows = rows.where(F.abs(F.col("depth") - F.col("_t") / F.col("_n")) <= 3 * F.round(sd, 9) + 1e-9)
+    return rows.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("depth")) / F.sum("_w")).alias("mean"), F.sum("_w").alias("n"))
 
 
 def admixture(purity: Column, ploidy_t: Column, ploidy_n: Column) -> dict[str, Column]:
@@ -129,40 +160,52 @@ def sample_cn_ratio(mean: Column, purity: Column, ploidy_t: Column, ploidy_n: Co
     return F.lit(1.0) / p / single_copy_depth(mean, purity, ploidy_t, ploidy_n)
 
 
-def adjust_depth(means: DataFrame, p: dict, ratio: str | None = None) -> DataFrame:
-    """means (tissue, mean) with ``adj``: the case without its normal part, the control at the tumour-equivalent level. Without
-    a case mean (None) nothing changes."""
-    if p.get("mean_case") is None:
-        return means.withColumn("adj", F.col("mean"))
-    a = admixture(F.lit(p["purity"]), F.lit(p["ploidy_t"]), F.lit(p["ploidy_n"]))
+def adjust_depth(means: DataFrame, facts: DataFrame, ratio: str | None = None) -> DataFrame:
+    """means (sample, tissue, mean) with ``adj``: the case without its normal part, the control at the tumour-equivalent level. facts has one row a sample: mean_case,
+    mean_ctrl, purity, ploidy_t, ploidy_n. Without a case mean (or facts) nothing changes."""
+    a = admixture(F.col("purity"), F.col("ploidy_t"), F.col("ploidy_n"))
     prior = F.col(ratio) if ratio else F.lit(1.0)
-    case = subtract_admixture(F.col("mean"), F.lit(p["mean_case"]), a["n_ratio"], prior)
-    ctrl = F.col("mean") * F.lit(p["mean_case"]) * a["t_ratio"] / F.lit(p["mean_ctrl"])
-    return means.withColumn("adj", F.when(F.col("tissue") == "case", case).otherwise(ctrl))
+    case = subtract_admixture(F.col("mean"), F.col("mean_case"), a["n_ratio"], prior)
+    ctrl = F.col("mean") * F.col("mean_case") * a["t_ratio"] / F.col("mean_ctrl")
+    both = means.join(facts.select("sample", "mean_case", "mean_ctrl", "purity", "ploidy_t", "ploidy_n"), "sample", "left")
+    adj = F.when(F.col("mean_case").isNull(), F.col("mean")).when(F.col("tissue") == "case", case).otherwise(ctrl)
+    return both.select(*means.columns, adj.alias("adj"))
 
 
-def smooth(windows: DataFrame, breaks: DataFrame, k: int = 2, value: str = "adj") -> DataFrame:
-    """windows (tissue, refseg, win) with ``show``: the mean over k windows on either side that lie in the same stretch between
-    breakpoint windows (refseg, win); a breakpoint window begins a stretch. k = 0 leaves values as they are."""
+#: Windows that one task smooths together.
+SMOOTH_WINDOWS = 4096
+
+
+def smooth(windows: DataFrame, breaks: DataFrame, k: int = 2, value: str = "adj", block: int = SMOOTH_WINDOWS) -> DataFrame:
+    """windows (sample, tissue, refseg, win) with ``show``: the mean over the windows at most k away that lie in the same stretch between
+    the sample's breakpoint windows (sample, refseg, win); a breakpoint window begins a stretch. k = 0 leaves values as they are.
+
+    Blocks of windows, with the k next ones on either side, are smoothed on their own, so that no task holds a whole reference.
+    """
     if k == 0:
         return windows.withColumn("show", F.col(value))
-    marked = windows.join(breaks.select("refseg", "win").distinct().withColumn("_b", F.lit(1)), ["refseg", "win"], "left")
-    line = Window.partitionBy("tissue", "refseg").orderBy("win").rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("barrier", F.sum(F.coalesce("_b", F.lit(0))).over(line)).drop("_b")
-    near = Window.partitionBy("tissue", "refseg", "barrier").orderBy("win").rowsBetween(-k, k)
-    return marked.withColumn("show", F.avg(value).over(near))
+    keys = ["sample", "tissue", "refseg"]
+    spots = breaks.select("sample", "refseg", "win").distinct().withColumn("_b", F.lit(1))
+    marked = windows.join(spots, ["sample", "refseg", "win"], "left")
+    own = F.expr(f"win div {block}")
+    marked = marked.select("*", own.alias("_own"), F.explode(F.array_distinct(F.array(F.expr(f"(win - {k}) div {block}"), own, F.expr(f"(win + {k}) div {block}")))).alias("_block"))
+    line = Window.partitionBy(*keys, "_block").orderBy("win").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("barrier", F.sum(F.coalesce("_b", F.lit(0))).over(line))
+    near = Window.partitionBy(*keys, "_block", "barrier").orderBy("win").rangeBetween(-k, k)
+    return marked.withColumn("show", F.avg(value).over(near)).where("_own = _block").select(*windows.columns, "show")
 
 
-def depth_extent(windows: DataFrame, value: str = "show") -> DataFrame:
-    return windows.groupBy("tissue", "refseg").agg(F.max(value).alias("max_depth"), F.max("win").alias("max_win"))
+def depth_extent(windows: DataFrame, value: str = "show", keys: list[str] | None = None) -> DataFrame:
+    return windows.groupBy(*(keys or ["sample", "tissue", "refseg"])).agg(F.max(value).alias("max_depth"), F.max("win").alias("max_win"))
 
 
 def baseline_cn_ratio(windows: DataFrame, baseline: DataFrame, breakpoints: DataFrame, least: float = LEAST_BASELINE_DEPTH) -> DataFrame:
-    """refseg, depth, ratio: copies for each unit of depth from a baseline (refseg, st, ed, cn, tissue) that holds no breakpoint
-    (refseg, pos) strictly inside. cn missing or up to 0.5 counts as 2; a depth up to ``least`` gives no ratio; tissue defaults to the control."""
-    cut = point_join(breakpoints.select("refseg", "pos"), baseline.select("refseg", "st", "ed"), ["refseg"]).where("pos > st and pos < ed").select("refseg", "st", "ed").distinct()
-    base = baseline.join(cut, ["refseg", "st", "ed"], "left_anti")
-    hit = windows.alias("w").join(F.broadcast(base).alias("b"), F.expr("w.refseg = b.refseg and w.tissue = coalesce(b.tissue, 'ctrl') and w.st <= b.ed and b.st <= w.ed"))
-    mean = hit.groupBy("b.refseg", "b.st", "b.ed", "b.cn").agg(F.avg("w.adj").alias("depth"))
+    """sample, refseg, depth, ratio: copies for each unit of depth from a baseline (sample, refseg, st, ed, cn, tissue) that holds no breakpoint of its sample
+    (sample, refseg, pos) strictly inside. cn missing or up to 0.5 counts as 2; a depth up to ``least`` gives no ratio; tissue defaults to the control."""
+    on = ["sample", "refseg"]
+    cut = point_join(breakpoints.select(*on, "pos"), baseline.select(*on, "st", "ed"), on).where("pos > st and pos < ed").select(*on, "st", "ed").distinct()
+    base = baseline.join(cut, [*on, "st", "ed"], "left_anti").withColumn("tissue", F.coalesce("tissue", F.lit("ctrl")))
+    hit = interval_join(windows.select(*on, "tissue", "st", "ed", "adj"), base, [*on, "tissue"])
+    mean = hit.groupBy(*on, "r_st", "r_ed", "cn").agg(F.avg("adj").alias("depth"))
     cn = F.when(F.col("cn") > 0.5, F.col("cn")).otherwise(F.lit(2.0))
-    return mean.select("refseg", "depth", F.when(F.col("depth") > least, cn / F.col("depth")).alias("ratio"))
+    return mean.select(*on, "depth", F.when(F.col("depth") > least, cn / F.col("depth")).alias("ratio"))

@@ -10,14 +10,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1000
+#: Bins of a level are so many times wider than those of the level below.
+WIDER = 16
+#: Levels, narrowest bins first; the last holds intervals of any length.
+LEVELS = 7
 
 
-def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int = BIN, how: str = "inner") -> DataFrame:
-    """Pairs of rows with equal ``on`` and overlapping [st, ed]; right's st and ed come as r_st, r_ed. how: inner, left_semi."""
-    a = left.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {bin_size}"), F.expr(f"ed div {bin_size}"))))
+def _level(length, bin_size: int):
+    """The first level whose bins are at least as wide as the interval is long."""
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(length <= bin_size * WIDER**k, k).otherwise(out)
+    return out
+
+
+def _levels(df: DataFrame, st: str, ed: str, bin_size: int) -> list[int]:
+    rows = df.select(_level(F.col(ed) - F.col(st) + 1, bin_size).alias("k")).distinct().collect()  # LEVELS rows at most
+    return sorted(r["k"] for r in rows)
+
+
+def _binned(df: DataFrame, st: str, ed: str, bin_size: int, levels: list[int]) -> DataFrame:
+    """A row for each bin, at every given level from the interval's own up, in which it lies: two at most on a level."""
+    level = _level(F.col(ed) - F.col(st) + 1, bin_size)
+    width = lambda k: F.lit(bin_size * WIDER**k)
+    div = lambda a, b: F.floor(a / b).cast("long")
+
+    def spots(k: int):
+        bins = F.sequence(div(F.col(st), width(k)), div(F.col(ed), width(k)))
+        return F.when(level <= k, F.transform(bins, lambda b: F.struct(F.lit(k).alias("k"), b.alias("b"), level.alias("own"))))
+
+    return df.withColumn("_bin", F.explode(F.flatten(F.array_compact(F.array(*[spots(k) for k in levels])))))
+
+
+def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int | None = None, how: str = "inner") -> DataFrame:
+    """Pairs of rows with equal ``on`` and overlapping [st, ed]; right's st and ed come as r_st, r_ed. how: inner, left_semi.
+
+    With a bin_size both sides are cut to bins of that width. Without one, bins come in levels, each WIDER times as wide, and a pair meets in a bin of the longer
+    interval's level: a row is copied twice for each level that occurs, however long it is. A null st or ed overlaps nothing.
+    """
     b = right.withColumnsRenamed({"st": "r_st", "ed": "r_ed"})
-    b = b.withColumn("_bin", F.explode(F.sequence(F.expr(f"r_st div {bin_size}"), F.expr(f"r_ed div {bin_size}"))))
-    hit = a.join(b, [*on, "_bin"]).where(f"st <= r_ed and r_st <= ed and _bin = greatest(st, r_st) div {bin_size}").drop("_bin")
+    if bin_size is not None:
+        a = left.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {bin_size}"), F.expr(f"ed div {bin_size}"))))
+        b = b.withColumn("_bin", F.explode(F.sequence(F.expr(f"r_st div {bin_size}"), F.expr(f"r_ed div {bin_size}"))))
+        hit = a.join(b, [*on, "_bin"]).where(f"st <= r_ed and r_st <= ed and _bin = greatest(st, r_st) div {bin_size}").drop("_bin")
+    else:
+        levels = sorted({*_levels(left, "st", "ed", BIN), *_levels(b, "r_st", "r_ed", BIN)})
+        a = _binned(left, "st", "ed", BIN, levels).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b"), "_x": F.col("_bin.own")}).drop("_bin")
+        b = _binned(b, "r_st", "r_ed", BIN, levels).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b"), "_y": F.col("_bin.own")}).drop("_bin")
+        first = F.floor(F.greatest("st", "r_st") / (F.lit(BIN) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")
+        hit = a.join(b, [*on, "_k", "_b"]).where((F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first) & F.expr("st <= r_ed and r_st <= ed"))
+        hit = hit.drop("_k", "_b", "_x", "_y")
     return hit if how == "inner" else hit.select(*left.columns).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions.tokens import flip, segment_of, strand_of
+from helixloom.operators.cycles import shared_keys
 from helixloom.operators.intervals import BIN, point_join
 
 
@@ -35,24 +36,39 @@ def anchor_markers(anchors: DataFrame, reads: DataFrame) -> DataFrame:
     return point_join(anchors.select("anchor", "refseg", "pos"), reads.select("refseg", "st", "ed", "molecule"), ["refseg"]).select("anchor", F.col("molecule").alias("marker")).distinct()
 
 
-def shared_marker_links(markers: DataFrame, segment_of_anchor: DataFrame | None = None) -> DataFrame:
-    """anchor_a < anchor_b, links: distinct markers that both have, zeros included; pairs in one segment (anchor, seg) are left out.
+#: Anchors that one row of a marker's list holds; a longer list is paired slice by slice.
+SLICE = 256
 
-    Each marker first becomes one sorted list of its anchors, so the pairs of a marker come from one row and a very frequent
-    marker is a longer list, not a skewed self-join; the lists are grouped while equal, with a count. The pairs kept with
-    zero are those of the anchor table, which is the size of the result.
+
+def shared_marker_links(markers: DataFrame, segment_of_anchor: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """anchor_a < anchor_b, links: distinct markers that both have; pairs in one segment (anchor, seg) are left out. With pairs (anchor_a < anchor_b)
+    exactly those, zeros included; else those that share a marker, as all others have zero.
+
+    Each marker first becomes sorted lists of its anchors; equal lists are grouped with a count, so what many markers share is paired once. A very frequent marker is many
+    slices, and each pair of slices is a row of its own.
     """
-    sets = markers.distinct().groupBy("marker").agg(F.array_sort(F.collect_set("anchor")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    first = sets.select("s", "n", F.posexplode("s").alias("i", "anchor_a"))
-    pairs = first.select("anchor_a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("anchor_b"), "n")
-    got = pairs.groupBy("anchor_a", "anchor_b").agg(F.sum("n").alias("links"))
-    names = markers.select("anchor").distinct()
-    every = names.select(F.col("anchor").alias("anchor_a")).join(F.broadcast(names.select(F.col("anchor").alias("anchor_b"))), F.expr("anchor_a < anchor_b"))
+    rows = markers.select("anchor", "marker").distinct()
+    many = rows.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    dealt = rows.join(many, "marker").select("marker", "anchor", slices.alias("of"), F.pmod(F.hash("anchor"), slices).alias("slice"))
+    lists = dealt.groupBy("marker", "of", "slice").agg(F.array_sort(F.collect_list("anchor")).alias("s"))
+    # slice i meets slices i, i + 1, ..: two lists a row, one where a slice meets itself
+    other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
+    met = lists.select("marker", "slice", "s", other).select("marker", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"), "slice", "s")
+    met = met.groupBy("marker", "x", "y").agg(F.array_sort(F.collect_set(F.struct("slice", "s"))).alias("l"))
+    met = met.where("x = y or size(l) = 2").select(F.get("l", F.lit(0))["s"].alias("a"), F.get("l", F.lit(1))["s"].alias("b"))
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    inner = met.where("b is null").select("n", F.posexplode("a").alias("i", "p"), "a").select("n", "p", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("q"))
+    cross = met.where("b is not null").select("n", F.explode("a").alias("p"), "b").select("n", "p", F.explode("b").alias("q"))
+    both = inner.unionByName(cross).select(F.least("p", "q").alias("anchor_a"), F.greatest("p", "q").alias("anchor_b"), "n")
+    got = both.groupBy("anchor_a", "anchor_b").agg(F.sum("n").alias("links"))
+    if pairs is not None:
+        got = pairs.select("anchor_a", "anchor_b").join(got, ["anchor_a", "anchor_b"], "left").select("anchor_a", "anchor_b", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     if segment_of_anchor is not None:
         s = segment_of_anchor
-        every = every.join(s.select(F.col("anchor").alias("anchor_a"), F.col("seg").alias("sa")), "anchor_a", "left").join(s.select(F.col("anchor").alias("anchor_b"), F.col("seg").alias("sb")), "anchor_b", "left")
-        every = every.where("sa is null or sb is null or sa <> sb").select("anchor_a", "anchor_b")
-    return every.join(got, ["anchor_a", "anchor_b"], "left").select("anchor_a", "anchor_b", F.coalesce("links", F.lit(0)).alias("links"))
+        got = got.join(s.select(F.col("anchor").alias("anchor_a"), F.col("seg").alias("sa")), "anchor_a", "left").join(s.select(F.col("anchor").alias("anchor_b"), F.col("seg").alias("sb")), "anchor_b", "left")
+        got = got.where("sa is null or sb is null or sa <> sb")
+    return got.select("anchor_a", "anchor_b", "links")
 
 
 def pair_matrix(links: DataFrame, names: list[str]) -> DataFrame:
@@ -74,9 +90,10 @@ def pair_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def walk_offsets(walks: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ord, token, seg, orit, len, before: each token with the length that stands before it on the walk."""
+    """keys, ord, token, seg, orit, len, before: each token with the length that stands before it on the walk; segments (seg, st, ed and any of the keys)."""
+    on = [*shared_keys(keys, segments), "seg"]
     long = walks.select(*keys, F.posexplode("walk").alias("ord", "token"))
-    long = long.select("*", segment_of(F.col("token")).alias("seg"), strand_of(F.col("token")).alias("orit")).join(segments.selectExpr("seg", "ed - st + 1 as len"), "seg")
+    long = long.select("*", segment_of(F.col("token")).alias("seg"), strand_of(F.col("token")).alias("orit")).join(segments.select(*on, F.expr("ed - st + 1 as len")), on)
     w = Window.partitionBy(*keys).orderBy("ord")
     return long.select(*keys, "ord", "token", "seg", "orit", "len", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("token").over(w).alias("next_token"))
 
@@ -84,7 +101,7 @@ def walk_offsets(walks: DataFrame, segments: DataFrame, keys: list[str]) -> Data
 def anchor_positions(offsets: DataFrame, positions: DataFrame, junctions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, anchor, at: places of position anchors (anchor, seg, to5, to3) and of junction anchors (anchor, link) on walks; a junction stands at the
     end of its first token, forward or as its reverse complement."""
-    pos = offsets.join(positions, "seg").select(*keys, "anchor", (F.col("before") + F.when(F.col("orit") == "+", F.col("to5")).otherwise(F.col("to3"))).alias("at"))
+    pos = offsets.join(positions, [*shared_keys(keys, positions), "seg"]).select(*keys, "anchor", (F.col("before") + F.when(F.col("orit") == "+", F.col("to5")).otherwise(F.col("to3"))).alias("at"))
     sides = F.split("link", ",")
     rc = F.concat(flip(F.element_at(sides, 2)), F.lit(","), flip(F.element_at(sides, 1)))
     both = junctions.select("anchor", F.explode(F.array_distinct(F.array("link", rc))).alias("pair"))
@@ -101,13 +118,20 @@ def anchor_distances(places: DataFrame, pairs: DataFrame, keys: list[str]) -> Da
 
 def co_coverage(molecules: DataFrame, places: DataFrame, pairs: DataFrame, keys: list[str], biend: bool = False, rlen: int = 150, bin_size: int = BIN) -> DataFrame:
     """keys, anchor_a, anchor_b, links: sum of cover ratios over molecules (keys.., mol, st, ed, covr) that hold an occurrence of both; each pair of
-    occurrences counts. biend also wants the left one within rlen of the start and the right one within rlen of the end. Zeros are kept."""
-    hit = point_join(places, molecules, keys, "at", bin_size)
-    a = hit.withColumnsRenamed({"anchor": "anchor_a", "at": "pa"})
-    b = hit.select(*keys, "mol", F.col("anchor").alias("anchor_b"), F.col("at").alias("pb"))
-    both = a.join(pairs.select("anchor_a", "anchor_b"), "anchor_a").join(b, [*keys, "mol", "anchor_b"])
+    occurrences counts. biend also wants the left one within rlen of the start and the right one within rlen of the end. Pairs that no molecule of the keys holds are left out: with_zeros adds them.
+
+    Occurrences are joined by pair and molecule, so only wanted pairs arise.
+    """
+    hit = point_join(places, molecules, keys, "at", bin_size).select(*keys, "mol", "anchor", "at", "st", "ed", "covr")
+    a = hit.join(pairs.select(F.col("anchor_a").alias("anchor"), "anchor_b"), "anchor").withColumnsRenamed({"anchor": "anchor_a", "at": "pa"})
+    b = hit.join(pairs.select("anchor_a", F.col("anchor_b").alias("anchor")), "anchor").select(*keys, "mol", "anchor_a", F.col("anchor").alias("anchor_b"), F.col("at").alias("pb"))
+    both = a.join(b, [*keys, "mol", "anchor_a", "anchor_b"])
     if biend:
         both = both.where(f"least(pa, pb) - st <= {rlen} and ed - greatest(pa, pb) <= {rlen}")
-    got = both.groupBy(*keys, "anchor_a", "anchor_b").agg(F.sum("covr").alias("links"))
-    every = places.select(*keys).distinct().join(F.broadcast(pairs.select("anchor_a", "anchor_b")))
-    return every.join(got, [*keys, "anchor_a", "anchor_b"], "left").select(*keys, "anchor_a", "anchor_b", F.coalesce("links", F.lit(0.0)).alias("links"))
+    return both.groupBy(*keys, "anchor_a", "anchor_b").agg(F.sum("covr").alias("links"))
+
+
+def with_zeros(links: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """links for every wanted row (keys.., anchor_a, anchor_b), zero where there are none."""
+    on = [*keys, "anchor_a", "anchor_b"]
+    return wanted.select(*on).join(links, on, "left").select(*on, F.coalesce("links", F.lit(0.0)).alias("links"))

@@ -6,22 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def walk_combinations(walks: DataFrame, most: int = 100_000) -> DataFrame:
+#: Combinations that one row is unfolded to at a time.
+RANGE = 1 << 16
+
+
+def walk_combinations(walks: DataFrame, most: int | None = None) -> DataFrame:
     """sample, group_id, solution, combo, allele, map_no: every way to take one walk of each allele.
 
-    A combination's number is read as digits, one for each allele, so combinations are made by a sequence and arithmetic, not by cross joins. A solution with more than
-    ``most`` (the product of its walks) gets its first ``most`` and ``cut`` is true.
+    A combination's number is read as digits, one for each allele, so combinations are made by a sequence and arithmetic, not by cross joins. Numbers are dealt in
+    ranges of RANGE, which many tasks unfold, so a solution may have any number up to 2 ** 62 (beyond that an error is raised). With ``most``, a solution that has more (the product of its walks)
+    gets its first ``most`` and ``cut`` is true; without it all are made.
     """
     sol = ["sample", "group_id", "solution"]
     order = Window.partitionBy(*sol, "allele").orderBy("map_no")
     rows = walks.select(*sol, "allele", "map_no", (F.row_number().over(order) - 1).alias("digit"))
     per = rows.groupBy(*sol, "allele").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*sol).orderBy("allele").rowsBetween(Window.unboundedPreceding, -1)
-    lists = F.collect_list("n").over(before)
-    per = per.select(*sol, "allele", "n", F.aggregate(lists, F.lit(1).cast("double"), lambda a, x: a * x).alias("stride"))
-    total = per.groupBy(*sol).agg(F.max(F.col("stride") * F.col("n")).alias("total"))
-    combos = total.select(*sol, (F.col("total") > most).alias("cut"), F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(float(most))).cast("long") - 1)).alias("combo"))
-    picked = combos.join(per, sol).withColumn("digit", F.floor(F.col("combo") / F.col("stride")) % F.col("n"))
+    times = F.aggregate(F.collect_list("n").over(before), F.lit(1).cast("decimal(38,0)"), lambda a, x: (a * x).cast("decimal(38,0)"))
+    per = per.select(*sol, "allele", "n", times.alias("stride"))
+    digits = F.collect_list(F.struct("allele", "n", F.col("stride").alias("stride")))
+    total = per.groupBy(*sol).agg(F.max(F.col("stride") * F.col("n")).alias("total"), digits.alias("digits"))
+    wanted = F.col("total") if most is None else F.least(F.col("total"), F.lit(most).cast("decimal(38,0)"))
+    fits = F.when(wanted <= 1 << 62, wanted.cast("long")).otherwise(F.raise_error(F.lit("a solution has more than 2 ** 62 combinations")).cast("long"))
+    many = total.select(*sol, "digits", (F.col("total") > wanted).alias("cut"), fits.alias("many"))
+    blocks = many.select(*sol, "digits", "cut", "many", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(many - 1) div {RANGE}"))).alias("block"))
+    blocks = blocks.repartition(*sol, "block")
+    combos = blocks.select(*sol, "digits", "cut", F.explode(F.sequence(F.col("block") * RANGE, F.least((F.col("block") + 1) * RANGE, "many") - 1)).alias("combo"))
+    picked = combos.select(*sol, "cut", "combo", F.explode("digits").alias("d"))
+    picked = picked.select(*sol, "cut", "combo", F.col("d.allele").alias("allele"), F.expr("combo div cast(d.stride as bigint) % d.n").alias("digit"))
     return picked.join(rows, [*sol, "allele", "digit"]).select(*sol, "combo", "allele", "map_no", "cut")
 
 

@@ -11,8 +11,15 @@ from helixloom.operators.intervals import interval_join, point_join
 
 
 def two_digits(x):
-    """Rounded to two digits; what lies within 1e-9 of a tie goes up, so the order in which a mean was summed does not show."""
-    return F.floor(x * 100 + 0.5 + 1e-7) / 100
+    """Rounded to two digits, halves away from zero, as the double stands."""
+    return F.signum(x) * F.floor(F.abs(x) * 100 + 0.5) / 100
+
+
+def mean_two_digits(column):
+    """The mean, rounded to two digits with halves away from zero. Values are summed as whole millionths, so that neither order nor partitions show."""
+    total, n = F.sum(F.round(F.col(column) * 1_000_000).cast("long")), F.count(column)
+    whole = F.floor(F.try_divide((2 * F.abs(total) + n * 10_000).cast("decimal(38,0)"), (2 * n * 10_000).cast("decimal(38,0)"))).cast("double")
+    return F.signum(total) * whole / 100
 
 
 def breakends(junctions: DataFrame, region: DataFrame | None = None) -> DataFrame:
@@ -76,10 +83,12 @@ def map_breakends_to_segments(ends: DataFrame, segments: DataFrame) -> DataFrame
 
 
 def segment_cn(segments: DataFrame, windows: DataFrame, ratio, value: str = "adj") -> DataFrame:
-    """segments with depth (mean of ``value`` over the windows that overlap, 2 digits) and cn = depth * ratio (2 digits); null without windows."""
-    means = interval_join(windows.select("refseg", "st", "ed", value), segments.select("sample", "refseg", "seg_no", "st", "ed"), ["refseg"])
-    means = means.groupBy("sample", "refseg", "seg_no").agg(two_digits(F.avg(value)).alias("depth"))
-    return segments.join(means, ["sample", "refseg", "seg_no"], "left").withColumn("cn", two_digits(F.col("depth") * ratio))
+    """segments with depth (mean of ``value`` over the windows of the same sample that overlap, 2 digits) and cn = depth * ratio (2 digits, ratio a column of segments or
+    a value); null without windows."""
+    on = ["sample", "refseg"]
+    means = interval_join(windows.select(*on, "st", "ed", value), segments.select(*on, "seg_no", "st", "ed"), on)
+    means = means.groupBy(*on, "seg_no").agg(mean_two_digits(value).alias("depth"))
+    return segments.join(means, [*on, "seg_no"], "left").withColumn("cn", two_digits(F.col("depth") * ratio))
 
 
 def feature_cn(features: DataFrame, ratio, depth: str = "depth") -> DataFrame:
@@ -97,9 +106,9 @@ def source_sink(segments: DataFrame) -> DataFrame:
 
 
 def feature_chain(features: DataFrame) -> DataFrame:
-    """refseg, chain: ``V1+,V2+,...`` in order of seg_no."""
+    """sample, refseg, chain: ``V1+,V2+,...`` in order of seg_no."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "seg"))), lambda x: F.concat(x["seg"], F.lit("+")))
-    return features.groupBy("refseg").agg(F.array_join(ordered, ",").alias("chain"))
+    return features.groupBy("sample", "refseg").agg(F.array_join(ordered, ",").alias("chain"))
 
 
 def adjacency(segments: DataFrame) -> DataFrame:
@@ -119,18 +128,21 @@ def allele_scenarios(samples: DataFrame) -> DataFrame:
     return rows.withColumn("tag", tag)
 
 
-def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tokens: DataFrame) -> DataFrame:
+def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tokens: DataFrame, **more: DataFrame) -> DataFrame:
     """rule, key, detail: one row for each broken rule.
 
     segments(seg, refseg, st, ed, group_id), junctions(junc_id, seg5, seg3), cycles(cycle_id), tokens(cycle_id, seg). Rules: overlapping
-    segments on one refseg, ids of a wrong form, ids given twice, unknown segments, host segments without a group, groups that do not agree.
+    segments on one refseg, segments without a name (names ran out) or with one of a wrong form, ids given twice, unknown segments, host segments without a group,
+    groups that do not agree. Where they are given, also: pairs(anchor_a, anchor_b) twice or with an unknown junction; counts(owner, cycle_id) of an unknown cycle;
+    baselines(refseg, st, ed) with a breakpoint of breakpoints(refseg, pos) inside; ratios(len, ratio) outside 0 to 1.
     """
     ids = segments.select("seg").distinct()
     a = segments.select("seg", "refseg", "st", "ed")
     b = a.withColumnRenamed("seg", "other")
     overlap = interval_join(a, b, ["refseg"]).where("seg < other").selectExpr("'overlap' as rule", "seg as key", "other as detail")
     bad_id = segments.where("not seg rlike '^[HV][0-9]+$'").selectExpr("'segment id' as rule", "seg as key", "refseg as detail")
-    twice = segments.groupBy("seg").count().where("count > 1").selectExpr("'segment twice' as rule", "seg as key", "cast(count as string) as detail")
+    no_name = segments.where("seg is null").selectExpr("'names ran out' as rule", "concat(refseg, ':', st, '-', ed) as key", "refseg as detail")
+    twice = segments.where("seg is not null").groupBy("seg").count().where("count > 1").selectExpr("'segment twice' as rule", "seg as key", "cast(count as string) as detail")
     cycle_twice = cycles.groupBy("cycle_id").count().where("count > 1").selectExpr("'cycle twice' as rule", "cast(cycle_id as string) as key", "cast(count as string) as detail")
     unknown = tokens.join(ids, "seg", "left_anti").selectExpr("'unknown segment' as rule", "cast(cycle_id as string) as key", "seg as detail").distinct()
     sides = junctions.select("junc_id", F.explode(F.array("seg5", "seg3")).alias("seg"))
@@ -138,7 +150,22 @@ def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tok
     no_group = segments.where("seg like 'H%' and group_id is null").selectExpr("'no group' as rule", "seg as key", "refseg as detail")
     groups = sides.join(segments.select("seg", "group_id"), "seg").where("group_id is not null").groupBy("junc_id").agg(F.min("group_id").alias("g"), F.max("group_id").alias("h"))
     mismatch = groups.where("g <> h").selectExpr("'group mismatch' as rule", "junc_id as key", "concat(g, ',', h) as detail")
-    out = overlap
-    for x in (bad_id, twice, cycle_twice, unknown, no_seg, no_group, mismatch):
+    found = [overlap, bad_id, no_name, twice, cycle_twice, unknown, no_seg, no_group, mismatch]
+    if "pairs" in more:
+        pair = more["pairs"].select(F.array_join(F.array_sort(F.array("anchor_a", "anchor_b")), ";").alias("key"))
+        found.append(pair.groupBy("key").count().where("count > 1").selectExpr("'pair twice' as rule", "key", "cast(count as string) as detail"))
+        anchor = more["pairs"].select(F.explode(F.array("anchor_a", "anchor_b")).alias("junc_id")).where("junc_id like 'JUNC%'").distinct()
+        found.append(anchor.join(junctions.select("junc_id").distinct(), "junc_id", "left_anti").selectExpr("'unknown junction' as rule", "junc_id as key", "cast(null as string) as detail"))
+    if "counts" in more:
+        lost = more["counts"].select("owner", "cycle_id").distinct().join(cycles.select("cycle_id").distinct(), "cycle_id", "left_anti")
+        found.append(lost.selectExpr("'unknown cycle' as rule", "cast(cycle_id as string) as key", "cast(owner as string) as detail"))
+    if "baselines" in more:
+        cut = point_join(more["breakpoints"].select("refseg", "pos"), more["baselines"].select("refseg", "st", "ed"), ["refseg"]).where("pos > st and pos < ed")
+        cut = cut.groupBy("refseg", "st", "ed").agg(F.min("pos").alias("pos"))
+        found.append(cut.selectExpr("'baseline with breakpoint' as rule", "concat(refseg, ':', st, '-', ed) as key", "cast(pos as string) as detail"))
+    if "ratios" in more:
+        found.append(more["ratios"].where("not ratio between 0 and 1").selectExpr("'ratio out of range' as rule", "cast(len as string) as key", "cast(ratio as string) as detail"))
+    out = found[0]
+    for x in found[1:]:
         out = out.unionByName(x)
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions import tokens as T
@@ -45,118 +45,123 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{new_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-P = V.PARAMS
-T_PART, N_PART = P["purity"] * P["ploidy_t"], (1 - P["purity"]) * P["ploidy_n"]
-
-
-def copy_ratio():
-    return depth.sample_cn_ratio(*(F.lit(P[k]) for k in ("mean_case", "purity", "ploidy_t", "ploidy_n")))
-
-
 # --- depth -----------------------------------------------------------------------------------------------
 
+KEY = ["sample", "tissue", "refseg"]
+RUNS = """isles as (select *, pos - row_number() over (partition by sample, tissue, refseg, depth order by pos) as isle from v_depth)"""
 
-@query("select tissue, refseg, pos, depth from v_depth", "v_depth")
+
+@query(f"with {RUNS} select sample, tissue, refseg, min(pos)::bigint as st, max(pos)::bigint as ed, depth::bigint as depth from isles group by sample, tissue, refseg, depth, isle", "v_depth")
 def c1_coverage(spark, d):
     return V.v_depth(spark, d)
 
 
-@query(
-    """select tissue, refseg, sum(depth)::bigint as bases, count(*)::bigint as covered, max(depth)::bigint as deepest from v_depth group by all""", "v_depth"
-)
+@query("select sample, tissue, refseg, sum(depth)::bigint as bases, count(*)::bigint as covered, max(depth)::bigint as deepest from v_depth group by all", "v_depth")
 def c1_coverage_totals(spark, d):
-    reads = V.v_reads(spark, d).selectExpr("*", "if(baseq % 2 = 0, 'case', 'ctrl') as tissue")
-    runs = depth.coverage(reads, ["tissue", "refseg"], V.MIN_BASEQ, V.MIN_MAPQ).withColumn("n", F.expr("ed - st + 1"))
-    return runs.groupBy("tissue", "refseg").agg(F.sum(F.col("depth") * F.col("n")).alias("bases"), F.sum("n").alias("covered"), F.max("depth").alias("deepest"))
+    runs = V.v_depth(spark, d).withColumn("n", F.expr("ed - st + 1"))
+    return runs.groupBy(*KEY).agg(F.sum(F.col("depth") * F.col("n")).alias("bases"), F.sum("n").alias("covered"), F.max("depth").alias("deepest"))
 
 
 LAYOUT = """lay as (select *, ((ed - st + 1 + res - 1) // res) as n, coalesce(sum((ed - st + 1 + res - 1) // res) over (partition by refseg order by st rows between unbounded preceding and 1 preceding), 0)::bigint as before from v_resol),
 win as (select v.*, before + (pos - st) // res + 1 as win, st + ((pos - st) // res) * res as win_st, least(st + ((pos - st) // res + 1) * res - 1, ed) as win_ed, res from v_depth v join lay using (refseg) where pos between st and ed)"""
-MEANS = LAYOUT + ",\nmeans as (select tissue, refseg, win, win_st as st, win_ed as ed, avg(depth) as mean, count(*)::bigint as n from win group by all)"
-ADJUST = MEANS + f""",
-adjusted as (select *, case when tissue = 'case' then mean - {P["mean_case"]} * ({N_PART} / ({T_PART} + {N_PART})) else mean * {P["mean_case"]} * ({T_PART} / ({T_PART} + {N_PART})) / {P["mean_ctrl"]} end as adj from means)"""
+MEANS = LAYOUT + ",\nmeans as (select sample, tissue, refseg, win, win_st as st, win_ed as ed, sum(depth) / count(*) as mean, count(*)::bigint as n from win group by all)"
+FACTS = """facts as (select *, pp * tt as t_part, (1 - pp) * nn as n_part from (select *, coalesce(nullif(purity, 0), 1) as pp, coalesce(nullif(ploidy_t, 0), 2) as tt, coalesce(nullif(ploidy_n, 0), 2) as nn from v_facts))"""
+ADJUST = (
+    MEANS
+    + f""", {FACTS},
+adjusted as (select m.*, case when f.mean_case is null then mean when tissue = 'case' then mean - f.mean_case * (n_part / (t_part + n_part)) * 1.0 else mean * f.mean_case * (t_part / (t_part + n_part)) / f.mean_ctrl end as adj from means m left join facts f using (sample))"""
+)
 
 
 def windowed(spark, d):
-    return depth.assign_windows(V.v_depth(spark, d), V.v_resol(spark, d))
+    return depth.cut_windows(V.v_depth(spark, d), V.v_resol(spark, d))
 
 
 def window_means(spark, d):
-    rows = windowed(spark, d).withColumnsRenamed({"win_st": "st", "win_ed": "ed"})
-    return depth.window_mean(rows, ["tissue", "refseg", "win", "st", "ed"])
+    rows = windowed(spark, d)
+    return depth.window_mean(rows, [*KEY, "win", "win_st", "win_ed"]).withColumnsRenamed({"win_st": "st", "win_ed": "ed"})
 
 
 def adjusted(spark, d):
-    return depth.adjust_depth(window_means(spark, d), P)
+    return depth.adjust_depth(window_means(spark, d), V.v_facts(spark, d))
 
 
-@query(f"with {LAYOUT} select tissue, refseg, pos, win::bigint as win, win_st::bigint as win_st, win_ed::bigint as win_ed, res::bigint as res from win", "v_depth v_resol")
+@query(
+    f"with {LAYOUT} select sample, tissue, refseg, win::bigint as win, win_st::bigint as win_st, win_ed::bigint as win_ed, res::bigint as res, count(*)::bigint as bases, sum(depth * pos)::bigint as moment from win group by all",
+    "v_depth v_resol",
+)
 def c2_assign_windows(spark, d):
-    return windowed(spark, d).select("tissue", "refseg", "pos", "win", "win_st", "win_ed", "res")
+    """Pieces of runs by window, added up so that every base and its place count."""
+    place = F.expr("sum(depth * ((st + ed) * (ed - st + 1) div 2))").alias("moment")
+    return windowed(spark, d).groupBy(*KEY, "win", "win_st", "win_ed", "res").agg(F.expr("sum(ed - st + 1) as bases"), place)
 
 
-@query("select refseg, ceil((ed - st + 1) / 64)::bigint as res from v_region", "v_region")
+@query("select refseg, ceil((ed - st + 1) / 64)::bigint as res from v_region union all select sample || refseg, ceil(sum(ed - st + 1) / 64)::bigint from v_reads group by sample || refseg", "v_region v_reads")
 def c3_auto_resolution(spark, d):
-    return depth.auto_resolution(V.v_region(spark, d), 64)
+    reads = V.v_reads(spark, d).selectExpr("sample || refseg as refseg", "st", "ed")
+    return depth.auto_resolution(V.v_region(spark, d).unionByName(reads), 64)
 
 
-PRIOR = "prior(refseg, st, ed, ratio) as (values ('S0', 1::bigint, 300::bigint, 1.5::double), ('S1', 50, 250, 0.5))"
+PRIOR = "prior(refseg, st, ed, ratio) as (values ('S0', 1::bigint, 300::bigint, 1.5::double), ('S1', 50, 250, 0.5), ('S1', 260, 265, 0.25))"
 
 
 def prior(spark):
-    return spark.createDataFrame([("S0", 1, 300, 1.5), ("S1", 50, 250, 0.5)], "refseg string, st long, ed long, ratio double")
+    return spark.createDataFrame([("S0", 1, 300, 1.5), ("S1", 50, 250, 0.5), ("S1", 260, 265, 0.25)], "refseg string, st long, ed long, ratio double")
 
 
-@query(f"with {PRIOR} select tissue, v.refseg, pos, coalesce(ratio, 1.0)::double as ratio from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed", "v_depth")
+@query(
+    f"with {PRIOR} select sample, tissue, v.refseg, coalesce(ratio, 1.0)::double as ratio, count(*)::bigint as bases, sum(pos * depth)::bigint as moment from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed group by all",
+    "v_depth",
+)
 def c4_prior_ratio(spark, d):
-    return depth.prior_ratio(V.v_depth(spark, d), prior(spark)).select("tissue", "refseg", "pos", "ratio")
+    pieces = depth.prior_ratio(V.v_depth(spark, d), prior(spark))
+    return pieces.groupBy(*KEY, "ratio").agg(F.expr("sum(ed - st + 1) as bases"), F.expr("sum(depth * ((st + ed) * (ed - st + 1) div 2))").alias("moment"))
 
 
 @query(
     f"""with {LAYOUT}, {PRIOR},
-stable as (select v.refseg, pos from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed where tissue = 'ctrl' and depth between 12 * (1 - 0.4) * coalesce(ratio, 1) and 12 * (1 + 0.4) * coalesce(ratio, 1))
-select tissue, refseg, win::bigint as win, count(*)::bigint as n from win where res < 25 or exists (select 1 from stable s where s.refseg = win.refseg and s.pos = win.pos) group by all""",
+stable as (select sample, v.refseg, pos from v_depth v left join prior p on v.refseg = p.refseg and pos between st and ed where tissue = 'ctrl' and depth between 2 * (1 - 0.4) * coalesce(ratio, 1) and 2 * (1 + 0.4) * coalesce(ratio, 1))
+select sample, tissue, refseg, win::bigint as win, count(*)::bigint as n from win where res < 25 or exists (select 1 from stable s where s.sample = win.sample and s.refseg = win.refseg and s.pos = win.pos) group by all""",
     "v_depth v_resol",
 )
 def c5_stable_positions(spark, d):
-    points = V.v_depth(spark, d)
-    stable = depth.stable_positions(points, prior(spark), 12.0, 0.4)
-    return depth.keep_stable(windowed(spark, d), stable, 25).groupBy("tissue", "refseg", "win").agg(F.count(F.lit(1)).alias("n"))
+    stable = depth.stable_positions(V.v_depth(spark, d), prior(spark), 2.0, 0.4)
+    return depth.keep_stable(windowed(spark, d), stable, 25).groupBy(*KEY, "win").agg(F.expr("sum(ed - st + 1) as n"))
 
 
-@query(f"with {MEANS} select tissue, refseg, win::bigint as win, mean, n from means", "v_depth v_resol")
+@query(f"with {MEANS} select sample, tissue, refseg, win::bigint as win, mean, n from means", "v_depth v_resol")
 def c6_window_mean(spark, d):
-    return window_means(spark, d).select("tissue", "refseg", "win", "mean", "n")
+    return window_means(spark, d).select(*KEY, "win", "mean", "n")
 
 
 @query(
-    f"""with {LAYOUT}, r as (select *, row_number() over w as i, count(*) over (partition by tissue, refseg, win) as n from win window w as (partition by tissue, refseg, win order by depth, pos))
-select tissue, refseg, win::bigint as win, avg(depth) as mean, count(*)::bigint as n from r where i > floor(n * 0.2) and i <= n - floor(n * 0.2) group by all""",
+    f"""with {LAYOUT}, r as (select *, row_number() over w as i, count(*) over (partition by sample, tissue, refseg, win) as n from win window w as (partition by sample, tissue, refseg, win order by depth, pos))
+select sample, tissue, refseg, win::bigint as win, sum(depth) / count(*) as mean, count(*)::bigint as n from r where i > floor(n * 0.2) and i <= n - floor(n * 0.2) group by all""",
     "v_depth v_resol",
 )
 def c6_window_mean_trim(spark, d):
-    return depth.window_mean(windowed(spark, d), ["tissue", "refseg", "win"], "trim", 0.2)
+    return depth.window_mean(windowed(spark, d), [*KEY, "win"], "trim", 0.2)
 
 
 @query(
-    f"""with {LAYOUT}, r as (select *, avg(depth) over w as m, round(stddev_pop(depth) over w, 9) as s from win window w as (partition by tissue, refseg, win))
-select tissue, refseg, win::bigint as win, avg(depth) as mean, count(*)::bigint as n from r where abs(depth - m) <= 3 * s + 1e-9 group by all""",
+    f"""with {LAYOUT}, r as (select *, avg(depth) over w as m, round(sqrt(greatest(0, count(*) over w * sum(depth * depth) over w - sum(depth) over w * sum(depth) over w)) / count(*) over w, 9) as s from win window w as (partition by sample, tissue, refseg, win))
+select sample, tissue, refseg, win::bigint as win, sum(depth) / count(*) as mean, count(*)::bigint as n from r where abs(depth - m) <= 3 * s + 1e-9 group by all""",
     "v_depth v_resol",
 )
 def c6_window_mean_sd3(spark, d):
-    return depth.window_mean(windowed(spark, d), ["tissue", "refseg", "win"], "sd3")
+    return depth.window_mean(windowed(spark, d), [*KEY, "win"], "sd3")
 
 
-@query(f"with {ADJUST} select tissue, refseg, win::bigint as win, round(adj, 6) as adj from adjusted", "v_depth v_resol")
+@query(f"with {ADJUST} select sample, tissue, refseg, win::bigint as win, round(adj, 6) as adj from adjusted", "v_depth v_resol v_facts")
 def c7_adjust_depth(spark, d):
-    return adjusted(spark, d).select("tissue", "refseg", "win", F.round("adj", 6).alias("adj"))
+    return adjusted(spark, d).select(*KEY, "win", F.round("adj", 6).alias("adj"))
 
 
 ENDS = """ends as (
   select sample, junc_no, '5p' as side, refseg_5p as refseg, bkpos_5p as pos, strd_5p as strd from v_junc
   union all select sample, junc_no, '3p', refseg_3p, bkpos_3p, strd_3p from v_junc),
 inside as (select e.* from ends e join v_region r on r.refseg = e.refseg and pos between st and ed)"""
-BREAKS = "breaks as (select distinct i.refseg, before + (pos - st) // res + 1 as win from inside i join lay l on l.refseg = i.refseg and pos between st and ed)"
+BREAKS = "breaks as (select distinct i.sample, i.refseg, before + (pos - st) // res + 1 as win from inside i join lay l on l.refseg = i.refseg and pos between st and ed)"
 
 
 def inside(spark, d):
@@ -165,18 +170,18 @@ def inside(spark, d):
 
 @query(
     f"""with {ADJUST}, {ENDS}, {BREAKS},
-marked as (select a.*, sum(case when b.win is null then 0 else 1 end) over (partition by tissue, a.refseg order by a.win) as barrier from adjusted a left join breaks b on b.refseg = a.refseg and b.win = a.win)
-select tissue, refseg, win::bigint as win, round(avg(adj) over (partition by tissue, refseg, barrier order by win rows between 2 preceding and 2 following), 6) as show from marked""",
-    "v_depth v_resol v_junc v_region",
+marked as (select a.*, sum(case when b.win is null then 0 else 1 end) over (partition by a.sample, tissue, a.refseg order by a.win) as barrier from adjusted a left join breaks b on b.sample = a.sample and b.refseg = a.refseg and b.win = a.win)
+select sample, tissue, refseg, win::bigint as win, round(avg(adj) over (partition by sample, tissue, refseg, barrier order by win range between 2 preceding and 2 following), 6) as show from marked""",
+    "v_depth v_resol v_facts v_junc v_region",
 )
 def c8_smooth(spark, d):
-    breaks = depth.assign_windows(inside(spark, d), V.v_resol(spark, d)).select("refseg", "win")
-    return depth.smooth(adjusted(spark, d), breaks, 2).select("tissue", "refseg", "win", F.round("show", 6).alias("show"))
+    breaks = depth.assign_windows(inside(spark, d), V.v_resol(spark, d)).select("sample", "refseg", "win")
+    return depth.smooth(adjusted(spark, d), breaks, 2).select(*KEY, "win", F.round("show", 6).alias("show"))
 
 
-@query(f"with {ADJUST} select tissue, refseg, round(max(adj), 6) as max_depth, max(win)::bigint as max_win from adjusted group by all", "v_depth v_resol")
+@query(f"with {ADJUST} select sample, tissue, refseg, round(max(adj), 6) as max_depth, max(win)::bigint as max_win from adjusted group by all", "v_depth v_resol v_facts")
 def c9_depth_extent(spark, d):
-    return depth.depth_extent(adjusted(spark, d), "adj").select("tissue", "refseg", F.round("max_depth", 6).alias("max_depth"), "max_win")
+    return depth.depth_extent(adjusted(spark, d), "adj").select(*KEY, F.round("max_depth", 6).alias("max_depth"), "max_win")
 
 
 PURITY = """s as (select o_orderkey as sample, (o_orderkey % 11) / 10.0 as purity, (o_orderkey % 5)::double as pt, (o_orderkey % 3)::double as pn, o_totalprice as mean from orders),
@@ -201,17 +206,25 @@ def c11_c13_sample_ratios(spark, d):
     return purities(spark, d).select("sample", F.round(pure, 9).alias("pure"), F.round(depth.single_copy_depth(*cols), 9).alias("single"), F.round(depth.sample_cn_ratio(*cols), 11).alias("ratio"))
 
 
+BASELINE = "base as (select sample, t.* from v_facts, (values ('S0', 20::bigint, 60::bigint, 2.0::double, null::varchar), ('S1', 100, 140, 0.3, null), ('S2', 1, 250, 3.0, 'ctrl'), ('S3', 700, 720, 2.0, 'case'), ('S4', 400, 450, 1.0, null)) t(refseg, st, ed, cn, tissue))"
+
+
+def baselines(spark, d):
+    rows = [("S0", 20, 60, 2.0, None), ("S1", 100, 140, 0.3, None), ("S2", 1, 250, 3.0, "ctrl"), ("S3", 700, 720, 2.0, "case"), ("S4", 400, 450, 1.0, None)]
+    text = ", ".join(f"struct('{r}' as refseg, {a}L as st, {b}L as ed, {c}D as cn, {'cast(null as string)' if t is None else repr(t)} as tissue)" for r, a, b, c, t in rows)
+    return V.v_facts(spark, d).selectExpr("sample", f"inline(array({text}))")
+
+
 @query(
-    f"""with {ADJUST}, {ENDS}, base(refseg, st, ed, cn) as (values ('S0', 20::bigint, 60::bigint, 2.0::double), ('S1', 100, 140, 0.3), ('S2', 1, 250, 3.0), ('S3', 700, 720, 2.0)),
-good as (select * from base b where not exists (select 1 from inside i where i.refseg = b.refseg and pos > st and pos < ed)),
-m as (select g.refseg, g.cn, avg(adj) as dep from good g join adjusted a on a.refseg = g.refseg and a.tissue = 'ctrl' and a.st <= g.ed and g.st <= a.ed group by all)
-select refseg, round(dep, 6) as depth, round(case when dep > 5 then (case when cn > 0.5 then cn else 2 end) / dep end, 8) as ratio from m""",
-    "v_depth v_resol v_junc v_region",
+    f"""with {ADJUST}, {ENDS}, {BASELINE},
+good as (select * from base b where not exists (select 1 from inside i where i.sample = b.sample and i.refseg = b.refseg and pos > st and pos < ed)),
+m as (select g.sample, g.refseg, g.st, g.ed, g.cn, avg(adj) as dep from good g join adjusted a on a.sample = g.sample and a.refseg = g.refseg and a.tissue = coalesce(g.tissue, 'ctrl') and a.st <= g.ed and g.st <= a.ed group by all)
+select sample, refseg, round(dep, 6) as depth, round(case when dep > 1 then (case when cn > 0.5 then cn else 2 end) / dep end, 8) as ratio from m""",
+    "v_depth v_resol v_facts v_junc v_region",
 )
 def c14_baseline_ratio(spark, d):
-    base = spark.createDataFrame([("S0", 20, 60, 2.0, None), ("S1", 100, 140, 0.3, None), ("S2", 1, 250, 3.0, "ctrl"), ("S3", 700, 720, 2.0, None)], "refseg string, st long, ed long, cn double, tissue string")
-    out = depth.baseline_cn_ratio(adjusted(spark, d), base, inside(spark, d))
-    return out.select("refseg", F.round("depth", 6).alias("depth"), F.round("ratio", 8).alias("ratio"))
+    out = depth.baseline_cn_ratio(adjusted(spark, d), baselines(spark, d), inside(spark, d), 1.0)
+    return out.select("sample", "refseg", F.round("depth", 6).alias("depth"), F.round("ratio", 8).alias("ratio"))
 
 
 # --- segments --------------------------------------------------------------------------------------------
@@ -267,28 +280,33 @@ def d6_map_breakends(spark, d):
     return segments.map_breakends_to_segments(inside(spark, d), named).select("sample", "junc_no", "side", "refseg", "pos", "strd", F.col("seg").alias("seg_no"))
 
 
-SCD = f"{P['mean_case']} / ({T_PART} + {N_PART})"
-CN = f"""cn as (select s.sample, s.refseg, s.seg_no, s.st, s.ed, floor(avg(a.adj) * 100 + 0.5 + 1e-7) / 100 as depth from segs s left join adjusted a on a.tissue = 'case' and a.refseg = s.refseg and a.st <= s.ed and s.st <= a.ed group by all),
-jc as (select sample, junc_no, jr_count, trunc(jr_count - {P["mean_case"]} * ({N_PART} / ({T_PART} + {N_PART})) * ncpr)::bigint as pure from v_junc)"""
+HALF_UP = "sign({x}) * floor(abs({x}) * 100 + 0.5) / 100"
+CN = f"""sums as (select s.sample, s.refseg, s.seg_no, sum(round(a.adj * 1000000)::bigint) as t, count(*) as n from segs s join adjusted a on a.tissue = 'case' and a.sample = s.sample and a.refseg = s.refseg and a.st <= s.ed and s.st <= a.ed group by all),
+ratio as (select sample, 1.0 / pp / (mean_case / (t_part + n_part)) as ratio, mean_case * (n_part / (t_part + n_part)) as normal from facts),
+cn as (select s.*, sign(t) * ((2 * abs(t)::hugeint + n * 10000) // (2 * n * 10000))::double / 100 as depth, ratio from segs s left join sums using (sample, refseg, seg_no) left join ratio using (sample)),
+jc as (select sample, junc_no, trunc(jr_count - normal * ncpr)::bigint as pure, ratio from v_junc left join ratio using (sample))"""
 
 
 @query(
     f"""with {ADJUST}, {SEGS}, {CN}
-select sample, 'segment' as kind, refseg as refseg, seg_no::bigint as id, st::bigint as st, ed as ed, depth as value, floor(depth * (1.0 / {P["purity"]} / ({SCD})) * 100 + 0.5 + 1e-7) / 100 as cn from cn
-union all select sample, 'junction', null, junc_no, null, null, pure::double, floor(pure * (1.0 / {P["purity"]} / ({SCD})) * 100 + 0.5 + 1e-7) / 100 from jc""",
-    "v_depth v_resol v_junc v_region",
+select sample, 'segment' as kind, refseg as refseg, seg_no::bigint as id, st::bigint as st, ed as ed, depth as value, {HALF_UP.format(x="(depth * ratio)")} as cn from cn
+union all select sample, 'junction', null, junc_no, null, null, pure::double, {HALF_UP.format(x="(pure * ratio)")} from jc""",
+    "v_depth v_resol v_facts v_junc v_region",
 )
 def segment_copy_number(spark, d):
-    """D7, D9 with C1, C2, C6, C7, C10-C13, D1, D4: copy number of each segment and junction."""
+    """D7, D9 with C1, C2, C6, C7, C10-C13, D1, D4: copy number of each segment and junction of each sample."""
     case = adjusted(spark, d).where("tissue = 'case'")
-    seg = segments.segment_cn(cut(spark, d), case, copy_ratio())
-    a = depth.admixture(*(F.lit(P[k]) for k in ("purity", "ploidy_t", "ploidy_n")))
-    junc = segments.junction_cn(V.v_junc(spark, d), copy_ratio(), F.lit(P["mean_case"]), a["n_ratio"])
+    facts = V.v_facts(spark, d)
+    ratio = depth.sample_cn_ratio(*(F.col(k) for k in ("mean_case", "purity", "ploidy_t", "ploidy_n")))
+    a = depth.admixture(F.col("purity"), F.col("ploidy_t"), F.col("ploidy_n"))
+    facts = facts.select("sample", "mean_case", ratio.alias("ratio"), a["n_ratio"].alias("n_ratio"))
+    seg = segments.segment_cn(cut(spark, d).join(facts, "sample", "left"), case, F.col("ratio"))
+    junc = segments.junction_cn(V.v_junc(spark, d).join(facts, "sample", "left"), F.col("ratio"), F.col("mean_case"), F.col("n_ratio"))
     left = seg.selectExpr("sample", "'segment' as kind", "refseg", "cast(seg_no as bigint) as id", "st", "ed", "depth as value", "cn")
     return left.unionByName(junc.selectExpr("sample", "'junction' as kind", "cast(null as string) as refseg", "junc_no as id", "cast(null as bigint) as st", "cast(null as bigint) as ed", "cast(pure as double) as value", "cn"))
 
 
-@query("select p_partkey as seg, floor(p_retailprice * 0.25 * 100 + 0.5 + 1e-7) / 100 as cn from part")
+@query("select p_partkey as seg, sign(p_retailprice) * floor(abs(p_retailprice * 0.25) * 100 + 0.5) / 100 as cn from part")
 def d8_feature_cn(spark, d):
     return segments.feature_cn(V.table(spark, d, "part").select(F.col("p_partkey").alias("seg"), "p_retailprice"), F.lit(0.25), "p_retailprice").select("seg", "cn")
 
@@ -298,15 +316,15 @@ def d10_source_sink(spark, d):
     return segments.source_sink(segments.name_segments(cut(spark, d)))
 
 
-@query(f"with {SEGS} select refseg, string_agg('V' || seg_no || '+', ',' order by seg_no) as chain from segs group by all", "v_junc v_region")
+@query(f"with {SEGS} select sample, refseg, string_agg('V' || seg_no || '+', ',' order by seg_no) as chain from segs group by sample, refseg", "v_junc v_region")
 def d11_feature_chain(spark, d):
     return segments.feature_chain(segments.name_segments(cut(spark, d), "V"))
 
 
-@query(f"with {SEGS} select s.refseg, s.seg_no::bigint as seg_no, count(*)::bigint as n, sum(least(s.ed, r.ed) - greatest(s.st, r.st) + 1)::bigint as bases from segs s join v_reads r on r.refseg = s.refseg and r.st <= s.ed and s.st <= r.ed group by all", "v_junc v_region v_reads")
+@query(f"with {SEGS} select s.sample, s.refseg, s.seg_no::bigint as seg_no, count(*)::bigint as n, sum(least(s.ed, r.ed) - greatest(s.st, r.st) + 1)::bigint as bases from segs s join v_reads r on r.sample = s.sample and r.refseg = s.refseg and r.st <= s.ed and s.st <= r.ed group by all", "v_junc v_region v_reads")
 def d12_overlaps(spark, d):
-    hit = intervals.interval_join(V.v_reads(spark, d).select("refseg", "st", "ed"), cut(spark, d).select("refseg", "seg_no", "st", "ed"), ["refseg"], 100)
-    return hit.groupBy("refseg", F.col("seg_no").cast("long").alias("seg_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("least(ed, r_ed) - greatest(st, r_st) + 1")).alias("bases"))
+    hit = intervals.interval_join(V.v_reads(spark, d).select("sample", "refseg", "st", "ed"), cut(spark, d).select("sample", "refseg", "seg_no", "st", "ed"), ["sample", "refseg"])
+    return hit.groupBy("sample", "refseg", F.col("seg_no").cast("long").alias("seg_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("least(ed, r_ed) - greatest(st, r_st) + 1")).alias("bases"))
 
 
 @query("select refseg, greatest(st, 100)::bigint as st, least(ed, 180)::bigint as ed, molecule from v_reads where greatest(st, 100) <= least(ed, 180)", "v_reads")
@@ -315,9 +333,9 @@ def d13_clip(spark, d):
 
 
 VIOL = """gs as (select case when l_partkey % 97 = 0 then 'X' else 'H' end || l_orderkey || l_linenumber || l_suppkey as seg, 'S' || (l_suppkey % 5) || '_' || (l_orderkey // 100) as refseg, l_partkey as st, l_partkey + 3 as ed,
-  case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id, l_orderkey, l_linenumber, l_suppkey from lineitem where l_linenumber >= 5),
-gj as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_linenumber || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_linenumber || l_suppkey as seg3 from lineitem where l_linenumber >= 5),
-gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events where event_id % 50 = 0)"""
+  case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id, l_orderkey, l_linenumber, l_suppkey from lineitem),
+gj as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_linenumber || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_linenumber || l_suppkey as seg3 from lineitem),
+gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events)"""
 
 
 @query(
@@ -332,10 +350,10 @@ union all select 'no group', seg, refseg from gs where seg like 'H%' and group_i
 union all select 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (seg) where group_id is not null group by junc_id having min(group_id) <> max(group_id)"""
 )
 def d14_violations(spark, d):
-    line = V.table(spark, d, "lineitem").where("l_linenumber >= 5")
+    line = V.table(spark, d, "lineitem")
     s = line.selectExpr("concat(if(l_partkey % 97 = 0, 'X', 'H'), l_orderkey, l_linenumber, l_suppkey) as seg", "concat('S', l_suppkey % 5, '_', l_orderkey div 100) as refseg", "l_partkey as st", "l_partkey + 3 as ed", "if(l_linenumber = 7, null, l_orderkey div 100) as group_id")
     j = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey) as junc_id", "concat('H', l_orderkey, l_linenumber, l_suppkey) as seg5", "concat('H', l_orderkey + 32, l_linenumber, l_suppkey) as seg3")
-    c = V.table(spark, d, "events").where("event_id % 50 = 0").selectExpr("user_id % 40 as cycle_id", "concat('H', event_id) as seg")
+    c = V.table(spark, d, "events").selectExpr("user_id % 40 as cycle_id", "concat('H', event_id) as seg")
     return segments.violations(s, j, c.select("cycle_id"), c)
 
 
@@ -390,7 +408,7 @@ def e4_user_regions(spark, d):
 
 # --- cycles and walks ------------------------------------------------------------------------------------
 
-TOKS = """ct as (select allele, cycle_id, cnt, unnest(tokens) as token, unnest(range(len(tokens))) as ord from v_cycles),
+TOKS = """ct as (select sample, allele, cycle_id, cnt, unnest(tokens) as token, unnest(range(len(tokens))) as ord from v_cycles),
 cs as (select *, left(token, len(token) - 1) as seg, right(token, 1) as orit from ct)"""
 FLIP = "left(x, len(x) - 1) || translate(right(x, 1), '+-', '-+')"
 TURNS = "list_transform(range(len({t})), lambda k: list_concat(list_slice({t}, k + 1, len({t})), list_slice({t}, 1, k)))"
@@ -423,19 +441,78 @@ def f3_reanchor(spark, d):
     return V.v_cycles(spark, d).select("allele", "cycle_id", T.reanchor(F.col("tokens"), F.lit("H3")).alias("tokens"))
 
 
-@query(f"with {TOKS} select allele, string_agg(repeat(token || ';', cnt::int), '' order by cycle_id, ord) as walk from (select allele, cycle_id, cnt, ord, token from cs) where cnt = 1 group by allele", "v_cycles")
+@query(
+    """with u as (select allele, cycle_id, repeat(array_to_string(tokens, ';') || ';', cnt::int) as t from v_cycles)
+select allele, string_agg(t, '' order by cycle_id) as walk from u group by allele""",
+    "v_cycles",
+)
 def f5_expand_walk(spark, d):
-    nodes = V.v_cycles(spark, d).where("cnt = 1").select("allele", F.col("cycle_id").alias("ord"), "tokens", F.col("cnt").alias("count"))
+    nodes = V.v_cycles(spark, d).select("allele", F.col("cycle_id").alias("ord"), "tokens", F.col("cnt").alias("count"))
     return cycles.expand_walk(nodes, ["allele"]).select("allele", F.concat(F.array_join("walk", ";"), F.lit(";")).alias("walk"))
 
 
+def nested(spark, d):
+    """Each allele as nested nodes: a root of cycles by id, in which each stands cnt times and holds, after its first token, the next one's tokens twice."""
+    zero = F.lit(0).cast("long")
+    w = Window.partitionBy("allele").orderBy("cycle_id")
+    c = V.v_cycles(spark, d).select("sample", "allele", "cycle_id", "cnt", "tokens", (F.row_number().over(w) - 1).cast("long").alias("n"), F.lead("tokens").over(w).alias("next"))
+    root = c.select("sample", "allele").distinct().selectExpr("sample", "allele", "cast(null as array<bigint>) as parent", "cast(array() as array<bigint>) as path", "cast(null as string) as token", "cast(null as bigint) as cycle_id", "1L as cnt", "1L as times", "0 as depth")
+    block = c.select("sample", "allele", F.expr(assemble.ROOT).alias("parent"), F.array("n", zero, zero).alias("path"), F.lit(None).cast("string").alias("token"), "cycle_id", F.col("cnt").cast("long").alias("cnt"), F.col("cnt").cast("long").alias("times"), F.lit(1).alias("depth"))
+    inner = c.where("next is not null").select("sample", "allele", F.array("n", zero, zero).alias("parent"), F.array(F.col("n"), zero, zero, zero, F.lit(1).cast("long"), zero).alias("path"), F.lit(None).cast("string").alias("token"), (F.col("cycle_id") + 1).alias("cycle_id"), F.lit(2).cast("long").alias("cnt"), (F.col("cnt") * 2).cast("long").alias("times"), F.lit(2).alias("depth"))
+
+    def leaves(rows, tokens, path, times, depth):
+        long = rows.select("sample", "allele", path.alias("parent"), times.alias("times"), F.posexplode(tokens).alias("i", "token"))
+        return long.select("sample", "allele", "parent", F.concat("parent", F.array(F.col("i").cast("long"), zero, zero)).alias("path"), "token", F.lit(None).cast("long").alias("cycle_id"), F.lit(None).cast("long").alias("cnt"), F.col("times").cast("long").alias("times"), F.lit(depth).alias("depth"))
+
+    own = leaves(c, "tokens", F.array("n", zero, zero), F.col("cnt"), 2)
+    other = leaves(c.where("next is not null"), "next", F.array(F.col("n"), zero, zero, zero, F.lit(1).cast("long"), zero), F.col("cnt") * 2, 3)
+    return root.unionByName(block).unionByName(inner).unionByName(own).unionByName(other)
+
+
+NESTED = """nx as (select *, row_number() over (partition by allele order by cycle_id) - 1 as n, lead(tokens) over (partition by allele order by cycle_id) as nxt from v_cycles),
+once as (select *, list_concat(list_concat(tokens[1:1], list_concat(coalesce(nxt, []), coalesce(nxt, []))), tokens[2:]) as t from nx),
+flat as (select sample, allele, n, cnt, t, repeat(array_to_string(t, ';') || ';', cnt::int) as text from once)"""
+
+
+@query(f"with {NESTED} select allele, string_agg(text, '' order by n) as walk from flat group by allele", "v_cycles")
+def f5_expand_nested(spark, d):
+    return cycles.expand_nested(nested(spark, d), ["allele"]).select("allele", F.concat(F.array_join("walk", ";"), F.lit(";")).alias("walk"))
+
+
+@query(
+    f"""with {NESTED}, tk as (select f.sample, allele, n, cnt, unnest(t) as token from flat f)
+select allele, sum(cnt)::bigint as n_tokens, sum(cnt * (v.ed - v.st + 1))::bigint as length,
+  (select count(*) + count(nxt) from nx where nx.allele = tk.allele)::bigint as n_blocks, (select case when count(nxt) > 0 then 3 else 2 end from nx where nx.allele = tk.allele)::int as structure_depth
+from tk join v_seg v on v.sample = tk.sample and v.seg = left(token, len(token) - 1) group by allele""",
+    "v_cycles v_seg",
+)
+def f6_nested_stats(spark, d):
+    out = cycles.nested_stats(nested(spark, d), V.v_seg(spark, d), ["sample", "allele"])
+    return out.select("allele", "n_tokens", "length", F.col("n_blocks").cast("long").alias("n_blocks"), "structure_depth")
+
+
+@query(
+    """with w as (select distinct allele, unnest(['H2', 'V1', 'H9']) as seg from v_cycles),
+nx as (select *, row_number() over (partition by allele order by cycle_id) - 1 as n, lead(tokens) over (partition by allele order by cycle_id) as nxt from v_cycles),
+spot as (select allele, cycle_id, cnt, n, nxt, unnest(range(len(tokens))) as i, unnest(tokens) as token from nx)
+select w.allele, w.seg, arg_min(n, (n, i))::bigint as block, arg_min(case when i = 0 or nxt is null then i else i + 1 end, (n, i))::bigint as ord
+from w join spot s on s.allele = w.allele and left(token, len(token) - 1) = w.seg where cnt = 2 and cycle_id <> -1 group by w.allele, w.seg""",
+    "v_cycles",
+)
+def f8_locate_in_blocks(spark, d):
+    n = nested(spark, d)
+    want = n.select("sample", "allele").distinct().selectExpr("sample", "allele", "explode(array('H2', 'V1', 'H9')) as seg", "2L as count", "-1L as avoid")
+    out = cycles.locate_in_blocks(n, want, ["sample", "allele"])
+    return out.select("allele", "seg", F.col("block").cast("long").alias("block"), F.col("ord").cast("long").alias("ord"))
+
+
 @query(
     f"""with {TOKS} select allele, cycle_id, count(*)::bigint as n_tokens, sum(v.ed - v.st + 1)::bigint as length, count(distinct cs.seg)::bigint as n_segments, arg_min(cs.seg, ord) as first_seg, arg_max(cs.seg, ord) as last_seg
-from cs join v_seg v on v.seg = cs.seg group by all""",
+from cs join v_seg v on v.sample = cs.sample and v.seg = cs.seg group by all""",
     "v_cycles v_seg",
 )
 def f6_cycle_stats(spark, d):
-    return cycles.cycle_stats(V.v_cycles(spark, d), V.v_seg(spark), ["allele", "cycle_id"])
+    return cycles.cycle_stats(V.v_cycles(spark, d), V.v_seg(spark, d), ["sample", "allele", "cycle_id"]).drop("sample")
 
 
 @query("with a as (select allele, cycle_id, tokens, list_transform(list_reverse(tokens), lambda x: " + FLIP + ") as rc from v_cycles) select x.allele, x.cycle_id, y.cycle_id as other, case when x.tokens = y.tokens then 1 when x.tokens = y.rc then -1 else 0 end as same from a x join a y on x.allele = y.allele and x.cycle_id < y.cycle_id", "v_cycles")
@@ -453,14 +530,14 @@ def f7b_equivalence_key(spark, d):
     return V.v_cycles(spark, d).select("allele", "cycle_id", T.equivalence_key(F.col("tokens")).alias("key"))
 
 
-@query(f"with {TOKS} select allele, cycle_id, seg, min(ord)::bigint as ord from cs where seg in ('V1', 'H2') and cycle_id <> allele * 5 group by all", "v_cycles")
+@query(f"with {TOKS} select allele, cycle_id, seg, min(ord)::bigint as ord from cs where seg in ('V1', 'H2') and cycle_id <> (allele // 1000) * 100000 + (allele % 1000) * 5 group by all", "v_cycles")
 def f8_locate_segment(spark, d):
     c = V.v_cycles(spark, d)
-    want = c.select("allele").distinct().selectExpr("allele", "explode(array('V1', 'H2')) as seg", "allele * 5 as avoid")
+    want = c.select("allele").distinct().selectExpr("allele", "explode(array('V1', 'H2')) as seg", "(allele div 1000) * 100000 + (allele % 1000) * 5 as avoid")
     return cycles.locate_segment(c, want, ["allele"]).select("allele", "cycle_id", "seg", F.col("ord").cast("long").alias("ord"))
 
 
-BACKBONE = f"""{TOKS}, len_ as (select allele, cycle_id, sum(v.ed - v.st + 1) as length from cs join v_seg v on v.seg = cs.seg group by all),
+BACKBONE = f"""{TOKS}, len_ as (select allele, cycle_id, sum(v.ed - v.st + 1) as length from cs join v_seg v on v.sample = cs.sample and v.seg = cs.seg group by all),
 fit as (select c.allele, c.cycle_id, c.tokens, l.length, row_number() over (partition by c.allele order by l.length desc, c.cycle_id) as r from v_cycles c join len_ l on l.allele = c.allele and l.cycle_id = c.cycle_id
   where cnt = 1 and left(tokens[1], 2) = 'H1' and left(tokens[-1], 2) = 'H4'),
 back as (select allele, cycle_id, tokens, length::bigint as length from fit where r = 1)"""
@@ -468,7 +545,7 @@ back as (select allele, cycle_id, tokens, length::bigint as length from fit wher
 
 @query(f"with {BACKBONE} select * from back", "v_cycles v_seg")
 def f9_select_backbone(spark, d):
-    return cycles.select_backbone(V.v_cycles(spark, d), V.v_seg(spark), ["allele"], "H1", "H4")
+    return cycles.select_backbone(V.v_cycles(spark, d), V.v_seg(spark, d), ["sample", "allele"], "H1", "H4").drop("sample")
 
 
 ANCHOR = f"""{BACKBONE}, rest as (select cs.* from cs join back b on b.allele = cs.allele where b.cycle_id <> cs.cycle_id),
@@ -480,7 +557,7 @@ indirect as (select r.allele, r.cycle_id, arg_min(r.seg, ((r.seg not like 'H%'):
 @query(f"with {ANCHOR} select distinct r.allele, r.cycle_id, coalesce(d.anchor, i.anchor) as anchor from rest r left join direct d on d.allele = r.allele and d.cycle_id = r.cycle_id left join indirect i on i.allele = r.allele and i.cycle_id = r.cycle_id", "v_cycles v_seg")
 def f10_choose_anchors(spark, d):
     c = V.v_cycles(spark, d)
-    return cycles.choose_anchors(c, cycles.select_backbone(c, V.v_seg(spark), ["allele"], "H1", "H4"), ["allele"])
+    return cycles.choose_anchors(c, cycles.select_backbone(c, V.v_seg(spark, d), ["sample", "allele"], "H1", "H4"), ["sample", "allele"]).drop("sample")
 
 
 @query(
@@ -492,8 +569,7 @@ select allele, cycle_id, min(hops)::bigint as hops from reach group by all""".re
 )
 def f10_reachable_cycles(spark, d):
     c = V.v_cycles(spark, d)
-    new_folder(spark)
-    out = cycles.reachable_cycles(c, cycles.select_backbone(c, V.v_seg(spark), ["allele"], "H1", "H4"), ["allele"])
+    out = cycles.reachable_cycles(c, cycles.select_backbone(c, V.v_seg(spark, d), ["sample", "allele"], "H1", "H4"), ["sample", "allele"])
     return out.select("allele", "cycle_id", F.col("hops").cast("long").alias("hops"))
 
 
@@ -501,8 +577,8 @@ _SQL["f10_reachable_cycles"] = _SQL["f10_reachable_cycles"].replace("with ", "wi
 
 
 def walks(spark, d):
-    w = assemble.assemble_walks(V.v_cycles(spark, d), V.v_seg(spark), ["allele"], "H1", "H4")
-    return w.where("valid").select("allele", F.lit(1).alias("map_no"), "walk")
+    w = assemble.assemble_walks(V.v_cycles(spark, d), V.v_seg(spark, d), ["sample", "allele"], "H1", "H4")
+    return w.where("valid").select("sample", "allele", "map_no", "walk")
 
 
 @query(
@@ -513,7 +589,7 @@ def walks(spark, d):
 )
 def f11_assemble_walks(spark, d):
     """The walk of every allele, by its conserved segment counts."""
-    return cycles.segment_counts(walks(spark, d), ["allele"], "walk").groupBy("allele", "seg").agg(F.sum("n").alias("n"))
+    return cycles.segment_counts(walks(spark, d).select("allele", "walk"), ["allele"], "walk").groupBy("allele", "seg").agg(F.sum("n").alias("n"))
 
 
 @query()
@@ -541,6 +617,17 @@ def f12_fold_repeats(spark, d):
     return out.select("allele", "cycle_id", "unit_id", F.col("start").cast("long").alias("start"), "times")
 
 
+@query(
+    """with w as (select allele, cycle_id, tokens as u, array_to_string(tokens, ' ') as t, len(tokens) as n from v_cycles where cycle_id >= 0)
+select allele, cycle_id, 'H9+ (' || t || ')x3 H9-' as text, 1::int as height from w""",
+    "v_cycles",
+)
+def f12_fold_walks(spark, d):
+    c = V.v_cycles(spark, d).where("cycle_id >= 0")
+    w = c.select("allele", "cycle_id", F.concat(F.array(F.lit("H9+")), "tokens", "tokens", "tokens", F.array(F.lit("H9-"))).alias("walk"))
+    return cycles.fold_walks(w, ["allele", "cycle_id"], c.select("allele", "cycle_id", F.col("cycle_id").alias("unit_id"), F.col("tokens").alias("unit")))
+
+
 SIG = "select allele, cycle_id, md5(array_to_string(tokens, ';') || ';') as md5_walk, md5(regexp_replace(array_to_string(list_sort(tokens), ';'), '[+-]', '', 'g')) as md5_composition from v_cycles"
 
 
@@ -550,24 +637,24 @@ def f13_walk_signatures(spark, d):
 
 
 @query(
-    """with w as (select allele % 3 as grp, allele as map_no, cycle_id, list_slice(tokens, 1, 2) as walk, cnt as height from v_cycles)
-select grp, map_no, cycle_id, height, walk from (select *, row_number() over (partition by grp, walk order by height, map_no * 1000000 + cycle_id) as r from w) where r = 1""",
+    """with w as (select allele % 3 as grp, allele as map_no, cycle_id, tokens as walk, cnt as height from v_cycles)
+select grp, map_no, cycle_id, height, walk from (select *, row_number() over (partition by grp, walk order by height, map_no * 10000000000 + cycle_id) as r from w) where r = 1""",
     "v_cycles",
 )
 def f14_dedup_walks(spark, d):
-    w = V.v_cycles(spark, d).selectExpr("allele % 3 as grp", "allele as first", "cycle_id", "allele * 1000000 + cycle_id as map_no", "slice(tokens, 1, 2) as walk", "cnt as height")
+    w = V.v_cycles(spark, d).selectExpr("allele % 3 as grp", "allele as first", "cycle_id", "allele * 10000000000 + cycle_id as map_no", "tokens as walk", "cnt as height")
     return cycles.dedup_walks(w, ["grp"]).selectExpr("grp", "first as map_no", "cycle_id", "height", "walk")
 
 
 @query(
     """with t as (select *, array_to_string(tokens, ';') || ';' as t from v_cycles)
-select allele, cycle_id from t where (regexp_matches(t, '(^|;)H2[+-];H1[+];') or regexp_matches(t, '(^|;)H1[-];H2[+-];')) and (regexp_matches(t, '(^|;)V1[+-];'))""",
+select allele, cycle_id from t where len(tokens) = 1 or (regexp_matches(t, '(^|;)H2[+-];H1[+];') or regexp_matches(t, '(^|;)H1[-];H2[+-];')) and (regexp_matches(t, '(^|;)V1[+-];'))""",
     "v_cycles",
 )
 def f15_require_motifs(spark, d):
-    motifs = spark.createDataFrame([("H2,H1+",), ("V1",)], "motif string")
     w = V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk"))
-    return cycles.require_motifs(w, motifs, ["allele", "cycle_id"]).select("allele", "cycle_id")
+    single = w.where("size(walk) = 1").select("allele", "cycle_id")
+    return cycles.require_motifs(w, ["H2,H1+", "V1"], ["allele", "cycle_id"], single).select("allele", "cycle_id")
 
 
 @query(
@@ -582,10 +669,10 @@ def f16_inversion_variants(spark, d):
     return out.select("allele", "cycle_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "variant")
 
 
-@query("select allele, cycle_id from v_cycles where allele in (select o_orderkey from orders where o_orderkey % 2 = 0) and allele not in (select o_orderkey from orders where o_orderkey % 3 = 0)", "v_cycles")
+@query("select allele, cycle_id from v_cycles where allele in (select o_orderkey * 1000 from orders where o_orderkey % 2 = 0) and allele not in (select o_orderkey * 1000 from orders where o_orderkey % 3 = 0)", "v_cycles")
 def f17_select_solutions(spark, d):
-    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("allele"))
-    return cycles.select_solutions(V.v_cycles(spark, d).select("allele", "cycle_id"), o.where("allele % 2 = 0"), o.where("allele % 3 = 0"), "allele")
+    o = V.table(spark, d, "orders").selectExpr("o_orderkey * 1000 as allele", "o_orderkey as k")
+    return cycles.select_solutions(V.v_cycles(spark, d).select("allele", "cycle_id"), o.where("k % 2 = 0"), o.where("k % 3 = 0"), "allele")
 
 
 @query(
@@ -599,9 +686,9 @@ def f18_propagate_validity(spark, d):
     return cycles.propagate_validity(a)
 
 
-@query(f"with {TOKS}, e as (select allele, seg, sum(cnt) as expected from cs group by all) select allele, e.seg, expected::bigint as expected, (v.ed - v.st)::double / 20 as cn, (expected - (v.ed - v.st)::double / 20) / ((v.ed - v.st)::double / 20) as residual from e join v_seg v on v.seg = e.seg", "v_cycles v_seg")
+@query(f"with {TOKS}, e as (select sample, allele, seg, sum(cnt) as expected from cs group by all) select allele, e.seg, expected::bigint as expected, (v.ed - v.st)::double / 20 as cn, (expected - (v.ed - v.st)::double / 20) / ((v.ed - v.st)::double / 20) as residual from e join v_seg v on v.sample = e.sample and v.seg = e.seg", "v_cycles v_seg")
 def f19_solution_accounting(spark, d):
-    return cycles.solution_accounting(V.v_cycles(spark, d), V.v_seg(spark).selectExpr("seg", "cast(ed - st as double) / 20 as cn"), ["allele"])
+    return cycles.solution_accounting(V.v_cycles(spark, d), V.v_seg(spark, d).selectExpr("sample", "seg", "cast(ed - st as double) / 20 as cn"), ["sample", "allele"]).drop("sample")
 
 
 @query("select allele, string_agg(cycle_id || ':' || cnt, ',' order by cycle_id || ':' || cnt) as usage from v_cycles group by allele", "v_cycles")
@@ -649,24 +736,29 @@ def g2_terminal_anchors(spark, d):
     return links.terminal_anchors(s, links.inner_anchors(s, 2), 20).select("sample", "refseg", "seg", "role", "pos")
 
 
-ANCHORS = "anc as (select 'a' || p_partkey as anchor, 'S' || (p_partkey % 5) as refseg, p_partkey as pos from part where p_partkey % 10 = 0)"
+ANCHORS = "anc as (select 'a' || p_partkey as anchor, 'S' || (p_partkey % 5) as refseg, p_partkey as pos from part)"
 
 
 @query(f"with {ANCHORS} select distinct anchor, molecule as marker from anc join v_reads r on r.refseg = anc.refseg and pos between st and ed", "v_reads")
 def g4_anchor_markers(spark, d):
-    a = V.table(spark, d, "part").where("p_partkey % 10 = 0").selectExpr("concat('a', p_partkey) as anchor", "concat('S', p_partkey % 5) as refseg", "p_partkey as pos")
+    a = V.table(spark, d, "part").selectExpr("concat('a', p_partkey) as anchor", "concat('S', p_partkey % 5) as refseg", "p_partkey as pos")
     return links.anchor_markers(a, V.v_reads(spark, d))
 
 
-SHARED = """names as (select distinct anchor from v_markers),
-got as (select a.anchor as anchor_a, b.anchor as anchor_b, count(*) as n from v_markers a join v_markers b on a.marker = b.marker and a.anchor < b.anchor group by all),
-shared as (select a.anchor as anchor_a, b.anchor as anchor_b, coalesce(n, 0)::bigint as links from names a join names b on a.anchor < b.anchor left join got g on g.anchor_a = a.anchor and g.anchor_b = b.anchor)"""
+SHARED = """shared as (select a.anchor as anchor_a, b.anchor as anchor_b, count(*)::bigint as links from v_markers a join v_markers b on a.marker = b.marker and a.anchor < b.anchor group by all)"""
+ASKED = "asked as (select distinct least(a.p_brand, b.p_brand) as anchor_a, greatest(a.p_brand, b.p_brand) as anchor_b from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_brand <> b.p_brand)"
 
 
-@query(f"with {SHARED} select * from shared where right(anchor_a, 1) <> right(anchor_b, 1) or anchor_a is null", "v_markers")
+@query(
+    f"""with {SHARED}, {ASKED} select a.anchor_a, a.anchor_b, coalesce(links, 0)::bigint as links from asked a left join shared s on s.anchor_a = a.anchor_a and s.anchor_b = a.anchor_b where right(a.anchor_a, 1) <> right(a.anchor_b, 1)""",
+    "v_markers",
+)
 def g5_shared_marker_links(spark, d):
     m = V.v_markers(spark, d)
-    return links.shared_marker_links(m, m.select("anchor").distinct().withColumn("seg", F.right("anchor", F.lit(1))))
+    part = V.table(spark, d, "part").select("p_partkey", "p_brand")
+    near = part.alias("a").join(part.selectExpr("p_partkey - 1 as p_partkey", "p_brand as other"), "p_partkey").where("p_brand <> other")
+    asked = near.selectExpr("least(p_brand, other) as anchor_a", "greatest(p_brand, other) as anchor_b").distinct()
+    return links.shared_marker_links(m, m.select("anchor").distinct().withColumn("seg", F.right("anchor", F.lit(1))), asked)
 
 
 @query(
@@ -696,8 +788,8 @@ def g7_g8_pair_groups(spark, d):
     return out.select("id", links.pair_key(F.col("anchor_a"), F.col("anchor_b")).alias("pair_id"), "group_id", "problem")
 
 
-PLACES = f"""{TOKS}, off as (select cs.allele, cs.cycle_id, ord, token, cs.seg, orit, v.ed - v.st + 1 as len, coalesce(sum(v.ed - v.st + 1) over (partition by allele, cycle_id order by ord rows between unbounded preceding and 1 preceding), 0) as before,
-  lead(token) over (partition by allele, cycle_id order by ord) as nxt from cs join v_seg v on v.seg = cs.seg),
+PLACES = f"""{TOKS}, off as (select cs.sample, cs.allele, cs.cycle_id, ord, token, cs.seg, orit, v.ed - v.st + 1 as len, coalesce(sum(v.ed - v.st + 1) over (partition by allele, cycle_id order by ord rows between unbounded preceding and 1 preceding), 0) as before,
+  lead(token) over (partition by allele, cycle_id order by ord) as nxt from cs join v_seg v on v.sample = cs.sample and v.seg = cs.seg),
 pa(anchor, seg, to5, to3) as (values ('P1', 'H2', 50::bigint, 99::bigint), ('P2', 'V1', 30, 49)),
 ja(anchor, pair) as (values ('JUNC1', 'H2+,H1+'), ('JUNC1', 'H1-,H2-'), ('JUNC2', 'H1+,H3-'), ('JUNC2', 'H3+,H1-')),
 places as (select allele, cycle_id, anchor, (before + case when orit = '+' then to5 else to3 end)::bigint as "at" from off join pa using (seg)
@@ -706,13 +798,13 @@ pairs(anchor_a, anchor_b) as (values ('JUNC1', 'P1'), ('JUNC1', 'P2'), ('P1', 'P
 
 
 def offsets(spark, d):
-    return links.walk_offsets(V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk")), V.v_seg(spark), ["allele", "cycle_id"])
+    return links.walk_offsets(V.v_cycles(spark, d).select("allele", "cycle_id", F.col("tokens").alias("walk"), "sample"), V.v_seg(spark, d), ["sample", "allele", "cycle_id"])
 
 
 def places(spark, d):
     pos = spark.createDataFrame([("P1", "H2", 50, 99), ("P2", "V1", 30, 49)], "anchor string, seg string, to5 long, to3 long")
     junc = spark.createDataFrame([("JUNC1", "H2+,H1+"), ("JUNC2", "H1+,H3-")], "anchor string, link string")
-    return links.anchor_positions(offsets(spark, d), pos, junc, ["allele", "cycle_id"])
+    return links.anchor_positions(offsets(spark, d), pos, junc, ["sample", "allele", "cycle_id"]).drop("sample")
 
 
 def anchor_pairs(spark):
@@ -729,27 +821,35 @@ def g10_anchor_distance(spark, d):
     return links.anchor_distances(places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"])
 
 
-MOLS = "mols as (select user_id // 5 as allele, user_id as cycle_id, event_id as mol, (event_id % 700)::bigint as st, (event_id % 700 + 200 + event_id % 300)::bigint as ed, 0.25 * (event_id % 4 + 1) as covr from events)"
+MOLS = "mols as (select allele, cycle_id, event_id as mol, (event_id % 700)::bigint as st, (event_id % 700 + 200 + event_id % 300)::bigint as ed, 0.25 * (event_id % 4 + 1) as covr from v_tok)"
 
 
 def molecules(spark, d):
-    return V.table(spark, d, "events").selectExpr("user_id div 5 as allele", "user_id as cycle_id", "event_id as mol", "event_id % 700 as st", "event_id % 700 + 200 + event_id % 300 as ed", "cast(0.25 * (event_id % 4 + 1) as double) as covr")
+    return V.v_tok(spark, d).selectExpr("allele", "cycle_id", "event_id as mol", "event_id % 700 as st", "event_id % 700 + 200 + event_id % 300 as ed", "cast(0.25 * (event_id % 4 + 1) as double) as covr")
 
 
 def _co(biend: str) -> str:
     return f"""with {PLACES}, {MOLS}, hit as (select p.allele, p.cycle_id, anchor, "at", mol, m.st, m.ed, covr from places p join mols m on m.allele = p.allele and m.cycle_id = p.cycle_id and "at" between m.st and m.ed),
 got as (select a.allele, a.cycle_id, anchor_a, anchor_b, sum(a.covr) as n from pairs p join hit a on a.anchor = anchor_a join hit b on b.anchor = anchor_b and b.allele = a.allele and b.cycle_id = a.cycle_id and b.mol = a.mol {biend} group by all)
-select k.allele, k.cycle_id, p.anchor_a, p.anchor_b, coalesce(n, 0)::double as links from (select distinct allele, cycle_id from places) k cross join pairs p left join got g on g.allele = k.allele and g.cycle_id = k.cycle_id and g.anchor_a = p.anchor_a and g.anchor_b = p.anchor_b"""
+select k.allele, k.cycle_id, p.anchor_a, p.anchor_b, coalesce(n, 0)::double as links from (select distinct allele, cycle_id, anchor from places) k join pairs p on p.anchor_a = k.anchor left join got g on g.allele = k.allele and g.cycle_id = k.cycle_id and g.anchor_a = p.anchor_a and g.anchor_b = p.anchor_b"""
+
+
+def co_covered(spark, d, *how):
+    """Links of the pairs whose first anchor stands on the walk, zeros included."""
+    keys = ["allele", "cycle_id"]
+    spots = places(spark, d)
+    wanted = spots.select(*keys, F.col("anchor").alias("anchor_a")).distinct().join(anchor_pairs(spark), "anchor_a")
+    return links.with_zeros(links.co_coverage(molecules(spark, d), spots, anchor_pairs(spark), keys, *how), wanted, keys)
 
 
 @query(_co(""), "v_cycles v_seg")
 def g11_co_coverage(spark, d):
-    return links.co_coverage(molecules(spark, d), places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"])
+    return co_covered(spark, d)
 
 
 @query(_co("where least(a.at, b.at) - a.st <= 150 and a.ed - greatest(a.at, b.at) <= 150"), "v_cycles v_seg")
 def g11_co_coverage_biend(spark, d):
-    return links.co_coverage(molecules(spark, d), places(spark, d), anchor_pairs(spark), ["allele", "cycle_id"], True, 150)
+    return co_covered(spark, d, True, 150)
 
 
 # --- distributions ---------------------------------------------------------------------------------------
@@ -902,16 +1002,32 @@ def _text(df: DataFrame, column: str, name: str) -> str:
 
 @query("select refseg, pos, sum(depth)::double as depth from v_depth where refseg <> 'S3' group by all", "v_depth")
 def a1_read_depth(spark, d):
-    wide = V.v_depth(spark, d).groupBy("refseg", "pos").pivot("tissue", ["case", "ctrl"]).agg(F.sum("depth"))
+    wide = depth.positions(V.v_depth(spark, d)).groupBy("refseg", "pos").pivot("tissue", ["case", "ctrl"]).agg(F.sum("depth"))
     row = F.concat_ws(" ", "refseg", F.col("pos").cast("string"), *[F.coalesce(F.col(c), F.lit(0.0)).cast("string") for c in ("case", "ctrl")])
     return readers.read_depth(spark, _text(wide.select(row.alias("t")), "t", "depth")).where("refseg <> 'S3'")
 
 
+JUNC8 = ["refseg_5p", "bkpos_5p", "strd_5p", "refseg_3p", "bkpos_3p", "strd_3p", "jr_count"]
+
+
 @query("select junc_no, refseg_5p, bkpos_5p, strd_5p, refseg_3p, bkpos_3p, strd_3p, jr_count, ncpr::double as ncpr from v_junc", "v_junc")
 def a2_read_junctions(spark, d):
+    """Numbered rows in compressed files of any size."""
     path = scratch(spark, "junctions")
-    V.v_junc(spark, d).select("junc_no", "refseg_5p", "bkpos_5p", "strd_5p", "refseg_3p", "bkpos_3p", "strd_3p", "jr_count", F.expr("nullif(ncpr, 0)").alias("ncpr")).write.csv(path, sep="\t", compression="gzip")
-    return readers.read_junctions(spark, path)
+    V.v_junc(spark, d).select("junc_no", *JUNC8, F.expr("nullif(ncpr, 0)").alias("ncpr")).write.csv(path, sep="\t", compression="gzip")
+    return readers.read_junctions(spark, path, numbered=True)
+
+
+@query("select row_number() over (partition by sample order by junc_no)::bigint as junc_no, refseg_5p, bkpos_5p, strd_5p, refseg_3p, bkpos_3p, strd_3p, jr_count, ncpr::double as ncpr from v_junc", "v_junc")
+def a2_read_junction_files(spark, d):
+    """A file of eight columns for each sample, as callers write them; numbers follow from the order of lines."""
+    path = scratch(spark, "junction-files")
+    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in JUNC8], F.when(F.col("ncpr") != 0, F.col("ncpr").cast("string")))
+    texts = V.v_junc(spark, d).groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("junc_no", line.alias("line")))).alias("l"))
+    head = F.lit("#refseg_5p\tbkpos_5p\tstrd_5p\trefseg_3p\tbkpos_3p\tstrd_3p\tJR_count\tNormalCellCopyRatio\n")
+    texts = texts.select("sample", F.concat(head, F.array_join("l.line", "\n")).alias("value"))
+    texts.repartition("sample").write.partitionBy("sample").text(path)
+    return readers.read_junctions(spark, f"{path}/*/").drop("sample")
 
 
 @query("select 'V' || p_partkey as seg, p_brand as refseg, p_partkey as st, p_partkey + p_size as ed, p_retailprice as depth from part")
@@ -921,17 +1037,18 @@ def a3_read_feature_segments(spark, d):
     return readers.read_feature_segments(spark, path)
 
 
-@query("select refseg, st, ed, res from v_resol", "v_resol")
+@query("select refseg, st, ed, res from v_resol union all select 'P' || p_partkey, p_partkey, p_partkey + p_size, p_size from part", "v_resol")
 def a4_read_resolution(spark, d):
     path = scratch(spark, "resolution")
-    V.v_resol(spark, d).write.csv(path, sep="\t")
+    own = V.table(spark, d, "part").selectExpr("concat('P', p_partkey) as refseg", "p_partkey as st", "p_partkey + p_size as ed", "p_size as res")
+    V.v_resol(spark, d).unionByName(own).write.csv(path, sep="\t")
     return readers.read_resolution(spark, path)
 
 
 def config(spark: SparkSession, d: str) -> DataFrame:
     """Tagged text from the tables, read again."""
     part = V.table(spark, d, "part")
-    seg = part.selectExpr("concat('@', if(p_partkey % 10 = 0, 'V', 'H'), 'SEG\tID=', if(p_partkey % 10 = 0, 'V', 'H'), p_partkey, if(p_partkey % 10 = 0, '', concat(';GROUP=', p_size)), ';INTERVAL=', p_brand, ':', p_partkey, '-', p_partkey + p_size, ';CN_ALT=', if(p_partkey % 7 = 0, 'N/A', cast(p_size as string)), ';LP_OFFSET%=', p_size, ';') as t")
+    seg = part.selectExpr("concat('@', if(p_partkey % 10 = 0, 'V', 'H'), 'SEG\tID=', if(p_partkey % 10 = 0, 'V', 'H'), p_partkey, if(p_partkey % 10 = 0, '', concat(';GROUP=', p_size)), ';INTERVAL=', p_brand, ':', p_partkey, '-', p_partkey + p_size, ';CN_ALT=', if(p_partkey % 7 = 0, 'N/A', cast(p_size as string)), ';LP_OFFSET%=', p_size, '%;') as t")
     junc = part.selectExpr("concat('@JUNC\tID=JUNC', p_partkey, ';SEGLINK=', if(p_partkey % 10 = 0, 'V', 'H'), p_partkey, '+,', if((p_partkey + 3) % 10 = 0, 'V', 'H'), p_partkey + 3, '-;CN_ALT=', p_size) as t")
     cyc = V.v_cycles(spark, d).selectExpr("concat('@UCYC\tID=U', allele, '_', cycle_id, ';SEGSTR=', array_join(tokens, ','), ',', tokens[0]) as t")
     sol = V.v_cycles(spark, d).groupBy("allele").agg(cycles.usage(F.collect_list(F.struct(F.col("cycle_id").alias("id"), F.col("cnt").alias("n")))).alias("u"))
@@ -1025,11 +1142,25 @@ def b1_cn_table_lines(spark, d):
     return writers.cn_lines(s, j, facts)
 
 
-@query(f"select allele, 'LOCALMAP' || chr(9) || 'NO=1;TOKENS=' || len(tokens) || ';STRUCTURE=' || array_to_string(tokens, ' ') as line from v_cycles where cycle_id = -1", "v_cycles")
-def b2_walk_lines(spark, d):
-    w = V.v_cycles(spark, d).where("cycle_id = -1").select("allele", F.lit(1).alias("map_no"), F.col("tokens").alias("walk"))
-    none = w.select("allele", "map_no", F.lit(None).cast("string").alias("text")).where("map_no = 0")
-    return writers.walk_lines(w, none, ["allele"]).select("allele", "line")
+@query(
+    """with w as (select sample, allele, cycle_id, tokens, array_to_string(tokens, ';') || ';' as t, array_to_string(tokens, ' ') as u from v_cycles where cycle_id >= 0),
+m as (select sample, allele, 1 + cycle_id % 100000 as map_no, 'LOCALMAP' || chr(9) || 'NO=' || (1 + cycle_id % 100000) || ';RANDPROB=0;SOLUTION_NO=1;GROUP=N/A;ALLELE_NO=' || allele || ';ALLELE_CN=2;FVGMUSED=N/A;SEGSTRMD5=' || md5(t || t || t)
+  || ';SORTSEGSTRMD5=' || md5(regexp_replace(array_to_string(list_sort(list_concat(list_concat(tokens, tokens), tokens)), ';'), '[+-]', '', 'g')) || ';STRUDEPTH=2;' as head, 'STRUCTURE:' || chr(9) || '(' || u || ')x3' as body from w)
+select sample, 0 as section, 0::bigint as allele_no, 0::bigint as map_no, (row_number() over (partition by sample order by seg) - 1)::bigint as ord, '@SEG' || chr(9) || 'ID=' || seg as line from v_seg
+union all select distinct sample, 1, allele, 0, 0, 'SOLUTION' || chr(9) || 'NO=1;ALLELE_NO=' || allele from w
+union all select sample, 1, allele, map_no, 1, head from m union all select sample, 1, allele, map_no, 2, body from m""",
+    "v_cycles v_seg",
+)
+def b2_walk_file(spark, d):
+    c = V.v_cycles(spark, d).where("cycle_id >= 0").selectExpr("sample", "allele", "1 + cycle_id % 100000 as map_no", "tokens", "1 as solution", "2 as allele_cn", "2 as depth")
+    w = c.withColumn("walk", F.concat("tokens", "tokens", "tokens"))
+    keys = ["sample", "allele"]
+    folds = cycles.fold_walks(w, [*keys, "map_no"], c.select(*keys, "map_no", F.lit(1).alias("unit_id"), F.col("tokens").alias("unit")))
+    lines = writers.walk_lines(w, folds, keys)
+    order = Window.partitionBy("sample").orderBy("seg")
+    header = V.v_seg(spark, d).select("sample", (F.row_number().over(order) - 1).alias("ord"), F.concat(F.lit("@SEG\tID="), "seg").alias("line"))
+    solutions = c.select(*keys).distinct().select(*keys, F.col("allele").alias("allele_no"), F.concat(F.lit("SOLUTION\tNO=1;ALLELE_NO="), "allele").alias("line"))
+    return writers.walk_file(header, solutions, lines, keys)
 
 
 @query(

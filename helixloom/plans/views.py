@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARAMS = {"mean_case": 30.0, "mean_ctrl": 30.2, "purity": 0.8, "ploidy_t": 3.0, "ploidy_n": 2.0}
+#: Samples that share all segment names; every order belongs to one.
+SAMPLES = 500
 SEGMENTS = (("H1", "S0", 1, 100), ("H2", "S0", 101, 250), ("H3", "S0", 251, 300), ("H4", "S0", 301, 420), ("V1", "VIR", 1, 80))
 EVENT_SEGMENT = {"click": "H1", "view": "H2", "signup": "H3", "purchase": "H4", "error": "V1"}
 MIN_BASEQ, MIN_MAPQ = 2, 1
@@ -17,11 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def v_reads(spark, d):
     return table(spark, d, "lineitem").selectExpr(
-        "concat('S', l_suppkey % 5) as refseg", "l_partkey + 1 as st", "l_partkey + cast(l_quantity as bigint) as ed",
+        f"concat('s', l_orderkey % {SAMPLES}) as sample", "concat('S', l_suppkey % 5) as refseg", "l_partkey + 1 as st", "l_partkey + cast(l_quantity as bigint) as ed",
         "cast(round(l_tax * 100) as int) as mapq", "l_linenumber as baseq", "l_orderkey as molecule",
     )
 
 
+def v_facts(spark, d):
+    """sample, mean_case, mean_ctrl, purity, ploidy_t, ploidy_n of each sample; some have no case mean, some a purity of zero."""
+    i = table(spark, d, "orders").selectExpr(f"o_orderkey % {SAMPLES} as i").distinct()
+    return i.selectExpr(
+        "concat('s', i) as sample", "if(i % 11 = 5, null, 30.0D + i % 7) as mean_case", "30.2D as mean_ctrl", "cast(i % 10 as double) / 10 as purity", "2.0D + i % 3 as ploidy_t", "2.0D as ploidy_n",
+    )
+
+
 def v_region(spark, d):
     end = table(spark, d, "part").selectExpr("max(p_partkey) + 100 as ed")
     return end.selectExpr("explode(array('S0', 'S1', 'S2', 'S3', 'S4')) as refseg", "1L as st", "ed")
@@ -34,8 +43,8 @@ def v_resol(spark, d):
 
 
 def v_junc(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 500 = 0").selectExpr(
-        "'s1' as sample",
+    return table(spark, d, "lineitem").selectExpr(
+        f"concat('s', l_orderkey % {SAMPLES}) as sample",
         "l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax) as junc_no",
         "concat('S', l_suppkey % 5) as refseg_5p", "l_partkey + 1 as bkpos_5p", "if(l_returnflag = 'R', '-', '+') as strd_5p",
         "concat('S', (l_suppkey + l_linenumber) % 5) as refseg_3p", "(l_partkey * 7 + l_linenumber * 131) % 2000 + 1 as bkpos_3p",
@@ -58,53 +67,63 @@ def v_track(spark, d):
     return v_reads(spark, d).selectExpr("refseg", "molecule % 100 as gene", "lpad(cast(baseq as string), 3, '0') as tid", "st", "ed")
 
 
-def v_seg(spark, d=None):
-    return spark.createDataFrame(list(SEGMENTS), "seg string, refseg string, st long, ed long")
+def v_seg(spark, d):
+    """sample, seg, refseg, st, ed: the same names in every sample, with lengths of its own."""
+    rows = ", ".join(f"struct('{s}' as seg, '{r}' as refseg, {a}L as st, {b}L as ed)" for s, r, a, b in SEGMENTS)
+    own = table(spark, d, "events").selectExpr("user_id % 7 as k").distinct()
+    return own.selectExpr("k", f"explode(array({rows})) as s").selectExpr("concat('s', k) as sample", "s.seg as seg", "s.refseg as refseg", "s.st as st", "s.ed + k * 10 as ed")
 
 
-def v_cycles(spark, d):
-    """allele, cycle_id, cnt, tokens: each user's first eight events, and one backbone for each allele."""
-    ev = table(spark, d, "events")
+def v_tok(spark, d):
+    """sample, allele, cycle_id, event_id, rn (from 1 in its cycle), token: each user's events, eight to a cycle, five cycles to an allele."""
     cases = " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_SEGMENT.items())
-    ranked = ev.selectExpr("user_id", "ts", "event_id", f"concat(case event_type {cases} end, if(value >= 30, '+', '-')) as token")
-    ranked = ranked.selectExpr("*", "row_number() over (partition by user_id order by ts, event_id) as rn").where("rn <= 8")
-    cycles = ranked.groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(rn, token))), x -> x.token) as tokens"))
-    cycles = cycles.selectExpr("user_id div 5 as allele", "user_id as cycle_id", "1 + user_id % 3 as cnt", "tokens")
-    back = cycles.select("allele").distinct().selectExpr("allele", "-1L as cycle_id", "1L as cnt", "array('H1+', 'H2+', 'H3+', 'H4+') as tokens")
+    ev = table(spark, d, "events").selectExpr("user_id", "ts", "event_id", f"concat(case event_type {cases} end, if(value >= 30, '+', '-')) as token")
+    ranked = ev.selectExpr("*", "row_number() over (partition by user_id order by ts, event_id) - 1 as n")
+    return ranked.selectExpr("concat('s', user_id % 7) as sample", "user_id * 1000 + n div 40 as allele", "user_id * 100000 + n div 8 as cycle_id", "event_id", "n % 8 + 1 as rn", "token")
+
+
+def v_cycles(spark, d):
+    """sample, allele, cycle_id, cnt, tokens: every event in a cycle, and one backbone for each allele."""
+    cycles = v_tok(spark, d).groupBy("sample", "allele", "cycle_id").agg(F.expr("transform(array_sort(collect_list(struct(rn, token))), x -> x.token) as tokens"))
+    cycles = cycles.selectExpr("sample", "allele", "cycle_id", "1 + cycle_id % 3 as cnt", "tokens")
+    back = cycles.select("sample", "allele").distinct().selectExpr("sample", "allele", "-1L as cycle_id", "1L as cnt", "array('H1+', 'H2+', 'H3+', 'H4+') as tokens")
     return cycles.unionByName(back)
 
 
 def v_depth(spark, d):
-    """tissue, refseg, pos, depth: depth of each covered position."""
-    from helixloom.operators.depth import coverage, positions
+    """sample, tissue, refseg, st, ed, depth: runs of even depth."""
+    from helixloom.operators.depth import coverage
 
     reads = v_reads(spark, d).selectExpr("*", "if(baseq % 2 = 0, 'case', 'ctrl') as tissue")
-    return positions(coverage(reads, ["tissue", "refseg"], MIN_BASEQ, MIN_MAPQ))
+    return coverage(reads, ["sample", "tissue", "refseg"], MIN_BASEQ, MIN_MAPQ)
 
 
 _case = " ".join(f"when '{k}' then '{v}'" for k, v in EVENT_SEGMENT.items())
 DUCK = {
-    "v_reads": """select 'S' || (l_suppkey % 5) as refseg, l_partkey + 1 as st, l_partkey + l_quantity::bigint as ed,
+    "v_reads": f"""select 's' || (l_orderkey % {SAMPLES}) as sample, 'S' || (l_suppkey % 5) as refseg, l_partkey + 1 as st, l_partkey + l_quantity::bigint as ed,
   round(l_tax * 100)::int as mapq, l_linenumber as baseq, l_orderkey as molecule from lineitem""",
+    "v_facts": f"""select 's' || i as sample, case when i % 11 = 5 then null else 30.0::double + i % 7 end as mean_case, 30.2::double as mean_ctrl, (i % 10)::double / 10 as purity, 2.0::double + i % 3 as ploidy_t, 2.0::double as ploidy_n
+  from (select distinct o_orderkey % {SAMPLES} as i from orders)""",
     "v_region": "select 'S' || i as refseg, 1::bigint as st, (select max(p_partkey) + 100 from part) as ed from range(5) t(i)",
     "v_resol": """select refseg, r.st as st, least(r.ed, g.ed) as ed, r.res as res from v_region g,
   (values (1::bigint, 700::bigint, 10::bigint), (701, 1400, 25), (1401, 9223372036854775807, 50)) r(st, ed, res) where r.st <= g.ed""",
-    "v_junc": """select 's1' as sample, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax) as junc_no,
+    "v_junc": f"""select 's' || (l_orderkey % {SAMPLES}) as sample, l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_tax) as junc_no,
   'S' || (l_suppkey % 5) as refseg_5p, l_partkey + 1 as bkpos_5p, if(l_returnflag = 'R', '-', '+') as strd_5p,
   'S' || ((l_suppkey + l_linenumber) % 5) as refseg_3p, (l_partkey * 7 + l_linenumber * 131) % 2000 + 1 as bkpos_3p,
   if(l_linestatus = 'O', '+', '-') as strd_3p, l_quantity::bigint as jr_count, (l_discount >= 0.05)::int as ncpr
-  from lineitem where l_orderkey % 500 = 0""",
+  from lineitem""",
     "v_markers": "select distinct p_brand as anchor, l_orderkey as marker from lineitem join part on l_partkey = p_partkey",
     "v_pairs": "select c_nationkey as key, o_totalprice as a, c_acctbal as b from orders join customer on o_custkey = c_custkey",
     "v_track": "select refseg, molecule % 100 as gene, lpad(baseq::varchar, 3, '0') as tid, st, ed from v_reads",
-    "v_seg": "select * from (values " + ", ".join(f"('{s}', '{r}', {a}::bigint, {b}::bigint)" for s, r, a, b in SEGMENTS) + ") t(seg, refseg, st, ed)",
-    "v_tok": f"""select user_id, row_number() over (partition by user_id order by ts, event_id) as rn,
-  (case event_type {_case} end) || if(value >= 30, '+', '-') as token from events""",
-    "v_cycles": """select user_id // 5 as allele, user_id as cycle_id, 1 + user_id % 3 as cnt, list(token order by rn) as tokens from v_tok where rn <= 8 group by user_id
-  union all select distinct user_id // 5, -1::bigint, 1::bigint, ['H1+', 'H2+', 'H3+', 'H4+'] from events""",
-    "v_depth": f"""select if(baseq % 2 = 0, 'case', 'ctrl') as tissue, refseg, pos, count(*)::double as depth
+    "v_seg": "select 's' || k as sample, seg, refseg, st, ed + k * 10 as ed from (select distinct user_id % 7 as k from events), (values "
+    + ", ".join(f"('{s}', '{r}', {a}::bigint, {b}::bigint)" for s, r, a, b in SEGMENTS)
+    + ") t(seg, refseg, st, ed)",
+    "v_tok": f"""select 's' || (user_id % 7) as sample, user_id * 1000 + n // 40 as allele, user_id * 100000 + n // 8 as cycle_id, event_id, n % 8 + 1 as rn, token
+  from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as n, (case event_type {_case} end) || if(value >= 30, '+', '-') as token from events)""",
+    "v_cycles": """select sample, allele, cycle_id, 1 + cycle_id % 3 as cnt, list(token order by rn) as tokens from v_tok group by all
+  union all select distinct sample, allele, -1::bigint, 1::bigint, ['H1+', 'H2+', 'H3+', 'H4+'] from v_tok""",
+    "v_depth": f"""select sample, if(baseq % 2 = 0, 'case', 'ctrl') as tissue, refseg, pos, count(*)::double as depth
   from (select *, unnest(range(st, ed + 1)) as pos from v_reads where baseq >= {MIN_BASEQ} and mapq >= {MIN_MAPQ}) group by all""",
-    "v_params": "select " + ", ".join(f"{v}::double as {k}" for k, v in PARAMS.items()),
 }
 NEEDS = {"v_resol": ["v_region"], "v_track": ["v_reads"], "v_cycles": ["v_tok"], "v_depth": ["v_reads"]}
 

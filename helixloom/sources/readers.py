@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from helixloom.functions.tokens import flip, parse_cycle, segment_of, strand_of
 from helixloom.operators.intervals import interval_join
 
-JUNCTIONS = "junc_no long, refseg_5p string, bkpos_5p long, strd_5p string, refseg_3p string, bkpos_3p long, strd_3p string, jr_count long, ncpr double"
+JUNCTIONS = "refseg_5p string, bkpos_5p long, strd_5p string, refseg_3p string, bkpos_3p long, strd_3p string, jr_count long, ncpr double"
 
 
 def read_depth(spark: SparkSession, path: str, refseg: str | None = None) -> DataFrame:
@@ -20,9 +20,17 @@ def read_depth(spark: SparkSession, path: str, refseg: str | None = None) -> Dat
     return rows if refseg is None else rows.where(F.col("refseg") == refseg)
 
 
-def read_junctions(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated junctions; # begins a comment; a missing normal copy ratio is 0. The number is a column, as files have no order here."""
-    return spark.read.csv(path, sep="\t", comment="#", schema=JUNCTIONS).withColumn("ncpr", F.coalesce("ncpr", F.lit(0.0)))
+def read_junctions(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Tab-separated junctions, 8 columns; # begins a comment; a missing normal copy ratio is 0. numbered: a number stands before them as a column of its own. Else junc_no
+    counts the lines of a file that are no comments, in their order: a file is a user's list, read as one row to keep it.
+    """
+    if numbered:
+        rows = spark.read.csv(path, sep="\t", comment="#", schema="junc_no long, " + JUNCTIONS)
+    else:
+        lines = F.filter(F.split("value", "\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
+        texts = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("i", "line"))
+        rows = texts.select((F.col("i") + 1).cast("long").alias("junc_no"), F.from_csv("line", F.lit(JUNCTIONS.replace("long", "bigint")), {"sep": "\t"}).alias("r")).select("junc_no", "r.*")
+    return rows.withColumn("ncpr", F.coalesce("ncpr", F.lit(0.0)))
 
 
 def read_feature_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +66,7 @@ def config_segments(config: DataFrame) -> DataFrame:
     out = config.where("tag in ('HSEG', 'VSEG', 'SEG')").select(
         "file", seg.alias("seg"), F.substring(seg, 1, 1).alias("spec"), F.regexp_extract(seg, r"(\d+)$", 1).try_cast("int").alias("no"), num("GROUP", "int").alias("group_id"),
         at(1).alias("refseg"), at(2).try_cast("long").alias("st"), at(3).try_cast("long").alias("ed"), num("CN_ORIG").alias("cn_orig"), num("CN_REF").alias("cn_ref"),
-        num("CN_ALT").alias("cn_alt"), num("CN_ALT_LP").alias("cn_alt_lp"), num("LP_WEIGHT").alias("lp_weight"), num("LP_OFFSET%").alias("lp_offset_pct"), _text("NOTES").alias("note"),
+        num("CN_ALT").alias("cn_alt"), num("CN_ALT_LP").alias("cn_alt_lp"), num("LP_WEIGHT").alias("lp_weight"), F.regexp_replace(_text("LP_OFFSET%"), "%$", "").try_cast("double").alias("lp_offset_pct"), _text("NOTES").alias("note"),
     )
     return out.withColumn("length", F.col("ed") - F.col("st") + 1)
 

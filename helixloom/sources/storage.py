@@ -1,17 +1,26 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; an own folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; on a cluster that is an error, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives the loss of executors."""
+    path = f"{new_folder(df.sparkSession)}/helixloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.functions.tokens import composition_signature, walk_signature
+
 FIX_ME = "_please_fix_me_"
 
 
@@ -37,10 +39,30 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
 
 
 def walk_lines(walks: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, line: attributes of each walk (map_no, walk) and its run-length text; folds(keys.., map_no, text)."""
-    size = F.size("walk")
-    line = F.concat(F.lit("LOCALMAP\t"), F.concat_ws(";", field("NO", F.col("map_no")), field("TOKENS", size), field("STRUCTURE", F.coalesce("text", F.array_join("walk", " ")))))
-    return walks.join(folds, [*keys, "map_no"], "left").select(*keys, "map_no", line.alias("line"))
+    """keys, map_no, line: attributes of each walk and its run-length text.
+
+    walks(keys.., map_no, walk, depth and, where they are known, solution, group_id, allele, allele_cn, free, draw), folds(keys.., map_no, text) from fold_walks; a walk without one is
+    written token by token.
+    """
+    have = lambda c: F.col(c) if c in walks.columns else F.lit(None).cast("string")
+    attributes = F.concat_ws(
+        ";", field("NO", F.col("map_no")), field("RANDPROB", F.coalesce(have("draw").cast("string"), F.lit("0"))), field("SOLUTION_NO", have("solution")), field("GROUP", have("group_id")), field("ALLELE_NO", have("allele")),
+        field("ALLELE_CN", have("allele_cn")), field("FVGMUSED", have("free")), field("SEGSTRMD5", walk_signature(F.col("walk"))), field("SORTSEGSTRMD5", composition_signature(F.col("walk"))), field("STRUDEPTH", have("depth")),
+    )
+    both = walks.select(*keys, "map_no", "walk", F.concat(F.lit("LOCALMAP\t"), attributes, F.lit(";")).alias("head")).join(folds, [*keys, "map_no"], "left")
+    text = F.concat(F.lit("STRUCTURE:\t"), F.coalesce("text", F.array_join("walk", " ")))
+    return both.select(*keys, "map_no", F.posexplode(F.array("head", text)).alias("ord", "line"))
+
+
+def walk_file(header: DataFrame, solutions: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
+    """sample, section, allele_no, map_no, ord, line: the whole walk file of each sample. header(sample, ord, line) is the configuration as it was read; then for each allele its solution
+    line, copied, from solutions(sample, keys.., allele_no, line), and its lines from walk_lines (keys.., map_no, ord, line)."""
+    zero = F.lit(0).cast("long")
+    head = header.select("sample", F.lit(0).alias("section"), zero.alias("allele_no"), zero.alias("map_no"), F.col("ord").cast("long").alias("ord"), "line")
+    known = solutions.select("sample", *[k for k in keys if k != "sample"], F.col("allele_no").cast("long").alias("allele_no"), "line")
+    own = known.select("sample", F.lit(1).alias("section"), "allele_no", zero.alias("map_no"), zero.alias("ord"), "line")
+    body = lines.join(known.drop("line"), keys).select("sample", F.lit(1).alias("section"), "allele_no", F.col("map_no").cast("long").alias("map_no"), (F.col("ord") + 1).cast("long").alias("ord"), "line")
+    return head.unionByName(own).unionByName(body)
 
 
 def rank_lines(ranked: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:

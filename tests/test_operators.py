@@ -83,17 +83,213 @@ def test_walk_of_the_worked_case(spark):
     assert [(r.start, r.times) for r in fold] == [(1, 5)]
 
 
-def test_nested_cycles():
+def spliced(spark, back, cycles_):
+    """The walk from a backbone and (id, tokens turned to the anchor, copies, length); None if copies are left over."""
+    spine = spark.createDataFrame([("a", "back", back)], "allele string, cycle_id string, tokens array<string>")
+    schema = "allele string, cycle_id string, tokens array<string>, left long, weight long, draw long"
+    nodes, left = assemble.splice(spine, spark.createDataFrame([("a", c, t, n, x, None) for c, t, n, x in cycles_], schema), ["allele"])
+    return None if left.first().left else cycles.expand_nested(nodes, ["allele"]).first().walk
+
+
+def test_nested_cycles(spark):
     back = ["H1+", "H2+", "H4+"]
     # 3 in 6: divides; the second cycle attaches only inside the first
-    walk = assemble.splice(back, [("b", ["H2+", "V1+"], 3, 10), ("c", ["V1+", "V2+"], 6, 10)])
+    walk = spliced(spark, back, [("b", ["H2+", "V1+"], 3, 10), ("c", ["V1+", "V2+"], 6, 10)])
     assert walk.count("V2+") == 6 and walk.count("V1+") == 9
+    assert walk == ["H1+", *["H2+", *["V1+", "V2+"] * 2, "V1+"] * 3, "H2+", "H4+"]
     # opposite strand: the reverse complement goes after the token
-    assert assemble.splice(back, [("b", ["H2-", "V1+"], 1, 5)]) == ["H1+", "H2+", "V1-", "H2+", "H4+"]
+    assert spliced(spark, back, [("b", ["H2-", "V1+"], 1, 5)]) == ["H1+", "H2+", "V1-", "H2+", "H4+"]
     # fewer copies than repetitions: the block is split
-    walk = assemble.splice(back, [("b", ["H2+", "V1+"], 6, 1), ("c", ["V1+", "V2+"], 4, 100)])
-    assert walk.count("V2+") == 4 and walk.count("V1+") == 10
-    assert assemble.splice(back, [("b", ["V7+", "V8+"], 1, 5)]) is None
+    walk = spliced(spark, back, [("b", ["H2+", "V1+"], 6, 1), ("c", ["V1+", "V2+"], 4, 100)])
+    assert walk == ["H1+", *["H2+", "V1+", "V2+", "V1+"] * 4, *["H2+", "V1+"] * 2, "H2+", "H4+"]
+    # 1 in 5 is left over by the first pass and takes one repetition; copies that do not divide go on to a second site
+    walk = spliced(spark, back, [("b", ["H2+", "V1+"], 2, 1), ("c", ["V1+", "V2+"], 5, 100)])
+    assert walk.count("V2+") == 5 and walk.count("V1+") == 7
+    assert spliced(spark, back, [("b", ["V7+", "V8+"], 1, 5)]) is None
+
+
+def test_replicates_and_ends_of_groups(spark):
+    """Each replicate is a walk of all copies; groups have their own source and sink; reruns agree."""
+    seg = spark.createDataFrame([(s, f"H{i}", 1, 10 * i) for s in ("a", "b") for i in range(1, 6)], "sample string, seg string, st long, ed long")
+    rows = [("a", 0, 1, ["H1+", "H2+", "H3+"]), ("a", 1, 2, ["H2+", "H4+"]), ("a", 2, 3, ["H2-", "H5+"]), ("b", 0, 1, ["H3+", "H2+", "H5-"]), ("b", 1, 1, ["H5+", "H1+"])]
+    c = spark.createDataFrame(rows, "sample string, cycle_id int, cnt long, tokens array<string>")
+    ends = spark.createDataFrame([("a", "H1", "H3"), ("b", "H3", "H5")], "sample string, source string, sink string")
+    runs = [sorted((r.sample, r.map_no, r.valid, tuple(r.walk)) for r in assemble.assemble_walks(c.repartition(n), seg, ["sample"], ends=ends, replicates=4, seed=3).collect()) for n in (1, 3)]
+    assert runs[0] == runs[1] and len(runs[0]) == 8
+    for sample, _, valid, walk in runs[0]:
+        want = sorted(t[:-1] for s, i, n, ts in rows if s == sample for t in ts * n)
+        assert valid and sorted(t[:-1] for t in walk) == want
+
+
+def test_nodes_give_depth_and_places(spark):
+    seg = spark.createDataFrame([("H1", 1, 10), ("H2", 1, 20), ("H3", 1, 30), ("V1", 1, 5)], "seg string, st long, ed long")
+    rows = [("a", 0, 1, ["H1+", "H2+", "H3+"]), ("a", 1, 5, ["H2+", "V1+"])]
+    nodes, state = assemble.walk_nodes(spark.createDataFrame(rows, "allele string, cycle_id int, cnt long, tokens array<string>"), seg, ["allele"], "H1", "H3")
+    got = cycles.nested_stats(nodes, seg, ["allele", "map_no"]).first()
+    assert state.first().valid and (got.n_tokens, got.length, got.n_blocks, got.structure_depth) == (13, 60 + 5 * 25, 1, 2)
+    want = spark.createDataFrame([("a", s, n, v) for s, n, v in (("H3", None, None), ("V1", 5, None), ("V1", 4, None))], "allele string, seg string, count long, avoid string")
+    found = {(r.seg, r.block, r.ord) for r in cycles.locate_in_blocks(nodes, want, ["allele"]).collect()}
+    assert found == {("H3", None, 3), ("V1", 1, 1)}
+
+
+def test_folded_walks(spark):
+    walk = ["H1+", *["H3+", "V1-", "V3-", "H2-"] * 5, "H3+", "H4+"]
+    w = spark.createDataFrame([("a", walk), ("b", ["H1+", "H2+"]), ("c", ["V1+"] * 7)], "allele string, walk array<string>")
+    u = spark.createDataFrame([("a", "u", walk[1:5]), ("a", "x", walk[2:6]), ("c", "y", ["V1+"]), ("c", "z", ["V1+", "V1+"])], "allele string, unit_id string, unit array<string>")
+    got = {r.allele: (r.text, r.height) for r in cycles.fold_walks(w, ["allele"], u).collect()}
+    assert got == {"a": ("H1+ (H3+ V1- V3- H2-)x5 H3+ H4+", 1), "b": ("H1+ H2+", 0), "c": ("(V1+)x7", 1)}
+
+
+def test_walk_file_of_the_worked_case(spark):
+    walk = ["H1+", *["H3+", "V1-", "V3-", "H2-"] * 5, "H3+", "H4+"]
+    w = spark.createDataFrame([("s", 1, walk, 1, 1, 1, 2, 2)], "sample string, map_no int, walk array<string>, solution int, group_id int, allele int, allele_cn int, depth int")
+    u = spark.createDataFrame([("s", 1, "u", walk[1:5])], "sample string, map_no int, unit_id string, unit array<string>")
+    lines = writers.walk_lines(w, cycles.fold_walks(w, ["sample", "map_no"], u), ["sample"])
+    head = spark.createDataFrame([("s", 0, "@DOC\tSAMPLE_ID=s")], "sample string, ord int, line string")
+    sol = spark.createDataFrame([("s", 1, "SOLUTION\tNO=1")], "sample string, allele_no int, line string")
+    out = writers.walk_file(head, sol, lines, ["sample"]).orderBy("section", "allele_no", "map_no", "ord")
+    assert [r.line for r in out.collect()] == [
+        "@DOC\tSAMPLE_ID=s", "SOLUTION\tNO=1",
+        "LOCALMAP\tNO=1;RANDPROB=0;SOLUTION_NO=1;GROUP=1;ALLELE_NO=1;ALLELE_CN=2;FVGMUSED=N/A;SEGSTRMD5=87350327d49d4af849548eaedaed32ff;SORTSEGSTRMD5=02363cc6bbacdbf94d2b09338c13d669;STRUDEPTH=2;",
+        "STRUCTURE:\tH1+ (H3+ V1- V3- H2-)x5 H3+ H4+",
+    ]
+
+
+def test_junction_file_of_the_worked_case(spark, tmp_path):
+    rows = ["#refseg_5p\tbkpos_5p\tstrd_5p\trefseg_3p\tbkpos_3p\tstrd_3p\tJR_count\tNormalCellCopyRatio"] + ["\t".join(str(x) for x in j[2:9]) + "\t0" for j in JUNCTIONS]
+    (tmp_path / "j.txt").write_text("\n".join(rows) + "\n")
+    got = readers.read_junctions(spark, str(tmp_path / "j.txt")).orderBy("junc_no").collect()
+    assert [tuple(r) for r in got] == [j[1:] for j in JUNCTIONS]
+
+
+def test_reachability_goes_on_to_the_end(spark):
+    rows = [("a", i, 1, [f"H{i}+", f"H{i + 1}+"]) for i in range(24)]
+    c = spark.createDataFrame(rows, "allele string, cycle_id int, cnt long, tokens array<string>")
+    got = cycles.reachable_cycles(c, c.where("cycle_id = 0"), ["allele"])
+    assert {r.cycle_id: r.hops for r in got.collect()} == {i: i for i in range(24)}
+
+
+def test_single_cycle_alleles_need_no_motif(spark):
+    w = spark.createDataFrame([("a", ["H1+", "H2+"]), ("b", ["H2-", "H1-"]), ("c", ["H3+"]), ("d", ["H3+"])], "allele string, walk array<string>")
+    single = spark.createDataFrame([("d",)], "allele string")
+    assert {r.allele for r in cycles.require_motifs(w, ["H1+,H2"], ["allele"], single).collect()} == {"a", "b", "d"}
+    assert cycles.require_motifs(w, [], ["allele"]).count() == 4
+
+
+def test_samples_that_share_segment_names(spark):
+    """Depths, lengths and copy numbers stay with their sample."""
+    seg = spark.createDataFrame([("a", "c", 1, "H1", 1, 10), ("b", "c", 1, "H1", 1, 20)], "sample string, refseg string, seg_no int, seg string, st long, ed long")
+    win = spark.createDataFrame([("a", "c", 1, 10, 10.0), ("b", "c", 1, 10, 30.0)], "sample string, refseg string, st long, ed long, adj double")
+    assert {r.sample: r.depth for r in segments.segment_cn(seg, win, F.lit(1.0)).collect()} == {"a": 10.0, "b": 30.0}
+    c = spark.createDataFrame([("a", 1, ["H1+"]), ("b", 1, ["H1+"])], "sample string, cycle_id int, tokens array<string>")
+    assert {r.sample: (r.n_tokens, r.length) for r in cycles.cycle_stats(c, seg, ["sample", "cycle_id"]).collect()} == {"a": (1, 10), "b": (1, 20)}
+
+
+def test_two_digits_round_halves_away_from_zero(spark):
+    rows = spark.createDataFrame([(1.0049999995,), (-0.125,), (0.125,), (0.0,)], "x double")
+    assert [r.y for r in rows.select(segments.two_digits(F.col("x")).alias("y")).collect()] == [1.0, -0.13, 0.13, 0.0]
+    mean = spark.createDataFrame([("a", 0.12), ("a", 0.13), ("b", -0.12), ("b", -0.13)], "k string, x double").groupBy("k").agg(segments.mean_two_digits("x").alias("m"))
+    assert {r.k: r.m for r in mean.collect()} == {"a": 0.13, "b": -0.13}
+
+
+def test_more_violations(spark):
+    s = spark.createDataFrame([(None, "c", 1, 9, 1), ("H1", "c", 20, 29, 1)], "seg string, refseg string, st long, ed long, group_id int")
+    j = spark.createDataFrame([("JUNC1", "H1", "H1")], "junc_id string, seg5 string, seg3 string")
+    c = spark.createDataFrame([("U1",)], "cycle_id string")
+    t = spark.createDataFrame([], "cycle_id string, seg string")
+    more = {
+        "pairs": spark.createDataFrame([("JUNC1", "x"), ("x", "JUNC1"), ("JUNC7", "y")], "anchor_a string, anchor_b string"),
+        "counts": spark.createDataFrame([("s1", "U1"), ("s1", "U2")], "owner string, cycle_id string"),
+        "baselines": spark.createDataFrame([("c", 1, 5), ("c", 20, 29)], "refseg string, st long, ed long"),
+        "breakpoints": spark.createDataFrame([("c", 5), ("c", 25)], "refseg string, pos long"),
+        "ratios": spark.createDataFrame([(10, 0.5), (11, 1.5)], "len long, ratio double"),
+    }
+    got = {(r.rule, r.key) for r in segments.violations(s, j, c, t, **more).collect()}
+    assert got == {("names ran out", "c:1-9"), ("pair twice", "JUNC1;x"), ("unknown junction", "JUNC7"), ("unknown cycle", "U2"), ("baseline with breakpoint", "c:20-29"), ("ratio out of range", "11")}
+
+
+def test_interval_join_over_lengths_far_apart(spark):
+    rng = random.Random(7)
+    make = lambda n: [("c", s := rng.randint(1, 10**6), s + rng.choice([0, 5, 900, 40_000, 3_000_000]), i) for i in range(n)]
+    a, b = make(70), make(70)
+    x, y = (spark.createDataFrame(r, f"refseg string, st long, ed long, {n} int") for r, n in ((a, "i"), (b, "j")))
+    got = sorted((r.i, r.j) for r in intervals.interval_join(x, y, ["refseg"]).collect())
+    assert got == sorted((p[3], q[3]) for p in a for q in b if p[1] <= q[2] and q[1] <= p[2])
+
+
+def test_depth_on_runs_equals_depth_on_bases(spark):
+    """Pieces, means in three ways, prior ratios and stable stretches against a base-by-base count."""
+    rng = random.Random(5)
+    runs, at = [], 1
+    while at < 260:
+        n = rng.randint(1, 30)
+        if rng.random() < 0.8:
+            runs.append(("s", "ctrl", "c", at, at + n - 1, rng.choice([1, 2, 2, 3, 9])))
+        at += n
+    df = spark.createDataFrame(runs, "sample string, tissue string, refseg string, st long, ed long, depth long")
+    resol = spark.createDataFrame([("c", 1, 100, 30), ("c", 101, 250, 40)], "refseg string, st long, ed long, res long")
+    bases = {p: d for *_, a, b, d in runs for p in range(a, b + 1)}
+    window = lambda p: (p - 1) // 30 + 1 if p <= 100 else 4 + (p - 101) // 40 + 1
+    held = {}
+    for p, d in bases.items():
+        if p <= 250:
+            held.setdefault(window(p), []).append(d)
+    pieces = depth.cut_windows(df, resol)
+    for mode, t in (("plain", 0.0), ("trim", 0.2), ("trim", -0.2), ("sd3", 0.0)):
+        want = {}
+        for k, v in held.items():
+            v, cut = sorted(v), int(len(v) * abs(t))
+            if mode == "trim":
+                v = v[cut if t > 0 else 0 : len(v) - cut]
+            if mode == "sd3":
+                m = sum(v) / len(v)
+                s = (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5
+                v = [x for x in v if abs(x - m) <= 3 * s + 1e-9]
+            want[k] = (round(sum(v) / len(v), 9), len(v))
+        assert {r.win: (round(r.mean, 9), r.n) for r in depth.window_mean(pieces, ["win"], mode, t).collect()} == want
+    prior = spark.createDataFrame([("c", 10, 60, 2.0), ("c", 61, 70, 0.5), ("c", 200, 999, 3.0)], "refseg string, st long, ed long, ratio double")
+    ratio = lambda p: 2.0 if 10 <= p <= 60 else 0.5 if 61 <= p <= 70 else 3.0 if p >= 200 else 1.0
+    got = {p: r.ratio for r in depth.prior_ratio(df, prior).collect() for p in range(r.st, r.ed + 1)}
+    assert got == {p: ratio(p) for p in bases}
+    stable = depth.stable_positions(df, prior, 2.0, 0.25)
+    assert sorted(p for r in stable.collect() for p in range(r.st, r.ed + 1)) == sorted(p for p, d in bases.items() if 1.5 * ratio(p) <= d <= 2.5 * ratio(p))
+    kept = depth.keep_stable(pieces.select("sample", "tissue", "refseg", "st", "ed", "win", "res"), stable, 35)
+    want = {p for p in bases if p <= 100} | {p for p, d in bases.items() if 100 < p <= 250 and 1.5 * ratio(p) <= d <= 2.5 * ratio(p)}
+    assert sorted(p for r in kept.collect() for p in range(r.st, r.ed + 1)) == sorted(want)
+
+
+def test_smoothing_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [("s", "case", "c", w, float(rng.randint(0, 50))) for w in range(1, 60) if rng.random() < 0.85]
+    win = spark.createDataFrame(rows, "sample string, tissue string, refseg string, win long, adj double")
+    breaks = spark.createDataFrame([("s", "c", 7), ("s", "c", 8), ("s", "c", 30), ("t", "c", 20)], "sample string, refseg string, win long")
+    stretch = lambda w: sum(b <= w for b in (7, 8, 30))
+    want = {}
+    for *_, w, _v in rows:
+        near = [v for *_, x, v in rows if abs(x - w) <= 3 and stretch(x) == stretch(w)]
+        want[w] = round(sum(near) / len(near), 9)
+    assert {r.win: round(r.show, 9) for r in depth.smooth(win, breaks, 3, block=8).collect()} == want
+
+
+def test_shared_markers_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(links, "SLICE", 4)
+    rng = random.Random(6)
+    rows = [(f"a{i:02d}", "hot") for i in range(23)] + [(f"a{rng.randrange(23):02d}", f"m{rng.randrange(30)}") for _ in range(90)]
+    held = {}
+    for a, m in set(rows):
+        held.setdefault(a, set()).add(m)
+    want = {(a, b): len(held[a] & held[b]) for a in held for b in held if a < b and held[a] & held[b]}
+    got = links.shared_marker_links(spark.createDataFrame(rows, "anchor string, marker string"))
+    assert {(r.anchor_a, r.anchor_b): r.links for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_combinations_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGE", 7)
+    w = spark.createDataFrame([("s", 1, 1, a, m) for a in range(3) for m in range(4)], "sample string, group_id int, solution int, allele int, map_no int")
+    got = {}
+    for r in ranking.walk_combinations(w).collect():
+        got.setdefault(r.combo, {})[r.allele] = r.map_no
+    assert sorted(got) == list(range(64)) and len({tuple(sorted(v.items())) for v in got.values()}) == 64
 
 
 def test_unreachable_and_missing_backbone_are_invalid(spark):
@@ -168,7 +364,10 @@ def test_distribution_lookups(spark):
 def test_shared_markers_with_a_frequent_marker(spark):
     rows = [(f"a{i}", "hot") for i in range(5)] + [("a0", "m1"), ("a1", "m1"), ("a9", "m2")]
     got = {(r.anchor_a, r.anchor_b): r.links for r in links.shared_marker_links(spark.createDataFrame(rows, "anchor string, marker string")).collect()}
-    assert got[("a0", "a1")] == 2 and got[("a0", "a9")] == 0 and len(got) == 15
+    assert got[("a0", "a1")] == 2 and len(got) == 10
+    asked = spark.createDataFrame([("a0", "a1"), ("a0", "a9")], "anchor_a string, anchor_b string")
+    got = {(r.anchor_a, r.anchor_b): r.links for r in links.shared_marker_links(spark.createDataFrame(rows, "anchor string, marker string"), None, asked).collect()}
+    assert got == {("a0", "a1"): 2, ("a0", "a9"): 0}
 
 
 def test_tracks(spark):
@@ -181,7 +380,7 @@ def test_tracks(spark):
 
 def test_tagged_config(spark, tmp_path):
     lines = [
-        "@DOC\tSAMPLE_ID=s;", "@HSEG\tID=H1;GROUP=1;INTERVAL=chr2:10-20;CN_ALT=1.97;CN_ALT_LP=2;LP_OFFSET%=1.52;NOTES=SOURCE;", "@VSEG\tID=V2;INTERVAL=HPV16:5-9;CN_ALT=0.00;CN_ALT_LP=N/A;",
+        "@DOC\tSAMPLE_ID=s;", "@HSEG\tID=H1;GROUP=1;INTERVAL=chr2:10-20;CN_ALT=1.97;CN_ALT_LP=2;LP_OFFSET%=1.52%;NOTES=SOURCE;", "@VSEG\tID=V2;INTERVAL=HPV16:5-9;CN_ALT=0.00;CN_ALT_LP=N/A;",
         "@JUNC\tID=JUNC4;SEGLINK=H1+,V2+;CN_ALT=9.33;CN_ALT_LP=10;", "@UCYC\tID=UCYC1;SEGSTR=H1+,V2+,H1+;", "SOLUTION\tNO=1;GROUP=1;SOLUTION_UCYC=UCYC1:2,UCYC2:10;ALLELE_NO=1;ALLELE_CN=2;ALLELE_UCYC=UCYC1:1;ALLELE_FVGM_UCYC=N/A;", "#no\tK=V",
     ]
     (tmp_path / "c.txt").write_text("\n".join(lines))
