@@ -22,18 +22,20 @@ def _turn_hash(seed: int):
 
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
     """One row for each distinct turn with ``pos`` (from 1), ``n`` turns in all, and the 128-bit hash of the
-    prefix that ends with it. The hash is a running exclusive or of hashes that hold the position."""
-    turn = conversations.select("conv_id", "turn", "role", "text")
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    prefix that ends with it. The hash is a running exclusive or of hashes that hold the position. A row without conv_id is a conversation
+    of its own, which ``own`` tells apart."""
+    alone = [F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit(seed), "turn", F.col("role").isNull(), "role", F.col("text").isNull(), "text")) for seed in (1, 2)]
+    turn = conversations.select("conv_id", "turn", "role", "text", F.struct(*[h.alias(f"h{i}") for i, h in enumerate(alone)]).alias("own"))
+    by = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")
     ranked = turn.select("*", F.dense_rank().over(by).alias("pos"), F.row_number().over(by).alias("rn"))
     ranked = ranked.select("*", F.lag("pos").over(by).alias("before"))
     ranked = ranked.where("before is null or pos > before")
-    upto = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     return ranked.select(
-        "conv_id", "pos", "role", "text",
+        "conv_id", "own", "pos", "role", "text",
         F.bit_xor(_turn_hash(1)).over(upto).alias("h1"),
         F.bit_xor(_turn_hash(2)).over(upto).alias("h2"),
-        F.max("pos").over(Window.partitionBy("conv_id")).alias("n"),
+        F.max("pos").over(Window.partitionBy("conv_id", "own")).alias("n"),
     )
 
 
@@ -44,7 +46,7 @@ def format_chats(
 
     Input columns conv_id, turn, role, text; others are ignored whatever their names. Turns are ordered by
     (turn, role, text), nulls first; a row repeated exactly counts once; ties in ``turn`` all stay. Rows
-    whose conv_id is null form one conversation with a null id. A null role or text differs from an empty
+    whose conv_id is null are conversations of one turn each, with a null id (repeated exactly they count once). A null role or text differs from an empty
     one when conversations are compared and is rendered empty. Of equal conversations the smallest id
     stays (null last), with the number of copies. An empty table gives no rows.
     """
@@ -54,7 +56,7 @@ def format_chats(
     piece = F.concat(
         F.lit(turn_open), F.coalesce("role", F.lit("")), F.lit(turn_middle), F.coalesce("text", F.lit("")), F.lit(turn_close)
     )
-    whole = turns.groupBy("conv_id").agg(
+    whole = turns.groupBy("conv_id", "own").agg(
         F.max(key).alias("key"), F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("turns")
     )
     one = whole.groupBy("key").agg(
@@ -73,7 +75,7 @@ ORACLE = """
 with turns as (select distinct conv_id, turn, role, text from conversations),
 whole as (
   select conv_id, list({'role': role, 'text': text} order by turn nulls first, role nulls first, text nulls first) as ts
-  from turns group by conv_id),
+  from turns group by conv_id, case when conv_id is null then {'turn': turn, 'role': role, 'text': text} end),
 one as (select min(conv_id) as conv_id, count(*) as copies, ts from whole group by ts),
 prefixes as (select distinct ts[1:i] as ts from one, unnest(range(1, len(ts))) as u(i))
 select o.conv_id, len(o.ts)::bigint as n_turns, o.copies::bigint as copies,

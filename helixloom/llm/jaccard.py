@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from helixloom.llm.common import (
     RollingHash,
     from_planes,
+    join_to_one,
     mix64,
     partition_keys,
     planes,
@@ -37,6 +38,10 @@ SHINGLE, NUM, DEN = 4, 85, 100
 SLACK = 3
 #: What scanning a list entry, with its share of tests, costs in units of one enumerated subset.
 SCAN_COST = 8
+#: Sets of one list that a row holds at a time; a longer list is several rows.
+LIST_ROWS = 1 << 16
+#: Open sets of one shingle that meet in one place; more are dealt to slices, and slices meet two by two.
+SLICE = 512
 #: Up to so many owners of candidate sets (two longs each) are broadcast; beyond, a shuffle joins them.
 BROADCAST_OWNERS = 1_000_000
 U = np.uint64
@@ -283,10 +288,11 @@ def _gather(packed: DataFrame, width: int) -> DataFrame:
         _, once = np.unique(lid, return_index=True)
         for lo in range(0, len(once), 4096):
             part = once[lo : lo + 4096]
-            members = pa.array([sid[a[i] : b[i]] for i in part], pa.list_(pa.int64()))
-            nothing = pa.nulls(len(part), pa.int64())
+            cuts = [(i, c) for i in part.tolist() for c in range(int(a[i]), int(b[i]), LIST_ROWS)]
+            members = pa.array([sid[c : min(c + LIST_ROWS, b[i])] for i, c in cuts], pa.list_(pa.int64()))
+            nothing = pa.nulls(len(cuts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nothing, nothing, nothing, nothing, pa.nulls(len(part), pa.binary()), pa.array(lid[part].view(np.int64)), members],
+                [nothing, nothing, nothing, nothing, pa.nulls(len(cuts), pa.binary()), pa.array(lid[[i for i, _ in cuts]].view(np.int64)), members],
                 names=["doc_id", "n", "sid", "th", "sketch", "lid", "members"],
             )
 
@@ -386,8 +392,9 @@ def _link(spark: SparkSession, docs: DataFrame, rows: DataFrame, lists: DataFram
     # the set with the most equal blocks is nearest to what its group has in common; it is the pivot of all its lists
     weight = spread.groupBy("sid").agg(F.count(F.lit(1)).alias("w"))
     members = spread.join(weight, "sid").select("lid", "sid", F.struct("w", "sid").alias("rank"))
-    pivots = members.groupBy("lid").agg(F.max("rank").alias("top")).select("lid", F.col("top.sid").alias("pivot"))
-    members = stored(members.select("lid", "sid").join(pivots, "lid"), "jaccard-members")
+    pivots = members.groupBy("lid").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("n")).select("lid", F.col("top.sid").alias("pivot"), "n")
+    entries = stored(spread, "jaccard-entries")
+    members = stored(join_to_one(entries, stored(pivots, "jaccard-pivots"), ["lid"], "n", entries.count()).drop("n"), "jaccard-members")
     stars = stored(members.where("sid <> pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "jaccard-stars")
     owners = rows.join(_ends(stars).distinct(), "sid", "left_semi").groupBy("sid")
     head = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("head")
@@ -496,12 +503,17 @@ def _prefix_pairs(spark: SparkSession, open_: DataFrame, texts: DataFrame, shing
     none = [F.lit(None).cast("long").alias(c) for c in ("sid", "n", "part")]
     both = counted.select("*", *none).unionByName(known)
     rare = stored(both.repartition(width, "bucket").mapInArrow(prefix, "sid long, token long, rank long, n long, part long"), "jaccard-prefixes")
-    shared = rare.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
-    rare = rare.join(shared, "token", "left_semi")
-    x, y = rare.alias("x"), rare.alias("y")
+    shared = rare.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("posts")).where("p <> q").select("token", "posts")
+    rare = join_to_one(rare, stored(shared, "jaccard-tokens"), ["token"], "posts", rare.count())
+    # a frequent shingle's sets are dealt to slices; the slices x <= y of a token meet in a place of their own
+    parts_of = F.ceil(F.col("posts") / SLICE).cast("int")
+    rare = rare.select("*", parts_of.alias("of"), F.pmod(F.xxhash64("sid"), parts_of).cast("int").alias("slice"))
+    low = rare.select("*", F.col("slice").alias("x"), F.explode(F.sequence("slice", F.col("of") - 1)).alias("y"))
+    high = rare.select("*", F.explode(F.sequence(F.lit(0), "slice")).alias("x"), F.col("slice").alias("y"))
+    x, y = low.alias("x"), high.alias("y")
     need = f"ceil({num} * (x.n + y.n) / {num + den})"
-    pairs = x.join(y, F.expr("x.token = y.token")).where(
-        f"x.sid < y.sid and x.part <> y.part and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
+    pairs = x.join(y, F.expr("x.token = y.token and x.x = y.x and x.y = y.y")).where(
+        f"(x.sid < y.sid or x.x < x.y) and x.part <> y.part and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
         f"and x.rank <= x.n - {need} and y.rank <= y.n - {need}"
     )
-    return pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    return pairs.select(F.expr("least(x.sid, y.sid)").alias("a"), F.expr("greatest(x.sid, y.sid)").alias("b")).distinct()

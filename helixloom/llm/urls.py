@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixloom.llm.common import join_to_one
 from helixloom.llm.components import connected_components
 
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -76,7 +77,7 @@ def resolved(base: str, t: str) -> str | None:
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(a, b): the page's url and each url that its canonical links or redirects name, relative ones resolved."""
-    pages = pages.select("url", "html").where("url is not null and html is not null")
+    pages = pages.select("url", "html").where("contains(url, '://') and html is not null")
 
     def run(batches):
         for batch in batches:
@@ -129,7 +130,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     """
     host, path = url_parts(F.col("url"))
     edges = alias_edges(pages) if edges is None else edges
-    placed = pages.select("page_id", host.alias("host"), path.alias("path"), url_node(F.col("url")).alias("node"))
+    placed = pages.select("page_id", host.alias("host"), path.alias("path"), F.when(F.col("url").contains("://"), url_node(F.col("url"))).alias("node"))
     members = connected_components(edges, "a", "b")
     mhost, mpath = (F.regexp_extract("node", p, 1) for p in (r"(?s)^([^/?#]*)", r"(?s)^[^/?#]*([^?#]*)"))
     members = members.select("node", "component", mhost.alias("host"), mpath.alias("path"))
@@ -137,7 +138,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = No
     groups = members.join(ruled, ["host", "path"]).groupBy("component").agg(
         F.max(F.col("decision") == "allow").alias("allowed"), F.max(F.col("decision") == "block").alias("blocked")
     )
-    aliases = members.join(groups, "component").select(
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    aliases = join_to_one(members, groups.join(sizes, "component"), ["component"], "n", members.count()).select(
         "node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias_decision")
     )
     out = placed.join(ruled, ["host", "path"], "left").join(aliases, "node", "left")

@@ -502,3 +502,37 @@ def test_toxicity_labels(spark):
     assert toxicity.fit_model(docs, spark.createDataFrame(both, schema)) == toxicity.fit_model(docs, spark.createDataFrame(once, schema))
     assert toxicity.fit_model(docs, spark.createDataFrame([], schema)) is None
     assert toxicity.content([], 100) == b"" and toxicity.content([b"ab"], 100) == b""
+
+
+def test_jaccard_hot_shingles_and_long_lists(spark, monkeypatch):
+    """Lists and posts of shingles that are cut to slices give the same components."""
+    monkeypatch.setattr(jaccard, "SLICE", 3)
+    monkeypatch.setattr(jaccard, "LIST_ROWS", 4)
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_components_of_a_hub(spark):
+    """A node with very many edges, chains at its ends, and a rule given twice."""
+    edges = [(0, i) for i in range(1, 1500)] + [(1499, 2000), (2000, 2001), (3000, 3001)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(3), "a", "b").collect()}
+    assert got == {**{i: 0 for i in range(1500)}, 2000: 0, 2001: 0, 3000: 3000, 3001: 3000}
+    page = spark.createDataFrame([(1, "m.com/x", '<link rel="canonical" href="http://a.com/en/1">'), (2, "http://a.com/en/1", ""), (3, "http://m.com/x", "")], "page_id long, url string, html string").withColumn("node", F.lit("n")).withColumn("rule", F.lit(1))
+    rules = urls.rules_table(spark)
+    out = {r.page_id: (r.verdict, r.via) for r in urls.filter_urls(page, rules.unionByName(rules)).collect()}
+    assert out == {1: ("allow", "none"), 2: ("block", "rule"), 3: ("allow", "none")}
+
+
+def test_chats_without_id(spark):
+    """Rows of one missing conv_id are conversations of their own; ties in turn stay, in order of role and text."""
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "c")]
+    out = sorted(((r.conv_id, r.n_turns, r.copies) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
+    assert out == sorted([(1, 2, 1), (None, 1, 1), (2, 1, 1)], key=str)
