@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.llm import bpe, cube, jaccard, linededup, toxicity
-from helixloom.llm.common import stored, table
+from helixloom.llm.common import stored, table, unused
 from helixloom.llm.tokenizer_files import tokenizer_spec
 
 #: Near duplicates: five words a shingle, similarity of 0.8 or more.
@@ -27,26 +27,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the runs of lines that stand earlier; one of which nothing is left goes, as all of it is kept
     elsewhere. Null and empty texts stay."""
-    done = linededup.dedup_lines(docs)
-    return done.where("n_dropped = 0 or n_lines > n_dropped").select(*docs.columns)
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    done = linededup.dedup_lines(docs.select(*kept)).where("n_dropped = 0 or n_lines > n_dropped")
+    return done.select(*kept)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id; texts without words are no duplicates. A
     null doc_id stays only if no numbered document is in its group. A row repeated exactly stays once."""
     groups = jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE, NUM, DEN)
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
+    (head,) = unused(docs.columns, "head")
+    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(head)).distinct()
+    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads[head]), "left_semi")
+    (no,) = unused(docs.columns, "no")
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
-    kept = kept.select("*", F.row_number().over(again).alias("_n"))
-    return kept.where("_n = 1 or doc_id is null").select(*docs.columns)
+    kept = kept.select("*", F.row_number().over(again).alias(no))
+    return kept.where((F.col(no) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; those it does not take go. Rows that share a doc_id get the same number."""
-    copies = cube.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").alias("_copies"))
-    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_k")
+    own, often, time = unused(docs.columns, "own_id", "often", "time")
+    copies = cube.mix_sources(docs).groupBy(F.col("doc_id").alias(own)).agg(F.min("copies").alias(often))
+    both = docs.join(copies, docs["doc_id"].eqNullSafe(copies[own])).where(F.col(often) > 0)
+    times = F.explode(F.sequence(F.lit(1), F.col(often))).alias(time)
     return both.select(*docs.columns, times).select(*docs.columns)
 
 
@@ -64,7 +68,7 @@ STAGES = [
     ("BPE", encode),
 ]
 
-#: Compression distances, the cube method and BPE have no SQL; the tests hold run() against brute force.
+#: Compression distances, the cube method and BPE have no SQL; tests/llm holds run() against a plain recomputation of every stage.
 ORACLE_SQL = None
 
 
