@@ -158,8 +158,8 @@ SPANS = "th long, starts binary, ends binary"
 
 def _earliest(strings: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The columns of STRING for the earliest of each run of equal strings, and for the others."""
-    h, gram, _, doc, x, a = strings
-    order = np.lexsort((x, doc, a, gram, h))
+    h, gram, th, doc, x, a = strings
+    order = np.lexsort((th, x, doc, a, gram, h))
     h, gram, a = h[order], gram[order], a[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (gram[1:] != gram[:-1]) | (a[1:] != a[:-1])
@@ -221,7 +221,7 @@ def _contexts(flagged: DataFrame, keys: list[int], length: int, trigger: int) ->
         whole, gram, th, doc, x, left, count, at = (np.concatenate([h[k] for h in held]) for k in range(8))
         data = np.concatenate(buffers)
         del held, buffers
-        order = np.lexsort((x, doc))
+        order = np.lexsort((th, x, doc))
         _, first = np.unique(whole[order], return_index=True)
         keep = np.zeros(len(order), dtype=bool)
         keep[order[first]] = True
@@ -325,7 +325,7 @@ def _repeats(contexts: DataFrame, width: int, length: int, trigger: int) -> Data
             del metas, bodies
             size = length - 1 + count
             begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-            order = np.lexsort((x, doc))
+            order = np.lexsort((th, x, doc))
             gram, th, doc, x, left, count, begin = (v[order] for v in (gram, th, doc, x, left, count, begin))
             # equal contexts, byte for byte: the earliest stays
             seen: dict = {}
@@ -412,18 +412,21 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, trigger: int =
 
     Removed is each UTF-8 byte covered by a string of ``length`` bytes that also starts earlier: in a smaller doc_id or
     in the same one at a smaller place; spans are the maximal runs. Null texts count as empty; rows with a
-    null doc_id come after all others; a row repeated exactly is the same document, not an earlier one. Texts are
-    told apart by a 64-bit hash. Extra columns are ignored; an empty table gives no rows. The bound on length is 255
-    bytes beside the trigger.
+    null doc_id come after all others; those and others that share a doc_id go by place, then by the hash of their
+    text; a row repeated exactly is the same document, not an earlier one. Texts are
+    told apart by a 64-bit hash. Extra columns are ignored; an empty table gives no rows. A length of more than 255
+    bytes beside the trigger raises a ValueError.
 
     A text that stands several times is worked on once, for its smallest doc_id; the copies lose everything.
     """
+    if not trigger <= length <= trigger + 255:
+        raise ValueError("length must be at least the trigger's, and at most 255 more")
     spark = documents.sparkSession
     width = shuffle_width(spark)
     keys = partition_keys(spark, width)
     last = F.lit(2**63 - 1)
-    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    docs = documents.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("id", F.coalesce("id", last).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     # the partial aggregate leaves one copy of a text for each task, so a hot text is a few rows in the shuffle
     owned = docs.groupBy("th").agg(F.min("doc_id").alias("owner"), F.min("text").alias("text"))
     cuts = _cuts(docs.select("th", "text"), keys, length, trigger)
@@ -431,7 +434,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, trigger: int =
     contexts = _contexts(owned.join(flags.hint("shuffle_merge"), "th"), keys, length, trigger)
     spans = _repeats(contexts, width, length, trigger).groupBy("th").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     done = _apply(owned.join(spans.hint("shuffle_merge"), "th", "left").select("th", "owner", "text", "starts", "ends"))
-    out = docs.select("doc_id", "th").join(done, "th")
+    out = docs.select("id", "doc_id", "th").join(done, "th")
     copy = F.col("doc_id") > F.col("owner")
     all_gone = copy & (F.col("n_bytes") >= length)
     nothing = F.array().cast("array<int>")
@@ -440,7 +443,7 @@ def dedup_substrings(documents: DataFrame, length: int = LENGTH, trigger: int =
         return F.when(all_gone, gone).when(copy, kept).otherwise(mine)
 
     return out.select(
-        F.when(F.col("doc_id") == last, None).otherwise(F.col("doc_id")).alias("doc_id"),
+        F.col("id").alias("doc_id"),
         "n_bytes",
         one(F.col("n_removed"), F.col("n_bytes"), F.lit(0)).alias("n_removed"),
         one(F.col("n_spans"), F.lit(1), F.lit(0)).cast("long").alias("n_spans"),

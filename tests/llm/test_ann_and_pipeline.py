@@ -108,3 +108,49 @@ def test_pipeline_stages_take_odd_rows(spark):
 def test_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names[:10]] == [f"op{i}" for i in range(1, 11)] and names[-1] == "pipeline"
+
+
+def test_run_equals_a_plain_recomputation(spark):
+    """run() from end to end against plain Python: scores by hand-held compressors, lines and near duplicates by brute force, the mix by its own copies, ids by the library."""
+    from collections import Counter
+
+    from helixloom.llm import bpe, cube, toxicity
+    from helixloom.llm.tokenizer_files import tokenizer_spec
+    from test_text_ops import brute_lines
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    model = toxicity.fit_model(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def toxic(t):
+        if model is None:
+            return False
+        x = toxicity.features(t or "", model, toxicity.compressors(model))
+        return np.dot(x, model.weights[:-1]) + model.weights[-1] >= 0
+
+    kept = [r for r in rows if not toxic(r["text"])]
+    clean = brute_lines([(r["doc_id"], r["text"]) for r in kept])
+    lines = []
+    for r in kept:
+        t = clean[r["doc_id"], r["text"]]
+        if not (t == "" and r["text"]):
+            lines.append({**r, "text": t, "n_chars": None if t is None else len(t)})
+    heads = {d for d, _, c in brute_components([(r["doc_id"], r["text"]) for r in lines], 5, 80, 100) if d == c}
+    single = spark.createDataFrame([r for r in lines if r["doc_id"] in heads], docs.schema)
+    copies = {r.doc_id: r.copies for r in cube.mix_sources(single).collect()}
+    tok = bpe.Tokenizer.from_str(tokenizer_spec())
+    want = Counter()
+    for r in lines:
+        if r["doc_id"] in heads and copies[r["doc_id"]]:
+            want[r["doc_id"], tuple(tok.encode(r["text"] or "", add_special_tokens=False).ids)] += copies[r["doc_id"]]
+    got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want and sum(want.values()) > 50
+
+
+def test_stages_take_clashing_columns(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    for c in ("own_id", "often", "time", "no", "head", "_copies", "_id", "_k", "_n", "gone", "score"):
+        docs = docs.withColumn(c, F.lit(c))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and {r._id for r in out.select("_id").distinct().collect()} == {"_id"}, name

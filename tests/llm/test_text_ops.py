@@ -536,3 +536,16 @@ def test_chats_without_id(spark):
     rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "b"), (2, 0, "user", "c")]
     out = sorted(((r.conv_id, r.n_turns, r.copies) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()), key=str)
     assert out == sorted([(1, 2, 1), (None, 1, 1), (2, 1, 1)], key=str)
+
+
+def test_suffix_dedup_of_ids_at_the_end(spark):
+    """The largest doc_id stays itself beside nulls, whatever the partitions; strings longer than the bound are refused."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
+    shared = text(160)
+    rows = [(2**63 - 1, text(40) + shared), (None, text(40) + shared), (None, text(40) + shared + text(9)), (5, text(300))]
+    got = [sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()), key=str) for n in (1, 4)]
+    assert got[0] == got[1] and {r[0] for r in got[0]} == {2**63 - 1, None, 5}
+    assert sorted(r[2] for r in got[0]) == [0, 0, 160, 160]
+    with pytest.raises(ValueError):
+        suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), length=400)
