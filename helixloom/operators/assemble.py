@@ -39,52 +39,57 @@ def _tokens(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, best: the place that the next copies of each walk go to.
+#: Fields of a site, in the order in which sites are preferred.
+SITE = ("rank", "cycle_id", "way", "turn", "unit", "kind", "unlike", "block", "at", "tokens", "token", "k", "share", "times", "used")
+
+
+def _best(sites: DataFrame, keys: list[str]) -> DataFrame:
+    return sites.select(*keys, F.struct(*SITE).alias("best")).groupBy(*keys).agg(F.min("best").alias("best"))
+
+
+def _spots(nodes: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Where the asked segments (keys.., cycle_id, tokens, seg, turn, left, rank) fit.
 
-    Cycles are tried by falling need (``rank``, then id). A block holds an anchor at its first token of that segment. Blocks are asked in
-    reading order, the root first: for a token of their own, then for one in an inner block of another cycle, best one that stands as often as
-    copies are due. Only where no anchor fits anywhere, an equal block that holds no other is repeated more often, or a cycle is turned to another of its segments.
+    A block holds an anchor at its first token of that segment. Blocks are asked in reading order, the root first: for a token of their own (kind 0), then for one in an inner
+    block of another cycle (kind 1), best one that stands as often as copies are due.
     """
-    blocks = nodes.where("token is null")
     first = nodes.where("token is not null").groupBy(*keys, F.col("parent").alias("block"), segment_of(F.col("token")).alias("seg"))
     first = first.agg(F.min(F.struct("path", "token")).alias("spot"))
-    held = blocks.select(*keys, F.col("path").alias("block"), F.col("parent").alias("outer"), F.col("cycle_id").alias("owner"), F.col("cnt").alias("k"), "times", "base")
-    first = first.join(held.drop("base"), [*keys, "block"])
-    seg = F.transform("tokens", segment_of)
-    turns = F.array_distinct(F.concat(F.slice(seg, 1, 1), seg))
-    asked = open_.select("*", F.posexplode(turns).alias("turn", "seg"))
-    asked = asked.withColumn("tokens", F.when(F.col("turn") > 0, reanchor(F.col("tokens"), F.col("seg"))).otherwise(F.col("tokens")))
-    site = asked.join(first, [*keys, "seg"])
-    own = site.select("*", F.lit(0).alias("kind"), F.col("block").alias("unit"), F.expr("left div times").alias("share"), F.col("times").alias("m"))
-    outer = site.where("outer is not null and owner <> cycle_id")
-    outer = outer.select("*", F.lit(1).alias("kind"), F.col("outer").alias("unit"), F.expr("left div (times div k)").alias("share"), F.expr("times div k").alias("m"))
-    both = own.unionByName(outer).where("share > 0")
-    unlike = F.when((F.col("kind") == 1) & (F.col("k") != F.col("share")), 1).otherwise(0)
-    used = F.when(F.col("kind") == 0, F.col("share") * F.col("m")).when(F.col("k") > F.col("share"), F.col("share") * F.col("m")).otherwise(F.expr("share div k * k * m"))
-    placed = both.select(
-        *keys,
-        F.struct(
-            (F.col("turn") > 0).alias("late"), "rank", "cycle_id", F.lit(1).alias("way"), "turn", "unit", "kind", unlike.alias("unlike"), "block", F.col("spot.path").alias("at"),
-            "tokens", F.col("spot.token").alias("token"), "k", "share", "times", used.alias("used"),
-        ).alias("best"),
+    held = nodes.where("token is null").select(*keys, F.col("path").alias("block"), F.col("parent").alias("outer"), F.col("cycle_id").alias("owner"), F.col("cnt").alias("k"), "times")
+    site = asked.join(first, [*keys, "seg"]).join(held, [*keys, "block"])
+    ways = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("block").alias("unit"), F.expr("left div times").alias("share"), F.col("times").alias("m")),
+        F.when(F.expr("outer is not null and owner <> cycle_id"), F.struct(F.lit(1).alias("kind"), F.col("outer").alias("unit"), F.expr("left div (times div k)").alias("share"), F.expr("times div k").alias("m"))),
     )
-    inner = blocks.select(*keys, F.col("parent").alias("block")).where("block is not null").distinct()
-    plain = held.where("outer is not null").join(inner, [*keys, "block"], "left_anti")
+    site = site.select("*", F.explode(F.array_compact(ways)).alias("w")).select("*", "w.*").where("share > 0")
+    unlike = F.when((F.col("kind") == 1) & (F.col("k") != F.col("share")), 1).otherwise(0)
+    used = F.when((F.col("kind") == 0) | (F.col("k") > F.col("share")), F.col("share") * F.col("m")).otherwise(F.expr("share div k * k * m"))
+    return site.select(*keys, "rank", "cycle_id", F.lit(1).alias("way"), "turn", "unit", "kind", unlike.alias("unlike"), "block", F.col("spot.path").alias("at"), "tokens", F.col("spot.token").alias("token"), "k", "share", "times", used.alias("used"))
+
+
+def _sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, best: the place that the next copies of each walk go to, by their anchors. Cycles are tried by falling need (``rank``, then id)."""
+    asked = open_.select("*", F.lit(0).alias("turn"), segment_of(F.element_at("tokens", 1)).alias("seg"))
+    return _best(_spots(nodes, asked, keys), keys)
+
+
+def _late_sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+    """As _sites, where no anchor fits anywhere: an equal block that holds no other is repeated more often (kind 2), or a cycle is turned to another of its segments."""
+    turns = F.posexplode(F.array_distinct(F.transform("tokens", segment_of))).alias("turn", "seg")
+    asked = open_.select("*", turns).where("turn > 0")
+    turned = _spots(nodes, asked.withColumn("tokens", reanchor(F.col("tokens"), F.col("seg"))), keys)
+    blocks = nodes.where("token is null")
+    inner = blocks.select(*keys, F.col("parent").alias("path")).where("path is not null").distinct()
+    plain = blocks.where("parent is not null").join(inner, [*keys, "path"], "left_anti")
+    plain = plain.select(*keys, F.col("path").alias("block"), F.col("parent").alias("unit"), F.col("cnt").alias("k"), "times", "base")
     twin = open_.join(plain, keys).where((F.col("base") == F.col("tokens")) | (F.col("base") == reverse_complement(F.col("tokens"))))
     twin = twin.withColumn("share", F.expr("left div (times div k)")).where("share > 0")
-    longer = twin.select(
-        *keys,
-        F.struct(
-            F.lit(True).alias("late"), "rank", "cycle_id", F.lit(0).alias("way"), F.lit(0).alias("turn"), F.col("outer").alias("unit"), F.lit(2).alias("kind"), F.lit(0).alias("unlike"),
-            "block", F.col("block").alias("at"), "tokens", F.lit(None).cast("string").alias("token"), "k", "share", "times", F.expr("share * (times div k)").alias("used"),
-        ).alias("best"),
-    )
-    return placed.unionByName(longer).groupBy(*keys).agg(F.min("best").alias("best"))
+    longer = twin.select(*keys, "rank", "cycle_id", F.lit(0).alias("way"), F.lit(0).alias("turn"), "unit", F.lit(2).alias("kind"), F.lit(0).alias("unlike"), "block", F.col("block").alias("at"), "tokens", F.lit(None).cast("string").alias("token"), "k", "share", "times", F.expr("share * (times div k)").alias("used"))
+    return _best(turned.unionByName(longer), keys)
 
 
-def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str], no: int) -> DataFrame:
-    """The nodes after each walk's best site is taken."""
+def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes after each walk's best site (sites: keys, best, no of the round) is taken."""
     both = nodes.join(sites, keys, "left")
     split = F.expr("best.kind = 1 and best.k > best.share")
     inside = F.slice("path", F.lit(1), F.size("best.block")) == F.col("best.block")
@@ -94,7 +99,7 @@ def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str], no: int) -> Dat
     cnt = F.when(split & mine, F.col("best.share")).when(longer & mine, F.col("cnt") + F.col("best.share")).otherwise(F.col("cnt"))
     kept = both.select(*keys, "parent", "path", "token", "cycle_id", "base", cnt.alias("cnt"), now.alias("times"), "depth")
     # the repetitions of a split block that get no copy follow as a block of their own
-    spot = F.array(F.lit(FAR - no))
+    spot = F.array(F.lit(FAR) - F.col("no"))
     behind = lambda p: F.concat(F.col("best.block"), spot, F.slice(p, F.size("best.block") + 1, F.size(p)))
     rest = both.where(split & inside).select(
         *keys, F.when(F.col("path") == F.col("best.block"), F.col("parent")).otherwise(behind(F.col("parent"))).alias("parent"), behind(F.col("path")).alias("path"), "token", "cycle_id", "base",
@@ -103,7 +108,7 @@ def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str], no: int) -> Dat
     each = F.expr("case when best.kind = 0 then best.share when best.k > best.share then 1 else best.share div best.k end")
     times = F.when(F.expr("best.kind = 1 and best.k > best.share"), F.expr("best.times div best.k * best.share")).otherwise(F.col("best.times"))
     same = F.col("best.token") == F.element_at("best.tokens", 1)
-    at = F.concat(F.slice("best.at", F.lit(1), F.size("best.at") - 2), F.when(same, F.array(F.lit(-1), F.lit(no))).otherwise(F.array(F.lit(1), F.lit(-no))).cast("array<bigint>"))
+    at = F.concat(F.slice("best.at", F.lit(1), F.size("best.at") - 2), F.when(same, F.array(F.lit(-1).cast("long"), F.col("no"))).otherwise(F.array(F.lit(1).cast("long"), -F.col("no"))))
     base = F.when(same, F.col("best.tokens")).otherwise(reverse_complement(F.col("best.tokens")))
     new = sites.where("best.kind < 2").select(
         *keys, F.col("best.block").alias("parent"), at.alias("path"), F.lit(None).cast("string").alias("token"), F.col("best.cycle_id").alias("cycle_id"), base.alias("base"), each.cast("long").alias("cnt"),
@@ -114,29 +119,44 @@ def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str], no: int) -> Dat
     return kept.unionByName(rest).unionByName(new).unionByName(_tokens(new, keys))
 
 
+#: Walks that are done or stuck leave the tables every so many rounds.
+RETIRE = 12
+
+
 def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, left) from spine(keys.., cycle_id, tokens) and pending(keys.., cycle_id, tokens turned to the anchor, left, weight): the finished node
+    """(nodes, left) from spine(keys.., cycle_id, tokens) and pending(keys.., cycle_id, tokens turned to the anchor, left, weight, draw): the finished node
     tables, and for every key the copies that found no place.
 
-    In each round a walk takes one site; walks that are done or stuck leave the loop.
+    In each round a walk takes one site. Rounds by anchors go on until no walk has such a site; then walks with copies left take a late one, and so on.
     """
     nodes = stored(_root(spine, keys), "walk-nodes")
     pending = stored(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")), "walk-pending")
+    rank = F.when(F.col("draw").isNull(), F.col("weight") * F.col("left")).otherwise(F.col("draw")).alias("rank")
     done, over, no = [], [], 0
     while True:
         no += 1
-        rank = F.when(F.col("draw").isNull(), F.col("weight") * F.col("left")).otherwise(F.col("draw")).alias("rank")
-        sites = stored(_sites(nodes, pending.where("left > 0").select("*", rank), keys), "walk-sites")
-        done.append(nodes.join(sites, keys, "left_anti"))
-        over.append(pending.join(sites, keys, "left_anti"))
+        open_ = pending.where("left > 0").select("*", rank)
+        # the round's number goes on as a column, so that the code that Spark generates for a round serves all rounds
+        sites = stored(_sites(nodes, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
         if sites.isEmpty():
-            break
-        moving = sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used"), F.col("best.tokens").alias("turned"))
-        nodes = stored(_placed(nodes.join(sites, keys, "left_semi"), sites, keys, no), "walk-nodes")
-        pending = pending.join(sites, keys, "left_semi").join(moving, [*keys, "cycle_id"], "left")
-        pending = stored(pending.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("used", "turned"), "walk-pending")
-    every = lambda parts: parts[0] if len(parts) == 1 else every(parts[:-1]).unionByName(parts[-1])
-    return every(done), every(over).groupBy(*keys).agg(F.sum("left").alias("left"))
+            sites = stored(_late_sites(nodes, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
+            if sites.isEmpty():
+                break
+        moving = sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used"))
+        nodes = stored(_placed(nodes, sites, keys), "walk-nodes")
+        pending = pending.join(moving, [*keys, "cycle_id"], "left")
+        pending = stored(pending.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("used"), "walk-pending")
+        if no % RETIRE == 0:
+            live = stored(pending.where("left > 0").select(*keys).distinct(), "walk-live")
+            done.append(stored(nodes.join(live, keys, "left_anti"), "walk-done"))
+            over.append(pending.join(live, keys, "left_anti"))
+            nodes = stored(nodes.join(live, keys, "left_semi"), "walk-nodes")
+            pending = stored(pending.join(live, keys, "left_semi"), "walk-pending")
+    for x in done:
+        nodes = nodes.unionByName(x)
+    for x in over:
+        pending = pending.unionByName(x)
+    return nodes, pending.groupBy(*keys).agg(F.sum("left").alias("left"))
 
 
 def walk_nodes(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0):
