@@ -347,11 +347,12 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int =
     rows = found.where("lid is null").select("doc_id", "n", "sid", "th", "sketch")
     lists = found.where("lid is not null").select("lid", "members")
     nodes = _link(spark, docs, rows, lists, shingle, num, den)
-    named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "n", "sid", F.coalesce("component", "sid").alias("root"))
-    names = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return named.join(names, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))
+    named = stored(named, "jaccard-named")
+    placed, alone = named.where("root is not null"), named.where("root is null")
+    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    found = join_to_one(placed, names, ["root"], "rows", named.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionByName(alone.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _near(pairs: DataFrame, owners: DataFrame, level: Threshold) -> DataFrame:
