@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.operators.intervals import BIN, interval_join, point_join
+from helixloom.sources.storage import stored
 
 #: Control depth of a baseline region up to which no ratio is defined.
 LEAST_BASELINE_DEPTH = 5.0
@@ -110,7 +111,7 @@ def stable_positions(runs: DataFrame, ranges: DataFrame, mean: float, tolerance:
 
 def keep_stable(pieces: DataFrame, stable: DataFrame, from_res: int = 10, keys: list[str] | None = None) -> DataFrame:
     """The parts of both tissues' pieces that are stable in their sample, and all of windows finer than from_res."""
-    coarse = interval_join(pieces.where(f"res >= {from_res}"), stable, keys or ["sample", "refseg"])
+    coarse = interval_join(stored(pieces.where(f"res >= {from_res}"), "coarse-pieces"), stored(stable, "stable"), keys or ["sample", "refseg"])
     coarse = coarse.withColumns({"st": F.greatest("st", "r_st"), "ed": F.least("ed", "r_ed")}).select(*pieces.columns)
     return coarse.unionByName(pieces.where(f"res < {from_res}"))
 
@@ -205,7 +206,7 @@ def baseline_cn_ratio(windows: DataFrame, baseline: DataFrame, breakpoints: Data
     on = ["sample", "refseg"]
     cut = point_join(breakpoints.select(*on, "pos"), baseline.select(*on, "st", "ed"), on).where("pos > st and pos < ed").select(*on, "st", "ed").distinct()
     base = baseline.join(cut, [*on, "st", "ed"], "left_anti").withColumn("tissue", F.coalesce("tissue", F.lit("ctrl")))
-    hit = interval_join(windows.select(*on, "tissue", "st", "ed", "adj"), base, [*on, "tissue"])
+    hit = interval_join(stored(windows.select(*on, "tissue", "st", "ed", "adj"), "baseline-windows"), stored(base, "baselines"), [*on, "tissue"])
     mean = hit.groupBy(*on, "r_st", "r_ed", "cn").agg(F.avg("adj").alias("depth"))
     cn = F.when(F.col("cn") > 0.5, F.col("cn")).otherwise(F.lit(2.0))
     return mean.select(*on, "depth", F.when(F.col("depth") > least, cn / F.col("depth")).alias("ratio"))

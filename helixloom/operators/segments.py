@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from helixloom.operators.depth import subtract_admixture
 from helixloom.operators.intervals import interval_join, point_join
+from helixloom.sources.storage import stored
 
 
 
@@ -86,7 +87,9 @@ def segment_cn(segments: DataFrame, windows: DataFrame, ratio, value: str = "adj
     """segments with depth (mean of ``value`` over the windows of the same sample that overlap, 2 digits) and cn = depth * ratio (2 digits, ratio a column of segments or
     a value); null without windows."""
     on = ["sample", "refseg"]
-    means = interval_join(windows.select(*on, "st", "ed", value), segments.select(*on, "seg_no", "st", "ed"), on)
+    # both sides are computed once: the join first looks at their lengths
+    segments = stored(segments, "segments")
+    means = interval_join(stored(windows.select(*on, "st", "ed", value), "segment-windows"), segments.select(*on, "seg_no", "st", "ed"), on)
     means = means.groupBy(*on, "seg_no").agg(mean_two_digits(value).alias("depth"))
     return segments.join(means, [*on, "seg_no"], "left").withColumn("cn", two_digits(F.col("depth") * ratio))
 

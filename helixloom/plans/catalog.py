@@ -582,16 +582,23 @@ def walks(spark, d):
 
 
 @query(
-    f"""with {BACKBONE} select allele, seg, sum(n)::bigint as n from (
+    f"""with {BACKBONE}, reach as (
+  select allele, cycle_id from back
+  union select s.allele, s.cycle_id from reach r join cs a on a.allele = r.allele and a.cycle_id = r.cycle_id join cs s on s.allele = a.allele and s.seg = a.seg),
+whole as (select allele from back where allele not in (select c.allele from v_cycles c left join reach r on r.allele = c.allele and r.cycle_id = c.cycle_id where r.cycle_id is null))
+select allele, seg, sum(n)::bigint as n from (
   select cs.allele, cs.seg, sum(cnt) as n from cs join back b on b.allele = cs.allele where b.cycle_id <> cs.cycle_id group by all
-  union all select allele, left(t, 2), count(*) from (select allele, unnest(tokens) as t from back) group by all) group by all""",
+  union all select allele, left(t, 2), count(*) from (select allele, unnest(tokens) as t from back) group by all) where allele in (select allele from whole) group by all""",
     "v_cycles v_seg",
 )
 def f11_assemble_walks(spark, d):
-    """The walk of every allele, by its conserved segment counts."""
+    """The walk of every allele whose cycles all hang together, by its conserved segment counts."""
     return cycles.segment_counts(walks(spark, d).select("allele", "walk"), ["allele"], "walk").groupBy("allele", "seg").agg(F.sum("n").alias("n"))
 
 
+_SQL["f11_assemble_walks"] = _SQL["f11_assemble_walks"].replace("with ", "with recursive ", 1)
+
+
 @query()
 def f11_walk_text(spark, d):
     return walks(spark, d).select("allele", F.array_join("walk", " ").alias("walk"))
