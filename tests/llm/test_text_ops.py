@@ -543,7 +543,7 @@ def test_suffix_dedup_of_ids_at_the_end(spark):
     rng = random.Random(21)
     text = lambda n: "".join(rng.choice("abcdef ") for _ in range(n))
     shared = text(160)
-    rows = [(2**63 - 1, text(40) + shared), (None, text(40) + shared), (None, text(40) + shared + text(9)), (5, text(300))]
+    rows = [(2**63 - 1, text(40) + "x" + shared), (None, text(40) + "y" + shared), (None, text(40) + "z" + shared + text(9)), (5, text(300))]  # x, y, z: no match is longer
     got = [sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()), key=str) for n in (1, 4)]
     assert got[0] == got[1] and {r[0] for r in got[0]} == {2**63 - 1, None, 5}
     assert sorted(r[2] for r in got[0]) == [0, 0, 160, 160]
