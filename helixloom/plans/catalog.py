@@ -335,7 +335,12 @@ def d13_clip(spark, d):
 VIOL = """gs as (select case when l_partkey % 97 = 0 then 'X' else 'H' end || l_orderkey || l_linenumber || l_suppkey as seg, 'S' || (l_suppkey % 5) || '_' || (l_orderkey // 100) as refseg, l_partkey as st, l_partkey + 3 as ed,
   case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id, l_orderkey, l_linenumber, l_suppkey from lineitem),
 gj as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_linenumber || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_linenumber || l_suppkey as seg3 from lineitem),
-gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events)"""
+gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events),
+gp as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || (l_suppkey + l_partkey % 2) as a, 'n' || l_quantity::bigint as b from lineitem),
+gn as (select distinct c_custkey as owner, c_custkey % 60 as cycle_id from customer),
+gb as (select 'S' || (p_partkey % 5) as refseg, p_partkey as st, p_partkey + 9 as ed from part),
+gk as (select 'S' || (l_suppkey % 5) as refseg, l_partkey * 3 as pos from lineitem),
+gr as (select l_quantity::bigint as len, (l_linenumber - 2) / 4.0::double as ratio from lineitem)"""
 
 
 @query(
@@ -347,14 +352,24 @@ union all select 'cycle twice', cycle_id::varchar, count(*)::varchar from gc gro
 union all select distinct 'unknown segment', cycle_id::varchar, seg from gc where seg not in (select seg from gs)
 union all select 'junction without segment', junc_id, seg from sides where seg not in (select seg from gs)
 union all select 'no group', seg, refseg from gs where seg like 'H%' and group_id is null
-union all select 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (seg) where group_id is not null group by junc_id having min(group_id) <> max(group_id)"""
+union all select 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (seg) where group_id is not null group by junc_id having min(group_id) <> max(group_id)
+union all select 'pair twice', k, count(*)::varchar from (select least(a, b) || ';' || greatest(a, b) as k from gp) group by k having count(*) > 1
+union all select distinct 'unknown junction', a, null from gp where a not in (select junc_id from gj)
+union all select 'unknown cycle', cycle_id::varchar, owner::varchar from gn where cycle_id not in (select cycle_id from gc)
+union all select 'baseline with breakpoint', gb.refseg || ':' || st || '-' || ed, min(pos)::varchar from gb join gk on gk.refseg = gb.refseg and pos > st and pos < ed group by gb.refseg, st, ed
+union all select 'ratio out of range', len::varchar, ratio::varchar from gr where ratio < 0 or ratio > 1"""
 )
 def d14_violations(spark, d):
     line = V.table(spark, d, "lineitem")
     s = line.selectExpr("concat(if(l_partkey % 97 = 0, 'X', 'H'), l_orderkey, l_linenumber, l_suppkey) as seg", "concat('S', l_suppkey % 5, '_', l_orderkey div 100) as refseg", "l_partkey as st", "l_partkey + 3 as ed", "if(l_linenumber = 7, null, l_orderkey div 100) as group_id")
     j = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey) as junc_id", "concat('H', l_orderkey, l_linenumber, l_suppkey) as seg5", "concat('H', l_orderkey + 32, l_linenumber, l_suppkey) as seg3")
     c = V.table(spark, d, "events").selectExpr("user_id % 40 as cycle_id", "concat('H', event_id) as seg")
-    return segments.violations(s, j, c.select("cycle_id"), c)
+    pairs = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey + l_partkey % 2) as anchor_a", "concat('n', cast(l_quantity as bigint)) as anchor_b")
+    counts = V.table(spark, d, "customer").selectExpr("c_custkey as owner", "c_custkey % 60 as cycle_id")
+    baselines = V.table(spark, d, "part").selectExpr("concat('S', p_partkey % 5) as refseg", "p_partkey as st", "p_partkey + 9 as ed")
+    breakpoints = line.selectExpr("concat('S', l_suppkey % 5) as refseg", "l_partkey * 3 as pos")
+    ratios = line.selectExpr("cast(l_quantity as bigint) as len", "cast((l_linenumber - 2) / 4 as double) as ratio")
+    return segments.violations(s, j, c.select("cycle_id"), c, pairs=pairs, counts=counts, baselines=baselines, breakpoints=breakpoints, ratios=ratios)
 
 
 @query(f"with {SEGS} select sample, refseg, seg_no::bigint as seg_no, lead(seg_no) over w::bigint as next_no, (lead(st) over w = ed + 1) as touches from segs window w as (partition by sample, refseg order by st)".replace("lead(seg_no) over w::bigint", "(lead(seg_no) over w)::bigint"), "v_junc v_region")
