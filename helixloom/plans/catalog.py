@@ -1005,7 +1005,11 @@ def g21_rank_combinations(spark, d):
     return ranking.rank_combinations(c, ["solution"]).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(
+    f"""with {WEIGHTS}, ob as (select *, ((solution * 17 + substr(pair_id, 2)::int * 29) % 60)::double as observed from ex),
+sc as (select sample, group_id, solution, combo, case when stddev_pop(expected) * stddev_pop(observed) > 1e-12 then round(covar_pop(expected, observed) / (stddev_pop(expected) * stddev_pop(observed)), 9) end as corr from ob group by all)
+select sample, group_id, solution, combo, corr, row_number() over (partition by sample, group_id, solution order by corr desc nulls last, combo)::bigint as place from sc"""
+)
 def solution_ranking(spark, d):
     """G17-G21 in a row: combinations ranked by the correlation of expected with observed links."""
     e = expected(spark, d).withColumn("observed", F.expr("cast((solution * 17 + cast(substring(pair_id, 2) as int) * 29) % 60 as double)"))
