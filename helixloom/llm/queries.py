@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixloom.llm import ann, bpe, chat, cube, jaccard, linededup, media, suffix, toxicity, urls
+from helixloom.llm import ann, bpe, chat, cube, jaccard, linededup, media, packing, repair, suffix, toxicity, trie, urls
 from helixloom.llm.common import table
 from helixloom.llm.tokenizer_files import tokenizer_spec
 
@@ -69,6 +69,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.shared_starts(turns))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_spec())
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = (
     op1_line_dedup,
     op2_media_columns,
@@ -80,6 +94,9 @@ QUERIES = (
     op8_suffix_dedup,
     op9_mix_sources,
     op10_toxicity,
+    op11_prefix_trie,
+    op12_conversation_repair,
+    op13_harmonic_packing,
 )
 
 
@@ -88,4 +105,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": linededup.ORACLE, "op3_url_filters": urls.ORACLE, "op7_chat_formatting": chat.ORACLE}
+    return {"op1_line_dedup": linededup.ORACLE, "op3_url_filters": urls.ORACLE, "op7_chat_formatting": chat.ORACLE} | {"op11_prefix_trie": trie.ORACLE, "op12_conversation_repair": repair.ORACLE}
