@@ -61,10 +61,36 @@ def same_or_rc(a: Column, b: Column) -> Column:
     return F.when(a == b, 1).when(a == reverse_complement(b), -1).otherwise(0)
 
 
+def pair_key(a: Column, b: Column) -> Column:
+    """``H1+,H3+``: two neighbouring tokens, as they stand or read from the other strand, whichever is smaller."""
+    return F.least(F.concat_ws(",", a, b), F.concat_ws(",", flip(b), flip(a)))
+
+
+def least_rotation(tokens: Column) -> Column:
+    """The smallest rotation of a cycle (of one token or more; null tokens come first). Two candidates for its start run a common length
+    on; at the first difference the worse one jumps past it. At most three steps a token, in memory linear in the cycle."""
+    n = F.size(tokens)
+    at = lambda x: F.get(tokens, x % n)
+    less = lambda a, b: F.coalesce(a < b, a.isNull() & b.isNotNull())
+
+    def step(s, _):
+        i, j, k = s["i"], s["j"], s["k"]
+        a, b = at(i + k), at(j + k)
+        on_i = F.when(less(b, a), i + k + 1).otherwise(i)
+        on_j = F.when(less(a, b), j + k + 1).otherwise(j)
+        apart = F.struct(on_i.alias("i"), F.when(on_i == on_j, on_j + 1).otherwise(on_j).alias("j"), F.lit(0).alias("k"))
+        further = F.struct(i.alias("i"), j.alias("j"), (k + 1).alias("k"))
+        return F.when((i >= n) | (j >= n) | (k >= n), s).when(a.eqNullSafe(b), further).otherwise(apart)
+
+    begin = F.struct(F.lit(0).alias("i"), F.lit(1).alias("j"), F.lit(0).alias("k"))
+    found = F.aggregate(F.sequence(F.lit(1), 3 * n), begin, step, lambda s: F.least(s["i"], s["j"]))
+    return rotate(tokens, found)
+
+
 def equivalence_key(tokens: Column) -> Column:
     """The smallest of all rotations of the cycle and of its reverse complement."""
-    turns = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda k: rotate(t, k))
-    return F.when(F.size(tokens) > 0, F.array_min(F.concat(turns(tokens), turns(reverse_complement(tokens))))).otherwise(tokens)
+    both = F.transform(F.array(tokens, reverse_complement(tokens)), least_rotation)  # bound once each by the lambda
+    return F.when(F.size(tokens) > 0, F.array_min(both)).otherwise(tokens)
 
 
 def walk_signature(walk: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixloom.functions.tokens import (
     composition_signature,
     flip,
+    pair_key,
     reverse_complement,
     segment_of,
     strand_of,
@@ -238,6 +239,26 @@ def solution_accounting(cycles: DataFrame, segments: DataFrame, keys: list[str])
     return use.join(segments.select(*on, "cn"), on, "left").select(*keys, "seg", "expected", "cn", F.expr("try_divide(expected - cn, cn)").alias("residual"))
 
 
+def junction_accounting(cycles: DataFrame, junctions: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, link, expected, cn, residual: how often cycles (.., cnt, tokens) pass each junction, against junctions (link ``H1+,H3+``, cn and any of the keys).
+
+    Neighbours on a ring count, the last token with the first included, and a junction counts on either strand. Junctions that a group of cycles does not pass stand with 0, if they share a key;
+    pairs that are no junctions (neighbours on the reference, the backbone's closing) are left out. Rows of one link, on either strand, add their cn up. Like segments, junctions are written as given.
+    """
+    on = shared_keys(keys, junctions)
+    side = lambda i: F.element_at(F.split("link", ","), i)
+    known = junctions.withColumn("_pair", pair_key(side(1), side(2))).groupBy(*on, "_pair").agg(F.min("link").alias("link"), F.sum("cn").alias("cn"))
+    n = F.size("tokens")
+    ring = cycles.where(n > 0).select(*keys, "cnt", F.explode(F.transform("tokens", lambda t, i: pair_key(t, F.get("tokens", (i + 1) % n)))).alias("_pair"))
+    use = ring.groupBy(*keys, "_pair").agg(F.sum("cnt").alias("expected"))
+    if not on:
+        both = use.join(known, "_pair")
+    else:
+        wanted = cycles.select(*keys).distinct().join(known, on)
+        both = wanted.join(use, [*keys, "_pair"], "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
+    return both.select(*keys, "link", F.col("expected").cast("long").alias("expected"), "cn", F.expr("try_divide(expected - cn, cn)").alias("residual"))
+
+
 def usage_strings(cycles: DataFrame, keys: list[str]) -> DataFrame:
     return cycles.groupBy(*keys).agg(usage(F.collect_list(F.struct(F.col("cycle_id").alias("id"), F.col("cnt").alias("n")))).alias("usage"))
 

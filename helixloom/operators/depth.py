@@ -202,11 +202,15 @@ def depth_extent(windows: DataFrame, value: str = "show", keys: list[str] | None
 
 def baseline_cn_ratio(windows: DataFrame, baseline: DataFrame, breakpoints: DataFrame, least: float = LEAST_BASELINE_DEPTH) -> DataFrame:
     """sample, refseg, depth, ratio: copies for each unit of depth from a baseline (sample, refseg, st, ed, cn, tissue) that holds no breakpoint of its sample
-    (sample, refseg, pos) strictly inside. cn missing or up to 0.5 counts as 2; a depth up to ``least`` gives no ratio; tissue defaults to the control."""
+    (sample, refseg, pos) strictly inside. cn missing or up to 0.5 counts as 2; a depth up to ``least`` gives no ratio. A tissue that is not given is the control of samples that have one, else the case;
+    a baseline without windows has neither depth nor ratio."""
     on = ["sample", "refseg"]
     cut = point_join(breakpoints.select(*on, "pos"), baseline.select(*on, "st", "ed"), on).where("pos > st and pos < ed").select(*on, "st", "ed").distinct()
-    base = baseline.join(cut, [*on, "st", "ed"], "left_anti").withColumn("tissue", F.coalesce("tissue", F.lit("ctrl")))
-    hit = interval_join(stored(windows.select(*on, "tissue", "st", "ed", "adj"), "baseline-windows"), stored(base, "baselines"), [*on, "tissue"])
-    mean = hit.groupBy(*on, "r_st", "r_ed", "cn").agg(F.avg("adj").alias("depth"))
+    controls = windows.where("tissue = 'ctrl'").select("sample").distinct().withColumn("_own", F.lit("ctrl"))
+    base = baseline.join(cut, [*on, "st", "ed"], "left_anti").join(controls, "sample", "left").withColumn("tissue", F.coalesce("tissue", "_own", F.lit("case"))).drop("_own")
+    base = stored(base.select(*on, "st", "ed", "cn", "tissue"), "baselines")
+    hit = interval_join(stored(windows.select(*on, "tissue", "st", "ed", "adj"), "baseline-windows"), base, [*on, "tissue"])
+    mean = hit.groupBy(*on, "tissue", F.col("r_st").alias("st"), F.col("r_ed").alias("ed")).agg(F.avg("adj").alias("depth"))
+    both = base.join(mean, [*on, "tissue", "st", "ed"], "left")
     cn = F.when(F.col("cn") > 0.5, F.col("cn")).otherwise(F.lit(2.0))
-    return mean.select(*on, "depth", F.when(F.col("depth") > least, cn / F.col("depth")).alias("ratio"))
+    return both.select(*on, "depth", F.when(F.col("depth") > least, cn / F.col("depth")).alias("ratio"))

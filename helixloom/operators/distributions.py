@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.operators.intervals import nearest_key
+from helixloom.operators.scans import carried, in_parts, join_on, running_total
+from helixloom.sources.storage import stored
 
 
 def ecdf(lengths: DataFrame, keys: list[str]) -> DataFrame:
     """keys, len, cnt, prob: cumulative probability up to each length, six digits. Rows (keys.., len, cnt) of one length add up."""
-    rows = lengths.groupBy(*keys, "len").agg(F.sum("cnt").alias("cnt"))
-    part = Window.partitionBy(*keys)
-    upto = part.orderBy("len").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(*keys, "len", "cnt", F.round(F.sum("cnt").over(upto) / F.sum("cnt").over(part), 6).alias("prob"))
+    rows = stored(lengths.groupBy(*keys, "len").agg(F.sum("cnt").alias("cnt")), "lengths")
+    return running_total(rows, keys, "len", "cnt").select(*keys, "len", "cnt", F.round(F.col("_upto") / F.col("_total"), 6).alias("prob"))
 
 
 def ratio_profile(ratios: DataFrame, keys: list[str]) -> DataFrame:
@@ -40,14 +40,15 @@ def nearest_length(queries: DataFrame, table: DataFrame, keys: list[str], payloa
 
 def mass_between(spans: DataFrame, cdf: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lo, hi, mass: probability from the last length <= lo (0 without one) to the first length >= hi (1 without one); 1000 / lo where keys have
-    no distribution. As-of look-ups by a union and running values, no range join."""
-    ask = lambda c: spans.select(*keys, F.col(c).alias("x"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("q"))
+    no distribution. As-of look-ups by a union and carried values, no range join."""
     have = cdf.select(*keys, F.col("len").alias("x"), F.col("prob").cast("double").alias("p"), F.lit(0).alias("q"))
-    down = Window.partitionBy(*keys).orderBy("x", "q").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy(F.desc("x"), "q").rowsBetween(Window.unboundedPreceding, 0)
-    low = have.unionByName(ask("lo")).select(*keys, "x", "q", F.last("p", True).over(down).alias("plo")).where("q = 1").select(*keys, F.col("x").alias("lo"), "plo").distinct()
-    high = have.unionByName(ask("hi")).select(*keys, "x", "q", F.last("p", True).over(up).alias("phi")).where("q = 1").select(*keys, F.col("x").alias("hi"), "phi").distinct()
+
+    def ask(c: str, ahead: bool) -> DataFrame:
+        asked = spans.select(*keys, F.col(c).alias("x")).distinct().select(*keys, "x", F.lit(None).cast("double").alias("p"), F.lit(1).alias("q"))
+        cut = in_parts(stored(have.unionByName(asked), "look-ups"), keys, "x")
+        return carried(cut, keys, "x", "q", "p", f"p{c}", ahead).where("q = 1").select(*keys, F.col("x").alias(c), f"p{c}")
+
     known = cdf.select(*keys).distinct().withColumn("_known", F.lit(True))
-    out = spans.join(low, [*keys, "lo"], "left").join(high, [*keys, "hi"], "left").join(known, keys, "left")
+    out = join_on(join_on(join_on(spans, ask("lo", False), [*keys, "lo"], "left"), ask("hi", True), [*keys, "hi"], "left"), known, keys, "left")
     mass = F.coalesce("phi", F.lit(1.0)) - F.coalesce("plo", F.lit(0.0))
     return out.select(*keys, "lo", "hi", F.when(F.col("_known"), mass).otherwise(F.expr("try_divide(1000D, lo)")).alias("mass"))

@@ -6,9 +6,12 @@ equal (key, bin) and tested again, so both sides can be large; an overlap is rep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixloom.operators.scans import carried, in_parts
+from helixloom.sources.storage import stored
+
 BIN = 1000
 #: Bins of a level are so many times wider than those of the level below.
 WIDER = 16
@@ -82,17 +85,15 @@ def clip(intervals: DataFrame, st, ed) -> DataFrame:
 
 
 def nearest_key(queries: DataFrame, keys: DataFrame, on: list[str], key: str = "len", payload: str = "val") -> DataFrame:
-    """Each query's (``q``) nearest key: the exact one, else the nearest; a tie goes to the smaller, beyond the end to the largest.
+    """Each query's (``q``) nearest key: the exact one, else the nearest; a tie goes to the smaller, beyond the end to the largest; null where ``on`` has no keys at all.
 
-    A union with running last / first instead of an inequality join: one shuffle on ``on``, linear in both sides.
+    A union along which the last and the next key are carried, instead of an inequality join: linear in both sides, and a frequent ``on`` is spread over many tasks.
     """
-    cols = [*on, F.col(key).alias("_k"), F.lit(0).alias("_q"), F.col(key).alias("_key"), F.col(payload).alias("_val")]
-    asked = [*on, F.col("q").alias("_k"), F.lit(1).alias("_q"), F.lit(None).cast(keys.schema[key].dataType).alias("_key"), F.lit(None).cast(keys.schema[payload].dataType).alias("_val")]
-    both = keys.select(*cols).unionByName(queries.select(*asked))
-    w = Window.partitionBy(*on).orderBy("_k", "_q")
-    down, up = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*on).orderBy(F.desc("_k"), "_q").rowsBetween(Window.unboundedPreceding, 0)
-    pair = F.when(F.col("_q") == 0, F.struct("_key", "_val"))
-    both = both.select("*", F.last(pair, True).over(down).alias("lo"), F.last(pair, True).over(up).alias("hi")).where("_q = 1")
+    cols = [*on, F.col(key).alias("_k"), F.lit(0).alias("_q"), F.struct(F.col(key).alias("_key"), F.col(payload).alias("_val")).alias("_pair")]
+    both = keys.select(*cols)
+    asked = queries.select(*on, F.col("q").alias("_k")).distinct().select(*on, "_k", F.lit(1).alias("_q"), F.lit(None).cast(both.schema["_pair"].dataType).alias("_pair"))
+    cut = in_parts(stored(both.unionByName(asked), "look-ups"), on, "_k")
+    both = carried(carried(cut, on, "_k", "_q", "_pair", "lo"), on, "_k", "_q", "_pair", "hi", ahead=True).where("_q = 1")
     lower = F.col("hi").isNull() | (F.col("lo").isNotNull() & (F.col("_k") - F.col("lo._key") <= F.col("hi._key") - F.col("_k")))
     best = F.when(lower, F.col("lo")).otherwise(F.col("hi"))
-    return both.select(*on, F.col("_k").alias("q"), best["_key"].alias(key), best["_val"].alias(payload)).distinct()
+    return both.select(*on, F.col("_k").alias("q"), best["_key"].alias(key), best["_val"].alias(payload))

@@ -31,9 +31,15 @@ def terminal_anchors(segments: DataFrame, inner: DataFrame, least: int = 100) ->
     return ends.select("sample", "group_id", "seg", "refseg", "st", "ed", "role", F.when(F.col("role") == "source", F.col("ed") - shift).otherwise(F.col("st") + shift).alias("pos"))
 
 
-def anchor_markers(anchors: DataFrame, reads: DataFrame) -> DataFrame:
-    """anchor, marker: distinct markers (molecule) of the intervals that cover an anchor (anchor, refseg, pos)."""
-    return point_join(anchors.select("anchor", "refseg", "pos"), reads.select("refseg", "st", "ed", "molecule"), ["refseg"]).select("anchor", F.col("molecule").alias("marker")).distinct()
+def anchor_markers(anchors: DataFrame, reads: DataFrame, junction_markers: DataFrame | None = None) -> DataFrame:
+    """sample, anchor, marker (text): one index of both kinds of anchors. A position anchor (sample, anchor, refseg, pos) has the molecules of the
+    sample's intervals (sample, refseg, st, ed, molecule) that cover it; a junction anchor those of its list (sample, anchor, marker). Tables of a single sample may do without the column."""
+    on = shared_keys(["sample"], anchors)
+    hit = point_join(anchors.select(*on, "anchor", "refseg", "pos"), reads.select(*on, "refseg", "st", "ed", "molecule"), [*on, "refseg"])
+    found = hit.select(*on, "anchor", F.col("molecule").cast("string").alias("marker"))
+    if junction_markers is not None:
+        found = found.unionByName(junction_markers.select(*on, "anchor", F.col("marker").cast("string").alias("marker")))
+    return found.distinct()
 
 
 #: Anchors that one row of a marker's list holds; a longer list is paired slice by slice.
@@ -41,40 +47,43 @@ SLICE = 256
 
 
 def shared_marker_links(markers: DataFrame, segment_of_anchor: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """anchor_a < anchor_b, links: distinct markers that both have; pairs in one segment (anchor, seg) are left out. With pairs (anchor_a < anchor_b)
-    exactly those, zeros included; else those that share a marker, as all others have zero.
+    """anchor_a < anchor_b, links: distinct markers that both have; pairs of position anchors in one segment (anchor, seg) are left out, junction anchors have none. With pairs (anchor_a < anchor_b)
+    exactly those, zeros included; else those that share a marker, as all others have zero. All tables may have a sample: markers and anchors of different samples never meet.
 
     Each marker first becomes sorted lists of its anchors; equal lists are grouped with a count, so what many markers share is paired once. A very frequent marker is many
     slices, and each pair of slices is a row of its own.
     """
-    rows = markers.select("anchor", "marker").distinct()
-    many = rows.groupBy("marker").agg(F.count(F.lit(1)).alias("n"))
+    on = shared_keys(["sample"], markers)
+    rows = markers.select(*on, "anchor", "marker").distinct()
+    many = rows.groupBy(*on, "marker").agg(F.count(F.lit(1)).alias("n"))
     slices = F.ceil(F.col("n") / SLICE).cast("int")
-    dealt = rows.join(many, "marker").select("marker", "anchor", slices.alias("of"), F.pmod(F.hash("anchor"), slices).alias("slice"))
-    lists = dealt.groupBy("marker", "of", "slice").agg(F.array_sort(F.collect_list("anchor")).alias("s"))
+    dealt = rows.join(many, [*on, "marker"]).select(*on, "marker", "anchor", slices.alias("of"), F.pmod(F.hash("anchor"), slices).alias("slice"))
+    lists = dealt.groupBy(*on, "marker", "of", "slice").agg(F.array_sort(F.collect_list("anchor")).alias("s"))
     # slice i meets slices i, i + 1, ..: two lists a row, one where a slice meets itself
     other = F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")
-    met = lists.select("marker", "slice", "s", other).select("marker", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"), "slice", "s")
-    met = met.groupBy("marker", "x", "y").agg(F.array_sort(F.collect_set(F.struct("slice", "s"))).alias("l"))
-    met = met.where("x = y or size(l) = 2").select(F.get("l", F.lit(0))["s"].alias("a"), F.get("l", F.lit(1))["s"].alias("b"))
-    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    inner = met.where("b is null").select("n", F.posexplode("a").alias("i", "p"), "a").select("n", "p", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("q"))
-    cross = met.where("b is not null").select("n", F.explode("a").alias("p"), "b").select("n", "p", F.explode("b").alias("q"))
-    both = inner.unionByName(cross).select(F.least("p", "q").alias("anchor_a"), F.greatest("p", "q").alias("anchor_b"), "n")
-    got = both.groupBy("anchor_a", "anchor_b").agg(F.sum("n").alias("links"))
+    met = lists.select(*on, "marker", "slice", "s", other).select(*on, "marker", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"), "slice", "s")
+    met = met.groupBy(*on, "marker", "x", "y").agg(F.array_sort(F.collect_set(F.struct("slice", "s"))).alias("l"))
+    met = met.where("x = y or size(l) = 2").select(*on, F.get("l", F.lit(0))["s"].alias("a"), F.get("l", F.lit(1))["s"].alias("b"))
+    met = met.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    inner = met.where("b is null").select(*on, "n", F.posexplode("a").alias("i", "p"), "a").select(*on, "n", "p", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("q"))
+    cross = met.where("b is not null").select(*on, "n", F.explode("a").alias("p"), "b").select(*on, "n", "p", F.explode("b").alias("q"))
+    both = inner.unionByName(cross).select(*on, F.least("p", "q").alias("anchor_a"), F.greatest("p", "q").alias("anchor_b"), "n")
+    key = [*on, "anchor_a", "anchor_b"]
+    got = both.groupBy(*key).agg(F.sum("n").alias("links"))
     if pairs is not None:
-        got = pairs.select("anchor_a", "anchor_b").join(got, ["anchor_a", "anchor_b"], "left").select("anchor_a", "anchor_b", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        got = pairs.select(*key).join(got, key, "left").select(*key, F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     if segment_of_anchor is not None:
         s = segment_of_anchor
-        got = got.join(s.select(F.col("anchor").alias("anchor_a"), F.col("seg").alias("sa")), "anchor_a", "left").join(s.select(F.col("anchor").alias("anchor_b"), F.col("seg").alias("sb")), "anchor_b", "left")
+        got = got.join(s.select(*on, F.col("anchor").alias("anchor_a"), F.col("seg").alias("sa")), [*on, "anchor_a"], "left").join(s.select(*on, F.col("anchor").alias("anchor_b"), F.col("seg").alias("sb")), [*on, "anchor_b"], "left")
         got = got.where("sa is null or sb is null or sa <> sb")
-    return got.select("anchor_a", "anchor_b", "links")
+    return got.select(*key, "links")
 
 
 def pair_matrix(links: DataFrame, names: list[str]) -> DataFrame:
-    """Symmetric wide form: one row and one column for each anchor; zero stays 0, the diagonal is null."""
-    both = links.unionByName(links.select(F.col("anchor_b").alias("anchor_a"), F.col("anchor_a").alias("anchor_b"), "links"))
-    return both.groupBy(F.col("anchor_a").alias("anchor")).pivot("anchor_b", names).agg(F.max("links"))
+    """Symmetric wide form: one row (of each sample, if there is one) and one column for each anchor; zero stays 0, the diagonal is null."""
+    on = shared_keys(["sample"], links)
+    both = links.unionByName(links.select(*on, F.col("anchor_b").alias("anchor_a"), F.col("anchor_a").alias("anchor_b"), "links"))
+    return both.groupBy(*on, F.col("anchor_a").alias("anchor")).pivot("anchor_b", names).agg(F.max("links"))
 
 
 def pair_key(a, b):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixloom.operators.scans import join_on, running_total
+from helixloom.sources.storage import stored
+
 
 #: Combinations that one row is unfolded to at a time.
 RANGE = 1 << 16
@@ -37,6 +40,12 @@ def walk_combinations(walks: DataFrame, most: int | None = None) -> DataFrame:
     return picked.join(rows, [*sol, "allele", "digit"]).select(*sol, "combo", "allele", "map_no", "cut")
 
 
+def combination_names(combos: DataFrame) -> DataFrame:
+    """sample, group_id, solution, combo, name: ``AL1.LM2,AL2.LM1``, the walk of each allele in order."""
+    part = F.transform(F.array_sort(F.collect_list(F.struct("allele", "map_no"))), lambda x: F.concat(F.lit("AL"), x["allele"].cast("string"), F.lit(".LM"), x["map_no"].cast("string")))
+    return combos.groupBy("sample", "group_id", "solution", "combo").agg(F.array_join(part, ",").alias("name"))
+
+
 def combination_weights(combos: DataFrame, alleles: DataFrame) -> DataFrame:
     """combos with weight = length * allele CN over the sum for the solution, which uses each allele's first walk.
 
@@ -54,21 +63,25 @@ def expected_links(weighted: DataFrame, links: DataFrame) -> DataFrame:
     return both.groupBy(*sol, "combo", "pair_id").agg(F.round(F.sum(F.round(F.col("links") * F.col("weight"), 2)), 2).alias("expected"))
 
 
-def average_rank(column: str, keys: list[str]):
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, column)) - 1) / 2
+def average_ranks(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with each column as its rank within keys, ties at their mean: a value's rows are counted once, and the counts run on over parts of a key."""
+    for c in columns:
+        counts = stored(rows.groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_cnt")), "values")
+        ranks = running_total(counts, keys, c, "_cnt").select(*keys, c, (F.col("_upto") - (F.col("_cnt") - 1) / 2).alias("_rank"))
+        rows = join_on(rows, ranks, [*keys, c]).drop(c).withColumnRenamed("_rank", c)
+    return rows
 
 
 def correlation(rows: DataFrame, keys: list[str], a: str = "a", b: str = "b", method: str = "pearson") -> DataFrame:
-    """keys, n, corr (12 digits): null where a side is constant. spearman correlates average ranks."""
+    """keys, n, corr (9 digits): null where a side has one value only. spearman correlates average ranks."""
     if method == "spearman":
-        rows = rows.select(*keys, average_rank(a, keys).alias(a), average_rank(b, keys).alias(b))
-    spread = F.stddev_pop(a) * F.stddev_pop(b)
-    r = F.when(spread > 1e-12, F.try_divide(F.covar_pop(a, b), spread))
+        rows = average_ranks(stored(rows.select(*keys, a, b), "pairs"), keys, [a, b])
+    varied = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    r = F.when(varied, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(r, 9).alias("corr"))
 
 
-def rank_combinations(scored: DataFrame, keys: list[str], combo: str = "combo") -> DataFrame:
-    """scored with place: falling correlation, undefined last, ties by id."""
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("corr").desc_nulls_last(), combo)))
+def rank_combinations(scored: DataFrame, keys: list[str], combo: str = "combo", best: int | None = None) -> DataFrame:
+    """scored with place: falling correlation, undefined last, ties by id. With ``best`` the first so many of each key, which tasks choose before they meet."""
+    ranked = scored.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("corr").desc_nulls_last(), combo)))
+    return ranked if best is None else ranked.where(F.col("place") <= best)

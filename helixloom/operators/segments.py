@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixloom.operators.cycles import shared_keys
 from helixloom.operators.depth import subtract_admixture
 from helixloom.operators.intervals import interval_join, point_join
 from helixloom.sources.storage import stored
@@ -132,42 +133,48 @@ def allele_scenarios(samples: DataFrame) -> DataFrame:
 
 
 def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tokens: DataFrame, **more: DataFrame) -> DataFrame:
-    """rule, key, detail: one row for each broken rule.
+    """sample, rule, key, detail: one row for each broken rule. All tables have a sample, or none has (and then the result has none); names and places of different samples never meet.
 
     segments(seg, refseg, st, ed, group_id), junctions(junc_id, seg5, seg3), cycles(cycle_id), tokens(cycle_id, seg). Rules: overlapping
     segments on one refseg, segments without a name (names ran out) or with one of a wrong form, ids given twice, unknown segments, host segments without a group,
     groups that do not agree. Where they are given, also: pairs(anchor_a, anchor_b) twice or with an unknown junction; counts(owner, cycle_id) of an unknown cycle;
     baselines(refseg, st, ed) with a breakpoint of breakpoints(refseg, pos) inside; ratios(len, ratio) outside 0 to 1.
     """
-    ids = segments.select("seg").distinct()
-    a = segments.select("seg", "refseg", "st", "ed")
-    b = a.withColumnRenamed("seg", "other")
-    overlap = interval_join(a, b, ["refseg"]).where("seg < other").selectExpr("'overlap' as rule", "seg as key", "other as detail")
-    bad_id = segments.where("not seg rlike '^[HV][0-9]+$'").selectExpr("'segment id' as rule", "seg as key", "refseg as detail")
-    no_name = segments.where("seg is null").selectExpr("'names ran out' as rule", "concat(refseg, ':', st, '-', ed) as key", "refseg as detail")
-    twice = segments.where("seg is not null").groupBy("seg").count().where("count > 1").selectExpr("'segment twice' as rule", "seg as key", "cast(count as string) as detail")
-    cycle_twice = cycles.groupBy("cycle_id").count().where("count > 1").selectExpr("'cycle twice' as rule", "cast(cycle_id as string) as key", "cast(count as string) as detail")
-    unknown = tokens.join(ids, "seg", "left_anti").selectExpr("'unknown segment' as rule", "cast(cycle_id as string) as key", "seg as detail").distinct()
-    sides = junctions.select("junc_id", F.explode(F.array("seg5", "seg3")).alias("seg"))
-    no_seg = sides.join(ids, "seg", "left_anti").selectExpr("'junction without segment' as rule", "junc_id as key", "seg as detail")
-    no_group = segments.where("seg like 'H%' and group_id is null").selectExpr("'no group' as rule", "seg as key", "refseg as detail")
-    groups = sides.join(segments.select("seg", "group_id"), "seg").where("group_id is not null").groupBy("junc_id").agg(F.min("group_id").alias("g"), F.max("group_id").alias("h"))
-    mismatch = groups.where("g <> h").selectExpr("'group mismatch' as rule", "junc_id as key", "concat(g, ',', h) as detail")
-    found = [overlap, bad_id, no_name, twice, cycle_twice, unknown, no_seg, no_group, mismatch]
+    on = shared_keys(["sample"], segments)
+    found = []
+
+    def broken(rows: DataFrame, rule: str, key: str, detail: str) -> None:
+        found.append(rows.selectExpr(*on, f"'{rule}' as rule", f"cast({key} as string) as key", f"cast({detail} as string) as detail"))
+
+    def twice(rows: DataFrame, rule: str, key: str) -> None:
+        broken(rows.groupBy(*on, key).count().where("count > 1"), rule, key, "count")
+
+    ids = segments.select(*on, "seg").distinct()
+    a = segments.select(*on, "seg", "refseg", "st", "ed")
+    broken(interval_join(a, a.withColumnRenamed("seg", "other"), [*on, "refseg"]).where("seg < other"), "overlap", "seg", "other")
+    broken(segments.where("not seg rlike '^[HV][0-9]+$'"), "segment id", "seg", "refseg")
+    broken(segments.where("seg is null"), "names ran out", "concat(refseg, ':', st, '-', ed)", "refseg")
+    twice(segments.where("seg is not null"), "segment twice", "seg")
+    twice(cycles, "cycle twice", "cycle_id")
+    broken(tokens.join(ids, [*on, "seg"], "left_anti").select(*on, "cycle_id", "seg").distinct(), "unknown segment", "cycle_id", "seg")
+    sides = junctions.select(*on, "junc_id", F.explode(F.array("seg5", "seg3")).alias("seg"))
+    broken(sides.join(ids, [*on, "seg"], "left_anti"), "junction without segment", "junc_id", "seg")
+    broken(segments.where("seg like 'H%' and group_id is null"), "no group", "seg", "refseg")
+    groups = sides.join(segments.select(*on, "seg", "group_id"), [*on, "seg"]).where("group_id is not null").groupBy(*on, "junc_id").agg(F.min("group_id").alias("g"), F.max("group_id").alias("h"))
+    broken(groups.where("g <> h"), "group mismatch", "junc_id", "concat(g, ',', h)")
     if "pairs" in more:
-        pair = more["pairs"].select(F.array_join(F.array_sort(F.array("anchor_a", "anchor_b")), ";").alias("key"))
-        found.append(pair.groupBy("key").count().where("count > 1").selectExpr("'pair twice' as rule", "key", "cast(count as string) as detail"))
-        anchor = more["pairs"].select(F.explode(F.array("anchor_a", "anchor_b")).alias("junc_id")).where("junc_id like 'JUNC%'").distinct()
-        found.append(anchor.join(junctions.select("junc_id").distinct(), "junc_id", "left_anti").selectExpr("'unknown junction' as rule", "junc_id as key", "cast(null as string) as detail"))
+        twice(more["pairs"].select(*on, F.array_join(F.array_sort(F.array("anchor_a", "anchor_b")), ";").alias("pair")), "pair twice", "pair")
+        anchor = more["pairs"].select(*on, F.explode(F.array("anchor_a", "anchor_b")).alias("junc_id")).where("junc_id like 'JUNC%'").distinct()
+        broken(anchor.join(junctions.select(*on, "junc_id").distinct(), [*on, "junc_id"], "left_anti"), "unknown junction", "junc_id", "null")
     if "counts" in more:
-        lost = more["counts"].select("owner", "cycle_id").distinct().join(cycles.select("cycle_id").distinct(), "cycle_id", "left_anti")
-        found.append(lost.selectExpr("'unknown cycle' as rule", "cast(cycle_id as string) as key", "cast(owner as string) as detail"))
+        lost = more["counts"].select(*on, "owner", "cycle_id").distinct().join(cycles.select(*on, "cycle_id").distinct(), [*on, "cycle_id"], "left_anti")
+        broken(lost, "unknown cycle", "cycle_id", "owner")
     if "baselines" in more:
-        cut = point_join(more["breakpoints"].select("refseg", "pos"), more["baselines"].select("refseg", "st", "ed"), ["refseg"]).where("pos > st and pos < ed")
-        cut = cut.groupBy("refseg", "st", "ed").agg(F.min("pos").alias("pos"))
-        found.append(cut.selectExpr("'baseline with breakpoint' as rule", "concat(refseg, ':', st, '-', ed) as key", "cast(pos as string) as detail"))
+        place = [*on, "refseg"]
+        cut = point_join(more["breakpoints"].select(*place, "pos"), more["baselines"].select(*place, "st", "ed"), place).where("pos > st and pos < ed")
+        broken(cut.groupBy(*place, "st", "ed").agg(F.min("pos").alias("pos")), "baseline with breakpoint", "concat(refseg, ':', st, '-', ed)", "pos")
     if "ratios" in more:
-        found.append(more["ratios"].where("not ratio between 0 and 1").selectExpr("'ratio out of range' as rule", "cast(len as string) as key", "cast(ratio as string) as detail"))
+        broken(more["ratios"].where("not ratio between 0 and 1"), "ratio out of range", "len", "ratio")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -218,12 +218,16 @@ def baselines(spark, d):
 @query(
     f"""with {ADJUST}, {ENDS}, {BASELINE},
 good as (select * from base b where not exists (select 1 from inside i where i.sample = b.sample and i.refseg = b.refseg and pos > st and pos < ed)),
-m as (select g.sample, g.refseg, g.st, g.ed, g.cn, avg(adj) as dep from good g join adjusted a on a.sample = g.sample and a.refseg = g.refseg and a.tissue = coalesce(g.tissue, 'ctrl') and a.st <= g.ed and g.st <= a.ed group by all)
+own as (select * from adjusted where tissue = 'case' or substr(sample, 2)::int % 5 <> 0),
+told as (select g.* exclude (tissue), coalesce(g.tissue, case when g.sample in (select sample from own where tissue = 'ctrl') then 'ctrl' else 'case' end) as tissue from good g),
+m as (select g.sample, g.refseg, g.st, g.ed, g.cn, avg(adj) as dep from told g left join own a on a.sample = g.sample and a.refseg = g.refseg and a.tissue = g.tissue and a.st <= g.ed and g.st <= a.ed group by all)
 select sample, refseg, round(dep, 6) as depth, round(case when dep > 1 then (case when cn > 0.5 then cn else 2 end) / dep end, 8) as ratio from m""",
     "v_depth v_resol v_facts v_junc v_region",
 )
 def c14_baseline_ratio(spark, d):
-    out = depth.baseline_cn_ratio(adjusted(spark, d), baselines(spark, d), inside(spark, d), 1.0)
+    """Every fifth sample has no control."""
+    own = adjusted(spark, d).where("tissue = 'case' or cast(substring(sample, 2) as int) % 5 <> 0")
+    out = depth.baseline_cn_ratio(own, baselines(spark, d), inside(spark, d), 1.0)
     return out.select("sample", "refseg", F.round("depth", 6).alias("depth"), F.round("ratio", 8).alias("ratio"))
 
 
@@ -332,44 +336,44 @@ def d13_clip(spark, d):
     return intervals.clip(V.v_reads(spark, d), F.lit(100).cast("long"), F.lit(180).cast("long")).select("refseg", "st", "ed", "molecule")
 
 
-VIOL = """gs as (select case when l_partkey % 97 = 0 then 'X' else 'H' end || l_orderkey || l_linenumber || l_suppkey as seg, 'S' || (l_suppkey % 5) || '_' || (l_orderkey // 100) as refseg, l_partkey as st, l_partkey + 3 as ed,
-  case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id, l_orderkey, l_linenumber, l_suppkey from lineitem),
-gj as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_linenumber || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_linenumber || l_suppkey as seg3 from lineitem),
-gc as (select user_id % 40 as cycle_id, 'H' || event_id as seg from events),
-gp as (select 'JUNC' || l_orderkey || '_' || l_linenumber || '_' || (l_suppkey + l_partkey % 2) as a, 'n' || l_quantity::bigint as b from lineitem),
-gn as (select distinct c_custkey as owner, c_custkey % 60 as cycle_id from customer),
-gb as (select 'S' || (p_partkey % 5) as refseg, p_partkey as st, p_partkey + 9 as ed from part),
-gk as (select 'S' || (l_suppkey % 5) as refseg, l_partkey * 3 as pos from lineitem),
-gr as (select l_quantity::bigint as len, (l_linenumber - 2) / 4.0::double as ratio from lineitem)"""
+VIOL = """gs as (select 's' || (l_linenumber % 3) as sample, case when l_partkey % 97 = 0 then 'X' else 'H' end || l_orderkey || l_suppkey as seg, 'S' || (l_suppkey % 5) || '_' || (l_orderkey // 100) as refseg, l_partkey as st, l_partkey + 3 as ed,
+  case when l_linenumber = 7 then null else l_orderkey // 100 end as group_id from lineitem),
+gj as (select 's' || (l_linenumber % 3) as sample, 'JUNC' || l_orderkey || '_' || l_suppkey as junc_id, 'H' || l_orderkey || l_suppkey as seg5, 'H' || (l_orderkey + 32) || l_suppkey as seg3 from lineitem),
+gc as (select 's' || (event_id % 3) as sample, user_id % 40 as cycle_id, 'H' || event_id as seg from events),
+gp as (select 's' || (l_linenumber % 3) as sample, 'JUNC' || l_orderkey || '_' || (l_suppkey + l_partkey % 2) as a, 'n' || l_quantity::bigint as b from lineitem),
+gn as (select distinct 's' || (c_custkey % 4) as sample, c_custkey as owner, c_custkey % 60 as cycle_id from customer),
+gb as (select 's' || (p_partkey % 3) as sample, 'S' || (p_partkey % 5) as refseg, p_partkey as st, p_partkey + 9 as ed from part),
+gk as (select 's' || (l_linenumber % 3) as sample, 'S' || (l_suppkey % 5) as refseg, l_partkey * 3 as pos from lineitem),
+gr as (select 's' || (l_linenumber % 3) as sample, l_quantity::bigint as len, (l_linenumber - 2) / 4.0::double as ratio from lineitem)"""
 
 
 @query(
-    f"""with {VIOL}, sides as (select junc_id, unnest([seg5, seg3]) as seg from gj)
-select 'overlap' as rule, a.seg as key, b.seg as detail from gs a join gs b on a.refseg = b.refseg and a.st <= b.ed and b.st <= a.ed and a.seg < b.seg
-union all select 'segment id', seg, refseg from gs where not regexp_matches(seg, '^[HV][0-9]+$')
-union all select 'segment twice', seg, count(*)::varchar from gs group by seg having count(*) > 1
-union all select 'cycle twice', cycle_id::varchar, count(*)::varchar from gc group by cycle_id having count(*) > 1
-union all select distinct 'unknown segment', cycle_id::varchar, seg from gc where seg not in (select seg from gs)
-union all select 'junction without segment', junc_id, seg from sides where seg not in (select seg from gs)
-union all select 'no group', seg, refseg from gs where seg like 'H%' and group_id is null
-union all select 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (seg) where group_id is not null group by junc_id having min(group_id) <> max(group_id)
-union all select 'pair twice', k, count(*)::varchar from (select least(a, b) || ';' || greatest(a, b) as k from gp) group by k having count(*) > 1
-union all select distinct 'unknown junction', a, null from gp where a not in (select junc_id from gj)
-union all select 'unknown cycle', cycle_id::varchar, owner::varchar from gn where cycle_id not in (select cycle_id from gc)
-union all select 'baseline with breakpoint', gb.refseg || ':' || st || '-' || ed, min(pos)::varchar from gb join gk on gk.refseg = gb.refseg and pos > st and pos < ed group by gb.refseg, st, ed
-union all select 'ratio out of range', len::varchar, ratio::varchar from gr where ratio < 0 or ratio > 1"""
+    f"""with {VIOL}, sides as (select sample, junc_id, unnest([seg5, seg3]) as seg from gj)
+select a.sample, 'overlap' as rule, a.seg as key, b.seg as detail from gs a join gs b on a.sample = b.sample and a.refseg = b.refseg and a.st <= b.ed and b.st <= a.ed and a.seg < b.seg
+union all select sample, 'segment id', seg, refseg from gs where not regexp_matches(seg, '^[HV][0-9]+$')
+union all select sample, 'segment twice', seg, count(*)::varchar from gs group by sample, seg having count(*) > 1
+union all select sample, 'cycle twice', cycle_id::varchar, count(*)::varchar from gc group by sample, cycle_id having count(*) > 1
+union all select distinct sample, 'unknown segment', cycle_id::varchar, seg from gc where (sample, seg) not in (select sample, seg from gs)
+union all select sample, 'junction without segment', junc_id, seg from sides where (sample, seg) not in (select sample, seg from gs)
+union all select sample, 'no group', seg, refseg from gs where seg like 'H%' and group_id is null
+union all select sample, 'group mismatch', junc_id, min(group_id) || ',' || max(group_id) from sides join gs using (sample, seg) where group_id is not null group by sample, junc_id having min(group_id) <> max(group_id)
+union all select sample, 'pair twice', k, count(*)::varchar from (select sample, least(a, b) || ';' || greatest(a, b) as k from gp) group by sample, k having count(*) > 1
+union all select distinct sample, 'unknown junction', a, null from gp where (sample, a) not in (select sample, junc_id from gj)
+union all select sample, 'unknown cycle', cycle_id::varchar, owner::varchar from gn where (sample, cycle_id) not in (select sample, cycle_id from gc)
+union all select gb.sample, 'baseline with breakpoint', gb.refseg || ':' || st || '-' || ed, min(pos)::varchar from gb join gk on gk.sample = gb.sample and gk.refseg = gb.refseg and pos > st and pos < ed group by gb.sample, gb.refseg, st, ed
+union all select sample, 'ratio out of range', len::varchar, ratio::varchar from gr where ratio < 0 or ratio > 1"""
 )
 def d14_violations(spark, d):
-    line = V.table(spark, d, "lineitem")
-    s = line.selectExpr("concat(if(l_partkey % 97 = 0, 'X', 'H'), l_orderkey, l_linenumber, l_suppkey) as seg", "concat('S', l_suppkey % 5, '_', l_orderkey div 100) as refseg", "l_partkey as st", "l_partkey + 3 as ed", "if(l_linenumber = 7, null, l_orderkey div 100) as group_id")
-    j = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey) as junc_id", "concat('H', l_orderkey, l_linenumber, l_suppkey) as seg5", "concat('H', l_orderkey + 32, l_linenumber, l_suppkey) as seg3")
-    c = V.table(spark, d, "events").selectExpr("user_id % 40 as cycle_id", "concat('H', event_id) as seg")
-    pairs = line.selectExpr("concat('JUNC', l_orderkey, '_', l_linenumber, '_', l_suppkey + l_partkey % 2) as anchor_a", "concat('n', cast(l_quantity as bigint)) as anchor_b")
-    counts = V.table(spark, d, "customer").selectExpr("c_custkey as owner", "c_custkey % 60 as cycle_id")
-    baselines = V.table(spark, d, "part").selectExpr("concat('S', p_partkey % 5) as refseg", "p_partkey as st", "p_partkey + 9 as ed")
-    breakpoints = line.selectExpr("concat('S', l_suppkey % 5) as refseg", "l_partkey * 3 as pos")
-    ratios = line.selectExpr("cast(l_quantity as bigint) as len", "cast((l_linenumber - 2) / 4 as double) as ratio")
-    return segments.violations(s, j, c.select("cycle_id"), c, pairs=pairs, counts=counts, baselines=baselines, breakpoints=breakpoints, ratios=ratios)
+    line = V.table(spark, d, "lineitem").withColumn("sample", F.expr("concat('s', l_linenumber % 3)"))
+    s = line.selectExpr("sample", "concat(if(l_partkey % 97 = 0, 'X', 'H'), l_orderkey, l_suppkey) as seg", "concat('S', l_suppkey % 5, '_', l_orderkey div 100) as refseg", "l_partkey as st", "l_partkey + 3 as ed", "if(l_linenumber = 7, null, l_orderkey div 100) as group_id")
+    j = line.selectExpr("sample", "concat('JUNC', l_orderkey, '_', l_suppkey) as junc_id", "concat('H', l_orderkey, l_suppkey) as seg5", "concat('H', l_orderkey + 32, l_suppkey) as seg3")
+    c = V.table(spark, d, "events").selectExpr("concat('s', event_id % 3) as sample", "user_id % 40 as cycle_id", "concat('H', event_id) as seg")
+    pairs = line.selectExpr("sample", "concat('JUNC', l_orderkey, '_', l_suppkey + l_partkey % 2) as anchor_a", "concat('n', cast(l_quantity as bigint)) as anchor_b")
+    counts = V.table(spark, d, "customer").selectExpr("concat('s', c_custkey % 4) as sample", "c_custkey as owner", "c_custkey % 60 as cycle_id")
+    baselines = V.table(spark, d, "part").selectExpr("concat('s', p_partkey % 3) as sample", "concat('S', p_partkey % 5) as refseg", "p_partkey as st", "p_partkey + 9 as ed")
+    breakpoints = line.selectExpr("sample", "concat('S', l_suppkey % 5) as refseg", "l_partkey * 3 as pos")
+    ratios = line.selectExpr("sample", "cast(l_quantity as bigint) as len", "cast((l_linenumber - 2) / 4 as double) as ratio")
+    return segments.violations(s, j, c.select("sample", "cycle_id"), c, pairs=pairs, counts=counts, baselines=baselines, breakpoints=breakpoints, ratios=ratios)
 
 
 @query(f"with {SEGS} select sample, refseg, seg_no::bigint as seg_no, lead(seg_no) over w::bigint as next_no, (lead(st) over w = ed + 1) as touches from segs window w as (partition by sample, refseg order by st)".replace("lead(seg_no) over w::bigint", "(lead(seg_no) over w)::bigint"), "v_junc v_region")
@@ -713,6 +717,26 @@ def f19_solution_accounting(spark, d):
     return cycles.solution_accounting(V.v_cycles(spark, d), V.v_seg(spark, d).selectExpr("sample", "seg", "cast(ed - st as double) / 20 as cn"), ["sample", "allele"]).drop("sample")
 
 
+LINKS = "lk as (select 's' || (l_orderkey % 7) as sample, (['H1', 'H2', 'H3', 'H4', 'V1'])[1 + l_suppkey % 5] || case when l_returnflag = 'R' then '-' else '+' end as a, (['H1', 'H2', 'H3', 'H4', 'V1'])[1 + l_partkey % 5] || case when l_linestatus = 'O' then '+' else '-' end as b, l_quantity / 100 as cn from lineitem)"
+TURN = "(substr({x}, 1, len({x}) - 1) || translate(right({x}, 1), '+-', '-+'))"
+
+
+@query(
+    f"""with {LINKS}, known as (select sample, least(a || ',' || b, {TURN.format(x="b")} || ',' || {TURN.format(x="a")}) as pair, min(a || ',' || b) as link, round(sum(cn), 6) as cn from lk group by all),
+ring as (select sample, allele, cnt, unnest(tokens) as a, unnest(list_concat(tokens[2:], tokens[1:1])) as b from v_cycles),
+used as (select sample, allele, least(a || ',' || b, {TURN.format(x="b")} || ',' || {TURN.format(x="a")}) as pair, sum(cnt)::bigint as expected from ring group by all),
+wanted as (select c.allele, k.* from (select distinct sample, allele from v_cycles) c join known k using (sample))
+select w.sample, w.allele, link, coalesce(expected, 0)::bigint as expected, cn, round((coalesce(expected, 0) - cn) / cn, 6) as residual from wanted w left join used u on u.sample = w.sample and u.allele = w.allele and u.pair = w.pair""",
+    "v_cycles",
+)
+def f19_junction_accounting(spark, d):
+    name = "element_at(array('H1', 'H2', 'H3', 'H4', 'V1'), cast(1 + {x} % 5 as int))"
+    link = f"concat({name.format(x='l_suppkey')}, if(l_returnflag = 'R', '-', '+'), ',', {name.format(x='l_partkey')}, if(l_linestatus = 'O', '+', '-')) as link"
+    j = V.table(spark, d, "lineitem").selectExpr("concat('s', l_orderkey % 7) as sample", link, "l_quantity / 100 as cn")
+    out = cycles.junction_accounting(V.v_cycles(spark, d), j, ["sample", "allele"]).withColumn("cn", F.round("cn", 6))
+    return out.select("sample", "allele", "link", "expected", "cn", F.round(F.expr("(expected - cn) / cn"), 6).alias("residual"))
+
+
 @query("select allele, string_agg(cycle_id || ':' || cnt, ',' order by cycle_id || ':' || cnt) as usage from v_cycles group by allele", "v_cycles")
 def f20_usage_strings(spark, d):
     return cycles.usage_strings(V.v_cycles(spark, d), ["allele"])
@@ -729,7 +753,7 @@ def f21_visible_segments(spark, d):
 
 # --- anchors and links -----------------------------------------------------------------------------------
 
-GSEG = f"""{SEGS}, gseg as (select sample, 1 as group_id, refseg, 'H' || seg_no as seg, seg_no, st, ed, case when seg_no = 1 then 'source' when ed = max(ed) over (partition by sample, refseg) then 'sink' end as role from segs)"""
+GSEG = f"""{SEGS}, gseg as materialized (select sample, 1 as group_id, refseg, 'H' || seg_no as seg, seg_no, st, ed, case when seg_no = 1 then 'source' when ed = max(ed) over (partition by sample, refseg) then 'sink' end as role from segs)"""
 
 
 def grouped(spark, d):
@@ -758,39 +782,46 @@ def g2_terminal_anchors(spark, d):
     return links.terminal_anchors(s, links.inner_anchors(s, 2), 20).select("sample", "refseg", "seg", "role", "pos")
 
 
-ANCHORS = "anc as (select 'a' || p_partkey as anchor, 'S' || (p_partkey % 5) as refseg, p_partkey as pos from part)"
+ANCHORS = "anc as (select 's' || ((p_partkey * 7 + i) % 500) as sample, 'a' || p_partkey as anchor, 'S' || (p_partkey % 5) as refseg, p_partkey as pos from part, range(5) t(i))"
 
 
-@query(f"with {ANCHORS} select distinct anchor, molecule as marker from anc join v_reads r on r.refseg = anc.refseg and pos between st and ed", "v_reads")
+@query(
+    f"""with {ANCHORS} select distinct anc.sample, anchor, molecule::varchar as marker from anc join v_reads r on r.sample = anc.sample and r.refseg = anc.refseg and pos between st and ed
+union select 's' || (l_orderkey % {V.SAMPLES}), 'JUNC' || l_linenumber, l_orderkey::varchar from lineitem""",
+    "v_reads",
+)
 def g4_anchor_markers(spark, d):
-    a = V.table(spark, d, "part").selectExpr("concat('a', p_partkey) as anchor", "concat('S', p_partkey % 5) as refseg", "p_partkey as pos")
-    return links.anchor_markers(a, V.v_reads(spark, d))
+    """The same names of anchors in several samples, and the lists of junctions beside them."""
+    a = V.table(spark, d, "part").selectExpr("explode(sequence(0, 4)) as i", "p_partkey").selectExpr("concat('s', (p_partkey * 7 + i) % 500) as sample", "concat('a', p_partkey) as anchor", "concat('S', p_partkey % 5) as refseg", "p_partkey as pos")
+    j = V.table(spark, d, "lineitem").selectExpr(f"concat('s', l_orderkey % {V.SAMPLES}) as sample", "concat('JUNC', l_linenumber) as anchor", "l_orderkey as marker")
+    return links.anchor_markers(a, V.v_reads(spark, d), j)
 
 
-SHARED = """shared as (select a.anchor as anchor_a, b.anchor as anchor_b, count(*)::bigint as links from v_markers a join v_markers b on a.marker = b.marker and a.anchor < b.anchor group by all)"""
-ASKED = "asked as (select distinct least(a.p_brand, b.p_brand) as anchor_a, greatest(a.p_brand, b.p_brand) as anchor_b from part a join part b on b.p_partkey = a.p_partkey + 1 where a.p_brand <> b.p_brand)"
+SHARED = """shared as (select a.sample, a.anchor as anchor_a, b.anchor as anchor_b, count(*)::bigint as links from v_markers a join v_markers b on a.sample = b.sample and a.marker = b.marker and a.anchor < b.anchor group by all)"""
+ASKED = "asked as (select distinct sample, least(a.p_brand, b.p_brand) as anchor_a, greatest(a.p_brand, b.p_brand) as anchor_b from part a join part b on b.p_partkey = a.p_partkey + 1, (values ('s0'), ('s1'), ('s2'), ('none')) t(sample) where a.p_brand <> b.p_brand)"
 
 
 @query(
-    f"""with {SHARED}, {ASKED} select a.anchor_a, a.anchor_b, coalesce(links, 0)::bigint as links from asked a left join shared s on s.anchor_a = a.anchor_a and s.anchor_b = a.anchor_b where right(a.anchor_a, 1) <> right(a.anchor_b, 1)""",
+    f"""with {SHARED}, {ASKED} select a.sample, a.anchor_a, a.anchor_b, coalesce(links, 0)::bigint as links from asked a left join shared s on s.sample = a.sample and s.anchor_a = a.anchor_a and s.anchor_b = a.anchor_b
+where right(a.anchor_a, 1) <> right(a.anchor_b, 1) or a.sample = 'none'""",
     "v_markers",
 )
 def g5_shared_marker_links(spark, d):
     m = V.v_markers(spark, d)
     part = V.table(spark, d, "part").select("p_partkey", "p_brand")
     near = part.alias("a").join(part.selectExpr("p_partkey - 1 as p_partkey", "p_brand as other"), "p_partkey").where("p_brand <> other")
-    asked = near.selectExpr("least(p_brand, other) as anchor_a", "greatest(p_brand, other) as anchor_b").distinct()
-    return links.shared_marker_links(m, m.select("anchor").distinct().withColumn("seg", F.right("anchor", F.lit(1))), asked)
+    asked = near.selectExpr("explode(array('s0', 's1', 's2', 'none')) as sample", "least(p_brand, other) as anchor_a", "greatest(p_brand, other) as anchor_b").distinct()
+    return links.shared_marker_links(m, m.select("sample", "anchor").distinct().withColumn("seg", F.right("anchor", F.lit(1))), asked)
 
 
 @query(
-    f"""with {SHARED}, b as (select * from shared union all select anchor_b, anchor_a, links from shared)
-select anchor_a as anchor, max(links) filter (where anchor_b = 'Brand#11') as b11, max(links) filter (where anchor_b = 'Brand#23') as b23, max(links) filter (where anchor_b = 'Brand#55') as b55 from b group by anchor_a""",
+    f"""with {SHARED}, b as (select * from shared union all select sample, anchor_b, anchor_a, links from shared)
+select sample, anchor_a as anchor, max(links) filter (where anchor_b = 'Brand#11') as b11, max(links) filter (where anchor_b = 'Brand#23') as b23, max(links) filter (where anchor_b = 'Brand#55') as b55 from b group by sample, anchor_a""",
     "v_markers",
 )
 def g6_pair_matrix(spark, d):
     m = links.pair_matrix(links.shared_marker_links(V.v_markers(spark, d)), ["Brand#11", "Brand#23", "Brand#55"])
-    return m.select("anchor", F.col("`Brand#11`").alias("b11"), F.col("`Brand#23`").alias("b23"), F.col("`Brand#55`").alias("b55"))
+    return m.select("sample", "anchor", F.col("`Brand#11`").alias("b11"), F.col("`Brand#23`").alias("b23"), F.col("`Brand#55`").alias("b55"))
 
 
 PAIRG = """pr as (select o_orderkey as id, 'n' || (o_orderkey % 37) as anchor_a, 'n' || (o_custkey % 41) as anchor_b from orders),
@@ -915,11 +946,12 @@ def spans(spark, d):
 
 
 @query(
-    f"""with {ECDF}, {SPANS}, q as (select distinct key, lo as q from spans where key < 7)
-select q.key, q.q, arg_min(c.len, (abs(c.len - q.q), c.len)) as len, arg_min(c.cnt, (abs(c.len - q.q), c.len)) as cnt from q join cdf c on c.key = q.key group by all"""
+    f"""with {ECDF}, {SPANS}, q as (select distinct key, lo as q from spans)
+select q.key, q.q, arg_min(c.len, (abs(c.len - q.q), c.len)) as len, arg_min(c.cnt, (abs(c.len - q.q), c.len)) as cnt from q left join cdf c on c.key = q.key group by all"""
 )
 def g15_nearest_key(spark, d):
-    return distributions.nearest_length(spans(spark, d).where("key < 7").select("key", F.col("lo").alias("q")).distinct(), lengths(spark, d), ["key"], "cnt")
+    """Key 7 has no distribution and gets nulls."""
+    return distributions.nearest_length(spans(spark, d).select("key", F.col("lo").alias("q")).distinct(), lengths(spark, d), ["key"], "cnt")
 
 
 @query(
@@ -1007,7 +1039,7 @@ def g21_rank_combinations(spark, d):
 
 @query(
     f"""with {WEIGHTS}, ob as (select *, ((solution * 17 + substr(pair_id, 2)::int * 29) % 60)::double as observed from ex),
-sc as (select sample, group_id, solution, combo, case when stddev_pop(expected) * stddev_pop(observed) > 1e-12 then round(covar_pop(expected, observed) / (stddev_pop(expected) * stddev_pop(observed)), 9) end as corr from ob group by all)
+sc as (select sample, group_id, solution, combo, case when min(expected) < max(expected) and min(observed) < max(observed) then round(covar_pop(expected, observed) / (stddev_pop(expected) * stddev_pop(observed)), 9) end as corr from ob group by all)
 select sample, group_id, solution, combo, corr, row_number() over (partition by sample, group_id, solution order by corr desc nulls last, combo)::bigint as place from sc"""
 )
 def solution_ranking(spark, d):
@@ -1156,16 +1188,24 @@ _SQL["a10_read_track"] = duck("v_track", "select distinct refseg, gene, tid, st,
 
 
 @query(
-    """with s as (select 's' || s_nationkey as sample, s_suppkey as seg_no, 'H' || s_suppkey as seg, s_acctbal as depth from supplier)
-select sample, 1 as section, seg_no as ord, 'SEG' || chr(9) || 'ID=' || seg || ';INTERVAL=S0:' || seg_no || '-' || (seg_no + 9) || ';DEPTH=' || coalesce((seg_no % 5)::varchar, 'N/A') || ';CN=' || case when seg_no % 3 = 0 then 'N/A' else (seg_no % 4)::varchar end as line from s
-union all select distinct sample, 0, u.i, u.t from s, lateral (select unnest(['SAMPLE' || chr(9) || sample, 'PLOIDY' || chr(9) || '2m0', 'SOURCE' || chr(9) || 'H1', 'SINK' || chr(9) || '_please_fix_me_', 'FVGM' || chr(9) || '_please_fix_me_']) as t, unnest(range(5)) as i) u
-union all select sample, 2, seg_no, 'JUNC' || chr(9) || 'ID=JUNC' || seg_no || ';SEGLINK=H1+,' || seg || '-;READS=' || (seg_no * 2) || ';PURE=' || seg_no || ';CN=N/A' from s"""
+    """with s as (select 's' || s_nationkey as sample, s_suppkey as no, (s_suppkey % 5 + 0.125)::double as depth, case when s_suppkey % 3 = 0 then null else (s_suppkey % 4)::double + 0.5 end as cn from supplier),
+head as (select sample, unnest(['##VERSION=v1.1', '##_please_find_HEADER_in_online_demo_', 'SAMPLE' || chr(9) || sample, 'PLOIDY' || chr(9) || '2m0', 'SOURCE' || chr(9) || 'H1', 'SINK' || chr(9) || '_please_fix_me_', 'FVGM' || chr(9) || 'ID=FVGM1;SEGSTR=_please_fix_me_']) as line, unnest(range(7)) as ord from (select distinct sample from s))
+select sample, 0 as section, ord, line from head
+union all select sample, 1, no, 'SEG' || chr(9) || 'ID=H' || no || ';CN_ORIG=' || coalesce(printf('%.2f', cn), 'N/A') || ';W=1;INTERVAL=S0:' || no || '-' || (no + 9) || ';PTDP=' || printf('%.2f', depth + 0.005) from s
+union all select sample, 2, no, 'SEG' || chr(9) || 'ID=V' || no || ';CN_ORIG=' || coalesce(printf('%.2f', cn), 'N/A') || ';W=1;INTERVAL=VIR:' || no || '-' || (no + 9) || ';RAWDP=' || depth from s
+union all select sample, 3, no, 'JUNC' || chr(9) || 'ID=JUNC' || no || ';SEGLINK=H1+,H' || no || '-;CN_ORIG=' || coalesce(printf('%.2f', cn), 'N/A') || ';W=1;REFSEG_5P=S0;BKPOS_5P=' || no || ';STRD_5P=+;REFSEG_3P=VIR;BKPOS_3P=' || (no + 9)
+  || ';STRD_3P=-;NCPR=' || (no % 2) || ';RAWJRC=' || (no * 2) || ';PTJRC=' || no from s"""
 )
 def b1_cn_table_lines(spark, d):
-    s = V.table(spark, d, "supplier").selectExpr("concat('s', s_nationkey) as sample", "s_suppkey as seg_no", "concat('H', s_suppkey) as seg", "'S0' as refseg", "s_suppkey as st", "s_suppkey + 9 as ed", "s_suppkey % 5 as depth", "if(s_suppkey % 3 = 0, null, s_suppkey % 4) as cn")
-    j = s.selectExpr("sample", "seg_no as junc_no", "concat('H1+,', seg, '-') as link", "seg_no * 2 as jr_count", "seg_no as pure", "cast(null as double) as cn")
-    facts = s.select("sample").distinct().selectExpr("sample", "'2m0' as ploidy", "'H1' as source", "cast(null as string) as sink", "cast(null as string) as chain")
-    return writers.cn_lines(s, j, facts)
+    rows = V.table(spark, d, "supplier").selectExpr("concat('s', s_nationkey) as sample", "s_suppkey as seg_no", "s_suppkey as st", "s_suppkey + 9 as ed", "s_suppkey % 5 + 0.125D as depth", "if(s_suppkey % 3 = 0, null, s_suppkey % 4 + 0.5D) as cn")
+    host = rows.selectExpr("*", "concat('H', seg_no) as seg", "'S0' as refseg").withColumn("depth", F.expr("depth + 0.005D"))
+    virus = rows.selectExpr("*", "concat('V', seg_no) as seg", "'VIR' as refseg")
+    j = rows.selectExpr(
+        "sample", "seg_no as junc_no", "concat('H1+,H', seg_no, '-') as link", "'S0' as refseg_5p", "st as bkpos_5p", "'+' as strd_5p", "'VIR' as refseg_3p", "ed as bkpos_3p", "'-' as strd_3p",
+        "cast(seg_no % 2 as double) as ncpr", "seg_no * 2 as jr_count", "seg_no as pure", "cn",
+    )
+    facts = rows.select("sample").distinct().selectExpr("sample", "'2m0' as ploidy", "'H1' as source", "cast(null as string) as sink", "cast(null as string) as chain")
+    return writers.cn_lines(host, virus, j, facts)
 
 
 @query(
@@ -1190,25 +1230,32 @@ def b2_walk_file(spark, d):
 
 
 @query(
-    """with c as (select o_custkey as solution, o_orderkey as combo, row_number() over (partition by o_custkey order by o_orderkey) as place from orders)
-select solution, combo, place::bigint as place, 0::bigint as ord, '#COMBO' || chr(9) || combo || chr(9) || case when combo % 2 = 0 then 'N/A' else (combo % 9)::varchar end as line from c
-union all select solution, combo, place, 1, 'a' || chr(9) || 'b' || chr(9) || (combo % 5) || chr(9) || (combo % 7) from c"""
+    f"""with {WEIGHTS}, nm as (select sample, group_id, solution, combo, string_agg('AL' || allele || '.LM' || map_no, ',' order by allele) as name from pick group by all),
+rk as (select *, row_number() over (partition by sample, group_id, solution order by combo)::bigint as place from nm),
+body as (select r.*, e.pair_id, e.expected, row_number() over (partition by r.sample, r.group_id, r.solution, r.combo order by e.pair_id) + 1 as ord from rk r join ex e using (sample, group_id, solution, combo))
+select sample, group_id, solution, place, 0::bigint as ord, '#Group:' || group_id || chr(9) || 'Solution:' || solution || chr(9) || name || chr(9) || 'SpearmanCorr=' || case when combo % 2 = 0 then 'N/A' else (combo % 9)::varchar end as line from rk
+union all select sample, group_id, solution, place, 1, '#anchor_a' || chr(9) || 'anchor_b' || chr(9) || 'userLC' || chr(9) || 'simuLC' from rk
+union all select sample, group_id, solution, place, ord, 'a' || pair_id || chr(9) || 'b' || pair_id || chr(9) || (combo % 5) || chr(9) || round(expected * 4)::bigint from body"""
 )
 def b3_rank_lines(spark, d):
-    c = V.table(spark, d, "orders").selectExpr("o_custkey as solution", "o_orderkey as combo", "cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint) as place", "if(o_orderkey % 2 = 0, null, o_orderkey % 9) as corr")
-    rows = c.selectExpr("solution", "combo", "'a' as anchor_a", "'b' as anchor_b", "combo % 5 as observed", "combo % 7 as expected")
-    return writers.rank_lines(c, rows, ["solution"])
+    keys = ["sample", "group_id", "solution"]
+    names = ranking.combination_names(ranking.walk_combinations(solution_walks(spark, d)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("combo")).cast("long")
+    ranked = names.select(*keys, F.col("combo").alias("number"), F.col("name").alias("combo"), F.expr("if(combo % 2 = 0, null, cast(combo % 9 as double))").alias("corr"), place.alias("place"))
+    e = expected(spark, d).withColumnRenamed("combo", "number").join(ranked.select(*keys, "number", "combo"), [*keys, "number"])
+    rows = e.select(*keys, "combo", "pair_id", F.concat(F.lit("a"), "pair_id").alias("anchor_a"), F.concat(F.lit("b"), "pair_id").alias("anchor_b"), (F.col("number") % 5).alias("observed"), F.round(F.col("expected") * 4, 0).alias("expected"))
+    return writers.rank_lines(ranked.drop("number"), rows, "Spearman")
 
 
 @query(_SQL["g6_pair_matrix"])
 def b5_pair_matrix(spark, d):
     path = scratch(spark, "matrix")
     writers.write_pair_matrix(g6_pair_matrix(spark, d), path)
-    return spark.read.csv(path, sep="\t", header=True, nullValue="-", schema="anchor string, b11 long, b23 long, b55 long")
+    return spark.read.csv(path, sep="\t", header=True, nullValue="-", schema="sample string, anchor string, b11 long, b23 long, b55 long")
 
 
-@query("select anchor, marker from v_markers", "v_markers")
+@query("select sample, anchor, marker from v_markers", "v_markers")
 def b6_anchor_markers(spark, d):
     path = scratch(spark, "anchor-markers")
     writers.write_anchor_markers(V.v_markers(spark, d), path)
-    return spark.read.csv(path, sep="\t", schema="anchor string, marker long")
+    return spark.read.csv(path, sep="\t", schema="sample string, anchor string, marker long")

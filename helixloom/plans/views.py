@@ -54,8 +54,8 @@ def v_junc(spark, d):
 
 def v_markers(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_brand")
-    line = table(spark, d, "lineitem").select("l_partkey", "l_orderkey")
-    return line.join(part, line["l_partkey"] == part["p_partkey"]).selectExpr("p_brand as anchor", "l_orderkey as marker").distinct()
+    line = table(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_suppkey")
+    return line.join(part, line["l_partkey"] == part["p_partkey"]).selectExpr("concat('s', l_suppkey % 3) as sample", "p_brand as anchor", "l_orderkey as marker").distinct()
 
 
 def v_pairs(spark, d):
@@ -112,7 +112,7 @@ DUCK = {
   'S' || ((l_suppkey + l_linenumber) % 5) as refseg_3p, (l_partkey * 7 + l_linenumber * 131) % 2000 + 1 as bkpos_3p,
   if(l_linestatus = 'O', '+', '-') as strd_3p, l_quantity::bigint as jr_count, (l_discount >= 0.05)::int as ncpr
   from lineitem""",
-    "v_markers": "select distinct p_brand as anchor, l_orderkey as marker from lineitem join part on l_partkey = p_partkey",
+    "v_markers": "select distinct 's' || (l_suppkey % 3) as sample, p_brand as anchor, l_orderkey as marker from lineitem join part on l_partkey = p_partkey",
     "v_pairs": "select c_nationkey as key, o_totalprice as a, c_acctbal as b from orders join customer on o_custkey = c_custkey",
     "v_track": "select refseg, molecule % 100 as gene, lpad(baseq::varchar, 3, '0') as tid, st, ed from v_reads",
     "v_seg": "select 's' || k as sample, seg, refseg, st, ed + k * 10 as ed from (select distinct user_id % 7 as k from events), (values "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions.tokens import composition_signature, walk_signature
@@ -14,23 +14,41 @@ def field(name: str, column, missing: str = "N/A"):
     return F.concat(F.lit(name + "="), F.coalesce(column.cast("string"), F.lit(missing)))
 
 
-def cn_lines(segments: DataFrame, junctions: DataFrame, facts: DataFrame) -> DataFrame:
-    """sample, section, ord, line: SAMPLE, PLOIDY, SOURCE, SINK, FVGM, SEG and JUNC lines of the copy-number table.
+def plain(column):
+    """A number as it would be typed: 0, 12, 0.5."""
+    return F.regexp_replace(column.cast("string"), r"\.0$", "")
 
-    segments(sample, seg, seg_no, refseg, st, ed, depth, cn), junctions(sample, junc_no, link, jr_count, pure, cn), facts(sample, ploidy, source, sink, chain): a missing
-    fact asks to be filled in, an undefined copy number is N/A.
+
+def cents(column):
+    """A number with two digits behind the point; none of nothing."""
+    return F.when(column.isNotNull(), F.format_string("%.2f", column.cast("double")))
+
+
+#: Fixed lines at the head of the copy-number table.
+CN_HEAD = ("##VERSION=v1.1", "##_please_find_HEADER_in_online_demo_")
+
+
+def cn_lines(segments: DataFrame, features: DataFrame, junctions: DataFrame, facts: DataFrame) -> DataFrame:
+    """sample, section, ord, line: the copy-number table in the form that cycle solvers read.
+
+    Two fixed lines; SAMPLE, PLOIDY, SOURCE, SINK and FVGM (the free virus genome); host SEG lines with the pure depth (PTDP), virus SEG lines with the raw depth (RAWDP), JUNC lines. segments and
+    features (virus): sample, seg, seg_no, refseg, st, ed, depth, cn; junctions: sample, junc_no, link, refseg_5p .. strd_3p, ncpr, jr_count, pure, cn; facts: sample, ploidy, source, sink, chain. A missing
+    fact asks to be filled in, an undefined copy number is N/A, every weight is 1.
     """
-    fact = lambda n, c: F.concat(F.lit(n + "\t"), F.coalesce(F.col(c).cast("string"), F.lit(FIX_ME)))
-    lines = F.array(fact("SAMPLE", "sample"), fact("PLOIDY", "ploidy"), fact("SOURCE", "source"), fact("SINK", "sink"), fact("FVGM", "chain"))
-    head = facts.select("sample", F.lit(0).alias("section"), F.posexplode(lines).alias("ord", "line"))
-    place = F.concat(F.col("refseg"), F.lit(":"), F.col("st"), F.lit("-"), F.col("ed"))
-    seg = F.concat(F.lit("SEG\t"), F.concat_ws(";", field("ID", F.col("seg")), field("INTERVAL", place), field("DEPTH", F.col("depth")), field("CN", F.col("cn"))))
-    junc = F.concat(F.lit("JUNC\t"), F.concat_ws(";", field("ID", F.concat(F.lit("JUNC"), F.col("junc_no"))), field("SEGLINK", F.col("link")), field("READS", F.col("jr_count")), field("PURE", F.col("pure")), field("CN", F.col("cn"))))
-    return (
-        head.select("sample", "section", F.col("ord").cast("long").alias("ord"), "line")
-        .unionByName(segments.select("sample", F.lit(1).alias("section"), F.col("seg_no").cast("long").alias("ord"), seg.alias("line")))
-        .unionByName(junctions.select("sample", F.lit(2).alias("section"), F.col("junc_no").cast("long").alias("ord"), junc.alias("line")))
-    )
+    line = lambda tag, *fields: F.concat(F.lit(tag + "\t"), F.concat_ws(";", *fields))
+    fact = lambda tag, c: F.concat(F.lit(tag + "\t"), F.coalesce(F.col(c).cast("string"), F.lit(FIX_ME)))
+    chain = F.concat(F.lit("FVGM\tID=FVGM1;SEGSTR="), F.coalesce(F.nullif("chain", F.lit("")), F.lit(FIX_ME)))
+    lines = F.array(*[F.lit(x) for x in CN_HEAD], fact("SAMPLE", "sample"), fact("PLOIDY", "ploidy"), fact("SOURCE", "source"), fact("SINK", "sink"), chain)
+    out = facts.select("sample", F.lit(0).alias("section"), F.posexplode(lines).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
+    weight = F.lit("W=1")
+    place = F.concat("refseg", F.lit(":"), "st", F.lit("-"), "ed")
+    for section, rows, shown in ((1, segments, field("PTDP", cents(F.col("depth")))), (2, features, field("RAWDP", plain(F.col("depth"))))):
+        seg = line("SEG", field("ID", F.col("seg")), field("CN_ORIG", cents(F.col("cn"))), weight, field("INTERVAL", place), shown)
+        out = out.unionByName(rows.select("sample", F.lit(section).alias("section"), F.col("seg_no").cast("long").alias("ord"), seg.alias("line")))
+    ends = [field(f"{n}_{s}".upper(), F.col(f"{n}_{s}")) for s in ("5p", "3p") for n in ("refseg", "bkpos", "strd")]
+    counts = [field("NCPR", plain(F.col("ncpr"))), field("RAWJRC", F.col("jr_count")), field("PTJRC", F.col("pure"))]
+    junc = line("JUNC", field("ID", F.concat(F.lit("JUNC"), F.col("junc_no"))), field("SEGLINK", F.col("link")), field("CN_ORIG", cents(F.col("cn"))), weight, *ends, *counts)
+    return out.unionByName(junctions.select("sample", F.lit(3).alias("section"), F.col("junc_no").cast("long").alias("ord"), junc.alias("line")))
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
@@ -65,16 +83,22 @@ def walk_file(header: DataFrame, solutions: DataFrame, lines: DataFrame, keys: l
     return head.unionByName(own).unionByName(body)
 
 
-def rank_lines(ranked: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, place, ord, line: for each combination a header with its correlation, then its pairs (anchor_a, anchor_b, observed, expected)."""
-    head = ranked.select(*keys, "combo", "place", F.lit(0).cast("long").alias("ord"), F.concat(F.lit("#COMBO\t"), F.col("combo"), F.lit("\t"), F.coalesce(F.col("corr").cast("string"), F.lit("N/A"))).alias("line"))
+def rank_lines(ranked: DataFrame, links: DataFrame, method: str = "Pearson") -> DataFrame:
+    """sample, group_id, solution, place, ord, line: for each combination a line with its group, solution, name and correlation (N/A if undefined), a line of column names and its
+    pairs (anchor_a, anchor_b, observed, expected) in order of their ids.
+
+    ranked(sample, group_id, solution, combo, place, corr), links(sample, group_id, solution, combo, pair_id, anchor_a, anchor_b, observed, expected); combo is its name, as combination_names gives it."""
+    keys = ["sample", "group_id", "solution"]
+    title = F.concat(F.lit("#Group:"), "group_id", F.lit("\tSolution:"), "solution", F.lit("\t"), "combo", F.lit(f"\t{method}Corr="), F.coalesce(plain(F.col("corr")), F.lit("N/A")))
+    head = ranked.select(*keys, "place", F.posexplode(F.array(title, F.lit("#anchor_a\tanchor_b\tuserLC\tsimuLC"))).alias("ord", "line")).withColumn("ord", F.col("ord").cast("long"))
     rows = links.join(ranked.select(*keys, "combo", "place"), [*keys, "combo"])
-    body = rows.select(*keys, "combo", "place", F.lit(1).cast("long").alias("ord"), F.concat_ws("\t", "anchor_a", "anchor_b", F.col("observed").cast("string"), F.col("expected").cast("string")).alias("line"))
+    order = F.row_number().over(Window.partitionBy(*keys, "place").orderBy("pair_id", "anchor_a", "anchor_b")) + 1
+    body = rows.select(*keys, "place", order.cast("long").alias("ord"), F.concat_ws("\t", "anchor_a", "anchor_b", plain(F.col("observed")), plain(F.col("expected"))).alias("line"))
     return head.unionByName(body)
 
 
 def write_pair_links(links: DataFrame, path: str) -> None:
-    links.select("anchor_a", "anchor_b", "links").write.csv(path, sep="\t")
+    links.select(*[c for c in ("sample",) if c in links.columns], "anchor_a", "anchor_b", "links").write.csv(path, sep="\t")
 
 
 def write_pair_matrix(matrix: DataFrame, path: str) -> None:
@@ -83,7 +107,8 @@ def write_pair_matrix(matrix: DataFrame, path: str) -> None:
 
 
 def write_anchor_markers(markers: DataFrame, path: str) -> None:
-    markers.distinct().sortWithinPartitions("anchor", "marker").write.csv(path, sep="\t")
+    own = [c for c in ("sample",) if c in markers.columns]
+    markers.select(*own, "anchor", "marker").distinct().sortWithinPartitions(*own, "anchor", "marker").write.csv(path, sep="\t")
 
 
 def write_track(track: DataFrame, path: str, partitions: int = 8) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import tokens as T
-from helixloom.operators import assemble, cycles, depth, distributions, intervals, links, ranking, segments, tracks
+from helixloom.operators import assemble, cycles, depth, distributions, intervals, links, ranking, scans, segments, tracks
 from helixloom.sources import readers, writers
 
 JUNCTIONS = [
@@ -395,10 +395,174 @@ def test_tagged_config(spark, tmp_path):
     assert {(r.id, r.cnt) for r in readers.explode_counts(sol, "solution_cycles", ["solution"]).collect()} == {("UCYC1", 2), ("UCYC2", 10)}
 
 
+CN_TABLE = """##VERSION=v1.1
+##_please_find_HEADER_in_online_demo_
+SAMPLE	s
+PLOIDY	2m0
+SOURCE	H1
+SINK	H4
+FVGM	ID=FVGM1;SEGSTR=V1+,V2+,V3+
+SEG	ID=H1;CN_ORIG=1.97;W=1;INTERVAL=chr2:141740000-141759732;PTDP=29.56
+SEG	ID=H2;CN_ORIG=9.96;W=1;INTERVAL=chr2:141759733-141790204;PTDP=149.47
+SEG	ID=H3;CN_ORIG=12.11;W=1;INTERVAL=chr2:141790205-141802259;PTDP=181.66
+SEG	ID=H4;CN_ORIG=1.92;W=1;INTERVAL=chr2:141802260-141806500;PTDP=28.86
+SEG	ID=V1;CN_ORIG=9.84;W=1;INTERVAL=HPV16:1-4648;RAWDP=147.54
+SEG	ID=V2;CN_ORIG=0.01;W=1;INTERVAL=HPV16:4649-6531;RAWDP=0.12
+SEG	ID=V3;CN_ORIG=9.78;W=1;INTERVAL=HPV16:6532-7906;RAWDP=146.65
+JUNC	ID=JUNC1;SEGLINK=H1+,H3+;CN_ORIG=1.33;W=1;REFSEG_5P=chr2;BKPOS_5P=141759732;STRD_5P=+;REFSEG_3P=chr2;BKPOS_3P=141790205;STRD_3P=+;NCPR=0;RAWJRC=20;PTJRC=20
+JUNC	ID=JUNC2;SEGLINK=H2-,H3+;CN_ORIG=9.27;W=1;REFSEG_5P=chr2;BKPOS_5P=141759733;STRD_5P=-;REFSEG_3P=chr2;BKPOS_3P=141790205;STRD_3P=+;NCPR=0;RAWJRC=139;PTJRC=139
+JUNC	ID=JUNC3;SEGLINK=V1+,H3-;CN_ORIG=6.80;W=1;REFSEG_5P=HPV16;BKPOS_5P=4648;STRD_5P=+;REFSEG_3P=chr2;BKPOS_3P=141802259;STRD_3P=-;NCPR=0;RAWJRC=102;PTJRC=102
+JUNC	ID=JUNC4;SEGLINK=H2+,V3+;CN_ORIG=9.33;W=1;REFSEG_5P=chr2;BKPOS_5P=141790204;STRD_5P=+;REFSEG_3P=HPV16;BKPOS_3P=6532;STRD_3P=+;NCPR=0;RAWJRC=140;PTJRC=140
+""".splitlines()  # the form and values of the worked case, fixed
+
+
+def test_copy_number_table_of_the_worked_case(spark, junctions, region, tmp_path):
+    """From junctions and depths to the file that the solver reads, line by line."""
+    ends = segments.breakends(junctions, region)
+    host = segments.name_segments(segments.segment_by_breakends(region, ends))
+    dp = spark.createDataFrame([(k, v[2]) for k, v in HOST.items()], "seg string, depth double")
+    host = segments.feature_cn(host.join(dp, "seg"), ratio())
+    virus = spark.createDataFrame([("s", "V1", 1, "HPV16", 1, 4648, 147.54), ("s", "V2", 2, "HPV16", 4649, 6531, 0.12), ("s", "V3", 3, "HPV16", 6532, 7906, 146.65)], "sample string, seg string, seg_no int, refseg string, st long, ed long, depth double")
+    virus = segments.feature_cn(virus, ratio())
+    both = host.select("sample", "refseg", "seg", "seg_no", "st", "ed").unionByName(virus.select("sample", "refseg", "seg", "seg_no", "st", "ed"))
+    sides = segments.map_breakends_to_segments(segments.breakends(junctions), both).groupBy("sample", "junc_no")
+    link = sides.agg(F.concat(F.max(F.when(F.col("side") == "5p", F.concat("seg", "strd"))), F.lit(","), F.max(F.when(F.col("side") == "3p", F.concat("seg", "strd")))).alias("link"))
+    a = depth.admixture(F.lit(1.0), F.lit(2.0), F.lit(2.0))
+    juncs = segments.junction_cn(junctions, ratio(), F.lit(30.0), a["n_ratio"]).join(link, ["sample", "junc_no"])
+    facts = segments.source_sink(host).join(segments.feature_chain(virus).select("sample", "chain"), "sample").withColumn("ploidy", F.lit("2m0"))
+    lines = writers.cn_lines(host, virus, juncs, facts)
+    assert [r.line for r in lines.orderBy("section", "ord").collect()] == CN_TABLE
+    writers.write_lines(lines, str(tmp_path / "o"), ["section", "ord"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "o" / "sample=s")).collect()] == CN_TABLE
+
+
+def test_rank_report(spark):
+    combos = spark.createDataFrame([("s", 1, 1, 0, 1, 2), ("s", 1, 1, 0, 2, 1)], "sample string, group_id int, solution int, combo long, allele int, map_no int")
+    name = ranking.combination_names(combos)
+    ranked = name.selectExpr("sample", "group_id", "solution", "name as combo", "1L as place", "0.5D as corr")
+    ranked = ranked.unionByName(ranked.selectExpr("sample", "group_id", "solution", "'AL1.LM1,AL2.LM1' as combo", "2L as place", "cast(null as double) as corr"))
+    pairs = spark.createDataFrame([("s", 1, 1, "AL1.LM2,AL2.LM1", p, f"a{p}", f"b{p}", 12, x) for p, x in (("p2", 3.0), ("p1", 0.73))], "sample string, group_id int, solution int, combo string, pair_id string, anchor_a string, anchor_b string, observed long, expected double")
+    got = [r.line for r in writers.rank_lines(ranked, pairs).orderBy("place", "ord").collect()]
+    names = "#anchor_a\tanchor_b\tuserLC\tsimuLC"
+    assert got == ["#Group:1\tSolution:1\tAL1.LM2,AL2.LM1\tPearsonCorr=0.5", names, "ap1\tbp1\t12\t0.73", "ap2\tbp2\t12\t3", "#Group:1\tSolution:1\tAL1.LM1,AL2.LM1\tPearsonCorr=N/A", names]
+
+
 def test_written_table_keeps_zero(spark, tmp_path):
-    s = spark.createDataFrame([("s", "H1", 1, "c", 1, 9, 0.0, 0.0)], "sample string, seg string, seg_no int, refseg string, st long, ed long, depth double, cn double")
-    j = spark.createDataFrame([], "sample string, junc_no long, link string, jr_count long, pure long, cn double")
-    f = spark.createDataFrame([("s", None, "H1", "H1", "V1+")], "sample string, ploidy string, source string, sink string, chain string")
-    writers.write_lines(writers.cn_lines(s, j, f), str(tmp_path / "o"), ["section", "ord"])
+    s = spark.createDataFrame([("s", "H1", 1, "c", 1, 9, 0.0, 0.0), ("s", "H2", 2, "c", 10, 12, None, None)], "sample string, seg string, seg_no int, refseg string, st long, ed long, depth double, cn double")
+    j = spark.createDataFrame([], "sample string, junc_no long, link string, refseg_5p string, bkpos_5p long, strd_5p string, refseg_3p string, bkpos_3p long, strd_3p string, ncpr double, jr_count long, pure long, cn double")
+    f = spark.createDataFrame([("s", None, "H1", "H1", None)], "sample string, ploidy string, source string, sink string, chain string")
+    writers.write_lines(writers.cn_lines(s, s.limit(0), j, f), str(tmp_path / "o"), ["section", "ord"])
     got = [r.value for r in spark.read.text(str(tmp_path / "o" / "sample=s")).collect()]
-    assert got[1] == "PLOIDY\t_please_fix_me_" and got[-1].endswith("CN=0.0")
+    assert got[3] == "PLOIDY\t_please_fix_me_" and got[6] == "FVGM\tID=FVGM1;SEGSTR=_please_fix_me_"
+    assert got[7].startswith("SEG\tID=H1;CN_ORIG=0.00;") and got[8] == "SEG\tID=H2;CN_ORIG=N/A;W=1;INTERVAL=c:10-12;PTDP=N/A"
+
+
+def test_key_of_a_long_cycle(spark):
+    """A hundred thousand tokens, of which most rotations begin alike."""
+    n = 100_000
+    rows = spark.range(1).selectExpr(f"transform(sequence(1, {n}), i -> if(i = 70000, 'H0+', if(i % 1000 = 0, 'H2+', 'H1+'))) as t")
+    turned = rows.select(F.explode(F.array("t", T.rotate(F.col("t"), F.lit(31_415)), T.reverse_complement(F.col("t")))).alias("t"))
+    keys = turned.select(T.equivalence_key(F.col("t")).alias("k")).distinct().collect()
+    assert len(keys) == 1 and len(keys[0].k) == n and keys[0].k[0] == "H0+"
+    odd = spark.createDataFrame([(["H1+"],), (["H1+", "H1+", "H1+"],), (["H2-", "H1+", "H2-", "H1+"],), ([],)], "t array<string>")
+    assert [r.k for r in odd.select(T.equivalence_key(F.col("t")).alias("k")).collect()] == [["H1+"], ["H1+"] * 3, ["H1+", "H2-"] * 2, []]
+
+
+def test_junction_accounting_of_the_worked_case(spark):
+    """What the two cycles make of the four junctions; each holds on either strand."""
+    c = spark.createDataFrame([("s", 1, 2, ["H1+", "H3+", "H4+"]), ("s", 2, 10, ["H3+", "V1-", "V3-", "H2-"])], "sample string, cycle_id int, cnt long, tokens array<string>")
+    j = spark.createDataFrame([("s", "H1+,H3+", 1.33), ("s", "H2-,H3+", 9.27), ("s", "V1+,H3-", 6.80), ("s", "H2+,V3+", 9.33), ("s", "H9+,H8+", 1.0), ("t", "H1+,H3+", 5.0)], "sample string, link string, cn double")
+    got = {r.link: (r.expected, round(r.residual, 4)) for r in cycles.junction_accounting(c, j, ["sample"]).collect()}
+    assert got == {"H1+,H3+": (2, 0.5038), "H2-,H3+": (10, 0.0787), "V1+,H3-": (10, 0.4706), "H2+,V3+": (10, 0.0718), "H9+,H8+": (0, -1.0)}
+    one = cycles.junction_accounting(c.drop("sample"), j.where("sample = 's'").drop("sample"), ["cycle_id"])
+    assert {(r.cycle_id, r.link): r.expected for r in one.collect()} == {(1, "H1+,H3+"): 2, (2, "H2-,H3+"): 10, (2, "V1+,H3-"): 10, (2, "H2+,V3+"): 10}
+    alone = spark.createDataFrame([("s", 1, 3, ["H1+"]), ("s", 2, 1, [])], "sample string, cycle_id int, cnt long, tokens array<string>")
+    loop = spark.createDataFrame([("s", "H1-,H1-", 3.0)], "sample string, link string, cn double")
+    assert [(r.link, r.expected) for r in cycles.junction_accounting(alone, loop, ["sample"]).collect()] == [("H1-,H1-", 3)]
+
+
+def test_anchors_of_samples_that_share_all_names(spark):
+    anchors = spark.createDataFrame([(s, a, "c", p) for s in ("s1", "s2") for a, p in (("H1,c:5", 5), ("H1,c:9", 9), ("H2,c:50", 50))], "sample string, anchor string, refseg string, pos long")
+    reads = spark.createDataFrame([("s1", "c", 1, 60, 7), ("s1", "c", 4, 6, 8), ("s2", "c", 1, 6, 7), ("s2", "c", 45, 60, 8)], "sample string, refseg string, st long, ed long, molecule long")
+    lists = spark.createDataFrame([("s1", "JUNC1", "7"), ("s1", "JUNC2", "7"), ("s2", "JUNC1", "8")], "sample string, anchor string, marker string")
+    m = links.anchor_markers(anchors, reads, lists)
+    held = {}
+    for r in m.collect():
+        held.setdefault((r.sample, r.anchor), set()).add(r.marker)
+    assert held == {
+        ("s1", "H1,c:5"): {"7", "8"}, ("s1", "H1,c:9"): {"7"}, ("s1", "H2,c:50"): {"7"}, ("s1", "JUNC1"): {"7"}, ("s1", "JUNC2"): {"7"},
+        ("s2", "H1,c:5"): {"7"}, ("s2", "H2,c:50"): {"8"}, ("s2", "JUNC1"): {"8"},
+    }
+    seg = anchors.select("sample", "anchor", F.substring("anchor", 1, 2).alias("seg"))
+    got = {(r.sample, r.anchor_a, r.anchor_b): r.links for r in links.shared_marker_links(m, seg).collect()}
+    assert got == {
+        ("s1", "H1,c:5", "H2,c:50"): 1, ("s1", "H1,c:9", "H2,c:50"): 1, **{("s1", a, j): 1 for a in ("H1,c:5", "H1,c:9", "H2,c:50") for j in ("JUNC1", "JUNC2")}, ("s1", "JUNC1", "JUNC2"): 1,
+        ("s2", "H2,c:50", "JUNC1"): 1,
+    }
+    wide = {(r.sample, r.anchor): r.JUNC1 for r in links.pair_matrix(links.shared_marker_links(m, seg), ["JUNC1"]).collect()}
+    assert wide[("s2", "H2,c:50")] == 1 and wide[("s1", "JUNC2")] == 1 and ("s2", "H1,c:5") not in wide
+
+
+def test_violations_of_samples_that_share_names(spark):
+    s = spark.createDataFrame([("s1", "H1", "c", 1, 100, 1), ("s2", "H1", "c", 1, 40, 1), ("s2", "H2", "c", 50, 100, 2)], "sample string, seg string, refseg string, st long, ed long, group_id int")
+    j = spark.createDataFrame([("s1", "JUNC1", "H1", "H2"), ("s2", "JUNC1", "H1", "H2")], "sample string, junc_id string, seg5 string, seg3 string")
+    c = spark.createDataFrame([("s1", "U1"), ("s2", "U1")], "sample string, cycle_id string")
+    t = spark.createDataFrame([("s1", "U1", "H2"), ("s2", "U1", "H2")], "sample string, cycle_id string, seg string")
+    more = {
+        "pairs": spark.createDataFrame([("s1", "JUNC1", "x"), ("s2", "JUNC1", "x")], "sample string, anchor_a string, anchor_b string"),
+        "counts": spark.createDataFrame([("s1", "o", "U1"), ("s3", "o", "U1")], "sample string, owner string, cycle_id string"),
+        "baselines": spark.createDataFrame([("s1", "c", 1, 9)], "sample string, refseg string, st long, ed long"),
+        "breakpoints": spark.createDataFrame([("s2", "c", 5)], "sample string, refseg string, pos long"),
+    }
+    got = {(r.sample, r.rule, r.key) for r in segments.violations(s, j, c, t, **more).collect()}
+    assert got == {("s1", "unknown segment", "U1"), ("s1", "junction without segment", "JUNC1"), ("s2", "group mismatch", "JUNC1"), ("s3", "unknown cycle", "U1")}
+
+
+def test_baselines_of_samples_without_control(spark):
+    w = spark.createDataFrame([("a", "case", "c", 1, 10, 20.0), ("b", "case", "c", 1, 10, 20.0), ("b", "ctrl", "c", 1, 10, 40.0), ("d", "case", "c", 500, 510, 9.0)], "sample string, tissue string, refseg string, st long, ed long, adj double")
+    base = spark.createDataFrame([(s, "c", 1, 10, 2.0, None) for s in "abd"] + [("b", "c", 2, 9, None, "case")], "sample string, refseg string, st long, ed long, cn double, tissue string")
+    none = spark.createDataFrame([], "sample string, refseg string, pos long")
+    got = sorted(((r.sample, r.depth, r.ratio) for r in depth.baseline_cn_ratio(w, base, none).collect()), key=str)
+    assert got == [("a", 20.0, 0.1), ("b", 20.0, 0.1), ("b", 40.0, 0.05), ("d", None, None)]
+
+
+def test_correlation_at_any_scale(spark):
+    rows = spark.createDataFrame([("tiny", i * 1e-7, 3 * i * 1e-7) for i in range(10)] + [("flat", 1e9, float(i)) for i in range(9)] + [("far", 1e12 + i, -i * 1e-3) for i in range(5)], "key string, a double, b double")
+    for method in ("pearson", "spearman"):
+        assert {r.key: r["corr"] for r in ranking.correlation(rows, ["key"], method=method).collect()} == {"tiny": 1.0, "flat": None, "far": -1.0}
+
+
+def test_one_key_runs_in_many_parts(spark):
+    """Running sums, carried values and ranks of one key that has all rows, and of null keys, against plain loops."""
+    rng = random.Random(11)
+    rows = [("k", v, rng.randrange(1, 9)) for v in rng.sample(range(100_000), 3000)] + [(None, 5, 2), (None, 1, 3)]
+    df = spark.createDataFrame(rows, "key string, len long, cnt long")
+    got = {(r.key, r.len): (r._upto, r._total) for r in scans.running_total(df, ["key"], "len", "cnt", 16).collect()}
+    for key in ("k", None):
+        mine, run = sorted(r[1:] for r in rows if r[0] == key), 0
+        for v, c in mine:
+            run += c
+            assert got.pop((key, v)) == (run, sum(x[1] for x in mine))
+    assert not got
+    parts = scans.in_parts(df, ["key"], "len", 16).where("key = 'k'").groupBy("_part").count().collect()
+    assert len(parts) >= 14 and max(r["count"] for r in parts) < 600
+    asked = [rng.randrange(-10, 100_100) for _ in range(500)]
+    q = spark.createDataFrame([("k", x) for x in asked] + [("x", 1)], "key string, q long")
+    near = {(r.key, r.q): (r.len, r.cnt) for r in intervals.nearest_key(q, df, ["key"], "len", "cnt").collect()}
+    held = {v: c for k, v, c in rows if k == "k"}
+    for x in asked:
+        best = min(held, key=lambda v: (abs(v - x), v))
+        assert near[("k", x)] == (best, held[best])
+    assert near[("x", 1)] == (None, None)
+    pairs = [("k", float(rng.randrange(40)), float(rng.randrange(40))) for _ in range(900)]
+    ranks = lambda xs: [sum(y < x for y in xs) + (sum(y == x for y in xs) + 1) / 2 for x in xs]
+    a, b = ranks([p[1] for p in pairs]), ranks([p[2] for p in pairs])
+    mean = (len(a) + 1) / 2
+    want = sum((x - mean) * (y - mean) for x, y in zip(a, b)) / (sum((x - mean) ** 2 for x in a) * sum((y - mean) ** 2 for y in b)) ** 0.5
+    assert round(want, 8) == round(ranking.correlation(spark.createDataFrame(pairs, "key string, a double, b double"), ["key"], method="spearman").first()["corr"], 8)
+
+
+def test_best_combinations(spark):
+    rows = spark.createDataFrame([("k", i, None if i % 7 == 0 else float(i % 5)) for i in range(50)], "key string, combo int, corr double")
+    all_ = sorted((r.place, r.combo) for r in ranking.rank_combinations(rows, ["key"]).collect())
+    assert sorted((r.place, r.combo) for r in ranking.rank_combinations(rows, ["key"], best=6).collect()) == all_[:6]
