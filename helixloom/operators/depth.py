@@ -83,14 +83,23 @@ def auto_resolution(region: DataFrame, pixels: int) -> DataFrame:
     return region.groupBy("refseg").agg(F.ceil(F.sum(F.col("ed") - F.col("st") + 1) / pixels).alias("res"))
 
 
-def prior_ratio(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+#: Width of the bins in which runs meet ranges.
+RANGE_BIN = 4096
+
+
+def prior_ratio(runs: DataFrame, ranges: DataFrame, bin_size: int = RANGE_BIN) -> DataFrame:
     """runs cut at the borders of ranges (refseg, st, ed, ratio; those of a reference must not overlap), with ratio: the known copy ratio inside, 1 elsewhere.
 
-    The ranges that a run meets come to it as one sorted array, of which the gaps follow; ranges are a user's short list.
+    Runs and ranges are cut at the borders of bins too, and a bin's ranges, fewer than its bases, come to each of its runs as one sorted array, of which the gaps follow. Any number of ranges may lie on a reference.
     """
     rest = [c for c in runs.columns if c not in ("st", "ed")]
-    lists = ranges.groupBy("refseg").agg(F.array_sort(F.collect_list(F.struct("st", "ed", "ratio"))).alias("ranges"))
-    met = runs.join(lists, "refseg", "left")
+
+    def cut(df: DataFrame) -> DataFrame:
+        rows = df.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {bin_size}"), F.expr(f"ed div {bin_size}"))))
+        return rows.withColumns({"st": F.greatest("st", F.col("_bin") * bin_size), "ed": F.least("ed", (F.col("_bin") + 1) * bin_size - 1)})
+
+    lists = cut(ranges).groupBy("refseg", "_bin").agg(F.array_sort(F.collect_list(F.struct("st", "ed", "ratio"))).alias("ranges"))
+    met = cut(runs).join(lists, ["refseg", "_bin"], "left")
     met = met.select(*rest, "st", "ed", F.filter(F.coalesce("ranges", F.expr("array()").cast("array<struct<st:bigint,ed:bigint,ratio:double>>")), lambda r: (r["st"] <= F.col("ed")) & (r["ed"] >= F.col("st"))).alias("r"))
     known = F.transform("r", lambda r: F.struct(F.greatest(r["st"], F.col("st")).alias("st"), F.least(r["ed"], F.col("ed")).alias("ed"), r["ratio"].alias("ratio")))
     gap = F.transform(

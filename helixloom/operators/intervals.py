@@ -6,6 +6,9 @@ equal (key, bin) and tested again, so both sides can be large; an overlap is rep
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,55 +30,106 @@ def _level(length, bin_size: int):
     return out
 
 
-def _levels(df: DataFrame, st: str, ed: str, bin_size: int) -> list[int]:
-    rows = df.select(_level(F.col(ed) - F.col(st) + 1, bin_size).alias("k")).distinct().collect()  # LEVELS rows at most
-    return sorted(r["k"] for r in rows)
+#: A side of at most so many rows is sent to all tasks (two bins on each level, whatever the other side holds).
+FEW_ROWS = 10_000
+#: A bin of more rows of one side is cut in slices of as many; with it, at most so many bins are cut.
+HOT_ROWS, HOT_BINS = 4_000_000, 10_000
 
 
-def _binned(df: DataFrame, st: str, ed: str, bin_size: int, levels: list[int]) -> DataFrame:
-    """A row for each bin, at every given level from the interval's own up, in which it lies: two at most on a level."""
+def _binned(df: DataFrame, st: str, ed: str, bin_size: int, own: list[int], others: list[int], mark: str) -> DataFrame:
+    """A row for each bin in which it lies, two at most on a level: at its own level (one of ``own``), where it meets what is not longer, and at those above that the other side has."""
     level = _level(F.col(ed) - F.col(st) + 1, bin_size)
-    width = lambda k: F.lit(bin_size * WIDER**k)
-    div = lambda a, b: F.floor(a / b).cast("long")
-
-    def spots(k: int):
-        bins = F.sequence(div(F.col(st), width(k)), div(F.col(ed), width(k)))
-        return F.when(level <= k, F.transform(bins, lambda b: F.struct(F.lit(k).alias("k"), b.alias("b"), level.alias("own"))))
-
-    return df.withColumn("_bin", F.explode(F.flatten(F.array_compact(F.array(*[spots(k) for k in levels])))))
+    div = lambda c, k: F.floor(F.col(c) / F.lit(bin_size * WIDER**k)).cast("long")
+    spot = lambda k, b: F.struct(F.lit(k).alias("k"), b.alias("b"))
+    rows = df.withColumn(mark, level)
+    if own == [0] and st == ed:  # points: one bin on each level that the other side has
+        spots = [spot(k, div(st, k)) for k in others]
+        rows = rows.withColumn("_bin", spots[0] if len(spots) == 1 else F.explode(F.array(*spots)))
+        return rows.withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b")}).drop("_bin")
+    wanted = lambda k: F.col(mark) <= k if k in others else F.col(mark) == k
+    spots, last = [], LEVELS - 1
+    for k in sorted({*own, *others}):
+        if k < last:
+            spots += [F.when(wanted(k), spot(k, div(st, k))), F.when(wanted(k) & (div(st, k) != div(ed, k)), spot(k, div(ed, k)))]
+    bins = F.array_compact(F.array(*spots)) if spots else F.array().cast("array<struct<k:int,b:bigint>>")
+    if last in own or last in others:  # these may be longer than a bin
+        bins = F.concat(bins, F.when(wanted(last), F.transform(F.sequence(div(st, last), div(ed, last)), lambda b: spot(last, b))).otherwise(F.array().cast("array<struct<k:int,b:bigint>>")))
+    return rows.withColumn("_bin", F.explode(bins)).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b")}).drop("_bin")
+
+
+def _sliced(a: DataFrame, b: DataFrame, on: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _s and _t: the rows of a bin that has more than ``most`` of a side are dealt to slices of that side, and each row meets all slices of the other."""
+    place = [*on, "_k", "_b"]
+    counts = a.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m"))
+    counts = counts.unionByName(b.groupBy(*place).agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("m"))).where(f"n > {most} or m > {most}")
+    hot = counts.groupBy(*place).agg(F.max("n").alias("n"), F.max("m").alias("m"))
+    pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")
+    hot = F.broadcast(hot.select(*place, pieces("n").alias("_n"), pieces("m").alias("_m")))  # at most rows / most of them, see _meet
+
+    def dealt(side: DataFrame, own: str, other: str, own_slice: str, other_slice: str) -> DataFrame:
+        n, m = F.coalesce(own, F.lit(1)), F.coalesce(other, F.lit(1))
+        rows = side.join(hot, place, "left")
+        spread = F.pmod(F.xxhash64(*[c for c in side.columns if c not in place]), n).cast("int")
+        return rows.select(*side.columns, spread.alias(own_slice), F.explode(F.sequence(F.lit(0), m - 1)).alias(other_slice))
+
+    return dealt(a, "_n", "_m", "_s", "_t"), dealt(b, "_m", "_n", "_t", "_s")
+
+
+def _meet(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, str], b_ends: tuple[str, str], bin_size: int = BIN, points: bool = False) -> DataFrame:
+    """Pairs of rows with equal ``on`` whose closed intervals overlap; but for ``on`` the sides have no column in common.
+
+    Bins come in levels, each WIDER times as wide, and a pair meets in a bin of the longer interval's level. One small aggregate of a side tells its levels and the number of its rows. A side of few rows, counted, is broadcast, and the
+    other is read once. Else both (points only where they may be cut) are read for the levels and for the join, so costly ones should be stored tables; with more than HOT_ROWS, bins that hold more than HOT_ROWS of a side (or a HOT_BINS-th of all rows, so that the list of
+    them stays short) are cut in slices, and neither an amplified locus nor a wide bin full of short rows is one task's.
+    """
+    every = list(range(LEVELS))
+
+    def tally(df: DataFrame, ends: tuple[str, str]) -> tuple[list[int], int]:
+        rows = df.groupBy(_level(F.col(ends[1]) - F.col(ends[0]) + 1, bin_size).alias("k")).count().collect()  # LEVELS rows at most
+        return sorted(r["k"] for r in rows), sum(r["count"] for r in rows)
+
+    place = [*on, "_k", "_b"]
+    b_levels, b_rows = tally(b, b_ends)
+    if not b_rows:
+        b_levels = [0]
+    if b_rows <= FEW_ROWS:
+        a_own, a_levels, a_rows = ([0] if points else every), ([0] if points else every), None
+    else:
+        a_levels, a_rows = ([0], b_rows) if points else tally(a, a_ends)  # points are the shortest, and need no look
+        a_own = a_levels
+    a, b = _binned(a, *a_ends, bin_size, a_own, b_levels, "_x"), _binned(b, *b_ends, bin_size, b_levels, a_levels, "_y")
+    if a_rows is None:
+        b = F.broadcast(b)
+    elif a_rows <= FEW_ROWS:
+        a = F.broadcast(a)
+    elif a_rows + b_rows > HOT_ROWS:
+        a, b = _sliced(a, b, on, max(HOT_ROWS, (a_rows + b_rows) // HOT_BINS))
+        place += ["_s", "_t"]
+    first = F.floor(F.greatest(a_ends[0], b_ends[0]) / (F.lit(bin_size) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")
+    overlap = (F.col(a_ends[0]) <= F.col(b_ends[1])) & (F.col(b_ends[0]) <= F.col(a_ends[1]))
+    return a.join(b, place).where((F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first) & overlap).drop("_k", "_b", "_x", "_y", "_s", "_t")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int | None = None, how: str = "inner") -> DataFrame:
-    """Pairs of rows with equal ``on`` and overlapping [st, ed]; right's st and ed come as r_st, r_ed. how: inner, left_semi.
+    """Pairs of rows with equal ``on`` and overlapping [st, ed]; right's st and ed come as r_st, r_ed. how: inner, left_semi (distinct rows of left).
 
-    With a bin_size both sides are cut to bins of that width. Without one, bins come in levels, each WIDER times as wide, and a pair meets in a bin of the longer
-    interval's level: a row is copied twice for each level that occurs, however long it is. A null st or ed overlaps nothing.
+    Any lengths and any crowding are fine (see _meet); bin_size sets the narrowest bins. A null st or ed overlaps nothing.
     """
     b = right.withColumnsRenamed({"st": "r_st", "ed": "r_ed"})
-    if bin_size is not None:
-        a = left.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {bin_size}"), F.expr(f"ed div {bin_size}"))))
-        b = b.withColumn("_bin", F.explode(F.sequence(F.expr(f"r_st div {bin_size}"), F.expr(f"r_ed div {bin_size}"))))
-        hit = a.join(b, [*on, "_bin"]).where(f"st <= r_ed and r_st <= ed and _bin = greatest(st, r_st) div {bin_size}").drop("_bin")
-    else:
-        levels = sorted({*_levels(left, "st", "ed", BIN), *_levels(b, "r_st", "r_ed", BIN)})
-        a = _binned(left, "st", "ed", BIN, levels).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b"), "_x": F.col("_bin.own")}).drop("_bin")
-        b = _binned(b, "r_st", "r_ed", BIN, levels).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b"), "_y": F.col("_bin.own")}).drop("_bin")
-        first = F.floor(F.greatest("st", "r_st") / (F.lit(BIN) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")
-        hit = a.join(b, [*on, "_k", "_b"]).where((F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first) & F.expr("st <= r_ed and r_st <= ed"))
-        hit = hit.drop("_k", "_b", "_x", "_y")
+    hit = _meet(left, b, on, ("st", "ed"), ("r_st", "r_ed"), bin_size or BIN)
     return hit if how == "inner" else hit.select(*left.columns).distinct()
 
 
 def point_join(points: DataFrame, intervals: DataFrame, on: list[str], pos: str = "pos", bin_size: int = BIN, how: str = "inner") -> DataFrame:
-    """Points with the intervals that hold them; how: inner or left."""
-    a = points.withColumn("_bin", F.expr(f"`{pos}` div {bin_size}"))
-    b = intervals.withColumn("_bin", F.explode(F.sequence(F.expr(f"st div {bin_size}"), F.expr(f"ed div {bin_size}"))))
-    inside = (F.col(f"x.{pos}") >= F.col("y.st")) & (F.col(f"x.{pos}") <= F.col("y.ed"))
-    cond = inside & (F.col("x._bin") == F.col("y._bin"))
-    for c in on:
-        cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    rest = [F.col(f"y.{c}") for c in intervals.columns if c not in on]
-    return a.alias("x").join(b.alias("y"), cond, how).select(*[F.col(f"x.{c}") for c in points.columns], *rest)
+    """Points with the intervals that hold them, of whatever length; how: inner, or left (points without an interval stay once each, with nulls)."""
+    rest = [c for c in intervals.columns if c not in on]
+    b = intervals.withColumnsRenamed({c: f"_i_{c}" for c in rest})
+    hit = _meet(points, b, on, (pos, pos), ("_i_st", "_i_ed"), bin_size, points=True)
+    if how == "left":
+        same = functools.reduce(operator.and_, [points[c].eqNullSafe(F.col(f"_p_{c}")) for c in points.columns])
+        found = hit.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns]).distinct()
+        hit = hit.unionByName(points.join(found, same, "left_anti"), allowMissingColumns=True)
+    return hit.select(*points.columns, *[F.col(f"_i_{c}").alias(c) for c in rest])
 
 
 def clip(intervals: DataFrame, st, ed) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helixloom.functions.tokens import flip, segment_of, strand_of
 from helixloom.operators.cycles import shared_keys
 from helixloom.operators.intervals import BIN, point_join
+from helixloom.sources.storage import stored
 
 
 def inner_anchors(segments: DataFrame, n: int = 1) -> DataFrame:
@@ -131,7 +132,7 @@ def co_coverage(molecules: DataFrame, places: DataFrame, pairs: DataFrame, keys:
 
     Occurrences are joined by pair and molecule, so only wanted pairs arise.
     """
-    hit = point_join(places, molecules, keys, "at", bin_size).select(*keys, "mol", "anchor", "at", "st", "ed", "covr")
+    hit = point_join(places, stored(molecules.select(*keys, "mol", "st", "ed", "covr"), "molecules"), keys, "at", bin_size).select(*keys, "mol", "anchor", "at", "st", "ed", "covr")
     a = hit.join(pairs.select(F.col("anchor_a").alias("anchor"), "anchor_b"), "anchor").withColumnsRenamed({"anchor": "anchor_a", "at": "pa"})
     b = hit.join(pairs.select("anchor_a", F.col("anchor_b").alias("anchor")), "anchor").select(*keys, "mol", "anchor_a", F.col("anchor").alias("anchor_b"), F.col("at").alias("pb"))
     both = a.join(b, [*keys, "mol", "anchor_a", "anchor_b"])

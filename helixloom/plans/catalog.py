@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions import tokens as T
-from helixloom.operators import assemble, cycles, depth, distributions, intervals, links, ranking, segments, tracks
+from helixloom.operators import assemble, best, cycles, depth, distributions, intervals, links, ranking, segments, tracks
 from helixloom.plans import views as V
 from helixloom.plans.views import duck
 from helixloom.sources import readers, writers
-from helixloom.sources.storage import new_folder
+from helixloom.sources.storage import new_folder, stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -327,7 +327,8 @@ def d11_feature_chain(spark, d):
 
 @query(f"with {SEGS} select s.sample, s.refseg, s.seg_no::bigint as seg_no, count(*)::bigint as n, sum(least(s.ed, r.ed) - greatest(s.st, r.st) + 1)::bigint as bases from segs s join v_reads r on r.sample = s.sample and r.refseg = s.refseg and r.st <= s.ed and s.st <= r.ed group by all", "v_junc v_region v_reads")
 def d12_overlaps(spark, d):
-    hit = intervals.interval_join(V.v_reads(spark, d).select("sample", "refseg", "st", "ed"), cut(spark, d).select("sample", "refseg", "seg_no", "st", "ed"), ["sample", "refseg"])
+    segs = stored(cut(spark, d).select("sample", "refseg", "seg_no", "st", "ed"), "segments")  # read three times
+    hit = intervals.interval_join(V.v_reads(spark, d).select("sample", "refseg", "st", "ed"), segs, ["sample", "refseg"])
     return hit.groupBy("sample", "refseg", F.col("seg_no").cast("long").alias("seg_no")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr("least(ed, r_ed) - greatest(st, r_st) + 1")).alias("bases"))
 
 
@@ -998,10 +999,13 @@ def weighted(spark, d):
     return ranking.combination_weights(ranking.walk_combinations(w), alleles)
 
 
-def expected(spark, d):
+def walk_links(spark, d):
     pair = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")
-    lk = solution_walks(spark, d).select("*", pair).selectExpr("sample", "group_id", "solution", "allele", "map_no", "concat('p', i) as pair_id", "cast((solution * 13 + allele * 7 + map_no * 5 + i * 11) % 50 as double) + 0.7310585D as links")
-    return ranking.expected_links(weighted(spark, d), lk)
+    return solution_walks(spark, d).select("*", pair).selectExpr("sample", "group_id", "solution", "allele", "map_no", "concat('p', i) as pair_id", "cast((solution * 13 + allele * 7 + map_no * 5 + i * 11) % 50 as double) + 0.7310585D as links")
+
+
+def expected(spark, d):
+    return ranking.expected_links(weighted(spark, d), walk_links(spark, d))
 
 
 @query(f"with {WEIGHTS} select sample, group_id, solution, combo, allele, map_no, round(weight, 9) as weight from wt")
@@ -1050,6 +1054,22 @@ def solution_ranking(spark, d):
     return ranking.rank_combinations(scored, keys).select(*keys, "combo", "corr", F.col("place").cast("long").alias("place"))
 
 
+@query(
+    f"""with {WEIGHTS}, nm as (select sample, group_id, solution, combo, string_agg('AL' || allele || '.LM' || map_no, ',' order by allele) as name from pick group by all),
+ob as (select *, ((solution * 17 + substr(pair_id, 2)::int * 29) % 60)::double as observed from ex where not (solution % 3 = 0 and pair_id = 'p2')),
+sc as (select sample, group_id, solution, combo, case when min(expected) < max(expected) and min(observed) < max(observed) then round(covar_pop(expected, observed) / (stddev_pop(expected) * stddev_pop(observed)), 9) end as corr from ob group by all),
+pl as (select *, row_number() over (partition by sample, group_id, solution order by corr desc nulls last, combo)::bigint as place from sc)
+select pl.*, name from pl join nm using (sample, group_id, solution, combo) where place <= 5"""
+)
+def g21_best_combinations(spark, d):
+    """G17-G21 without a row for each combination: the five best of each solution. Not all pairs of every third solution were observed."""
+    w = solution_walks(spark, d)
+    alleles = w.selectExpr("*", "1000 + map_no * 250 + solution % 100 as length", "allele + 1 as cn")
+    seen = w.select("sample", "group_id", "solution").distinct().selectExpr("*", "explode(sequence(0, 3)) as i").selectExpr("sample", "group_id", "solution", "concat('p', i) as pair_id", "cast((solution * 17 + i * 29) % 60 as double) as observed")
+    out = best.best_combinations(alleles, walk_links(spark, d), seen.where("not (solution % 3 = 0 and pair_id = 'p2')"), 5)
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 # --- sources and sinks: what a writer leaves is what the reader gives back ---------------------------------
 
 def _text(df: DataFrame, column: str, name: str) -> str:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixloom.functions.tokens import flip, parse_cycle, segment_of, strand_of
 from helixloom.operators.intervals import interval_join
+from helixloom.sources.writers import TRACK_INDEX
 
 JUNCTIONS = "refseg_5p string, bkpos_5p long, strd_5p string, refseg_3p string, bkpos_3p long, strd_3p string, jr_count long, ncpr double"
 
@@ -20,16 +24,27 @@ def read_depth(spark: SparkSession, path: str, refseg: str | None = None) -> Dat
     return rows if refseg is None else rows.where(F.col("refseg") == refseg)
 
 
+def numbered_lines(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
+    """file, no (from 1), line: the lines of each file that are neither blank nor comments, counted in their order. A file may be read in any number of splits: lines count
+    within their split, and what earlier splits of the file hold is added, one number a split."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*meta, F.col("value").alias("line")).where((F.trim("line") != "") & ~F.startswith("line", F.lit(comment)))
+    lines = lines.withColumn("at", F.monotonically_increasing_id())  # rises with the place in a split
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
+    return lines.withColumn("own", own).join(before, ["file", "block"]).select("file", (F.col("before") + F.col("own")).cast("long").alias("no"), "line")
+
+
 def read_junctions(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """Tab-separated junctions, 8 columns; # begins a comment; a missing normal copy ratio is 0. numbered: a number stands before them as a column of its own. Else junc_no
-    counts the lines of a file that are no comments, in their order: a file is a user's list, read as one row to keep it.
+    counts the lines of a file that are no comments, in their order, however the file is split.
     """
     if numbered:
         rows = spark.read.csv(path, sep="\t", comment="#", schema="junc_no long, " + JUNCTIONS)
     else:
-        lines = F.filter(F.split("value", "\r?\n"), lambda x: (F.trim(x) != "") & ~F.startswith(x, F.lit("#")))
-        texts = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("i", "line"))
-        rows = texts.select((F.col("i") + 1).cast("long").alias("junc_no"), F.from_csv("line", F.lit(JUNCTIONS.replace("long", "bigint")), {"sep": "\t"}).alias("r")).select("junc_no", "r.*")
+        read = F.from_csv("line", F.lit(JUNCTIONS.replace("long", "bigint")), {"sep": "\t"})
+        rows = numbered_lines(spark, path).select(F.col("no").alias("junc_no"), read.alias("r")).select("junc_no", "r.*")
     return rows.withColumn("ncpr", F.coalesce("ncpr", F.lit(0.0)))
 
 
@@ -127,6 +142,15 @@ def read_marker_lists(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_track(spark: SparkSession, path: str, region: DataFrame | None = None) -> DataFrame:
-    """A track stored by write_track; a region (refseg, st, ed) is joined on refseg, so its partitions are pruned at run time."""
-    track = spark.read.parquet(path)
-    return track if region is None else interval_join(track, region.select("refseg", "st", "ed"), ["refseg"], how="left_semi")
+    """A track that write_track left; with a region (refseg, st, ed) its rows that overlap it, read only from the files whose span does."""
+    if region is None:
+        return spark.read.parquet(path)
+    try:
+        spans = spark.read.parquet(f"{path}/{TRACK_INDEX}")
+    except AnalysisException:  # written without an index: all files are read
+        track = spark.read.parquet(path)
+    else:
+        hit = interval_join(spans, region.select("refseg", "st", "ed"), ["refseg"]).select("file").distinct().collect()  # names of files only
+        files = [unquote(r["file"]) for r in hit]
+        track = spark.read.option("basePath", path).parquet(*files) if files else spark.read.parquet(path).where("false")
+    return interval_join(track, region.select("refseg", "st", "ed"), ["refseg"], how="left_semi")

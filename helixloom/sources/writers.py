@@ -111,7 +111,14 @@ def write_anchor_markers(markers: DataFrame, path: str) -> None:
     markers.select(*own, "anchor", "marker").distinct().sortWithinPartitions(*own, "anchor", "marker").write.csv(path, sep="\t")
 
 
+#: The spans of a track's files, beside them.
+TRACK_INDEX = "_spans"
+
+
 def write_track(track: DataFrame, path: str, partitions: int = 8) -> None:
-    """Parquet by refseg, sorted by start, so that partitions and row groups prune; wide references spread over several files."""
+    """Parquet by refseg, sorted by start, so that partitions and row groups prune; wide references spread over several files. An index of the least start and greatest end of each file
+    stands beside them, by which read_track chooses the files to read."""
     spread = track.repartitionByRange(partitions, "refseg", "st").sortWithinPartitions("refseg", "st")
     spread.write.partitionBy("refseg").parquet(path)
+    written = track.sparkSession.read.parquet(path).select(F.col("_metadata.file_path").alias("file"), "refseg", "st", "ed")
+    written.groupBy("file", "refseg").agg(F.min("st").alias("st"), F.max("ed").alias("ed")).write.parquet(f"{path}/{TRACK_INDEX}")

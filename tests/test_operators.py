@@ -1,12 +1,14 @@
 """Worked case of the copy-number, cycle and walk operators, and small fixtures for the edges."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from helixloom.functions import tokens as T
-from helixloom.operators import assemble, cycles, depth, distributions, intervals, links, ranking, scans, segments, tracks
+from helixloom.operators import assemble, best, cycles, depth, distributions, intervals, links, ranking, scans, segments, tracks
 from helixloom.sources import readers, writers
 
 JUNCTIONS = [
@@ -566,3 +568,95 @@ def test_best_combinations(spark):
     rows = spark.createDataFrame([("k", i, None if i % 7 == 0 else float(i % 5)) for i in range(50)], "key string, combo int, corr double")
     all_ = sorted((r.place, r.combo) for r in ranking.rank_combinations(rows, ["key"]).collect())
     assert sorted((r.place, r.combo) for r in ranking.rank_combinations(rows, ["key"], best=6).collect()) == all_[:6]
+
+
+def test_joins_at_a_hot_locus(spark, monkeypatch):
+    """Half of all reads at one place, and intervals of all lengths: the same rows whether a side is broadcast, bins are whole, or cut in slices."""
+    rng = random.Random(4)
+    reads = [(i, "c", 5_000, 5_010 + i % 30) for i in range(300)] + [(i, "c", p, p + rng.choice([3, 900, 40_000, 5_000_000])) for i in range(300, 600) for p in [rng.randrange(3_000_000)]] + [(9999, None, 1, 9), (9998, "c", None, 9)]
+    segs = [(i, "c", p, p + rng.choice([0, 50, 2_000, 70_000, 300_000_000_000])) for i in range(200) for p in [rng.choice([4_990, 5_005, rng.randrange(3_000_000)])]]
+    a = spark.createDataFrame(reads, "a int, refseg string, st long, ed long")
+    b = spark.createDataFrame(segs, "b int, refseg string, st long, ed long")
+    want = sorted((x[0], y[0]) for x in reads for y in segs if x[1] == "c" and x[2] is not None and x[2] <= y[3] and y[2] <= x[3])
+    points = a.where("st is not null").selectExpr("a", "refseg", "st as pos")
+    inside = sorted((x[0], y[0]) for x in reads for y in segs if x[1] == "c" and x[2] is not None and y[2] <= x[2] <= y[3])
+    for few, hot in ((10_000, 10**9), (0, 10**9), (0, 20), (250, 20)):
+        monkeypatch.setattr(intervals, "FEW_ROWS", few)
+        monkeypatch.setattr(intervals, "HOT_ROWS", hot)
+        assert sorted((r.a, r.b) for r in intervals.interval_join(a, b, ["refseg"]).collect()) == want
+        assert sorted((r.a, r.b) for r in intervals.point_join(points, b, ["refseg"]).collect()) == inside
+    left = intervals.point_join(points, b.where("st > 4000000"), ["refseg"], how="left")
+    assert sorted(r.a for r in left.where("b is null").collect()) == sorted(x[0] for x in reads if x[2] is not None)
+    x, y = (intervals._binned(d, "st", "ed", 1000, [0, 1, 2, 3, 6], [0, 1, 2, 3, 6], m) for d, m in ((a, "_x"), (b.toDF("b", "refseg", "st", "ed"), "_y")))
+    cells = intervals._sliced(x, y, ["refseg"], 20)[0].groupBy("refseg", "_k", "_b", "_s").count().where("_k = 0").agg(F.max("count")).first()[0]
+    assert cells <= 200  # of the 300 reads in one bin, with as many copies as the other side has slices
+
+
+def test_lines_are_numbered_in_any_splits(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3)):
+        rows = "".join(f"c\t{i}\t+\td\t{i + 7}\t-\t{i % 9}\n" + ("# note\n\n" if i % 5 == 0 else "") for i in range(1, n + 1))
+        (tmp_path / f"{name}.txt").write_text("# head\n" + rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = readers.read_junctions(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert sorted((r.junc_no, r.bkpos_5p) for r in got.collect()) == sorted([(i, i) for i in range(1, 401)] + [(i, i) for i in range(1, 4)])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_tracks_read_only_files_of_the_region(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("concat('HLA*0', id % 2, ':01') as refseg", "id % 7 as gene", "'t' as tid", "id * 10 as st", "id * 10 + 25 as ed")
+    writers.write_track(rows, str(tmp_path / "t"), 16)
+    region = spark.createDataFrame([("HLA*01:01", 20_000, 20_100)], "refseg string, st long, ed long")
+    got = readers.read_track(spark, str(tmp_path / "t"), region)
+    want = rows.where("refseg = 'HLA*01:01' and st <= 20100 and ed >= 20000")
+    assert sorted(map(str, got.select(*rows.columns).collect())) == sorted(map(str, want.collect())) and want.count() > 3
+    assert len(got.inputFiles()) <= 2 < len(spark.read.parquet(str(tmp_path / "t")).inputFiles())
+    none = region.withColumn("st", F.lit(10**9)).withColumn("ed", F.lit(10**9 + 1))
+    assert readers.read_track(spark, str(tmp_path / "t"), none).count() == 0
+
+
+def test_many_ranges_on_one_reference(spark):
+    n = 20_000
+    ranges = spark.range(n).selectExpr("'c' as refseg", "id * 10 + 3 as st", "id * 10 + 7 as ed", "cast(id % 5 as double) / 2 as ratio")
+    runs = spark.createDataFrame([("s", "ctrl", "c", 0, 10 * n - 1, 4.0), ("s", "ctrl", "d", 5, 9, 1.0)], "sample string, tissue string, refseg string, st long, ed long, depth double")
+    got = depth.prior_ratio(runs, ranges).groupBy("refseg", "ratio").agg(F.sum(F.expr("ed - st + 1")).alias("n"))
+    want = {("c", k / 2): n for k in (0, 1, 3, 4)} | {("c", 1.0): n + 5 * n, ("d", 1.0): 5}
+    assert {(r.refseg, r.ratio): r.n for r in got.collect()} == want
+
+
+def test_best_combinations_equal_all(monkeypatch):
+    """Blocks of halves against a plain product, with and without pairs that some walks lack."""
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        pairs, alleles = int(rng.integers(1, 7)), []
+        for _ in range(int(rng.integers(1, 5))):
+            n = int(rng.integers(1, 7))
+            has = np.ones((n, pairs)) if trial % 2 else (rng.random((n, pairs)) < 0.7).astype(float)
+            alleles.append((np.round(rng.random((n, pairs)) * 9, 2) * has, has))
+        y, want = np.round(rng.random(pairs) * 9), []
+        strides = np.cumprod([1] + [len(x) for x, _ in alleles])
+        for digits in itertools.product(*[range(len(x)) for x, _ in alleles]):
+            held = np.max([h[i] for (_, h), i in zip(alleles, digits)], axis=0) > 0
+            x, seen = np.round(sum(a[i] for (a, _), i in zip(alleles, digits)), 2)[held], y[held]
+            flat = len(x) == 0 or x.min() == x.max() or seen.min() == seen.max()
+            want.append((best.UNDEFINED if flat else round(float(np.corrcoef(x, seen)[0, 1]), 9), int(sum(i * s for i, s in zip(digits, strides)))))
+        want.sort(key=lambda t: (-t[0], t[1]))
+        for block in (4, 1024):
+            monkeypatch.setattr(best, "BLOCK", block)
+            assert [n for _, n in best.best_of(alleles, y, 5)] == [n for _, n in want[:5]]
+            met = sorted(sum((best.best_of(alleles, y, 5, p, 3) for p in range(3)), []), key=lambda t: (-t[0], t[1]))
+            assert [n for _, n in met[:5]] == [n for _, n in want[:5]]
+
+
+def test_best_of_a_thousand_million_combinations(spark):
+    """Nine alleles of ten walks; what was observed is one combination's sum, so that is the best."""
+    rng = random.Random(2)
+    a = spark.createDataFrame([("s", 1, 1, x, m, 100, 1) for x in range(9) for m in range(10)], "sample string, group_id int, solution int, allele int, map_no int, length int, cn int")
+    links_ = [("s", 1, 1, x, m, f"p{i}", round(rng.random() * 450)) for x in range(9) for m in range(10) for i in range(20)]
+    seen = [("s", 1, 1, f"p{i}", sum(v for *_, x, m, p, v in links_ if p == f"p{i}" and m == (x * 7) % 10)) for i in range(20)]
+    got = best.best_combinations(a, spark.createDataFrame(links_, "sample string, group_id int, solution int, allele int, map_no int, pair_id string, links long"), spark.createDataFrame(seen, "sample string, group_id int, solution int, pair_id string, observed long"))
+    got = got.orderBy("place").collect()
+    assert len(got) == 10 and got[0].name == ",".join(f"AL{x}.LM{(x * 7) % 10}" for x in range(9)) and got[0]["corr"] > 0.999 > got[1]["corr"] >= got[9]["corr"]
