@@ -327,6 +327,21 @@ def _test(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, TESTED)
 
 
+def jaccard_groups(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """doc_id, th, n, root for every row of documents: th is xxhash64 of its text, n the size of its set and root names the group that it hangs together with by
+    links 100 * shared >= num / den * 100 * union; null without words. Rows are told apart by text, whatever their doc_id."""
+    spark = documents.sparkSession
+    width = shuffle_width(spark)
+    level = Threshold(num, den)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    found = stored(_gather(_spread(docs, partition_keys(spark, width), level, shingle), width), "jaccard-lists")
+    rows = found.where("lid is null").select("doc_id", "n", "sid", "th", "sketch")
+    lists = found.where("lid is not null").select("lid", "members")
+    nodes = _link(spark, docs, rows, lists, shingle, num, den)
+    named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "th", "n", F.coalesce("component", "sid").alias("root"))
+    return stored(named, "jaccard-named")
+
+
 def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of documents; links are 100 * shared >= num / den * 100 * union.
 
@@ -339,16 +354,7 @@ def jaccard_components(documents: DataFrame, shingle: int = SHINGLE, num: int =
     pivot, the member with the most equal blocks. Sets of a list that are then still in different components are open: their
     shingles are counted, and pairs that share one of their rarest shingles early enough are tested too.
     """
-    spark = documents.sparkSession
-    width = shuffle_width(spark)
-    level = Threshold(num, den)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    found = stored(_gather(_spread(docs, partition_keys(spark, width), level, shingle), width), "jaccard-lists")
-    rows = found.where("lid is null").select("doc_id", "n", "sid", "th", "sketch")
-    lists = found.where("lid is not null").select("lid", "members")
-    nodes = _link(spark, docs, rows, lists, shingle, num, den)
-    named = rows.join(nodes, rows["sid"] == nodes["node"], "left").select("doc_id", "n", F.coalesce("component", "sid").alias("root"))
-    named = stored(named, "jaccard-named")
+    named = jaccard_groups(documents, shingle, num, den)
     placed, alone = named.where("root is not null"), named.where("root is null")
     names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
     found = join_to_one(placed, names, ["root"], "rows", named.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -370,13 +376,15 @@ def _near(pairs: DataFrame, owners: DataFrame, level: Threshold) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, owners: DataFrame, sids: DataFrame, name: str) -> DataFrame:
-    """(sid, text, n) of the named sets, from the document that owns each: the numbered one of that text or, for a set
+def _texts(docs: DataFrame, owners: DataFrame, sids: DataFrame, repeated: bool, name: str) -> DataFrame:
+    """(sid, text, n) of the named sets, once each, from the document that owns each: the numbered one of that text or, for a set
     that only rows with a null doc_id hold, one of theirs."""
     wanted = stored(owners.select("sid", "doc_id", "th", "n").join(sids.distinct(), "sid", "left_semi"), name + "-owners")
     few = wanted.count() <= BROADCAST_OWNERS
     numbered, other = wanted.where("doc_id is not null"), wanted.where("doc_id is null").drop("doc_id")
     found = docs.join(F.broadcast(numbered) if few else numbered, ["doc_id", "th"]).select("sid", "text", "n")
+    if repeated:  # some rows stand twice
+        found = found.dropDuplicates(["sid"])
     nameless = docs.where("doc_id is null").join(F.broadcast(other) if few else other, "th")
     nameless = nameless.groupBy("sid").agg(F.min("text").alias("text"), F.min("n").alias("n"))  # copies have no id to tell them apart
     return stored(found.unionByName(nameless), name)
@@ -403,13 +411,14 @@ def _link(spark: SparkSession, docs: DataFrame, rows: DataFrame, lists: DataFram
     owners = stored(owners.select("sid", "head.doc_id", "head.th", "n", "sketch"), "jaccard-owners")
     near = stored(_near(stars, owners, level), "jaccard-near")
     link = F.expr(f"{den} * shared >= {num} * (na + nb - shared)")
-    texts = _texts(docs, owners, _ends(near), "jaccard-texts")
+    repeated = not rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    texts = _texts(docs, owners, _ends(near), repeated, "jaccard-texts")
     links = stored(_test(near, texts, shingle).where(link).select("a", "b"), "jaccard-links")
     parts = connected_components(links, "a", "b")
     placed = members.join(parts, members["sid"] == parts["node"], "left").select("lid", "sid", F.coalesce("component", "sid").alias("part"))
     mixed = placed.groupBy("lid").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("lid")
     open_ = stored(placed.join(mixed, "lid", "left_semi").select("sid", "part").distinct().join(owners.select("sid", "n"), "sid"), "jaccard-open")
-    texts = _texts(docs, owners, open_.select("sid"), "jaccard-open-texts")
+    texts = _texts(docs, owners, open_.select("sid"), repeated, "jaccard-open-texts")
     rest = _prefix_pairs(spark, open_, texts, shingle, num, den)
     seen = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = stored(_near(rest.join(seen, ["a", "b"], "left_anti"), owners, level), "jaccard-rest")

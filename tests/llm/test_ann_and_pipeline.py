@@ -154,3 +154,16 @@ def test_stages_take_clashing_columns(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and {r._id for r in out.select("_id").distinct().collect()} == {"_id"}, name
+
+
+def test_near_duplicates_by_row(spark):
+    """A near copy goes whatever rows share its doc_id, and 5000 repeats of two near texts are one pair."""
+    a = " ".join(f"w{i}" for i in range(60))
+    b = " ".join(f"v{i}" for i in range(60))
+    schema = "doc_id long, text string, own_id string"
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()), key=str)
+    assert kept([(1, a, "x"), (None, a + " more", "x")]) == [(1, a)]
+    assert kept([(1, a, "x"), (None, a + " more", "x"), (None, "", "x"), (None, "", "x"), (None, None, "x")]) == sorted([(1, a), (None, ""), (None, ""), (None, None)], key=str)
+    assert kept([(1, a, "x"), (5, a + " more", "x"), (5, b, "x")]) == [(1, a), (5, b)]
+    assert kept([(None, a, "x"), (None, a, "x"), (None, b, "x")]) == sorted([(None, a), (None, b)], key=str)
+    assert kept([(7, a, "x")] * 5000 + [(8, a + " more", "x")] * 5000) == [(7, a)]
