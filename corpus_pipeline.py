@@ -33,16 +33,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id; texts without words are no duplicates. A
-    null doc_id stays only if no numbered document is in its group. A row repeated exactly stays once."""
-    groups = jaccard.jaccard_components(docs.select("doc_id", "text"), SHINGLE, NUM, DEN)
-    (head,) = unused(docs.columns, "head")
-    heads = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias(head)).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads[head]), "left_semi")
-    (no,) = unused(docs.columns, "no")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    """Of each group of near duplicates one document, that of the smallest doc_id (null last), once; texts without words are no duplicates. Rows are known by doc_id and text, so
+    a row goes or stays by its own group, whatever other rows have its doc_id or none. A row without words that is repeated exactly stays once, without a doc_id as often as it stands."""
+    groups = jaccard.jaccard_groups(docs.select("doc_id", "text"), SHINGLE, NUM, DEN)
+    own, mark, alone, no = unused(docs.columns, "own_id", "mark", "alone", "no")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("head")
+    heads = groups.where("root is not null").groupBy("root").agg(head).select("head.doc_id", "head.th", F.lit(False).alias(alone))
+    others = groups.where("root is null").select("doc_id", "th", F.lit(True).alias(alone)).distinct()
+    keys = heads.unionByName(others).select(F.col("doc_id").alias(own), F.col("th").alias(mark), alone)
+    kept = docs.join(keys, docs["doc_id"].eqNullSafe(keys[own]) & (F.xxhash64(docs["text"]) == keys[mark]))
+    again = Window.partitionBy("doc_id", mark).orderBy(F.lit(1))
     kept = kept.select("*", F.row_number().over(again).alias(no))
-    return kept.where((F.col(no) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    return kept.where((F.col(no) == 1) | (F.col(alone) & F.col("doc_id").isNull())).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
