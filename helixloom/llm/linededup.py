@@ -1,119 +1,94 @@
 """Line dedup by winnowing over line hashes (DataFrame functions only).
 
-Each text is a row of lines. A window is a run of one to ``window`` lines with ``least_chars`` characters in all; the line with the
-smallest hash in it (the last of equals) is its fingerprint. Equal windows choose the same line, so a repeated window is guaranteed to
-meet its earlier copy at a fingerprint. Only the distinct fingerprint lines are kept, each with its neighbours. Positions of equal
-fingerprints are joined with the first of them, the match is extended both ways by comparing neighbours, and the windows that it covers
-are deleted from the later place. Windows that fit no first place, as the lines around it differ, are joined once more among themselves.
+Each text is a row of lines. A run of lines is repeated if an equal run stands earlier and holds ``least_chars`` characters in all; it may have any number
+of lines. Every such run is the union of the shortest stretches in it that hold as many characters, counted on from one of its lines or back from one: these
+stretches are the windows, at most two for each line and each of at most ``least_chars`` lines that have characters. (Between two lines that are long enough alone, empty lines belong to a window of both.) The line with the smallest hash in a window (the last of equals) is its
+fingerprint. Equal windows choose the same line, so a repeated window is guaranteed to meet its earlier copy at a fingerprint. Positions of equal fingerprints are joined, the match is
+extended both ways to the ends of their windows, and what later windows cover is deleted, which follows a run on until its lines differ.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixloom.llm.common import join_to_one, stored, unused
 
-#: A repeated window of at most so many lines is deleted if it has least_chars characters in all.
-WINDOW, LEAST_CHARS = 3, 40
+#: A repeated run is deleted if its lines have so many characters in all.
+LEAST_CHARS = 40
+
+
+def _windows(parts: Column, least_chars: int) -> Column:
+    """Codes of the windows of parts, the lines with characters: place of the first among them * (least_chars + 2) + their number."""
+    unit = least_chars + 2
+    begin = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("lines"))
 
+    def most(near: Column) -> Column:
+        """How many of the lines near make a window; null if all of them have too few characters."""
+        more = lambda acc, x: F.when(acc["chars"] >= least_chars, acc).otherwise(F.struct((acc["chars"] + x["n"]).alias("chars"), (acc["lines"] + 1).alias("lines")))
+        return F.aggregate(near, begin, more, lambda acc: F.when(acc["chars"] >= least_chars, acc["lines"]))
 
-def _windows(window: int) -> list[tuple[int, int]]:
-    """(lines before, lines behind) a fingerprint in the windows that can hold it."""
-    return [(a, b) for a in range(window) for b in range(window - a)]
+    def on(x: Column, i: Column) -> Column:
+        start = i.cast("long") * unit
+        return F.when(x["n"] >= least_chars, start + 1).otherwise(start + most(F.slice(parts, i + 1, least_chars)))
 
+    def back(x: Column, i: Column) -> Column:
+        near = F.reverse(F.slice(parts, F.greatest(i - (least_chars - 2), F.lit(1)), F.least(i + 1, F.lit(least_chars))))
+        many = F.when(x["n"] < least_chars, most(near))
+        return (i.cast("long") - many + 1) * unit + many
 
-def _bits(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(conditions)])
+    def pair(x: Column, i: Column) -> Column:
+        y = F.get(parts, i + 1)
+        return F.when((x["n"] >= least_chars) & (y["n"] >= least_chars) & (y["pos"] > x["pos"] + 1), i.cast("long") * unit + 2)
 
+    return F.array_distinct(F.array_compact(F.concat(F.transform(parts, on), F.transform(parts, back), F.transform(parts, pair))))
 
-def fingerprints(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, text_hash, pos, h, g, before, behind, long, chosen: every line that is the minimum of a window, once.
 
-    h and g are two hashes of the line; before and behind hold the hashes of the neighbours, nearest first, null beyond the text. The
-    bits of long say which windows (in the order of _windows) have the characters, those of chosen which of them have their minimum here.
+def fingerprints(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, text_hash, pos, h, g, before, behind, k1, k2: every window, at the line that is its minimum.
+
+    h and g are two hashes of that line, before and behind say how many lines the window reaches from there, k1 and k2 hash its lines and the gaps between them.
     """
-    lines = F.split("text", "\n")
-    base = documents.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.length(x).alias("n"))).alias("lines"),
-    )
-    near = range(1 - window, window)
-    spot = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("pos"), *[F.get("lines", i + k).alias(f"x{k + window}") for k in near])
-    )
-    base = base.select("doc_id", "text_hash", F.explode(spot).alias("s")).select("doc_id", "text_hash", "s.*")
-    at = {k: F.col(f"x{k + window}") for k in near}
-    long, chosen = [], []
-    for a, b in _windows(window):
-        chars = reduce(lambda x, y: x + y, [at[k]["n"] for k in range(-a, b + 1)])  # null where the window leaves the text
-        long.append(F.coalesce(chars >= least_chars, F.lit(False)))
-        least = [at[0]["h"] <= at[k]["h"] for k in range(-a, 0)] + [at[0]["h"] < at[k]["h"] for k in range(1, b + 1)]
-        chosen.append(reduce(lambda x, y: x & y, least, long[-1]))
-    side = lambda ks: F.array(*[at[k]["h"] for k in ks]) if ks else F.array().cast("array<bigint>")
-    out = base.select(
-        "doc_id", "text_hash", "pos", at[0]["h"].alias("h"), at[0]["g"].alias("g"), side(range(-1, -window, -1)).alias("before"),
-        side(range(1, window)).alias("behind"), _bits(long).alias("long"), _bits(chosen).alias("chosen"),
-    )
-    return out.where("chosen > 0")
-
-
-def _equal(mine: str, other: str, most: int) -> Column:
-    """How many neighbours, nearest first, agree."""
-    same = [F.get(mine, F.lit(i)) == F.get(other, F.lit(i)) for i in range(most)]
-    return reduce(lambda rest, c: F.when(c, rest + 1).otherwise(F.lit(0)), reversed(same), F.lit(0))
-
-
-def repeated_lines(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """doc_id, text_hash, drop: the sorted places (from 0) of the lines that lie in a repeated window.
-
-    A window is repeated if an equal one stands earlier: in a smaller doc_id, or in the same one at a smaller place.
+    line = lambda x, i: F.struct(i.alias("pos"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), F.length(x).alias("n"))
+    parts = F.filter(F.transform(F.split("text", "\n"), line), lambda x: x["n"] > 0)
+    base = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), parts.alias("parts"))
+    unit = least_chars + 2
+    held = F.transform(_windows(F.col("parts"), least_chars), lambda w: F.slice("parts", (F.floor(w / unit) + 1).cast("int"), F.pmod(w, F.lit(unit)).cast("int")))
+
+    def window(el: Column) -> Column:
+        first, last = F.get(el, F.lit(0))["pos"], F.element_at(el, -1)["pos"]
+        least = F.array_min(F.transform(el, lambda x: F.struct(x["h"].alias("h"), (-x["pos"]).alias("back"), x["g"].alias("g"))))
+        return F.struct(
+            least.alias("least"), first.alias("first"), last.alias("last"), F.xxhash64(F.transform(el, lambda x: F.struct(x["h"], x["pos"] - first))).alias("k1"),
+            F.xxhash64(F.lit(1), F.transform(el, lambda x: x["g"])).alias("k2"),
+        )
+
+    out = base.select("doc_id", "text_hash", F.explode(F.transform(held, window)).alias("w")).select("doc_id", "text_hash", "w.*")
+    pos = -F.col("least.back")
+    return out.select("doc_id", "text_hash", pos.alias("pos"), "least.h", "least.g", (pos - F.col("first")).alias("before"), (F.col("last") - pos).alias("behind"), "k1", "k2")
+
+
+def repeated_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """doc_id, text_hash, drop: the sorted places (from 0) of the lines that lie in a repeated run.
+
+    A run is repeated if an equal one stands earlier: in a smaller doc_id, or in the same one at a smaller place.
     """
     docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    spots = stored(fingerprints(docs, window, least_chars), "line-fingerprints")
+    spots = stored(fingerprints(docs, least_chars), "line-fingerprints")
     place = F.struct("doc_id", "pos")
-    kinds = _windows(window)
-
-    shared = spots.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("z"), F.count(F.lit(1)).alias("n")).where("first < z")
-    shared = stored(shared.select("h", "g", "first", "n"), "line-shared")
-    total = spots.count()
-    met = stored(join_to_one(spots, shared, ["h", "g"], "n", total), "line-positions")
-    heads = met.where(place == F.col("first")).groupBy("h", "g").agg(F.min(F.struct("before", "behind")).alias("s"), F.max("n").alias("n"))
-    heads = heads.select("h", "g", F.col("s.before").alias("f_before"), F.col("s.behind").alias("f_behind"), "n")
-    later = join_to_one(met.drop("n"), heads, ["h", "g"], "n", total)
-    later = later.select("*", _equal("before", "f_before", window - 1).alias("left"), _equal("behind", "f_behind", window - 1).alias("right"))
-    fits = _bits([(F.col("left") >= a) & (F.col("right") >= b) for a, b in kinds])
-    later = later.select(
-        "doc_id", "text_hash", "pos", "h", "g", "before", "behind", F.when(place > F.col("first"), F.col("long").bitwiseAND(fits)).otherwise(0).alias("found"),
-        F.col("chosen").bitwiseAND(F.bitwise_not(fits)).alias("rest"),
-    )
-    later = stored(later.where("found > 0 or rest > 0"), "line-matches")
-
-    def span(bits: Column) -> Column:
-        """The stretch that the windows in bits cover: all of them hold the fingerprint."""
-        has = [bits.bitwiseAND(1 << i) > 0 for i in range(len(kinds))]
-        reach = lambda side: F.greatest(*[F.when(c, k[side]).otherwise(0) for c, k in zip(has, kinds)], F.lit(0))
-        return F.struct((F.col("pos") - reach(0)).alias("a"), (F.col("pos") + reach(1)).alias("b"))
-
-    spans = later.where("found > 0").select("doc_id", "text_hash", span(F.col("found")).alias("s"))
-
-    # windows that differ from the first place of their fingerprint may still equal one another
-    pieces = [
-        F.when(F.col("rest").bitwiseAND(1 << i) > 0, F.struct(
-            F.lit(1 << i).alias("kind"), *[F.xxhash64(F.lit(seed), F.slice("before", 1, a), F.slice("behind", 1, b)).alias(f"k{seed}") for seed in (1, 2)]
-        )) for i, (a, b) in enumerate(kinds)
-    ]
-    open_ = later.where("rest > 0").select("doc_id", "text_hash", "pos", "h", "g", F.explode(F.array_compact(F.array(*pieces))).alias("w"))
-    open_ = stored(open_.select("doc_id", "text_hash", "pos", "h", "g", "w.*"), "line-open")
-    key = ["h", "g", "kind", "k1", "k2"]
-    again = open_.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("z"), F.count(F.lit(1)).alias("n")).where("first < z").drop("z")
-    again = join_to_one(open_, stored(again, "line-again"), key, "n", open_.count()).where(place > F.col("first"))
-    spans = spans.unionByName(again.select("doc_id", "text_hash", span(F.col("kind")).alias("s")))
-
-    covered = F.flatten(F.transform(F.collect_set("s"), lambda s: F.sequence(s["a"], s["b"])))
-    return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(covered)).alias("drop"))
+
+    def repeats(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """The rows whose keys stand at two places or more, and the first of these."""
+        ones = rows.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("z"), F.count(F.lit(1)).alias("n")).where("first < z").drop("z")
+        return join_to_one(rows, stored(ones, name), keys, "n", rows.count()).drop("n")
+
+    met = stored(repeats(spots, ["h", "g"], "line-shared").drop("first"), "line-positions")
+    later = repeats(met, ["h", "g", "before", "behind", "k1", "k2"], "line-matches").where(place > F.col("first"))
+    spans = later.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct((F.col("pos") - F.col("before")).alias("a"), (F.col("pos") + F.col("behind")).alias("b")))).alias("spans"))
+    # in order of their starts the ends of windows never go back, so each adds what lies behind the end of the one before
+    start = lambda s, i: F.greatest(s["a"], F.coalesce(F.get("spans", i - 1)["b"] + 1, F.lit(0)))
+    added = F.transform("spans", lambda s, i: F.when(start(s, i) <= s["b"], F.sequence(start(s, i), s["b"])).otherwise(F.array().cast("array<int>")))
+    return spans.select("doc_id", "text_hash", F.flatten(added).alias("drop"))
 
 
 def _without(lines: Column, drop: Column) -> Column:
@@ -126,10 +101,11 @@ def _without(lines: Column, drop: Column) -> Column:
     return F.array_join(F.flatten(parts), "\n")
 
 
-def dedup_lines(documents: DataFrame, window: int = WINDOW, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The rows of documents with repeated windows of lines deleted from text, and n_lines, n_dropped beside them.
+def dedup_lines(documents: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """The rows of documents with repeated runs of lines deleted from text, and n_lines, n_dropped beside them.
 
-    The first place (smallest doc_id, then place) of every window of up to ``window`` lines with ``least_chars`` characters stays. Rows
+    The first place (smallest doc_id, then place) of every run of lines with ``least_chars`` characters stays. A run begins and ends with lines that have characters: empty lines in it
+    must agree and go with it, those at its edges stay. Rows
     with a null doc_id or text stay as they are and are no source of repeats (n_lines 0 for null text); rows repeated exactly are one
     document and get equal texts; rows that share a doc_id but not the text are ordered by place alone. An n_chars column, where
     there is one, is set to the new length. Other columns stay whatever their names, but for own n_lines, n_dropped, which are
@@ -138,7 +114,7 @@ def dedup_lines(documents: DataFrame, window: int = WINDOW, least_chars: int = L
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     own, hash_, gone, body = unused([*names, "n_lines", "n_dropped"], "own_id", "own_hash", "gone", "body")
     d = documents.select(*[F.col(f"`{c}`") for c in names])
-    drops = repeated_lines(d, window, least_chars).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hash_), F.col("drop").alias(gone))
+    drops = repeated_lines(d, least_chars).select(F.col("doc_id").alias(own), F.col("text_hash").alias(hash_), F.col("drop").alias(gone))
     joined = d.join(drops, (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(hash_)), "left")
     lines = F.split("text", "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
@@ -154,17 +130,24 @@ with lines as (
   select doc_id, u.pos as pos, u.line as line
   from (select distinct doc_id, text, string_split(text, chr(10)) as ls from documents where doc_id is not null and text is not null),
     lateral (select unnest(ls) as line, unnest(range(len(ls))) as pos) as u),
-next as (
-  select *, lead(line, 1) over w as l1, lead(line, 2) over w as l2 from lines window w as (partition by doc_id order by pos)),
+full_lines as (
+  select *, sum(length(line)) over (partition by doc_id order by pos) as c1, c1 - length(line) as c0,
+    repeat(chr(10), (pos - coalesce(lag(pos) over (partition by doc_id order by pos), 0))::int) as gap
+  from lines where length(line) > 0),
+ends as (
+  select doc_id, pos as a, max(pos) over w as b, max(c1) over w - c0 as chars from full_lines
+  window w as (partition by doc_id order by c0 range between current row and 39 following)
+  union
+  select doc_id, min(pos) over w, pos, c1 - min(c0) over w from full_lines
+  window w as (partition by doc_id order by c1 range between 39 preceding and current row)
+  union
+  select doc_id, a, pos, 80 from (select *, lag(pos) over w as a, lag(length(line)) over w as n from full_lines window w as (partition by doc_id order by pos))
+  where n >= 40 and length(line) >= 40 and pos > a + 1),
 windows as (
-  select doc_id, pos, 1 as width, 'a' || line as run from next where length(line) >= 40
-  union all
-  select doc_id, pos, 2, 'b' || line || chr(10) || l1 from next where l1 is not null and length(line) + length(l1) >= 40
-  union all
-  select doc_id, pos, 3, 'c' || line || chr(10) || l1 || chr(10) || l2 from next
-  where l2 is not null and length(line) + length(l1) + length(l2) >= 40),
-ranked as (select *, row_number() over (partition by run order by doc_id, pos) as rn from windows),
-gone as (select distinct doc_id, pos + i as pos from ranked, unnest(range(width)) as u(i) where rn > 1),
+  select e.doc_id, e.a, e.b, string_agg(case when l.pos = e.a then '' else l.gap end || l.line, '' order by l.pos) as run
+  from (select distinct doc_id, a, b from ends where chars >= 40) e join full_lines l on l.doc_id = e.doc_id and l.pos between e.a and e.b group by e.doc_id, e.a, e.b),
+ranked as (select *, row_number() over (partition by run order by doc_id, a) as rn from windows),
+gone as (select distinct doc_id, unnest(range(a, b + 1)) as pos from ranked where rn > 1),
 kept as (
   select l.doc_id, count(*) as n_lines, count(g.pos) as n_dropped, coalesce(string_agg(l.line, chr(10) order by l.pos) filter (where g.pos is null), '') as text
   from lines l left join gone g on g.doc_id = l.doc_id and g.pos = l.pos group by l.doc_id)

@@ -59,23 +59,7 @@ def empty(spark):
 
 
 def test_line_dedup(docs, rows, spark):
-    seen, want = {}, {}
-    once = dict(rows)
-    for d in sorted(once):
-        if once[d] is None:
-            want[d] = None
-            continue
-        ls = once[d].split("\n")
-        gone = set()
-        for w in (1, 2, 3):
-            for p in range(len(ls) - w + 1):
-                run = tuple(ls[p : p + w])
-                if sum(map(len, run)) >= 40:
-                    if run in seen:
-                        gone |= set(range(p, p + w))
-                    else:
-                        seen[run] = (d, p)
-        want[d] = "\n".join(x for p, x in enumerate(ls) if p not in gone)
+    want = {d: t for (d, _), t in brute_lines(rows).items()}
     out = linededup.dedup_lines(docs).collect()
     assert len(out) == len(rows) and {r.doc_id: r.text for r in out} == want
     assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.hash == "clash" for r in out)
@@ -411,31 +395,38 @@ def test_toxicity(spark):
     assert toxicity.score_documents(empty(spark), None).count() == 0 and toxicity.score_documents(empty(spark), model).count() == 0
 
 
-def brute_lines(rows, window=3, least=40):
-    """(doc_id, text) -> the text without repeated windows; rows in order of place."""
+def brute_lines(rows, least=40):
+    """(doc_id, text) -> the text without repeated runs of any number of lines; rows in order of place."""
     seen, gone = {}, {}
-    spots = sorted({(d, p, w, t) for d, t in rows if d is not None and t is not None for w in range(1, window + 1) for p in range(len(t.split("\n")) - w + 1)})
-    for d, p, w, t in spots:
-        run = tuple(t.split("\n")[p : p + w])
-        if sum(map(len, run)) >= least:
-            first = seen.setdefault(run, (d, p))
-            if first < (d, p):
-                gone.setdefault((d, t), set()).update(range(p, p + w))
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
+        ls = t.split("\n")
+        for p in range(len(ls)):
+            for q in range(p, len(ls)):
+                if ls[p] and ls[q] and sum(map(len, ls[p : q + 1])) >= least:
+                    run = "\n".join(ls[p : q + 1])
+                    seen[run] = min(seen.get(run, (d, p)), (d, p))
+    for d, t in set(rows):
+        if d is not None and t is not None:
+            ls = t.split("\n")
+            for p in range(len(ls)):
+                for q in range(p, len(ls)):
+                    if seen.get("\n".join(ls[p : q + 1]), (d, p)) < (d, p):
+                        gone.setdefault((d, t), set()).update(range(p, q + 1))
     return {(d, t): t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())) for d, t in rows}
 
 
-@pytest.mark.parametrize("window", [1, 3, 4])
-def test_line_dedup_of_few_kinds_of_lines(spark, window):
+@pytest.mark.parametrize("least", [1, 40, 75])
+def test_line_dedup_of_few_kinds_of_lines(spark, least):
     """Short lines of few kinds, so that fingerprints stand in many surroundings; ties, shared ids and clashing columns."""
-    rng = random.Random(window)
+    rng = random.Random(least)
     kinds = ["", "a" * 5, "b" * 12, "c" * 13, "d" * 20, "e" * 25, "f" * 41, "g" * 16, "h" * 18]
     texts = ["\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 9))) for _ in range(120)]
     rows = [(i // 2 if i % 10 == 0 else i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (7, None), (3, texts[3]), (900, "f" * 41)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     for c in ("gone", "own_id", "own_hash", "body", "pos", "h", "_drop", "_id", "first"):
         df = df.withColumn(c, F.lit(c))
-    out = linededup.dedup_lines(df, window).collect()
-    want = brute_lines(rows, window)
+    out = linededup.dedup_lines(df, least).collect()
+    want = brute_lines(rows, least)
     assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted(((d, want[d, t]) for d, t in rows), key=str)
     assert all(r.gone == "gone" and r.own_id == "own_id" and r._drop == "_drop" for r in out)
 
@@ -444,8 +435,36 @@ def test_fingerprints_are_minima_only(spark):
     """Of a long text of short lines only the window minima are kept."""
     text = "\n".join(f"line {i} of text" for i in range(3000))
     spots = linededup.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string"))
-    rows = spots.select("pos").collect()
-    assert len({r.pos for r in rows}) == len(rows) and 1200 < len(rows) < 1800
+    rows = spots.collect()
+    assert 1200 < len({r.pos for r in rows}) < 1800
+    assert len({(r.pos - r.before, r.pos + r.behind) for r in rows}) == len(rows) == 2998  # each stretch of three lines once
+
+
+def test_repeated_runs_are_followed_until_lines_differ(spark):
+    """Long runs of short lines, one long line with short ones behind it, a run with empty lines inside, and gaps that differ."""
+    short = [f"w{i:02d} abcd" for i in range(30)]
+    tail = ["x" * 45, *(f"t{i}" for i in range(10))]
+    gaps = ["a" * 15, "", "", "b" * 15, "", "c" * 15]
+    other = ["a" * 15, "", "b" * 15, "", "c" * 15]
+    many = ["y" * 20, *[""] * 3000, "z" * 20]
+    runs = [short, tail, gaps, many]
+    rows = [(i, "\n".join([f"own {i}", *r, "", f"end {i}"])) for i, r in enumerate(runs)]
+    rows += [(i + 10, "\n".join([f"own {i + 10}", *r, "", f"end {i + 10}"])) for i, r in enumerate([*runs, other])]
+    rows.append((20, "\n".join(["one", *short[20:], "two", *tail[:5], "three", *short[:25]])))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(rows) | {i + 10: f"own {i + 10}\n\nend {i + 10}" for i in range(4)} | {20: "one\ntwo\nthree"}
+    assert got == want
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(3)
+    kinds = ["", "", "b" * 12, "c" * 13, "e" * 25, "f" * 41, "g" * 45]
+    rows += [(100 + i, "\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 9)))) for i in range(150)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    kept = {d: hashlib.sha256(t.encode()).hexdigest() for (d, _), t in brute_lines(rows).items()}
+    assert {d: h for d, _, _, h in con.execute(linededup.ORACLE).fetchall()} == kept
 
 
 def test_toxicity_scores_recomputed_plainly(spark):
