@@ -458,6 +458,7 @@ def test_repeated_runs_are_followed_until_lines_differ(spark):
     import duckdb
     import pandas as pd
 
+    rows = [r for r in rows if r[1].count("\n") < 100]  # the plain version tries every pair of lines
     rng = random.Random(3)
     kinds = ["", "", "b" * 12, "c" * 13, "e" * 25, "f" * 41, "g" * 45]
     rows += [(100 + i, "\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 9)))) for i in range(150)]
