@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,21 +27,45 @@ def expand_walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda x: x["t"])).alias("walk"))
 
 
+def _read_blocks(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """(units, held): nested nodes with what they read out as (walk) and how many levels of blocks that has (height), and for each level of depth,
+    from the deepest up, what its blocks hold: keys, path, once, height."""
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    units = nodes.select(
+        *keys, "parent", "path", "depth", "cnt", "token", F.when(F.col("token").isNotNull(), F.array("token")).alias("walk"), F.when(F.col("token").isNotNull(), 0).alias("height")
+    )
+    levels = []
+    for level in range(deepest, 0, -1):
+        held = units.where(F.col("depth") == level).groupBy(*keys, F.col("parent").alias("path"))
+        held = held.agg(F.array_sort(F.collect_list(F.struct("path", "walk"))).alias("in"), (F.max("height") + 1).alias("inner"))
+        held = held.select(*keys, "path", F.flatten(F.transform("in", lambda x: x["walk"])).alias("once"), "inner")
+        levels.append(held)
+        units = units.where(F.col("depth") < level).join(held, [*keys, "path"], "left")
+        often = F.flatten(F.array_repeat("once", F.col("cnt").cast("int")))
+        fresh = F.col("token").isNull() & F.col("once").isNotNull()
+        units = units.select(
+            *keys, "parent", "path", "depth", "cnt", "token", F.when(fresh, often).otherwise(F.col("walk")).alias("walk"), F.when(fresh, F.col("inner")).otherwise(F.col("height")).alias("height")
+        )
+    return units, levels
+
+
 def expand_nested(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """keys, walk: read out nested nodes(keys.., parent, path, token, cnt, depth), each block's nodes as often as its count.
 
     A token node has a token; a block has none and holds the nodes whose parent is its path, in order of theirs; the root is the block without a parent, at
     depth 0. Blocks are read from the deepest up, one grouped list a level.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    units = nodes.select(*keys, "parent", "path", "depth", "cnt", "token", F.when(F.col("token").isNotNull(), F.array("token")).alias("walk"))
-    for level in range(deepest, 0, -1):
-        held = units.where(F.col("depth") == level).groupBy(*keys, F.col("parent").alias("path"))
-        held = held.agg(F.array_sort(F.collect_list(F.struct("path", "walk"))).alias("in")).select(*keys, "path", F.flatten(F.transform("in", lambda x: x["walk"])).alias("once"))
-        units = units.where(F.col("depth") < level).join(held, [*keys, "path"], "left")
-        often = F.flatten(F.array_repeat("once", F.col("cnt").cast("int")))
-        units = units.select(*keys, "parent", "path", "depth", "cnt", "token", F.coalesce(F.when(F.col("token").isNull(), often), "walk").alias("walk"))
-    return units.where("parent is null").select(*keys, "walk")
+    return _read_blocks(nodes, keys)[0].where("parent is null").select(*keys, "walk")
+
+
+def nested_units(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, unit_id, level, unit: what the blocks of nested nodes, but for the root, read out as once; level 1 holds no other block. Equal units of one
+    level are one."""
+    _, levels = _read_blocks(nodes, keys)
+    root = nodes.where("parent is null").select(*keys, "path")
+    units = reduce(DataFrame.unionByName, levels) if levels else root.select(*keys, "path", F.array().cast("array<string>").alias("once"), F.lit(0).alias("inner")).limit(0)
+    units = units.join(root, [*keys, "path"], "left_anti").select(*keys, F.col("inner").alias("level"), F.col("once").alias("unit")).distinct()
+    return units.select(*keys, F.sha2(F.array_join("unit", " "), 256).alias("unit_id"), "level", "unit")
 
 
 def tokens_long(cycles: DataFrame, keys: list[str], column: str = "tokens") -> DataFrame:
@@ -143,9 +169,10 @@ def reachable_cycles(cycles: DataFrame, backbone: DataFrame, keys: list[str]) ->
         seen = stored(seen.unionByName(front), "cycle-seen")
 
 
-def fold_repeats(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
-    """keys, unit_id, start, times: maximal runs of a unit (keys.., unit_id, unit) repeated back to back at least twice."""
-    both = walks.join(units, keys)
+def fold_repeats(walks: DataFrame, keys: list[str], units: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """keys, unit_id, start, times: maximal runs of a unit (keys.., unit_id, unit) repeated back to back at least twice. Units are those of equal keys, or of
+    equal values of some keys (on)."""
+    both = walks.join(units, on or keys)
     n, u = F.size("walk"), F.size("unit")
     at = F.filter(F.sequence(F.lit(0), F.greatest(n - u, F.lit(0))), lambda i: F.slice("walk", i + 1, u) == F.col("unit"))
     hit = both.where(u > 0).select(*keys, "unit_id", u.alias("u"), F.explode(at).alias("i"))
@@ -155,26 +182,58 @@ def fold_repeats(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFra
     return runs.where("times >= 2").select(*keys, "unit_id", "start", "times")
 
 
-def fold_walks(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
-    """keys, text, height: walks with repeated units folded into counts, ``H1+ (H3+ V1-)x5 H4+``, and the number of folded stretches.
+def fold_items(walks: DataFrame, keys: list[str], units: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """keys, walk: walks in which each folded stretch is one item, ``(H3+ V1-)x5``, among the others.
 
-    From left to right: of the runs that begin first the one that covers most tokens (then the smallest unit id) is folded, runs that overlap it are passed over."""
-    sized = fold_repeats(walks, keys, units).join(units.select(*keys, "unit_id", F.size("unit").alias("u")), [*keys, "unit_id"])
+    From left to right: of the runs that begin first the one that covers most items (then the smallest unit id) is folded, runs that overlap it are passed over."""
+    on = on or keys
+    sized = fold_repeats(walks, keys, units, on).join(units.select(*on, "unit_id", F.size("unit").alias("u")), [*on, "unit_id"])
     order = F.struct("start", (-F.col("times") * F.col("u")).alias("less"), F.col("unit_id").cast("string").alias("unit_id"), "u", F.col("times").cast("int").alias("times"))
     runs = walks.select(*keys, "walk").join(sized.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("runs")), keys, "left")
-    join = lambda a, n: F.array_join(F.slice("walk", a + 1, n), " ")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    span = "struct<a:int,u:int,times:int>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("taken"))
 
     def step(acc, r):
-        plain = F.when(r["start"] > acc["at"], F.array(join(acc["at"], r["start"] - acc["at"]))).otherwise(F.array().cast("array<string>"))
-        folded = F.concat(F.lit("("), join(r["start"], r["u"]), F.lit(")x"), r["times"].cast("string"))
-        taken = F.struct((r["start"] + r["u"] * r["times"]).cast("int").alias("at"), F.concat(acc["parts"], plain, F.array(folded)).alias("parts"))
-        return F.when(r["start"] >= acc["at"], taken).otherwise(acc)
-
-    out = runs.select(*keys, "walk", F.aggregate(F.coalesce("runs", F.expr("array()").cast("array<struct<start:int,less:bigint,unit_id:string,u:int,times:int>>")), begin, step).alias("f"))
-    rest = F.when(F.col("f.at") < F.size("walk"), F.array(join(F.col("f.at"), F.size("walk") - F.col("f.at")))).otherwise(F.array().cast("array<string>"))
-    parts = F.concat("f.parts", rest)
-    return out.select(*keys, F.array_join(parts, " ").alias("text"), F.size(F.filter(parts, lambda p: F.startswith(p, F.lit("(")))).alias("height"))
+        one = F.struct(r["start"].alias("a"), r["u"].alias("u"), r["times"].alias("times"))
+        return F.when(r["start"] >= acc["at"], F.struct((r["start"] + r["u"] * r["times"]).alias("at"), F.array_append(acc["taken"], one).alias("taken"))).otherwise(acc)
+
+    none = F.expr("array()").cast("array<struct<start:int,less:bigint,unit_id:string,u:int,times:int>>")
+    out = runs.select(*keys, "walk", F.aggregate(F.coalesce("runs", none), begin, step).alias("f")).select(*keys, "walk", "f.at", "f.taken")
+
+    def folded(r, i):
+        before = F.get("taken", i - 1)
+        done = F.coalesce(before["a"] + before["u"] * before["times"], F.lit(0))
+        text = F.concat(F.lit("("), F.array_join(F.slice("walk", r["a"] + 1, r["u"]), " "), F.lit(")x"), r["times"].cast("string"))
+        return F.concat(F.slice("walk", done + 1, r["a"] - done), F.array(text))
+
+    rest = F.slice("walk", F.col("at") + 1, F.size("walk") - F.col("at"))
+    return out.select(*keys, F.concat(F.flatten(F.transform("taken", folded)), rest).alias("walk"))
+
+
+def _as_text(items: DataFrame, keys: list[str]) -> DataFrame:
+    return items.select(*keys, F.array_join("walk", " ").alias("text"), F.size(F.filter("walk", lambda p: F.startswith(p, F.lit("(")))).alias("height"))
+
+
+def fold_walks(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
+    """keys, text, height: walks with repeated units folded into counts, ``H1+ (H3+ V1-)x5 H4+``, and the number of folded stretches, as fold_items takes them."""
+    return _as_text(fold_items(walks, keys, units), keys)
+
+
+def fold_nested(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFrame:
+    """keys, text, height: as fold_walks with units (keys.., unit_id, level, unit) of several levels, ``((H3+ V1-)x2 H2-)x3``; height counts outermost stretches.
+
+    Units are folded from the lowest level up: those of a level into the walks and into all units above it, which then repeat as items with counts.
+    Rounds grow with the levels of blocks, not with walks. Where lower units leave a copy of a higher one with another count, at its edge, that copy stands beside the fold.
+    """
+    deepest = units.agg(F.max("level")).first()[0] or 0
+    walks, todo = walks.select(*keys, "walk"), units.select(*keys, "unit_id", "level", "unit")
+    for level in range(1, deepest + 1):
+        now = todo.where(F.col("level") == level).select(*keys, "unit_id", "unit")
+        walks = fold_items(walks, keys, now)
+        above = todo.where(F.col("level") > level).select(*keys, F.col("unit_id").alias("outer_id"), "level", F.col("unit").alias("walk"))
+        above = fold_items(above, [*keys, "outer_id", "level"], now, keys)
+        todo = stored(above.select(*keys, F.col("outer_id").alias("unit_id"), "level", F.col("walk").alias("unit")), "fold-units") if level < deepest else above
+    return _as_text(walks, keys)
 
 
 def walk_signatures(walks: DataFrame) -> DataFrame:

@@ -655,6 +655,30 @@ def f12_fold_walks(spark, d):
     return cycles.fold_walks(w, ["allele", "cycle_id"], c.select("allele", "cycle_id", F.col("cycle_id").alias("unit_id"), F.col("tokens").alias("unit")))
 
 
+def doubled(spark, d):
+    """Each cycle as nested nodes: H9+, three times (twice the cycle, then V9+), H9-."""
+    c = V.v_cycles(spark, d).where("cycle_id >= 0").select("allele", "cycle_id", "tokens")
+    at = lambda *p: F.array(*[F.lit(x).cast("long") for x in p]) if p else F.array().cast("array<bigint>")
+    node = lambda parent, path, token, cnt, depth: F.struct(
+        parent.alias("parent"), path.alias("path"), F.lit(token).cast("string").alias("token"), F.lit(cnt).cast("long").alias("cnt"), F.lit(depth).alias("depth")
+    )
+    fixed = F.array(
+        node(F.lit(None).cast("array<bigint>"), at(), None, 1, 0), node(at(), at(0), "H9+", None, 1), node(at(), at(1), None, 3, 1), node(at(), at(2), "H9-", None, 1),
+        node(at(1), at(1, 0), None, 2, 2), node(at(1), at(1, 1), "V9+", None, 2),
+    )
+    inner = F.transform("tokens", lambda t, i: F.struct(at(1, 0).alias("parent"), F.concat(at(1, 0), F.array(i.cast("long"))).alias("path"), t.alias("token"), F.lit(None).cast("long").alias("cnt"), F.lit(3).alias("depth")))
+    return c.select("allele", "cycle_id", F.explode(F.concat(fixed, inner)).alias("n")).select("allele", "cycle_id", "n.*")
+
+
+@query(
+    """select allele, cycle_id, 'H9+ ((' || array_to_string(tokens, ' ') || ')x2 V9+)x3 H9-' as text, 1::int as height from v_cycles where cycle_id >= 0""",
+    "v_cycles",
+)
+def f12_fold_nested(spark, d):
+    n, keys = doubled(spark, d), ["allele", "cycle_id"]
+    return cycles.fold_nested(cycles.expand_nested(n, keys), keys, cycles.nested_units(n, keys))
+
+
 SIG = "select allele, cycle_id, md5(array_to_string(tokens, ';') || ';') as md5_walk, md5(regexp_replace(array_to_string(list_sort(tokens), ';'), '[+-]', '', 'g')) as md5_composition from v_cycles"
 
 

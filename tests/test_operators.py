@@ -142,6 +142,28 @@ def test_folded_walks(spark):
     assert got == {"a": ("H1+ (H3+ V1- V3- H2-)x5 H3+ H4+", 1), "b": ("H1+ H2+", 0), "c": ("(V1+)x7", 1)}
 
 
+def test_nested_folds(spark):
+    """Counts of counts, from the blocks of nested nodes; flanking copies join a block's count; walks that lack the units stay."""
+    ab, abc = ["A1+", "B1-"], ["A1+", "B1-", "A1+", "B1-", "C1+"]
+    walks = [("n", ["H1+", *abc * 3, "H2+"]), ("deep", [*((abc * 2 + ["D1+"]) * 2), "H2+"]), ("edge", [*ab, *abc * 3]), ("flat", ["H1+", "A1+"]), ("none", []), ("twin", [*ab * 4, "C1+", *abc])]
+    w = spark.createDataFrame(walks, "allele string, walk array<string>")
+    units = [("ab", 1, ab), ("abc", 2, abc), ("abcd", 3, abc * 2 + ["D1+"])]
+    u = spark.createDataFrame([(a, *x) for a, _ in walks for x in units], "allele string, unit_id string, level int, unit array<string>")
+    got = {r.allele: (r.text, r.height) for r in cycles.fold_nested(w, ["allele"], u).collect()}
+    assert got == {
+        "n": ("H1+ ((A1+ B1-)x2 C1+)x3 H2+", 1), "deep": ("(((A1+ B1-)x2 C1+)x2 D1+)x2 H2+", 1), "edge": ("(A1+ B1-)x3 C1+ ((A1+ B1-)x2 C1+)x2", 2),
+        "flat": ("H1+ A1+", 0), "none": ("", 0), "twin": ("(A1+ B1-)x4 C1+ (A1+ B1-)x2 C1+", 2),
+    }
+    nodes = [(None, [], None, 1, 0), ([], [0], "H1+", None, 1), ([], [1], None, 3, 1), ([], [2], "A1+", None, 1), ([1], [1, 0], None, 2, 2), ([1], [1, 1], "C1+", None, 2), ([1, 0], [1, 0, 0], "A1+", None, 3), ([1, 0], [1, 0, 1], "B1-", None, 3)]
+    n = spark.createDataFrame([("n", *x) for x in nodes], "allele string, parent array<long>, path array<long>, token string, cnt long, depth int")
+    units = cycles.nested_units(n, ["allele"])
+    assert sorted((r.level, r.unit) for r in units.collect()) == [(1, ab), (2, abc)]
+    walk = cycles.expand_nested(n, ["allele"])
+    assert walk.first().walk == ["H1+", *abc * 3, "A1+"]
+    assert cycles.fold_nested(walk, ["allele"], units).first().text == "H1+ ((A1+ B1-)x2 C1+)x3 A1+"
+    assert cycles.fold_nested(walk, ["allele"], units.limit(0)).first().text == " ".join(walk.first().walk)
+
+
 def test_walk_file_of_the_worked_case(spark):
     walk = ["H1+", *["H3+", "V1-", "V3-", "H2-"] * 5, "H3+", "H4+"]
     w = spark.createDataFrame([("s", 1, walk, 1, 1, 1, 2, 2)], "sample string, map_no int, walk array<string>, solution int, group_id int, allele int, allele_cn int, depth int")
