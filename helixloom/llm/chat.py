@@ -2,7 +2,8 @@
 
 A chat log often holds the same conversation many times, each snapshot one turn longer. Rolling hashes of
 the turn prefixes find the conversations that are a proper prefix of a longer one; an anti-join drops
-these, copies of one conversation keep the smallest id, and only what is left is rendered.
+these, copies of one conversation keep the smallest id, and only what is left is joined back to its turns and rendered. So the texts
+of a log of cumulative snapshots move as often as turns are logged, and not again as whole conversations.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixloom.llm.common import stored
+
 TURN_OPEN, TURN_MIDDLE, TURN_CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
@@ -20,12 +23,17 @@ def _turn_hash(seed: int):
     return F.xxhash64(*parts)
 
 
+def _owned(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, own: two hashes that tell a row without conv_id from all others, null where there is one."""
+    alone = [F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit(seed), "turn", F.col("role").isNull(), "role", F.col("text").isNull(), "text")) for seed in (1, 2)]
+    return conversations.select("conv_id", "turn", "role", "text", F.struct(*[h.alias(f"h{i}") for i, h in enumerate(alone)]).alias("own"))
+
+
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
     """One row for each distinct turn with ``pos`` (from 1), ``n`` turns in all, and the 128-bit hash of the
     prefix that ends with it. The hash is a running exclusive or of hashes that hold the position. A row without conv_id is a conversation
     of its own, which ``own`` tells apart."""
-    alone = [F.when(F.col("conv_id").isNull(), F.xxhash64(F.lit(seed), "turn", F.col("role").isNull(), "role", F.col("text").isNull(), "text")) for seed in (1, 2)]
-    turn = conversations.select("conv_id", "turn", "role", "text", F.struct(*[h.alias(f"h{i}") for i, h in enumerate(alone)]).alias("own"))
+    turn = _owned(conversations)
     by = Window.partitionBy("conv_id", "own").orderBy("turn", "role", "text")
     ranked = turn.select("*", F.dense_rank().over(by).alias("pos"), F.row_number().over(by).alias("rn"))
     ranked = ranked.select("*", F.lag("pos").over(by).alias("before"))
@@ -50,25 +58,23 @@ def format_chats(
     one when conversations are compared and is rendered empty. Of equal conversations the smallest id
     stays (null last), with the number of copies. An empty table gives no rows.
     """
-    turns = turn_prefixes(conversations)
-    key = F.struct("pos", "h1", "h2")
-    prefixes = turns.where("pos < n").select(key.alias("key")).distinct()
-    piece = F.concat(
-        F.lit(turn_open), F.coalesce("role", F.lit("")), F.lit(turn_middle), F.coalesce("text", F.lit("")), F.lit(turn_close)
-    )
-    whole = turns.groupBy("conv_id", "own").agg(
-        F.max(key).alias("key"), F.sort_array(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("turns")
-    )
-    one = whole.groupBy("key").agg(
-        F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "turns")).alias("kept"),
-        F.count(F.lit(1)).alias("copies"),
-    )
-    return one.join(prefixes, "key", "left_anti").select(
-        F.col("kept.conv_id").alias("conv_id"),
-        F.size("kept.turns").cast("long").alias("n_turns"),
-        F.col("copies"),
-        F.array_join(F.col("kept.turns.piece"), "").alias("chat"),
+    turns = stored(turn_prefixes(conversations).select("conv_id", "own", "n", F.struct("pos", "h1", "h2").alias("key")), "chat-prefixes")
+    prefixes = turns.where("key.pos < n").select("key").distinct()
+    one = turns.where("key.pos = n").groupBy("key").agg(
+        F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "own")).alias("kept"), F.count(F.lit(1)).alias("copies")
     )
+    kept = stored(one.join(prefixes, "key", "left_anti").select("kept.conv_id", "kept.own", "copies"), "chat-kept")
+    line = F.struct("turn", "role", "text")
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    piece = lambda x: F.concat(F.lit(turn_open), blank(x["role"]), F.lit(turn_middle), blank(x["text"]), F.lit(turn_close))
+
+    def rendered(key: str, rows: str) -> DataFrame:
+        told = _owned(conversations).where(rows).join(kept.where(rows).select(key, "copies"), key)
+        told = told.groupBy(key).agg(F.first("copies").alias("copies"), F.sort_array(F.collect_set(line)).alias("turns"))
+        conv_id = F.col("conv_id") if key == "conv_id" else F.lit(None).cast(conversations.schema["conv_id"].dataType)
+        return told.select(conv_id.alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), "copies", F.array_join(F.transform("turns", piece), "").alias("chat"))
+
+    return rendered("conv_id", "conv_id is not null").unionByName(rendered("own", "conv_id is null"))
 
 
 ORACLE = """
