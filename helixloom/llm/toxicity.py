@@ -141,7 +141,8 @@ def dictionaries(base: bytes, ordinary: list[list[bytes]], toxic: list[list[byte
     """The contents of the two dictionaries from the hard windows of each text.
 
     In each round either half of the texts keeps the windows that the dictionaries of the other half pack APART bytes shorter on
-    their own side, so that a window counts only for what other texts of its side have too.
+    their own side, so that a window counts only for what other texts of its side have too. Texts come in hashed order, so that those of ordinary kind
+    that are more than MORE_ORDINARY to a toxic one are left out by chance, not by their ids.
     """
     ordinary, toxic = first_only(ordinary[: MORE_ORDINARY * len(toxic)]), first_only(toxic)
     for _ in range(ROUNDS):
@@ -184,9 +185,9 @@ def fit_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     text = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     rows = text.join(F.broadcast(pick), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     place = F.xxhash64(F.lit(11), F.col("doc_id"))
-    rows = stored(rows.select(F.col("doc_id").alias("no"), "toxic", "text", (F.pmod(place, F.lit(3)) == 0).alias("calibrates")), "toxicity-fit")
-    marked = {r["no"]: (r["toxic"], r["calibrates"]) for r in rows.select("no", "toxic", "calibrates").collect()}
-    if len(set(marked.values())) < 4:
+    rows = stored(rows.select(F.col("doc_id").alias("no"), "toxic", "text", (F.pmod(place, F.lit(3)) == 0).alias("calibrates"), F.xxhash64(F.lit(12), F.col("doc_id")).alias("place")), "toxicity-fit")
+    marked = {r["no"]: (r["toxic"], r["calibrates"], r["place"]) for r in rows.select("no", "toxic", "calibrates", "place").collect()}
+    if len({m[:2] for m in marked.values()}) < 4:
         return None
     train = rows.where("not calibrates")
 
@@ -199,7 +200,7 @@ def fit_model(documents: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
         plain, packed = compressor(b""), compressor(base)
         return lambda t: hard_pieces(t.lower().encode(), plain, packed)
 
-    hard = _per_text(train, pa.list_(pa.binary()), "array<binary>", pieces)
+    hard = sorted(_per_text(train, pa.list_(pa.binary()), "array<binary>", pieces), key=lambda x: (marked[x[0]][2], x[0]))
     ordinary, toxic = dictionaries(base, *([w for no, w in hard if marked[no][0] == k] for k in (0, 1)))
     model = Model(base, ordinary, toxic)
 
