@@ -1,9 +1,11 @@
 """Splice all cycle copies of an allele into one source-to-sink walk, by rounds of table operations over all alleles at once.
 
-A walk under construction is a table of nodes: a token, or a block that holds nodes and is repeated. A node is known by its ``path``, an
-array of numbers that sorts in reading order and begins with its block's path, so inserting, splitting and reading out need neither
-renumbering nor recursion. A round joins the copies that are left with the tokens that have their anchor, keeps the best site of each
-allele by one grouped minimum, and writes the new nodes. Rounds grow with the cycles of one allele, not with the number of alleles.
+A walk under construction is a table of blocks: each holds the tokens of one cycle and is repeated. A block is known by its ``path``, an
+array of numbers that sorts in reading order and begins with the path of the block around it, so inserting, splitting and reading out need neither
+renumbering nor recursion; a token's path follows from its place in its block. A round joins the copies that are left with the tokens that have their
+anchor, keeps the best site of each allele by one grouped minimum, and writes the blocks that this adds or changes, under the round's number: the last
+version of a block counts. What is written so grows with the sites taken, not with rounds times walks. Rounds grow with the cycles of one allele, not with
+the number of alleles.
 """
 
 from __future__ import annotations
@@ -13,30 +15,43 @@ from pyspark.sql import functions as F
 
 from helixloom.functions.tokens import canonical_start, reanchor, reverse_complement, segment_of
 from helixloom.operators.cycles import cycle_stats, choose_anchors, expand_nested, select_backbone
-from helixloom.sources.storage import stored
+from helixloom.sources.storage import Log, stored
 
 #: Later copies of a split block come nearer to it: their path ends with this number less the round.
 FAR = 1 << 40
 ROOT = "cast(array() as array<bigint>)"
 
 
+#: Fields of a block beside keys and path, the round that wrote it first.
+BLOCK = ("no", "parent", "cycle_id", "base", "cnt", "times", "depth")
+
+
 def _root(spine: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes of a fresh walk: the root block, which stands once, and the backbone's tokens."""
-    block = spine.select(
-        *keys, F.expr("cast(null as array<bigint>)").alias("parent"), F.expr(ROOT).alias("path"), F.lit(None).cast("string").alias("token"),
-        F.col("cycle_id").cast("string").alias("cycle_id"), F.col("tokens").alias("base"), F.lit(1).cast("long").alias("cnt"), F.lit(1).cast("long").alias("times"), F.lit(0).alias("depth"),
+    """The only block of a fresh walk, which stands once and holds the backbone's tokens."""
+    return spine.select(
+        *keys, F.expr(ROOT).alias("path"), F.lit(0).cast("long").alias("no"), F.expr("cast(null as array<bigint>)").alias("parent"), F.col("cycle_id").cast("string").alias("cycle_id"),
+        F.col("tokens").alias("base"), F.lit(1).cast("long").alias("cnt"), F.lit(1).cast("long").alias("times"), F.lit(0).alias("depth"),
     )
-    return block.unionByName(_tokens(block, keys))
 
 
-def _tokens(blocks: DataFrame, keys: list[str]) -> DataFrame:
-    """A node for each token of new blocks; times: how often the whole walk reads it."""
-    long = blocks.select(*keys, "path", "times", "depth", F.posexplode("base").alias("i", "token"))
+def _latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    return versions.groupBy(*keys, "path").agg(F.max(F.struct(*BLOCK)).alias("now")).select(*keys, "path", "now.*")
+
+
+def _place(i) -> F.Column:
+    """The path of the i-th token (from 0) of the block with the column ``path``; there is room before and behind it."""
     zero = F.lit(0).cast("long")
-    return long.select(
-        *keys, F.col("path").alias("parent"), F.concat("path", F.array(F.col("i").cast("long"), zero, zero)).alias("path"), "token", F.lit(None).cast("string").alias("cycle_id"),
-        F.lit(None).cast("array<string>").alias("base"), F.lit(None).cast("long").alias("cnt"), "times", (F.col("depth") + 1).alias("depth"),
+    return F.concat("path", F.array(i.cast("long"), zero, zero))
+
+
+def _nodes(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks and their tokens as nested nodes; times: how often the whole walk reads one."""
+    tokens = blocks.select(*keys, "path", "times", "depth", F.posexplode("base").alias("i", "token"))
+    tokens = tokens.select(
+        *keys, F.col("path").alias("parent"), _place(F.col("i")).alias("path"), "token", F.lit(None).cast("string").alias("cycle_id"), F.lit(None).cast("array<string>").alias("base"),
+        F.lit(None).cast("long").alias("cnt"), "times", (F.col("depth") + 1).alias("depth"),
     )
+    return blocks.select(*keys, "parent", "path", F.lit(None).cast("string").alias("token"), "cycle_id", "base", "cnt", "times", "depth").unionByName(tokens)
 
 
 #: Fields of a site, in the order in which sites are preferred.
@@ -47,15 +62,16 @@ def _best(sites: DataFrame, keys: list[str]) -> DataFrame:
     return sites.select(*keys, F.struct(*SITE).alias("best")).groupBy(*keys).agg(F.min("best").alias("best"))
 
 
-def _spots(nodes: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+def _spots(blocks: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     """Where the asked segments (keys.., cycle_id, tokens, seg, turn, left, rank) fit.
 
     A block holds an anchor at its first token of that segment. Blocks are asked in reading order, the root first: for a token of their own (kind 0), then for one in an inner
     block of another cycle (kind 1), best one that stands as often as copies are due.
     """
-    first = nodes.where("token is not null").groupBy(*keys, F.col("parent").alias("block"), segment_of(F.col("token")).alias("seg"))
-    first = first.agg(F.min(F.struct("path", "token")).alias("spot"))
-    held = nodes.where("token is null").select(*keys, F.col("path").alias("block"), F.col("parent").alias("outer"), F.col("cycle_id").alias("owner"), F.col("cnt").alias("k"), "times")
+    first = blocks.select(*keys, "path", F.posexplode("base").alias("i", "token")).groupBy(*keys, "path", segment_of(F.col("token")).alias("seg"))
+    first = first.agg(F.min(F.struct("i", "token")).alias("spot"))
+    first = first.select(*keys, "seg", F.col("path").alias("block"), F.struct(_place(F.col("spot.i")).alias("path"), "spot.token").alias("spot"))
+    held = blocks.select(*keys, F.col("path").alias("block"), F.col("parent").alias("outer"), F.col("cycle_id").alias("owner"), F.col("cnt").alias("k"), "times")
     site = asked.join(first, [*keys, "seg"]).join(held, [*keys, "block"])
     ways = F.array(
         F.struct(F.lit(0).alias("kind"), F.col("block").alias("unit"), F.expr("left div times").alias("share"), F.col("times").alias("m")),
@@ -67,18 +83,17 @@ def _spots(nodes: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
     return site.select(*keys, "rank", "cycle_id", F.lit(1).alias("way"), "turn", "unit", "kind", unlike.alias("unlike"), "block", F.col("spot.path").alias("at"), "tokens", F.col("spot.token").alias("token"), "k", "share", "times", used.alias("used"))
 
 
-def _sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+def _sites(blocks: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
     """keys, best: the place that the next copies of each walk go to, by their anchors. Cycles are tried by falling need (``rank``, then id)."""
     asked = open_.select("*", F.lit(0).alias("turn"), segment_of(F.element_at("tokens", 1)).alias("seg"))
-    return _best(_spots(nodes, asked, keys), keys)
+    return _best(_spots(blocks, asked, keys), keys)
 
 
-def _late_sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
+def _late_sites(blocks: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
     """As _sites, where no anchor fits anywhere: an equal block that holds no other is repeated more often (kind 2), or a cycle is turned to another of its segments."""
     turns = F.posexplode(F.array_distinct(F.transform("tokens", segment_of))).alias("turn", "seg")
     asked = open_.select("*", turns).where("turn > 0")
-    turned = _spots(nodes, asked.withColumn("tokens", reanchor(F.col("tokens"), F.col("seg"))), keys)
-    blocks = nodes.where("token is null")
+    turned = _spots(blocks, asked.withColumn("tokens", reanchor(F.col("tokens"), F.col("seg"))), keys)
     inner = blocks.select(*keys, F.col("parent").alias("path")).where("path is not null").distinct()
     plain = blocks.where("parent is not null").join(inner, [*keys, "path"], "left_anti")
     plain = plain.select(*keys, F.col("path").alias("block"), F.col("parent").alias("unit"), F.col("cnt").alias("k"), "times", "base")
@@ -88,39 +103,38 @@ def _late_sites(nodes: DataFrame, open_: DataFrame, keys: list[str]) -> DataFram
     return _best(turned.unionByName(longer), keys)
 
 
-def _placed(nodes: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes after each walk's best site (sites: keys, best, no of the round) is taken."""
-    both = nodes.join(sites, keys, "left")
-    split = F.expr("best.kind = 1 and best.k > best.share")
-    inside = F.slice("path", F.lit(1), F.size("best.block")) == F.col("best.block")
+def _changes(blocks: DataFrame, sites: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks that are new or other when each walk's best site (sites: keys, best, no of the round) is taken."""
+    both = blocks.drop("no").join(sites, keys)
+    split, longer = F.expr("best.kind = 1 and best.k > best.share"), F.expr("best.kind = 2")
     mine = F.col("path") == F.col("best.block")
-    longer = F.expr("best.kind = 2")
-    now = F.when(split & inside, F.expr("times div best.k * best.share")).when(longer & inside, F.expr("times div best.k * (best.k + best.share)")).otherwise(F.col("times"))
-    cnt = F.when(split & mine, F.col("best.share")).when(longer & mine, F.col("cnt") + F.col("best.share")).otherwise(F.col("cnt"))
-    kept = both.select(*keys, "parent", "path", "token", "cycle_id", "base", cnt.alias("cnt"), now.alias("times"), "depth")
+    touched = both.where((split | longer) & (F.slice("path", F.lit(1), F.size("best.block")) == F.col("best.block")))
+    # a split block and all in it are read as often as there are copies; a longer one so many times more
+    copies = F.when(split, F.col("best.share")).otherwise(F.expr("best.k + best.share"))
+    now = touched.select(
+        *keys, "path", "no", "parent", "cycle_id", "base", F.when(mine, copies).otherwise(F.col("cnt")).alias("cnt"), (F.expr("times div best.k") * copies).alias("times"), "depth",
+    )
     # the repetitions of a split block that get no copy follow as a block of their own
     spot = F.array(F.lit(FAR) - F.col("no"))
     behind = lambda p: F.concat(F.col("best.block"), spot, F.slice(p, F.size("best.block") + 1, F.size(p)))
-    rest = both.where(split & inside).select(
-        *keys, F.when(F.col("path") == F.col("best.block"), F.col("parent")).otherwise(behind(F.col("parent"))).alias("parent"), behind(F.col("path")).alias("path"), "token", "cycle_id", "base",
+    rest = touched.where(split).select(
+        *keys, behind(F.col("path")).alias("path"), "no", F.when(mine, F.col("parent")).otherwise(behind(F.col("parent"))).alias("parent"), "cycle_id", "base",
         F.when(mine, F.col("cnt") - F.col("best.share")).otherwise(F.col("cnt")).alias("cnt"), F.expr("times div best.k * (best.k - best.share)").alias("times"), "depth",
     )
     each = F.expr("case when best.kind = 0 then best.share when best.k > best.share then 1 else best.share div best.k end")
-    times = F.when(F.expr("best.kind = 1 and best.k > best.share"), F.expr("best.times div best.k * best.share")).otherwise(F.col("best.times"))
+    times = F.when(split, F.expr("best.times div best.k * best.share")).otherwise(F.col("best.times"))
     same = F.col("best.token") == F.element_at("best.tokens", 1)
     at = F.concat(F.slice("best.at", F.lit(1), F.size("best.at") - 2), F.when(same, F.array(F.lit(-1).cast("long"), F.col("no"))).otherwise(F.array(F.lit(1).cast("long"), -F.col("no"))))
-    base = F.when(same, F.col("best.tokens")).otherwise(reverse_complement(F.col("best.tokens")))
-    new = sites.where("best.kind < 2").select(
-        *keys, F.col("best.block").alias("parent"), at.alias("path"), F.lit(None).cast("string").alias("token"), F.col("best.cycle_id").alias("cycle_id"), base.alias("base"), each.cast("long").alias("cnt"),
-        (times * each).cast("long").alias("times"),
+    turned = F.when(same, F.col("best.tokens")).otherwise(reverse_complement(F.col("best.tokens")))
+    new = both.where(mine & F.expr("best.kind < 2")).select(
+        *keys, at.alias("path"), "no", F.col("path").alias("parent"), F.col("best.cycle_id").alias("cycle_id"), turned.alias("base"), each.cast("long").alias("cnt"),
+        (times * each).cast("long").alias("times"), (F.col("depth") + 1).alias("depth"),
     )
-    level = nodes.where("token is null").select(*keys, F.col("path").alias("parent"), (F.col("depth") + 1).alias("depth"))
-    new = new.join(level, [*keys, "parent"])
-    return kept.unionByName(rest).unionByName(new).unionByName(_tokens(new, keys))
+    return now.unionByName(rest).unionByName(new)
 
 
-#: Walks that are done or stuck leave the tables every so many rounds.
-RETIRE = 12
+#: Every so many rounds it is seen whether half of the walks are done or stuck, and these leave the tables.
+RETIRE = 8
 
 
 def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -128,40 +142,48 @@ def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataF
     tables, and for every key the copies that found no place.
 
     In each round a walk takes one site. Rounds by anchors go on until no walk has such a site; then walks with copies left take a late one, and so on.
+    The copies left are those at first less the copies used by all sites so far. Blocks and sites are logs, to which a round adds its own.
     """
-    nodes = stored(_root(spine, keys), "walk-nodes")
-    pending = stored(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")), "walk-pending")
+    log = Log(_root(spine, keys), "walk-blocks")
+    pending = stored(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")).withColumnRenamed("left", "due"), "walk-pending")
+    used = Log(pending.select(*keys, "cycle_id", F.col("due").alias("used")).where("false"), "walk-used")
     rank = F.when(F.col("draw").isNull(), F.col("weight") * F.col("left")).otherwise(F.col("draw")).alias("rank")
-    done, over, no = [], [], 0
+    done, begun, no = [], None, 0
+
+    def left() -> DataFrame:
+        spent = used.rows().groupBy(*keys, "cycle_id").agg(F.sum("used").alias("used"))
+        return pending.join(spent, [*keys, "cycle_id"], "left").withColumn("left", F.col("due") - F.coalesce("used", F.lit(0))).drop("due", "used")
+
     while True:
         no += 1
-        open_ = pending.where("left > 0").select("*", rank)
+        open_ = left().where("left > 0").select("*", rank)
+        blocks = _latest(log.rows(), keys)
         # the round's number goes on as a column, so that the code that Spark generates for a round serves all rounds
-        sites = stored(_sites(nodes, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
+        sites = stored(_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
         if sites.isEmpty():
-            sites = stored(_late_sites(nodes, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
+            sites = stored(_late_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
             if sites.isEmpty():
                 break
-        moving = sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used"))
-        nodes = stored(_placed(nodes, sites, keys), "walk-nodes")
-        pending = pending.join(moving, [*keys, "cycle_id"], "left")
-        pending = stored(pending.withColumn("left", F.col("left") - F.coalesce("used", F.lit(0))).drop("used"), "walk-pending")
+        log.add(_changes(blocks, sites, keys))
+        used.add(sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used")))
         if no % RETIRE == 0:
-            live = stored(pending.where("left > 0").select(*keys).distinct(), "walk-live")
-            done.append(stored(nodes.join(live, keys, "left_anti"), "walk-done"))
-            over.append(pending.join(live, keys, "left_anti"))
-            nodes = stored(nodes.join(live, keys, "left_semi"), "walk-nodes")
-            pending = stored(pending.join(live, keys, "left_semi"), "walk-pending")
+            live = stored(left().where("left > 0").select(*keys).distinct(), "walk-live")
+            count = live.count()
+            begun = spine.count() if begun is None else begun
+            if 2 * count <= begun:
+                blocks = _latest(log.rows(), keys)
+                done.append(stored(blocks.join(live, keys, "left_anti"), "walk-done"))
+                log, begun = Log(blocks.join(live, keys, "left_semi"), "walk-blocks"), count
+    blocks = _latest(log.rows(), keys)
     for x in done:
-        nodes = nodes.unionByName(x)
-    for x in over:
-        pending = pending.unionByName(x)
-    return nodes, pending.groupBy(*keys).agg(F.sum("left").alias("left"))
+        blocks = blocks.unionByName(x)
+    return stored(_nodes(blocks, keys), "walk-nodes"), left().groupBy(*keys).agg(F.sum("left").alias("left"))
 
 
 def walk_nodes(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0):
     """(nodes, state): the node tables of all walks by keys and map_no, and for each of these whether it is valid."""
-    backbone = select_backbone(cycles, segments, keys, source, sink, ends)
+    cycles = stored(cycles.select(*keys, "cycle_id", "cnt", "tokens"), "walk-input")
+    backbone = stored(select_backbone(cycles, segments, keys, source, sink, ends), "walk-backbone")
     anchors = choose_anchors(cycles, backbone, keys)
     sizes = cycle_stats(cycles, segments, [*keys, "cycle_id"]).select(*keys, "cycle_id", "length")
     turned = reanchor(canonical_start(F.col("tokens")), F.col("anchor"))

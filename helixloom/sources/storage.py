@@ -19,8 +19,43 @@ def new_folder(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives the loss of executors."""
+def written(df: DataFrame, name: str) -> str:
+    """Write to a new place in the shared folder, which is returned."""
     path = f"{new_folder(df.sparkSession)}/helixloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage, survives the loss of executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+class Log:
+    """A stored table that grows by the rows of each round.
+
+    A round writes what it adds and nothing else. Whenever eight tables of one size have come together they are written as one, so rows are written again
+    as often as the number of rounds has digits in base eight, and a read opens few files however many rounds there were.
+    """
+
+    MERGE = 8
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.schema, self.name = first.sparkSession, first.schema, name
+        self.levels: list[list[str]] = [[written(first, name)]]
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def rows(self) -> DataFrame:
+        return self._read([p for level in self.levels for p in level])
+
+    def add(self, df: DataFrame) -> None:
+        self.levels[0].append(written(df, self.name))
+        for k, level in enumerate(self.levels):
+            if len(level) < self.MERGE:
+                break
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(written(self._read(level), self.name))
+            self.levels[k] = []

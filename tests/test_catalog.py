@@ -71,9 +71,9 @@ def test_walk_rounds(spark):
 
     spine = spark.createDataFrame([("a", "back", ["H1+", "H2+"])], "allele string, cycle_id string, tokens array<string>")
     pending = spark.createDataFrame([("a", "b", ["H2+"], 2, 3, None)], "allele string, cycle_id string, tokens array<string>, left long, weight long, draw long").withColumn("rank", F.col("weight"))
-    nodes = assemble._root(spine, ["allele"])
-    sites = assemble._sites(nodes, pending, ["allele"])
-    for df in (sites, assemble._late_sites(nodes, pending, ["allele"]), assemble._placed(nodes, sites.withColumn("no", F.lit(1).cast("long")), ["allele"])):
+    blocks = assemble._latest(assemble._root(spine, ["allele"]), ["allele"])
+    sites = assemble._sites(blocks, pending, ["allele"])
+    for df in (sites, assemble._late_sites(blocks, pending, ["allele"]), assemble._changes(blocks, sites.withColumn("no", F.lit(1).cast("long")), ["allele"])):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
 

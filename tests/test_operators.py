@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions import tokens as T
 from helixloom.operators import assemble, best, cycles, depth, distributions, intervals, links, ranking, scans, segments, tracks
-from helixloom.sources import readers, writers
+from helixloom.sources import readers, storage, writers
 
 JUNCTIONS = [
     ("s", 1, "chr2", 141759732, "+", "chr2", 141790205, "+", 20, 0.0),
@@ -110,6 +110,44 @@ def test_nested_cycles(spark):
     assert spliced(spark, back, [("b", ["V7+", "V8+"], 1, 5)]) is None
 
 
+def test_log_writes_what_is_added(spark, monkeypatch):
+    """Twenty rounds of one row write each row twice at most (eight tables become one), and a read opens few of them."""
+    sizes, write = [], storage.written
+
+    def count(df, name):
+        sizes.append(df.count())
+        return write(df, name)
+
+    monkeypatch.setattr(storage, "written", count)
+    log = storage.Log(spark.range(1), "test-log")
+    for i in range(1, 20):
+        log.add(spark.range(i, i + 1))
+    assert sorted(r.id for r in log.rows().collect()) == list(range(20))
+    assert sum(sizes) == 20 + 16 and sorted(map(len, log.levels)) == [2, 4]
+
+
+def test_rounds_write_only_changed_blocks(spark, monkeypatch):
+    """A walk of one cycle does not write another walk's blocks, nor its own that stay as they are; walks that are done retire and come back."""
+    back = [f"H{i}+" for i in range(1, 31)]
+    spine = spark.createDataFrame([(k, "back", back) for k in ("a", "b", "c")], "allele string, cycle_id string, tokens array<string>")
+    schema = "allele string, cycle_id string, tokens array<string>, left long, weight long, draw long"
+    rows = [("a", f"x{i:02}", [f"H{i}+", f"V{i}+"], 2, 10, None) for i in range(1, 21)] + [("b", "y", ["H2+", "V2+"], 1, 10, None)]
+    blocks, write = [], storage.written
+
+    def count(df, name):
+        if name == "walk-blocks":
+            blocks.append(df.count())
+        return write(df, name)
+
+    monkeypatch.setattr(storage, "written", count)
+    nodes, left = assemble.splice(spine, spark.createDataFrame(rows, schema), ["allele"])
+    assert max(r.left for r in left.collect()) == 0
+    walks = {r.allele: r.walk for r in cycles.expand_nested(nodes, ["allele"]).collect()}
+    want = [t for i in range(1, 31) for t in ([f"H{i}+", f"V{i}+"] * 2 if i < 21 else []) + [f"H{i}+"]]
+    assert walks == {"a": want, "b": [*back[:1], "H2+", "V2+", *back[1:]], "c": back}
+    assert blocks[0] == 3 and blocks[1] == 2 and sum(blocks) < 4 * 24  # not 20 rounds times 24 blocks
+
+
 def test_replicates_and_ends_of_groups(spark):
     """Each replicate is a walk of all copies; groups have their own source and sink; reruns agree."""
     seg = spark.createDataFrame([(s, f"H{i}", 1, 10 * i) for s in ("a", "b") for i in range(1, 6)], "sample string, seg string, st long, ed long")
