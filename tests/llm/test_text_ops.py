@@ -252,6 +252,56 @@ def test_media(docs, rows, spark):
     assert media.media_columns(empty(spark)).count() == 0
 
 
+def samples_of_png(data):
+    """The samples of an 8-bit greyscale PNG by its public format, every filter type, checksums verified: no code of the library."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, chunks = 8, []
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        chunks.append((kind, body))
+        at += n + 12
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    head = chunks[0][1]
+    wide, high = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    assert list(head[8:]) == [8, 0, 0, 0, 0]
+    raw = zlib.decompress(b"".join(body for kind, body in chunks if kind == b"IDAT"))
+    assert len(raw) == high * (wide + 1)
+    out, above = bytearray(), bytes(wide)
+    for y in range(high):
+        kind, line = raw[y * (wide + 1)], bytearray(raw[y * (wide + 1) + 1 : (y + 1) * (wide + 1)])
+        for x in range(wide):
+            a, b, c = (line[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            nearest = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line[x] = (line[x] + (0, a, b, (a + b) // 2, nearest)[kind]) & 255
+        out += line
+        above = bytes(line)
+    return bytes(out)
+
+
+def test_media_against_a_plain_decoder(spark, tmp_path):
+    """The bytes that the index points at, read without the library, give every column; also for a very long text, nulls, copies and clashing names."""
+    texts = ["", "a", "é" * 288, "x" * 576, "y" * 577, "word ré\n" * 60_000, "a", None]
+    table = spark.createDataFrame([(i, t, "z", -1, -1) for i, t in enumerate(texts)], "doc_id long, text string, shard string, offset long, digest long").repartition(3)
+    out = {r.doc_id: r for r in media.media_columns(table).collect()}
+    index = {r.doc_id: r for r in media.write_shards(table, f"file://{tmp_path}/plain").collect()}
+    assert set(out) == set(index) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        want = data + b"\xff" * (576 * max(1, -(-len(data) // 576)) - len(data))
+        r, at = out[i], index[i]
+        with open(at.shard.removeprefix("file://"), "rb") as f:
+            f.seek(at.offset)
+            stored = f.read(at.length)
+        assert samples_of_png(stored) == want
+        cells = [sum(want[k * len(want) // 64 : (k + 1) * len(want) // 64]) for k in range(64)]
+        bits = "".join("1" if 64 * c >= sum(cells) else "0" for c in cells)
+        assert r.feature == f"{int(bits, 2):016x}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(want), hashlib.sha256(want).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(want[-32:]), len(stored), hashlib.sha256(stored).hexdigest())
+
+
 def test_media_shards_are_tar_files(docs, spark, tmp_path):
     import tarfile
 
