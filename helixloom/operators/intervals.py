@@ -102,9 +102,11 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, str], b_
         b = F.broadcast(b)
     elif a_rows <= FEW_ROWS:
         a = F.broadcast(a)
-    elif a_rows + b_rows > HOT_ROWS:
-        a, b = _sliced(a, b, on, max(HOT_ROWS, (a_rows + b_rows) // HOT_BINS))
-        place += ["_s", "_t"]
+    else:
+        if a_rows + b_rows > HOT_ROWS:
+            a, b = _sliced(a, b, on, max(HOT_ROWS, (a_rows + b_rows) // HOT_BINS))
+            place += ["_s", "_t"]
+        b = b.hint("merge")  # counted, and more than a few: no estimate from the size of files may broadcast it
     first = F.floor(F.greatest(a_ends[0], b_ends[0]) / (F.lit(bin_size) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")
     overlap = (F.col(a_ends[0]) <= F.col(b_ends[1])) & (F.col(b_ends[0]) <= F.col(a_ends[1]))
     return a.join(b, place).where((F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first) & overlap).drop("_k", "_b", "_x", "_y", "_s", "_t")

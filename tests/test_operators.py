@@ -720,3 +720,13 @@ def test_best_of_a_thousand_million_combinations(spark):
     got = best.best_combinations(a, spark.createDataFrame(links_, "sample string, group_id int, solution int, allele int, map_no int, pair_id string, links long"), spark.createDataFrame(seen, "sample string, group_id int, solution int, pair_id string, observed long"))
     got = got.orderBy("place").collect()
     assert len(got) == 10 and got[0].name == ",".join(f"AL{x}.LM{(x * 7) % 10}" for x in range(9)) and got[0]["corr"] > 0.999 > got[1]["corr"] >= got[9]["corr"]
+
+
+def test_crowded_sides_are_not_broadcast_by_the_size_of_their_files(spark, monkeypatch):
+    """Few rows in the file, many after exploding: what was counted decides, not the estimate."""
+    monkeypatch.setattr(intervals, "FEW_ROWS", 100)
+    a = storage.stored(spark.range(300), "few").selectExpr("explode(sequence(0, 4)) as i", "id").selectExpr("'S' as refseg", "id * 5 + i as pos")
+    b = storage.stored(spark.range(200).selectExpr("'S' as refseg", "id * 3 as st", "id * 3 + 1 as ed"), "spans")
+    hit = intervals.point_join(a, b, ["refseg"])
+    assert "Broadcast" not in hit._jdf.queryExecution().executedPlan().toString()
+    assert hit.count() == 2 * 200
