@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixloom.functions.tokens import canonical_start, reanchor, reverse_complement, segment_of
 from helixloom.operators.cycles import cycle_stats, choose_anchors, expand_nested, select_backbone
-from helixloom.sources.storage import Log, stored
+from helixloom.sources.storage import Log, stored_by_size
 
 #: Later copies of a split block come nearer to it: their path ends with this number less the round.
 FAR = 1 << 40
@@ -145,7 +145,7 @@ def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataF
     The copies left are those at first less the copies used by all sites so far. Blocks and sites are logs, to which a round adds its own.
     """
     log = Log(_root(spine, keys), "walk-blocks")
-    pending = stored(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")).withColumnRenamed("left", "due"), "walk-pending")
+    pending = stored_by_size(pending.withColumn("cycle_id", F.col("cycle_id").cast("string")).withColumnRenamed("left", "due"), "walk-pending")
     used = Log(pending.select(*keys, "cycle_id", F.col("due").alias("used")).where("false"), "walk-used")
     rank = F.when(F.col("draw").isNull(), F.col("weight") * F.col("left")).otherwise(F.col("draw")).alias("rank")
     done, begun, no = [], None, 0
@@ -159,45 +159,45 @@ def splice(spine: DataFrame, pending: DataFrame, keys: list[str]) -> tuple[DataF
         open_ = left().where("left > 0").select("*", rank)
         blocks = _latest(log.rows(), keys)
         # the round's number goes on as a column, so that the code that Spark generates for a round serves all rounds
-        sites = stored(_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
+        sites = stored_by_size(_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
         if sites.isEmpty():
-            sites = stored(_late_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
+            sites = stored_by_size(_late_sites(blocks, open_, keys).withColumn("no", F.lit(no).cast("long")), "walk-sites")
             if sites.isEmpty():
                 break
         log.add(_changes(blocks, sites, keys))
         used.add(sites.select(*keys, F.col("best.cycle_id").alias("cycle_id"), F.col("best.used").alias("used")))
         if no % RETIRE == 0:
-            live = stored(left().where("left > 0").select(*keys).distinct(), "walk-live")
+            live = stored_by_size(left().where("left > 0").select(*keys).distinct(), "walk-live")
             count = live.count()
             begun = spine.count() if begun is None else begun
             if 2 * count <= begun:
                 blocks = _latest(log.rows(), keys)
-                done.append(stored(blocks.join(live, keys, "left_anti"), "walk-done"))
+                done.append(stored_by_size(blocks.join(live, keys, "left_anti"), "walk-done"))
                 log, begun = Log(blocks.join(live, keys, "left_semi"), "walk-blocks"), count
     blocks = _latest(log.rows(), keys)
     for x in done:
         blocks = blocks.unionByName(x)
-    return stored(_nodes(blocks, keys), "walk-nodes"), left().groupBy(*keys).agg(F.sum("left").alias("left"))
+    return stored_by_size(_nodes(blocks, keys), "walk-nodes"), left().groupBy(*keys).agg(F.sum("left").alias("left"))
 
 
 def walk_nodes(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0):
     """(nodes, state): the node tables of all walks by keys and map_no, and for each of these whether it is valid."""
-    cycles = stored(cycles.select(*keys, "cycle_id", "cnt", "tokens"), "walk-input")
-    backbone = stored(select_backbone(cycles, segments, keys, source, sink, ends), "walk-backbone")
+    cycles = stored_by_size(cycles.select(*keys, "cycle_id", "cnt", "tokens"), "walk-input")
+    backbone = stored_by_size(select_backbone(cycles, segments, keys, source, sink, ends), "walk-backbone")
     anchors = choose_anchors(cycles, backbone, keys)
     sizes = cycle_stats(cycles, segments, [*keys, "cycle_id"]).select(*keys, "cycle_id", "length")
     turned = reanchor(canonical_start(F.col("tokens")), F.col("anchor"))
     rest = cycles.join(anchors, [*keys, "cycle_id"]).join(sizes, [*keys, "cycle_id"])
-    rest = stored(rest.select(*keys, "cycle_id", F.col("cnt").cast("long").alias("left"), F.col("length").alias("weight"), "anchor", turned.alias("tokens")), "walk-cycles")
+    rest = stored_by_size(rest.select(*keys, "cycle_id", F.col("cnt").cast("long").alias("left"), F.col("length").alias("weight"), "anchor", turned.alias("tokens")), "walk-cycles")
     maps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("map_no")
     loose = rest.where("anchor is null").select(*keys).distinct()
-    spine = stored(backbone.join(loose, keys, "left_anti").select(*keys, maps, "cycle_id", "tokens"), "walk-spines")
+    spine = stored_by_size(backbone.join(loose, keys, "left_anti").select(*keys, maps, "cycle_id", "tokens"), "walk-spines")
     draw = F.when(F.col("map_no") > 1, F.xxhash64(F.lit(seed), F.col("map_no"), F.col("cycle_id").cast("string")))
     pending = rest.where("anchor is not null").select(*keys, maps, "cycle_id", "tokens", "left", "weight").withColumn("draw", draw)
     by = [*keys, "map_no"]
     nodes, left = splice(spine, pending.join(spine.select(*by), by, "left_semi"), by)
     state = cycles.select(*keys).distinct().select(*keys, maps).join(spine.select(*by, F.lit(True).alias("begun")), by, "left").join(left, by, "left")
-    return nodes, state.select(*by, (F.coalesce("begun", F.lit(False)) & (F.coalesce("left", F.lit(0)) == 0)).alias("valid"))
+    return nodes, stored_by_size(state.select(*by, (F.coalesce("begun", F.lit(False)) & (F.coalesce("left", F.lit(0)) == 0)).alias("valid")), "walk-state")
 
 
 def assemble_walks(cycles: DataFrame, segments: DataFrame, keys: list[str], source="source", sink="sink", ends: DataFrame | None = None, replicates: int = 1, seed: int = 0) -> DataFrame:
@@ -210,4 +210,5 @@ def assemble_walks(cycles: DataFrame, segments: DataFrame, keys: list[str], sour
     nodes, state = walk_nodes(cycles, segments, keys, source, sink, ends, replicates, seed)
     by = [*keys, "map_no"]
     good = nodes.join(state.where("valid"), by, "left_semi")
-    return state.join(expand_nested(good, by), by, "left").select(*by, "valid", "walk")
+    # written, so that these joins are planned by measured sizes too
+    return stored_by_size(state.join(expand_nested(good, by), by, "left").select(*by, "valid", "walk"), "walks")

@@ -730,3 +730,18 @@ def test_crowded_sides_are_not_broadcast_by_the_size_of_their_files(spark, monke
     hit = intervals.point_join(a, b, ["refseg"])
     assert "Broadcast" not in hit._jdf.queryExecution().executedPlan().toString()
     assert hit.count() == 2 * 200
+
+
+def test_walk_tables_are_not_broadcast_by_the_size_of_their_files(spark):
+    """A column of one value takes a few bytes of a file; the static estimate broadcasts it, measured broadcasts wait for the rows."""
+    one = storage.stored(spark.range(50_000).selectExpr("id", "repeat('H1+', 50) as t"), "one")
+    plan = lambda: one.join(one.withColumnRenamed("t", "u"), "id")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan()
+    seen, write = [], storage.written
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(storage, "written", lambda df, name: seen.append(plan()) or write(df, name))
+        assert storage.stored_by_size(one, "two").count() == 50_000
+        storage.Log(one, "log").add(one)
+    assert len(seen) == 3 and not any("BroadcastHashJoin" in p for p in seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
