@@ -745,3 +745,20 @@ def test_walk_tables_are_not_broadcast_by_the_size_of_their_files(spark):
         storage.Log(one, "log").add(one)
     assert len(seen) == 3 and not any("BroadcastHashJoin" in p for p in seen)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_combination_links_need_no_shuffle_of_combinations(spark):
+    """As the plain steps give; what is unfolded is added up where it lies, also over several ranges of numbers."""
+    rng = random.Random(5)
+    sol = "sample string, group_id int, solution int, allele int, map_no int"
+    rows = [("s", 1, x, a, m) for x in range(3) for a in range(3) for m in range(rng.randint(1, 4))]
+    alleles = spark.createDataFrame([(*r, rng.randint(50, 90), 1 + r[3]) for r in rows], sol + ", length int, cn int")
+    links_ = spark.createDataFrame([(*r, f"p{i}", rng.random() * 9) for r in rows for i in range(3) if r[4] != 1 or i], sol + ", pair_id string, links double")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ranking, "RANGE", 4)
+        got = ranking.combination_links(alleles, links_)
+        plain = ranking.expected_links(ranking.combination_weights(ranking.walk_combinations(alleles.select("sample", "group_id", "solution", "allele", "map_no")), alleles), links_)
+        assert sorted(got.drop("block").collect()) == sorted(plain.collect())
+        assert got.where("block > 0").count()
+    plan = ranking.correlation(got.withColumn("y", F.lit(1.0)), ["sample", "group_id", "solution", "block", "combo"], "expected", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("combo")] and plan.index("explode(sequence") < plan.index("Exchange")
