@@ -10,7 +10,9 @@ from pyspark.sql import readwriter
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from helixloom.operators.depth import positions  # noqa: E402
 from helixloom.plans import catalog  # noqa: E402
+from helixloom.plans import views as V  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -93,3 +95,15 @@ def test_walks_use_only_pairs_of_their_cycles(spark):
                 ring = list(zip(t, t[1:] + t[:1]))
                 pairs |= set(ring) | {(b[:-1] + flip[b[-1]], a[:-1] + flip[a[-1]]) for a, b in ring}
         assert all(p in pairs for p in zip(walk, walk[1:]))
+
+
+def test_read_depth_spreads_a_position_once_a_tissue(spark):
+    """Samples are added up before runs are spread, so rows grow with positions and not with reads."""
+    runs = V.v_depth(spark, DATA, ["tissue", "refseg"])
+    rows, own = positions(runs).count(), positions(V.v_depth(spark, DATA)).count()
+    assert rows == positions(V.v_depth(spark, DATA)).select("tissue", "refseg", "pos").distinct().count() < own
+    seen, spread = [], catalog.depth.positions
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog.depth, "positions", lambda r: seen.append(spread(r)) or seen[-1])
+        catalog.queries()["a1_read_depth"](spark, DATA)
+    assert seen[0].count() == rows
