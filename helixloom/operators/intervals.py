@@ -57,6 +57,20 @@ def _binned(df: DataFrame, st: str, ed: str, bin_size: int, own: list[int], othe
     return rows.withColumn("_bin", F.explode(bins)).withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b")}).drop("_bin")
 
 
+#: Groups, dealt by hash, in which rows are counted before single bins are.
+GROUPS = 65_536
+
+
+def _crowded(sides: list[tuple[DataFrame, str]], on: list[str], width: int, most: int) -> bool:
+    """Whether a bin of at most ``width`` may hold more than ``most`` rows of a side (rows, their start), none of them longer than width.
+
+    Such rows begin in the bin of that width around it or in the one before, so if no group of such bins has more than half of most, none does. Counting groups reads each row once, as it is, and shuffles GROUPS rows a task at most.
+    """
+    groups = [df.select(F.pmod(F.xxhash64(*on, F.floor(F.col(st) / width)), F.lit(GROUPS)).alias("g"), F.lit(i).alias("side")) for i, (df, st) in enumerate(sides)]
+    sizes = functools.reduce(DataFrame.unionByName, groups).groupBy("g", "side").count()
+    return bool(sizes.where(f"count > {most // 2}").limit(1).collect())
+
+
 def _sliced(a: DataFrame, b: DataFrame, on: list[str], most: int) -> tuple[DataFrame, DataFrame]:
     """Both sides with _s and _t: the rows of a bin that has more than ``most`` of a side are dealt to slices of that side, and each row meets all slices of the other."""
     place = [*on, "_k", "_b"]
@@ -80,7 +94,7 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, str], b_
 
     Bins come in levels, each WIDER times as wide, and a pair meets in a bin of the longer interval's level. One small aggregate of a side tells its levels and the number of its rows. A side of few rows, counted, is broadcast, and the
     other is read once. Else both (points only where they may be cut) are read for the levels and for the join, so costly ones should be stored tables; with more than HOT_ROWS, bins that hold more than HOT_ROWS of a side (or a HOT_BINS-th of all rows, so that the list of
-    them stays short) are cut in slices, and neither an amplified locus nor a wide bin full of short rows is one task's.
+    them stays short) are cut in slices where one count of rows, not of bins, leaves room for such a bin (_crowded), and neither an amplified locus nor a wide bin full of short rows is one task's.
     """
     every = list(range(LEVELS))
 
@@ -97,14 +111,17 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, str], b_
     else:
         a_levels, a_rows = ([0], b_rows) if points else tally(a, a_ends)  # points are the shortest, and need no look
         a_own = a_levels
+    most = max(HOT_ROWS, (a_rows + b_rows) // HOT_BINS) if a_rows is not None else 0
+    wide = max(*a_levels, *b_levels)
+    sliced = a_rows is not None and min(a_rows, b_rows) > FEW_ROWS and a_rows + b_rows > HOT_ROWS and (wide == LEVELS - 1 or _crowded([(a, a_ends[0]), (b, b_ends[0])], on, bin_size * WIDER**wide, most))
     a, b = _binned(a, *a_ends, bin_size, a_own, b_levels, "_x"), _binned(b, *b_ends, bin_size, b_levels, a_levels, "_y")
     if a_rows is None:
         b = F.broadcast(b)
     elif a_rows <= FEW_ROWS:
         a = F.broadcast(a)
     else:
-        if a_rows + b_rows > HOT_ROWS:
-            a, b = _sliced(a, b, on, max(HOT_ROWS, (a_rows + b_rows) // HOT_BINS))
+        if sliced:
+            a, b = _sliced(a, b, on, most)
             place += ["_s", "_t"]
         b = b.hint("merge")  # counted, and more than a few: no estimate from the size of files may broadcast it
     first = F.floor(F.greatest(a_ends[0], b_ends[0]) / (F.lit(bin_size) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")

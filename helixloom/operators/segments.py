@@ -52,10 +52,10 @@ def segment_by_breakends(region: DataFrame, ends: DataFrame) -> DataFrame:
     at pos - 1; the region's end closes the last; segments are numbered from left to right. A reference on which a sample has no
     breakend gives no segment of that sample."""
     shift = F.when((F.col("side") == "5p") == (F.col("strd") == "+"), F.col("pos")).otherwise(F.col("pos") - 1)
-    cuts = ends.select("sample", "refseg", shift.alias("ed"))
-    whole = ends.select("sample", "refseg").distinct().join(region, "refseg")
-    inside = cuts.join(whole, ["sample", "refseg"]).where(cuts["ed"].between(whole["st"], whole["ed"])).select("sample", "refseg", cuts["ed"].alias("ed"), whole["st"].alias("r_st"))
-    every = inside.unionByName(whole.select("sample", "refseg", "ed", F.col("st").alias("r_st"))).distinct()
+    cuts = ends.select("sample", "refseg", shift.alias("cut")).join(region.select("refseg", F.col("st").alias("r_st"), F.col("ed").alias("r_ed")), "refseg")
+    # an end gives its own cut and the region's, so ends are made and read once
+    both = F.explode(F.array(F.when(F.col("cut").between(F.col("r_st"), F.col("r_ed")), F.col("cut")), F.col("r_ed"))).alias("ed")
+    every = cuts.select("sample", "refseg", both, "r_st").where("ed is not null").distinct()
     w = Window.partitionBy("sample", "refseg").orderBy("ed")
     return every.select("sample", "refseg", F.row_number().over(w).alias("seg_no"), (F.coalesce(F.lag("ed").over(w), F.col("r_st") - 1) + 1).alias("st"), "ed")
 
