@@ -9,18 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixloom.operators.intervals import BIN, interval_join, point_join
+from helixloom.operators.intervals import interval_join, point_join
 from helixloom.sources.storage import stored
 
 #: Control depth of a baseline region up to which no ratio is defined.
 LEAST_BASELINE_DEPTH = 5.0
 
 
-def coverage(intervals: DataFrame, keys: list[str], min_baseq: int = 5, min_mapq: int = 10, bin_size: int = BIN) -> DataFrame:
+#: Width of the bins in which coverage is summed up.
+COVERAGE_BIN = 16_384
+
+
+def coverage(intervals: DataFrame, keys: list[str], min_baseq: int = 5, min_mapq: int = 10, bin_size: int = COVERAGE_BIN) -> DataFrame:
     """keys, st, ed, depth: maximal runs of equal depth (above zero) of intervals that pass both quality cut-offs.
 
     Starts and ends add up within bins first; a bin's depth at its start is a running sum over one row a bin, so no
-    window holds more than a bin's positions, however long a reference is.
+    window holds more than a bin's positions, however long a reference is. That depth stands in front of its bin's
+    positions as a row of their own, so positions are shuffled to bins and sorted once and never joined.
     """
     good = intervals.where(f"baseq >= {min_baseq} and mapq >= {min_mapq} and st <= ed")
     change = F.explode(F.array(F.struct(F.col("st").alias("pos"), F.lit(1).alias("d")), F.struct((F.col("ed") + 1).alias("pos"), F.lit(-1).alias("d"))))
@@ -28,14 +33,13 @@ def coverage(intervals: DataFrame, keys: list[str], min_baseq: int = 5, min_mapq
     steps = steps.withColumn("bin", F.expr(f"pos div {bin_size}"))
     bins = steps.groupBy(*keys, "bin").agg(F.sum("d").alias("t"), F.min("pos").alias("p0"))
     order = Window.partitionBy(*keys).orderBy("bin")
-    bins = bins.select(
-        *keys, "bin", F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("p0").over(order).alias("next_pos")
-    )
-    inside = Window.partitionBy(*keys, "bin").orderBy("pos")
-    runs = steps.join(bins, [*keys, "bin"]).select(
-        *keys, F.col("pos").alias("st"), (F.coalesce(F.lead("pos").over(inside), "next_pos") - 1).alias("ed"), (F.col("base") + F.sum("d").over(inside)).alias("depth")
-    )
-    return runs.where("depth > 0")
+    before = F.coalesce(F.sum("t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = bins.select(*keys, "bin", F.lit(None).cast("long").alias("pos"), before.alias("d"), F.lead("p0").over(order).alias("next_pos"))
+    inside = Window.partitionBy(*keys, "bin").orderBy(F.col("pos").asc_nulls_first())
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    rows = steps.select(*keys, "bin", F.col("pos").cast("long").alias("pos"), "d", F.lit(None).cast("long").alias("next_pos")).unionByName(heads)
+    runs = rows.select(*keys, F.col("pos").alias("st"), (F.coalesce(F.lead("pos").over(inside), F.first("next_pos").over(upto)) - 1).alias("ed"), F.sum("d").over(upto).alias("depth"))
+    return runs.where("st is not null and depth > 0")
 
 
 def positions(runs: DataFrame) -> DataFrame:
@@ -120,17 +124,18 @@ def stable_positions(runs: DataFrame, ranges: DataFrame, mean: float, tolerance:
 
 def keep_stable(pieces: DataFrame, stable: DataFrame, from_res: int = 10, keys: list[str] | None = None) -> DataFrame:
     """The parts of both tissues' pieces that are stable in their sample, and all of windows finer than from_res."""
-    coarse = interval_join(stored(pieces.where(f"res >= {from_res}"), "coarse-pieces"), stored(stable, "stable"), keys or ["sample", "refseg"])
+    pieces = stored(pieces, "pieces")  # the coarse ones are read for their lengths and for the join, the others once
+    coarse = interval_join(pieces.where(f"res >= {from_res}"), stored(stable, "stable"), keys or ["sample", "refseg"])
     coarse = coarse.withColumns({"st": F.greatest("st", "r_st"), "ed": F.least("ed", "r_ed")}).select(*pieces.columns)
     return coarse.unionByName(pieces.where(f"res < {from_res}"))
 
 
 def window_mean(pieces: DataFrame, keys: list[str], mode: str = "plain", trim: float = 0.0) -> DataFrame:
     """keys, mean, n (bases) of pieces of even depth, each weighted by its length. plain: all bases; trim: floor(|t| * n) bases go at both ends, or for t < 0 at
-    the high end only; sd3: bases within mean -+ 3 population standard deviations, no trimming. Sums stay exact for whole depths."""
+    the high end only; sd3: bases within mean -+ 3 population standard deviations, no trimming. Sums stay exact for whole depths.
+
+    Pieces go to their window once, and equal depths need not meet first: pieces of runs do not overlap, so a window has no more of them than bases."""
     rows = pieces.select(*keys, F.col("depth").cast("double").alias("depth"), (F.col("ed") - F.col("st") + 1).alias("_w"))
-    # equal depths of a window are one row from here on
-    rows = rows.groupBy(*keys, "depth").agg(F.sum("_w").alias("_w"))
     part = Window.partitionBy(*keys)
     if mode == "trim" and trim:
         upto = F.sum("_w").over(part.orderBy("depth").rowsBetween(Window.unboundedPreceding, 0))

@@ -107,3 +107,11 @@ def test_read_depth_spreads_a_position_once_a_tissue(spark):
         m.setattr(catalog.depth, "positions", lambda r: seen.append(spread(r)) or seen[-1])
         catalog.queries()["a1_read_depth"](spark, DATA)
     assert seen[0].count() == rows
+
+
+def test_lineitem_is_read_once_for_runs_and_for_cuts(spark, plans):
+    """Coverage is summed up once for windows and for stable stretches, and breakends are made once for cuts and for region ends."""
+    last = catalog.queries()["c5_stable_positions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert sum("lineitem.parquet" in p for p in [*plans, last]) == 1
+    cuts = catalog.queries()["d4_segment_by_breakends"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert cuts.count("lineitem.parquet") == 1

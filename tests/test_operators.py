@@ -762,3 +762,33 @@ def test_combination_links_need_no_shuffle_of_combinations(spark):
         assert got.where("block > 0").count()
     plan = ranking.correlation(got.withColumn("y", F.lit(1.0)), ["sample", "group_id", "solution", "block", "combo"], "expected", "y")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.index("combo")] and plan.index("explode(sequence") < plan.index("Exchange")
+
+
+def test_coverage_shuffles_positions_to_bins_once(spark):
+    """A bin's depth at its start comes as a row of its own: positions are not joined with their bins, and runs across bins stay whole."""
+    reads = [("a", 1, 30, 9, 60), ("a", 31, 64, 9, 60), ("a", 40, 40, 9, 60), ("a", 100, 399, 9, 60), ("b", 15, 16, 9, 60)]
+    df = spark.createDataFrame(reads, "refseg string, st long, ed long, baseq int, mapq int")
+    runs = depth.coverage(df, ["refseg"], bin_size=16)
+    assert sorted(map(tuple, runs.select("refseg", "st", "ed", "depth").collect())) == [("a", 1, 39, 1), ("a", 40, 40, 2), ("a", 41, 64, 1), ("a", 100, 399, 1), ("b", 15, 16, 1)]
+    assert "Join" not in runs._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["plain", "trim", "sd3"])
+def test_window_means_shuffle_pieces_once(spark, mode):
+    pieces = spark.createDataFrame([(1, 1, 9, 2.0), (1, 10, 10, 99.0), (2, 11, 14, 3.0), (1, 5, 5, 2.0)], "win int, st long, ed long, depth double").repartition(2)
+    means = depth.window_mean(pieces, ["win"], mode, 0.1)
+    assert means._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r.win: r.n for r in means.collect()} == {1: {"plain": 11, "trim": 9, "sd3": 10}[mode], 2: 4}
+
+
+def test_bins_are_counted_only_where_they_may_be_crowded(spark, monkeypatch):
+    """Rows that lie apart are joined without slices; a hot place still gives them."""
+    monkeypatch.setattr(intervals, "FEW_ROWS", 0)
+    monkeypatch.setattr(intervals, "HOT_ROWS", 100)
+    called, sliced = [], intervals._sliced
+    monkeypatch.setattr(intervals, "_sliced", lambda *x: called.append(1) or sliced(*x))
+    apart = spark.range(300).selectExpr("id as a", "'c' as refseg", "id * 5000 as st", "id * 5000 + 40 as ed")
+    other = spark.range(300).selectExpr("id as b", "'c' as refseg", "id * 5000 + 20 as st", "id * 5000 + 60 as ed")
+    assert intervals.interval_join(apart, other, ["refseg"]).count() == 300 and not called
+    crowd = spark.range(300).selectExpr("id as b", "'c' as refseg", "990L as st", "1010L as ed")
+    assert intervals.interval_join(crowd, apart.union(spark.sql("select 1L, 'c', 1000L, 1001L")), ["refseg"]).count() == 300 and called
