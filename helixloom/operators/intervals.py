@@ -46,6 +46,8 @@ def _binned(df: DataFrame, st: str, ed: str, bin_size: int, own: list[int], othe
         spots = [spot(k, div(st, k)) for k in others]
         rows = rows.withColumn("_bin", spots[0] if len(spots) == 1 else F.explode(F.array(*spots)))
         return rows.withColumns({"_k": F.col("_bin.k"), "_b": F.col("_bin.b")}).drop("_bin")
+    if len({*own, *others}) == 1 and own[0] < LEVELS - 1:  # one level: the bin of the start and, where that is another, of the end
+        return rows.withColumns({"_k": F.lit(own[0]), "_b": F.explode(F.sequence(div(st, own[0]), div(ed, own[0])))})
     wanted = lambda k: F.col(mark) <= k if k in others else F.col(mark) == k
     spots, last = [], LEVELS - 1
     for k in sorted({*own, *others}):
@@ -126,7 +128,8 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, str], b_
         b = b.hint("merge")  # counted, and more than a few: no estimate from the size of files may broadcast it
     first = F.floor(F.greatest(a_ends[0], b_ends[0]) / (F.lit(bin_size) * F.pow(F.lit(float(WIDER)), F.col("_k")))).cast("long")
     overlap = (F.col(a_ends[0]) <= F.col(b_ends[1])) & (F.col(b_ends[0]) <= F.col(a_ends[1]))
-    return a.join(b, place).where((F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first) & overlap).drop("_k", "_b", "_x", "_y", "_s", "_t")
+    # most candidates fail the plain test of overlap, so the costlier one of bins comes last
+    return a.join(b, place).where(overlap & (F.col("_k") == F.greatest("_x", "_y")) & (F.col("_b") == first)).drop("_k", "_b", "_x", "_y", "_s", "_t")
 
 
 def interval_join(left: DataFrame, right: DataFrame, on: list[str], bin_size: int | None = None, how: str = "inner") -> DataFrame:

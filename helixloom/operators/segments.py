@@ -35,10 +35,25 @@ def breakends(junctions: DataFrame, region: DataFrame | None = None) -> DataFram
     return point_join(ends, region.select("refseg", "st", "ed"), ["refseg"]).drop("st", "ed")
 
 
+#: Width of the bins in which a junction's ends look up the region.
+REGION_BIN = 65_536
+
+
 def classify_junctions(junctions: DataFrame, region: DataFrame) -> DataFrame:
-    """junctions with kind: intra-SV if both ends lie in the region, else inter-SV/vitg; those with no end inside go."""
-    inside = breakends(junctions, region).groupBy("sample", "junc_no").agg(F.countDistinct("side").alias("n"))
-    return junctions.join(inside, ["sample", "junc_no"]).withColumn("kind", F.when(F.col("n") == 2, "intra-SV").otherwise("inter-SV/vitg")).drop("n")
+    """junctions with kind: intra-SV if both ends lie in the region, else inter-SV/vitg; those with no end inside go.
+
+    A bin's regions come as one list, so both ends are looked up in the junction's own row and nothing is grouped or joined again by junction.
+    """
+    spots = region.where("st <= ed").select("refseg", "st", "ed", F.explode(F.sequence(F.floor(F.col("st") / REGION_BIN), F.floor(F.col("ed") / REGION_BIN))).alias("_bin"))
+    lists = spots.groupBy("refseg", "_bin").agg(F.collect_set(F.struct("st", "ed")).alias("_spots"))
+    rows = junctions
+    for side in ("5p", "3p"):
+        pos = F.col(f"bkpos_{side}")
+        rows = rows.withColumn("_bin", F.floor(pos / REGION_BIN)).join(lists.withColumnRenamed("refseg", f"refseg_{side}"), [f"refseg_{side}", "_bin"], "left")
+        hit = F.coalesce(F.exists("_spots", lambda r: pos.between(r["st"], r["ed"])), F.lit(False))  # noqa: B023
+        rows = rows.withColumn(f"_in_{side}", hit).drop("_bin", "_spots")
+    rows = rows.where("_in_5p or _in_3p")
+    return rows.select(*junctions.columns, F.when(F.expr("_in_5p and _in_3p"), "intra-SV").otherwise("inter-SV/vitg").alias("kind"))
 
 
 def breakpoint_windows(ends_in_windows: DataFrame) -> DataFrame:
@@ -149,23 +164,29 @@ def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tok
     def twice(rows: DataFrame, rule: str, key: str) -> None:
         broken(rows.groupBy(*on, key).count().where("count > 1"), rule, key, "count")
 
-    ids = segments.select(*on, "seg").distinct()
+    # a name's segments are counted once, and whatever uses names meets them once
+    names = stored(segments.groupBy(*on, "seg").agg(F.count(F.lit(1)).alias("count"), F.min("group_id").alias("g"), F.max("group_id").alias("h")), "segment-names")
+    uses = junctions.select(*on, F.lit(True).alias("in_junction"), F.col("junc_id").cast("string").alias("user"), F.explode(F.array("seg5", "seg3")).alias("seg"))
+    uses = uses.unionByName(tokens.select(*on, F.lit(False).alias("in_junction"), F.col("cycle_id").cast("string").alias("user"), "seg"))
+    uses = stored(uses.join(names, [*on, "seg"], "left"), "segment-uses")
     a = segments.select(*on, "seg", "refseg", "st", "ed")
     broken(interval_join(a, a.withColumnRenamed("seg", "other"), [*on, "refseg"]).where("seg < other"), "overlap", "seg", "other")
     broken(segments.where("not seg rlike '^[HV][0-9]+$'"), "segment id", "seg", "refseg")
     broken(segments.where("seg is null"), "names ran out", "concat(refseg, ':', st, '-', ed)", "refseg")
-    twice(segments.where("seg is not null"), "segment twice", "seg")
+    broken(names.where("seg is not null and count > 1"), "segment twice", "seg", "count")
     twice(cycles, "cycle twice", "cycle_id")
-    broken(tokens.join(ids, [*on, "seg"], "left_anti").select(*on, "cycle_id", "seg").distinct(), "unknown segment", "cycle_id", "seg")
-    sides = junctions.select(*on, "junc_id", F.explode(F.array("seg5", "seg3")).alias("seg"))
-    broken(sides.join(ids, [*on, "seg"], "left_anti"), "junction without segment", "junc_id", "seg")
+    broken(uses.where("not in_junction and count is null").select(*on, "user", "seg").distinct(), "unknown segment", "user", "seg")
+    broken(uses.where("in_junction and count is null"), "junction without segment", "user", "seg")
     broken(segments.where("seg like 'H%' and group_id is null"), "no group", "seg", "refseg")
-    groups = sides.join(segments.select(*on, "seg", "group_id"), [*on, "seg"]).where("group_id is not null").groupBy(*on, "junc_id").agg(F.min("group_id").alias("g"), F.max("group_id").alias("h"))
-    broken(groups.where("g <> h"), "group mismatch", "junc_id", "concat(g, ',', h)")
+    groups = uses.where("in_junction and g is not null").groupBy(*on, "user").agg(F.min("g").alias("g"), F.max("h").alias("h"))
+    broken(groups.where("g <> h"), "group mismatch", "user", "concat(g, ',', h)")
     if "pairs" in more:
-        twice(more["pairs"].select(*on, F.array_join(F.array_sort(F.array("anchor_a", "anchor_b")), ";").alias("pair")), "pair twice", "pair")
-        anchor = more["pairs"].select(*on, F.explode(F.array("anchor_a", "anchor_b")).alias("junc_id")).where("junc_id like 'JUNC%'").distinct()
-        broken(anchor.join(junctions.select(*on, "junc_id").distinct(), [*on, "junc_id"], "left_anti"), "unknown junction", "junc_id", "null")
+        a, b = F.col("anchor_a"), F.col("anchor_b")
+        pair = F.when(a.isNull() | b.isNull(), F.coalesce(a, b, F.lit(""))).otherwise(F.concat(F.least(a, b), F.lit(";"), F.greatest(a, b)))
+        twice(more["pairs"].select(*on, pair.alias("pair")), "pair twice", "pair")
+        anchor = more["pairs"].select(*on, F.explode(F.array("anchor_a", "anchor_b")).alias("junc_id"), F.lit(False).alias("known")).where("junc_id like 'JUNC%'")
+        anchor = anchor.unionByName(junctions.select(*on, "junc_id", F.lit(True).alias("known"))).groupBy(*on, "junc_id").agg(F.max("known").alias("known"))
+        broken(anchor.where("not known"), "unknown junction", "junc_id", "null")
     if "counts" in more:
         lost = more["counts"].select(*on, "owner", "cycle_id").distinct().join(cycles.select(*on, "cycle_id").distinct(), [*on, "cycle_id"], "left_anti")
         broken(lost, "unknown cycle", "cycle_id", "owner")
