@@ -155,7 +155,9 @@ def best_combinations(alleles: DataFrame, links: DataFrame, observed: DataFrame,
 
     def search(batches):
         for batch in batches:
-            for at, row in enumerate(batch.to_pylist()):
+            # what a batch's solutions find is one batch again: a batch for each solution costs more than its search
+            of, combos, texts, corrs = [], [], [], []
+            for row in batch.to_pylist():
                 pairs = {o["pair_id"]: i for i, o in enumerate(row["observed"] or [])}
                 y = np.array([o["observed"] for o in row["observed"] or []], dtype=float)
                 read = []
@@ -167,18 +169,18 @@ def best_combinations(alleles: DataFrame, links: DataFrame, observed: DataFrame,
                             has[i, pairs[p["pair_id"]]] = 1
                     read.append((x, has))
                 found = best_of(read, y, k, row["piece"], row["pieces"])
-                if not found:
-                    continue
-                names = []
-                for _, n in found:
+                for r, n in found:
+                    combos.append(n)
                     part = []
                     for a in row["alleles"]:
                         n, digit = divmod(n, len(a["walks"]))
                         part.append(f"AL{a['allele']}.LM{a['walks'][digit]['map_no']}")
-                    names.append(",".join(part))
-                again = [pa.array([row[c]] * len(found), batch.schema.field(c).type) for c in SOL]
-                corr = [None if r == UNDEFINED else r for r, _ in found]
-                yield pa.RecordBatch.from_arrays([*again, pa.array([n for _, n in found], pa.int64()), pa.array(names), pa.array(corr, pa.float64())], names=[*SOL, "combo", "name", "corr"])
+                    texts.append(",".join(part))
+                    corrs.append(None if r == UNDEFINED else r)
+                    of.append(row)
+            if of:
+                again = [pa.array([row[c] for row in of], batch.schema.field(c).type) for c in SOL]
+                yield pa.RecordBatch.from_arrays([*again, pa.array(combos, pa.int64()), pa.array(texts, pa.string()), pa.array(corrs, pa.float64())], names=[*SOL, "combo", "name", "corr"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in SOL) + ", combo long, name string, corr double"
     found = rows.repartition(*SOL, "piece").mapInArrow(search, schema)

@@ -17,7 +17,7 @@ from helixloom.functions.tokens import (
     usage,
     walk_signature,
 )
-from helixloom.sources.storage import stored
+from helixloom.sources.storage import stored, stored_by_size
 
 
 def expand_walk(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -226,18 +226,17 @@ def fold_nested(walks: DataFrame, keys: list[str], units: DataFrame) -> DataFram
     Rounds grow with the levels of blocks, not with walks. Where lower units leave a copy of a higher one with another count, at its edge, that copy stands beside the fold.
     """
     # each round reads its walks and units several times, so both are made once and kept from round to round
-    todo = stored(units.select(*keys, "unit_id", "level", "unit"), "fold-units")
+    todo = stored_by_size(units.select(*keys, "unit_id", "level", "unit"), "fold-units")
     deepest = todo.agg(F.max("level")).first()[0] or 0
-    walks = stored(walks.select(*keys, "walk"), "fold-walks") if deepest else walks.select(*keys, "walk")
+    walks = stored_by_size(walks.select(*keys, "walk"), "fold-walks") if deepest else walks.select(*keys, "walk")
     for level in range(1, deepest + 1):
         now = todo.where(F.col("level") == level).select(*keys, "unit_id", "unit")
-        walks = fold_items(walks, keys, now)
-        walks = stored(walks, "fold-walks") if level < deepest else walks
+        walks = stored_by_size(fold_items(walks, keys, now), "fold-walks")
         if level == deepest:
             break
         above = todo.where(F.col("level") > level).select(*keys, F.col("unit_id").alias("outer_id"), "level", F.col("unit").alias("walk"))
         above = fold_items(above, [*keys, "outer_id", "level"], now, keys)
-        todo = stored(above.select(*keys, F.col("outer_id").alias("unit_id"), "level", F.col("walk").alias("unit")), "fold-units")
+        todo = stored_by_size(above.select(*keys, F.col("outer_id").alias("unit_id"), "level", F.col("walk").alias("unit")), "fold-units")
     return _as_text(walks, keys)
 
 

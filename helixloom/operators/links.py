@@ -55,7 +55,7 @@ def shared_marker_links(markers: DataFrame, segment_of_anchor: DataFrame | None
     slices, and each pair of slices is a row of its own.
     """
     on = shared_keys(["sample"], markers)
-    rows = markers.select(*on, "anchor", "marker").distinct()
+    rows = stored(markers.select(*on, "anchor", "marker").distinct(), "markers")  # read for their counts and for the lists
     many = rows.groupBy(*on, "marker").agg(F.count(F.lit(1)).alias("n"))
     slices = F.ceil(F.col("n") / SLICE).cast("int")
     dealt = rows.join(many, [*on, "marker"]).select(*on, "marker", "anchor", slices.alias("of"), F.pmod(F.hash("anchor"), slices).alias("slice"))
@@ -65,7 +65,7 @@ def shared_marker_links(markers: DataFrame, segment_of_anchor: DataFrame | None
     met = lists.select(*on, "marker", "slice", "s", other).select(*on, "marker", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"), "slice", "s")
     met = met.groupBy(*on, "marker", "x", "y").agg(F.array_sort(F.collect_set(F.struct("slice", "s"))).alias("l"))
     met = met.where("x = y or size(l) = 2").select(*on, F.get("l", F.lit(0))["s"].alias("a"), F.get("l", F.lit(1))["s"].alias("b"))
-    met = met.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    met = stored(met.groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("n")), "marker-lists")  # read for pairs within a list and across two
     inner = met.where("b is null").select(*on, "n", F.posexplode("a").alias("i", "p"), "a").select(*on, "n", "p", F.explode(F.slice("a", F.col("i") + 2, F.size("a"))).alias("q"))
     cross = met.where("b is not null").select(*on, "n", F.explode("a").alias("p"), "b").select(*on, "n", "p", F.explode("b").alias("q"))
     both = inner.unionByName(cross).select(*on, F.least("p", "q").alias("anchor_a"), F.greatest("p", "q").alias("anchor_b"), "n")

@@ -168,7 +168,7 @@ def violations(segments: DataFrame, junctions: DataFrame, cycles: DataFrame, tok
     names = stored(segments.groupBy(*on, "seg").agg(F.count(F.lit(1)).alias("count"), F.min("group_id").alias("g"), F.max("group_id").alias("h")), "segment-names")
     uses = junctions.select(*on, F.lit(True).alias("in_junction"), F.col("junc_id").cast("string").alias("user"), F.explode(F.array("seg5", "seg3")).alias("seg"))
     uses = uses.unionByName(tokens.select(*on, F.lit(False).alias("in_junction"), F.col("cycle_id").cast("string").alias("user"), "seg"))
-    uses = stored(uses.join(names, [*on, "seg"], "left"), "segment-uses")
+    uses = stored(uses.join(names.hint("merge"), [*on, "seg"], "left"), "segment-uses")
     a = segments.select(*on, "seg", "refseg", "st", "ed")
     broken(interval_join(a, a.withColumnRenamed("seg", "other"), [*on, "refseg"]).where("seg < other"), "overlap", "seg", "other")
     broken(segments.where("not seg rlike '^[HV][0-9]+$'"), "segment id", "seg", "refseg")

@@ -115,3 +115,23 @@ def test_lineitem_is_read_once_for_runs_and_for_cuts(spark, plans):
     assert sum("lineitem.parquet" in p for p in [*plans, last]) == 1
     cuts = catalog.queries()["d4_segment_by_breakends"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert cuts.count("lineitem.parquet") == 1
+
+
+@pytest.mark.parametrize("name, table", [("f12_fold_nested", "events"), ("g5_shared_marker_links", "lineitem")])
+def test_tables_read_once(spark, plans, name, table):
+    """What a query's later steps share is made once and kept."""
+    last = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    scans = {"f12_fold_nested": 2, "g5_shared_marker_links": 3}  # cycles and their backbones; markers and the segments of either anchor
+    assert sum(p.count(f"{table}.parquet") for p in [*plans, last]) <= scans[name]
+
+
+def test_junctions_are_classified_in_their_rows(spark):
+    """Both ends are looked up beside each other: junctions are numbered by one shuffle and never grouped or joined again."""
+    plan = catalog.queries()["d2_classify_junctions"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "SortMergeJoin" not in plan
+
+
+def test_violations_meet_names_once(spark, plans):
+    """Junctions and cycles meet the names of segments in one join, and pairs meet junctions in one aggregate."""
+    last = catalog.queries()["d14_violations"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "array_join" not in last and last.count("LeftAnti") == 1
