@@ -792,3 +792,19 @@ def test_bins_are_counted_only_where_they_may_be_crowded(spark, monkeypatch):
     assert intervals.interval_join(apart, other, ["refseg"]).count() == 300 and not called
     crowd = spark.range(300).selectExpr("id as b", "'c' as refseg", "990L as st", "1010L as ed")
     assert intervals.interval_join(crowd, apart.union(spark.sql("select 1L, 'c', 1000L, 1001L")), ["refseg"]).count() == 300 and called
+
+
+def test_best_combinations_come_in_the_batches_of_their_solutions(spark, monkeypatch):
+    """Solutions of a batch leave as one batch, not one each."""
+    import pyarrow as pa
+
+    kind = type(spark.range(1))
+    seen, plain = [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: seen.append((self, f)) or plain(self, f, schema))
+    alleles = spark.range(6).selectExpr("'s' as sample", "1 as group_id", "id div 2 as solution", "0L as allele", "id % 2 as map_no", "10L as length", "1L as cn")
+    links_ = alleles.selectExpr("sample", "group_id", "solution", "allele", "map_no", "explode(array('p', 'q')) as pair_id", "cast(map_no + 1 as double) as links")
+    observed = spark.range(3).selectExpr("'s' as sample", "1 as group_id", "id as solution", "explode(array('p', 'q')) as pair_id").selectExpr("*", "if(pair_id = 'p', 1D, 2D) as observed")
+    assert best.best_combinations(alleles, links_, observed, 2).count() == 6
+    rows, search = seen[0]
+    batches = list(search(pa.Table.from_batches(rows.toArrow().combine_chunks().to_batches()).to_batches()))
+    assert [b.num_rows for b in batches] == [6]
