@@ -808,3 +808,49 @@ def test_best_combinations_come_in_the_batches_of_their_solutions(spark, monkeyp
     rows, search = seen[0]
     batches = list(search(pa.Table.from_batches(rows.toArrow().combine_chunks().to_batches()).to_batches()))
     assert [b.num_rows for b in batches] == [6]
+
+
+def test_best_combinations_score_the_solutions_of_a_batch_together(spark, monkeypatch):
+    """Small solutions never come to the search one by one, and meet what they need in one shuffle without joins; both ways give what ranking all combinations gives."""
+    kind = type(spark.range(1))
+    seen, plain = [], kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema: seen.append((self, f)) or plain(self, f, schema))
+    rng = random.Random(5)
+    alleles, links_, observed = [], [], []
+    for s in range(60):
+        pairs = [f"p{i}" for i in range(rng.randint(1, 6))]
+        observed += [("s", s % 3, s, p, float(rng.randint(0, 9))) for p in pairs if rng.random() < 0.9] + [("s", s % 3, s, "alone", 5.0), ("s", s % 3, s, "none", None)]
+        for a in rng.sample(range(9), rng.randint(1, 4)):
+            for m in rng.sample(range(20), rng.randint(1, 4)):
+                alleles.append(("s", s % 3, s, a, m, rng.randint(1, 8) * 100, rng.randint(1, 2)))
+                links_ += [("s", s % 3, s, a, m, p, rng.randint(0, 300) / 8) for p in [*pairs, "other"] if s % 2 or rng.random() < 0.7]
+        links_ += [("s", s % 3, s, 77, 1, pairs[0], 50.0), ("s", s % 3, s, None, 1, pairs[0], 50.0)]
+    alleles = spark.createDataFrame(alleles, "sample string, group_id int, solution int, allele int, map_no int, length int, cn int")
+    links_ = spark.createDataFrame(links_, "sample string, group_id int, solution int, allele int, map_no int, pair_id string, links double")
+    observed = spark.createDataFrame(observed, "sample string, group_id int, solution int, pair_id string, observed double")
+    keys = ["sample", "group_id", "solution"]
+    both = ranking.combination_links(alleles, links_).join(observed.dropna(), [*keys, "pair_id"])
+    scored = ranking.correlation(both, [*keys, "combo"], "expected", "observed").where("corr is not null")
+    names = ranking.combination_names(ranking.walk_combinations(alleles))
+    top = ranking.rank_combinations(scored, keys, best=4).join(names, [*keys, "combo"])
+    want = sorted((r.solution, r.combo, r["corr"], r.name) for r in top.collect())
+    got = best.best_combinations(alleles, links_, observed, 4)
+    assert sorted((r.solution, r.combo, r["corr"], r.name) for r in got.where("corr is not null").collect()) == want and len(want) > 100
+    rows, search = seen[0]
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+    batches = rows.toArrow().combine_chunks().to_batches()
+    first = lambda found: sorted((r["solution"], r["combo"], r["corr"], r["name"]) for b in found for r in b.to_pylist() if r["corr"] is not None)
+    alone, one = [], best.best_of
+    monkeypatch.setattr(best, "best_of", lambda *a: alone.append(a) or one(*a))
+    assert first(search(iter(batches))) == want and not alone
+    monkeypatch.setattr(best, "FEW", 0)
+    assert first(search(iter(batches))) == want and len(alone) == 60
+
+
+def test_parts_are_rounded_as_spark_rounds(spark):
+    """Halves by the printed decimal, away from zero."""
+    rng = random.Random(6)
+    values = [0.0, -0.0, 0.125, -0.125, 1.005, 2.675, 0.285, 1.115, 0.005, 0.0049999999999999, 1e-9, 4503599627370495.5, 9007199254740993.0, 1e300, 1.7e308, float("inf"), -1e17, 1e15 + 0.125, 1e15 - 0.125, 99999999999999.985, 123456789012.345, 0.615, 0.145]
+    values += [round(rng.randint(0, 10**6) / 1000 + 0.005, 3) for _ in range(3000)] + [rng.random() * 10 ** rng.randint(-3, 12) for _ in range(3000)] + [rng.randint(0, 4000) / 16 * rng.choice((1, -1)) for _ in range(2000)]
+    want = [r.r for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").selectExpr("i", "round(v, 2) as r").orderBy("i").collect()]
+    assert best._hundredths(np.array(values)).tolist() == want
